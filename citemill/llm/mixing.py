@@ -56,7 +56,7 @@ def source_targets(sizes: DataFrame, share: float, limit: float, weights: tuple)
     ).select("src", "source", "source_size", "target", "low", "high")
 
 
-def streams(docs: DataFrame, sources: DataFrame, bucket_bits: int) -> DataFrame:
+def streams(docs: DataFrame, sources: DataFrame, bucket_bits: int, carry: tuple = ()) -> DataFrame:
     """docs(doc_id, source, size) -> doc_id, src, size, source_size, target, at: at is the word of its source's stream where the document starts.
 
     The order is that of md5(doc_id). Its leading bits name a bucket; sums of buckets before it and
@@ -65,7 +65,7 @@ def streams(docs: DataFrame, sources: DataFrame, bucket_bits: int) -> DataFrame:
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     lead = F.conv(F.substring(key, 1, 8), 16, 10).cast("long")
     placed = docs.join(sources, docs.source.eqNullSafe(sources.source)).select(
-        "doc_id", "size", "src", "source_size", "target", key.alias("key"),
+        "doc_id", *carry, "size", "src", "source_size", "target", key.alias("key"),
         F.shiftright(lead, 32 - bucket_bits).alias("bucket"),
     )
     sums = placed.groupBy("src", "bucket").agg(F.sum("size").alias("words"))
@@ -75,7 +75,7 @@ def streams(docs: DataFrame, sources: DataFrame, bucket_bits: int) -> DataFrame:
     return (
         placed.withColumn("inner_at", F.coalesce(F.sum("size").over(within), F.lit(0)))
         .join(starts, ["src", "bucket"])
-        .select("doc_id", "src", "size", "source_size", "target", (F.col("start") + F.col("inner_at")).alias("at"))
+        .select("doc_id", *carry, "src", "size", "source_size", "target", (F.col("start") + F.col("inner_at")).alias("at"))
     )
 
 
@@ -110,21 +110,22 @@ def schedule(sources: DataFrame, slots: int, block_words: int) -> DataFrame:
 
 
 def mix_pieces(
-    docs: DataFrame, share: float = 1.5, limit: float = 2.0, weights: tuple = (3, 1, 2), block_words: int = 1024
+    docs: DataFrame, share: float = 1.5, limit: float = 2.0, weights: tuple = (3, 1, 2), block_words: int = 1024,
+    carry: tuple = (),
 ) -> tuple[DataFrame, DataFrame]:
     """docs(doc_id, source, text) -> (documents, pieces).
 
-    documents: doc_id, src, size, source_size, target, at, one row per input row. pieces: src, at,
+    documents: doc_id, ``carry``, src, size, source_size, target, at, one row per input row. pieces: src, at,
     slot, pass, from_word, words: what each slot of the mix takes of the document at that place.
     Null text has size 0; null sources form the last source; a document without words has no piece.
     Equal rows are interchangeable and both take part. An empty table gives empty ones.
     """
-    sized = materialise(docs.select("doc_id", "source", word_count().alias("size")), "sizes")
+    sized = materialise(docs.select("doc_id", *carry, "source", word_count().alias("size")), "sizes")
     sources = materialise(source_targets(sized, share, limit, weights), "sources")
     # Two numbers come to the driver, to set the count of buckets and of slots.
     n, words = sized.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     bits = max(0, min(31, (n // BUCKET_ROWS).bit_length()))
-    placed = materialise(streams(sized, sources, bits), "streams")
+    placed = materialise(streams(sized, sources, bits, carry), "streams")
     slots = int(share * words / block_words * 1.02) + 64
     plan = schedule(sources, slots, block_words).join(
         sources.select("src", "source_size", F.round("target").cast("long").alias("goal")), "src"
@@ -155,3 +156,25 @@ def taken_words(docs: DataFrame, **options) -> DataFrame:
     return keyed.join(sums, ["src", "at", "filled"], "left").select(
         "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken")
     )
+
+
+def mix(docs: DataFrame, **options) -> DataFrame:
+    """The mix itself as rows of ``docs``: a document once for each pass that takes it.
+
+    Where a pass ends within a document, its row holds the words up to there, parted by spaces, and
+    n_chars (if there is such a column) their length. Documents the mix leaves out don't appear.
+    """
+    own = docs.columns
+    rows = materialise(
+        docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), F.monotonically_increasing_id().alias("row_id")), "rows"
+    )
+    narrow = rows.select("row_id", "row.doc_id", "row.source", "row.text")
+    placed, pieces = mix_pieces(narrow, carry=("row_id",), **options)
+    passes = pieces.groupBy("src", "at", "pass").agg(F.sum("words").alias("taken"))
+    chosen = passes.join(placed.where("size > 0").select("src", "at", "row_id", "size"), ["src", "at"])
+    out = rows.join(chosen.select("row_id", "taken", "size"), "row_id")
+    words = F.regexp_extract_all(F.col("row.text"), F.lit(WORD), 0)
+    part = F.array_join(F.slice(words, 1, F.col("taken").cast("int")), " ")
+    out = out.withColumn("text_", F.when(F.col("taken") < F.col("size"), part).otherwise(F.col("row.text")))
+    columns = {"text": F.col("text_"), "n_chars": F.when(F.col("taken") < F.col("size"), F.length("text_").cast("long")).otherwise(F.col("row.n_chars")) if "n_chars" in own else None}
+    return out.select(*[(columns[c] if c in columns else F.col(f"row.`{c}`")).alias(c) for c in own])
