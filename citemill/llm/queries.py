@@ -9,15 +9,40 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .exact_dedup import exact_groups
 from .language_id import identify
+from .license_scan import scan_licenses
+from .line_dedup import drop_boilerplate
 from .mixing import taken_words
 from .packing import pack
+from .pii import find_personal_data
+from .quotations import link_quotations
 from .simhash import near_groups
+from .vector_dedup import near_vectors
+
+
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op2_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op4_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_quotations(table(spark, sf_dir, "conversations"))
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_boilerplate(table(spark, sf_dir, "pages"))
+
+
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal_data(table(spark, sf_dir, "documents"))
+
+
 def op7_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
@@ -43,6 +68,27 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
 FROM t WINDOW w AS (PARTITION BY h)
 """
 
+OP5_SQL = r"""
+WITH p AS (
+  SELECT page_id, coalesce(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '') AS host,
+         regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''),
+           '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->', '', 'g'),
+           '(?i)</?(?:p|br|div|li|ul|ol|h[1-6]|tr|td|th|table|section|article|header|footer|nav|aside|main|title|head|body|html|pre|blockquote|hr|form|option)\b[^>]*>', chr(10), 'g'),
+           '<[^>]*>', '', 'g') AS body
+  FROM pages),
+l AS (
+  SELECT page_id, host, list_filter(list_transform(regexp_split_to_array(body, '[\r\n]+'),
+    lambda x: trim(regexp_replace(x, '[ \t\x0B\f]+', ' ', 'g'))), lambda x: x <> '') AS lines
+  FROM p),
+n AS (SELECT host, line, count(*) AS n FROM (SELECT host, unnest(list_distinct(lines)) AS line FROM l) GROUP BY ALL),
+t AS (SELECT host, count(*) AS pages FROM l GROUP BY host),
+c AS (SELECT host, list(line) AS gone FROM n JOIN t USING (host) WHERE host <> '' AND n >= 3 AND n > 0.3 * pages GROUP BY host),
+k AS (SELECT page_id, l.host, lines, list_filter(lines, lambda x: NOT list_contains(coalesce(gone, []), x)) AS kept FROM l LEFT JOIN c ON l.host = c.host)
+SELECT page_id, host, len(lines)::BIGINT AS n_lines, (len(lines) - len(kept))::BIGINT AS n_dropped,
+       array_to_string(kept, chr(10)) AS text
+FROM k
+"""
+
 OP10_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size
@@ -72,9 +118,23 @@ FROM p
 """
 
 
+QUERIES = (
+    op1_license_scan,
+    op2_vector_dedup,
+    op3_exact_dedup,
+    op4_quotation_links,
+    op5_line_dedup,
+    op6_personal_data,
+    op7_curve_packing,
+    op8_simhash_groups,
+    op9_language_id,
+    op10_source_mix,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_exact_dedup, op7_curve_packing, op8_simhash_groups, op9_language_id, op10_source_mix)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": OP3_SQL, "op10_source_mix": OP10_SQL}
+    return {"op3_exact_dedup": OP3_SQL, "op5_line_dedup": OP5_SQL, "op10_source_mix": OP10_SQL}
