@@ -22,12 +22,12 @@ SEQUENCE_TOKENS = 2048
 END_ID = 1
 DIMENSIONS = 4
 BITS = 10
-#: Words whose ids a worker remembers before it forgets them all.
-REMEMBERED = 600_000
+#: Words of a generation whose ids a worker remembers; at most two generations.
+REMEMBERED = 450_000
 #: Bytes of the longest word that is remembered.
 LONGEST_REMEMBERED = 64
 
-_memory: dict[str, tuple] = {}
+_memory: dict[str, _Words] = {}
 
 
 def public_tokenizer() -> str:
@@ -36,38 +36,81 @@ def public_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def _tokenizer(path: str) -> tuple:
-    """(tokenizer, remembered ids by word): one of each for a worker's life."""
-    if path not in _memory:
+class _Words:
+    """A worker's tokenizer and the ids of words it has met lately: those of two generations."""
+
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        _memory[path] = (Tokenizer.from_file(path), {})
+        self.tokenizer = Tokenizer.from_file(path)
+        size = self.tokenizer.get_vocab_size()
+        self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        self.is_end = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
+        self.now: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
+
+    def _ask(self, words: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def learn(self, fresh: list[bytes]) -> None:
+        """Encodes new words. Those of letters alone go in one text: each ends with its one word-end id."""
+        plain, other = [], []
+        for w in fresh:
+            (plain if w.decode("utf-8", "replace").isalpha() else other).append(w)
+        if plain:
+            ids = np.array(self._ask([b" ".join(plain).decode()])[0], self.dtype)
+            ends = np.flatnonzero(self.is_end[ids]) + 1
+            if len(ends) == len(plain) and ends[-1] == len(ids):
+                raw, step, a = ids.tobytes(), self.dtype.itemsize, 0
+                for w, b in zip(plain, (ends * step).tolist()):
+                    self.now[w] = raw[a:b]
+                    a = b
+            else:
+                other += plain
+        for w, ids in zip(other, self._ask([w.decode("utf-8", "replace") for w in other])):
+            self.now[w] = np.array(ids, self.dtype).tobytes()
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        if len(self.now) > REMEMBERED:
+            self.before, self.now = self.now, {}
+        now, before = self.now, self.before
+        split = [t.split() for t in texts]
+        fresh = []
+        for w in set().union(*split):
+            if w not in now:
+                known = before.get(w)
+                if known is None:
+                    fresh.append(w)
+                else:
+                    now[w] = known
+        # A full stop or comma after a letter is a token of its own.
+        tails = [w for w in fresh if len(w) > 1 and w[-1] in b".," and 97 <= w[-2] <= 122]
+        stems = {x for w in tails for x in (w[:-1], w[-1:])}.union(fresh).difference(tails)
+        for x in [x for x in stems if x in before]:
+            now[x] = before[x]
+        self.learn([x for x in stems if x not in now])
+        for w in tails:
+            now[w] = now[w[:-1]] + now[w[-1:]]
+        coded = [b"".join(map(now.__getitem__, words)) for words in split]
+        for w in [w for w in fresh if len(w) > LONGEST_REMEMBERED]:
+            now.pop(w, None)
+        return coded
+
+
+def _words(path: str) -> _Words:
+    if path not in _memory:
+        _memory[path] = _Words(path)
     return _memory[path]
 
 
-def encode(texts: list[bytes], path: str) -> list[bytes]:
-    """The ids of each text as little-endian 32-bit numbers, what the tokenizer gives for the whole text.
+def encode(texts: list[bytes], path: str) -> tuple[list[bytes], np.dtype]:
+    """The ids of each text, what the tokenizer gives for the whole text, as little-endian numbers, and their type.
 
     The tokenizer never joins what white space parts and ignores the case of A-Z, so a text's ids
-    are those of its words; each word is encoded once and remembered.
+    are those of its words; each word is encoded once and remembered. Special tokens keep their case.
     """
-    tokenizer, known = _tokenizer(path)
-    if len(known) > REMEMBERED:
-        known.clear()
-    split = [t.split() for t in texts]
-    fresh = {w for words in split for w in words if w not in known}
-    # A full stop or comma after a letter is a token of its own.
-    tails = {w for w in fresh if len(w) > 1 and w[-1] in b".," and 97 <= w[-2] <= 122}
-    ask = list((fresh - tails) | {x for w in tails for x in (w[:-1], w[-1:]) if x not in known})
-    for w, e in zip(ask, tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in ask], add_special_tokens=False)):
-        known[w] = np.array(e.ids, "<u4").tobytes()
-    for w in tails:
-        known[w] = known[w[:-1]] + known[w[-1:]]
-    coded = [b"".join(map(known.__getitem__, words)) for words in split]
-    for w in ask:
-        if len(w) > LONGEST_REMEMBERED:
-            known.pop(w, None)
-    return coded
+    words = _words(path)
+    return words.encode([t if b"<|" in t else t.lower() for t in texts]), words.dtype
 
 
 def hilbert(points: np.ndarray, bits: int) -> np.ndarray:
@@ -113,14 +156,14 @@ def curve_keys(ids: list[np.ndarray], directions: np.ndarray) -> np.ndarray:
 def _encoder(path: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         directions = _directions()
-        end = np.array([END_ID], "<u4").tobytes()
         for whole in batches:
             for a in range(0, whole.num_rows, 512):
                 batch = whole.slice(a, 512)
                 texts = [t.as_py() or b"" for t in batch.column("text").cast(pa.binary())]
-                texts = [t if b"<|" in t else t.lower() for t in texts]  # special tokens keep their case
-                ids = [i + end for i in encode(texts, path)]
-                keys = curve_keys([np.frombuffer(i, "<u4") for i in ids], directions)
+                coded, kind = encode(texts, path)
+                end = np.array([END_ID], kind).tobytes()
+                ids = [i + end for i in coded]
+                keys = curve_keys([np.frombuffer(i, kind) for i in ids], directions)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id"), pa.array(keys, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "curve", "ids"]
                 )
@@ -133,11 +176,12 @@ def _cut(length: int, most: int) -> list[int]:
     return [most] if length == most else [1 << b for b in range(length.bit_length() - 1, -1, -1) if length >> b & 1]
 
 
-def _packer(most: int) -> Callable:
+def _packer(most: int, path: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         sequence = TaskContext.get().partitionId() << 40
+        stored = _words(path).dtype
         held: list[tuple] = []  # (doc_id, start, ids, doc_tokens) of the open sequence
         filled = 0
         out: list[tuple] = []
@@ -167,7 +211,7 @@ def _packer(most: int) -> Callable:
         for batch in batches:
             kind = batch.schema.field("doc_id").type
             for doc, value in zip(batch.column("doc_id").to_pylist(), batch.column("ids")):
-                ids = value.as_py()
+                ids = np.frombuffer(value.as_py(), stored).astype("<u4").tobytes()
                 n, at = len(ids) // 4, 0
                 while at < n:
                     take = min(n - at, most - filled)
@@ -202,6 +246,6 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, sequence_tokens: in
     coded = materialise(coded, "token-ids")
     ordered = coded.repartitionByRange("curve", "doc_id").sortWithinPartitions("curve", "doc_id", "ids")
     return ordered.mapInArrow(
-        _packer(sequence_tokens),
+        _packer(sequence_tokens, path),
         f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint",
     )
