@@ -1,11 +1,19 @@
-"""Registered queries over the reference tables, with the SQL that says the same."""
+"""Registered queries over the given tables, with the SQL (DuckDB) that says the same."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
 
+from . import answer_queries, evaluation_queries, search_queries, text_queries
 
-def oracle_sql() -> dict:
-    return {}
+_MODULES = (search_queries, evaluation_queries, text_queries, answer_queries)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: f for module in _MODULES for name, f in module.QUERIES.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for module in _MODULES for name, sql in module.SQL.items()}
