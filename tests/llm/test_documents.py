@@ -1,0 +1,268 @@
+"""Operators on documents: worked cases, brute force, and odd tables."""
+
+import hashlib
+import re
+import zlib
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from citemill.llm import exact_dedup, language_id, license_scan, mixing, packing, pii, simhash
+
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, row string, fp string, src string, pick string"
+LONG = "Wort und mehr " * 20000
+
+
+def odd(spark):
+    """Nulls in every column, empty and very long texts, ties, repeated rows, clashing extra columns."""
+    texts = [
+        (1, "The same text here", "en", "a"), (2, "the SAME text here", "en", "b"), (2, "the SAME text here", "en", "b"), (3, None, "en", None),
+        (4, "", None, "a"), (5, LONG, "de", "c"), (None, "no id at all", "en", "a"), (6, "12 34 !!", "en", None), (7, "Été çà et là", "fr", "é"), (8, "ÉTÉ", None, "a"),
+    ]
+    return spark.createDataFrame([(i, t, lang, s, None, "x", "y", "z", "p") for i, t, lang, s in texts], SCHEMA)
+
+
+def lower(t):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
+
+
+@pytest.mark.parametrize("run, columns", [
+    (license_scan.scan_licenses, "doc_id n_words n_base first_word last_word base_labels labels score spans"),
+    (exact_dedup.exact_groups, "doc_id keep_id group_size kept text_sha256"),
+    (pii.find_personal_data, "doc_id n_email n_ip n_card n_phone base_sha256 spans"),
+    (packing.pack, "doc_id start length ids_crc32 doc_tokens sequence_id offset"),
+    (simhash.near_groups, "doc_id fingerprint component_id"),
+    (language_id.identify, "doc_id held_out lang_pred score ambiguous"),
+    (mixing.taken_words, "doc_id size source_size target taken"),
+])
+def test_columns_odd_rows_and_empty_tables(spark, run, columns):
+    docs = odd(spark)
+    got = run(docs)
+    assert got.columns == columns.split()
+    ids = sorted(str(r.doc_id) for r in got.select("doc_id").collect())
+    if run is not packing.pack:
+        assert ids == sorted(str(r.doc_id) for r in docs.select("doc_id").collect())
+    assert run(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("run", [exact_dedup.drop_exact_copies, simhash.keep_one_of_each_group, mixing.mix, language_id.drop_unidentified])
+def test_stages_keep_columns(spark, run):
+    docs = odd(spark)
+    assert run(docs).columns == docs.columns and run(docs.limit(0)).count() == 0
+
+
+def test_exact_groups(spark):
+    got = exact_dedup.exact_groups(odd(spark)).collect()
+    same = [r for r in got if r.doc_id in (1, 2)]
+    assert all(r.keep_id == 2 and r.group_size == 3 for r in same) and sum(r.kept for r in same) == 1
+    assert {(r.doc_id, r.kept) for r in got if r.doc_id in (3, 4)} == {(3, False), (4, True)}
+    assert all(r.text_sha256 == hashlib.sha256(lower("ÉTÉ").encode()).hexdigest() for r in got if r.doc_id == 8)
+    assert sum(r.kept for r in got) == exact_dedup.drop_exact_copies(odd(spark)).count() == 7
+
+
+def test_heavy_texts_go_by_broadcast(spark):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "Hot").otherwise(F.concat(F.lit("t"), (F.col("id") / 2).cast("long").cast("string"))).alias("text"))
+    rows = docs.select("doc_id", exact_dedup.digest().alias("text_sha256")).withColumn("pick", F.struct("doc_id"))
+    heavy = exact_dedup.heavy_winners(rows).collect()
+    assert [(h.heavy_size, h.heavy_pick.doc_id) for h in heavy] == [(1000, 2997)]
+    want = {}
+    for r in docs.collect():
+        want.setdefault(lower(r.text), []).append(r.doc_id)
+    assert {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_groups(docs).collect()} == {(i, max(g), len(g), i == max(g)) for g in want.values() for i in g}
+
+
+def fingerprint(text):
+    words = [w for w in re.split("[\x20\x09-\x0d]+", lower(text)) if w]
+    if not words:
+        return 0
+    hashes = [xxhash.xxh64_intdigest(" ".join(words[i : i + 3]).encode(), 42) for i in range(max(1, len(words) - 2))]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def brute_components(ids, linked):
+    root = {i: i for i in ids}
+    while True:
+        new = {i: min([root[i], *(root[j] for j in ids if linked(i, j))]) for i in ids}
+        if new == root:
+            return root
+        root = new
+
+
+def test_simhash_against_brute_force(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    base = docs.collect()
+    # One word changed at the end of long texts: few bits, chains among them.
+    extra = [(10_000 + 10 * r.doc_id + k, r.text + f" tail{k}") for r in base if len(r.text) > 3000 for k in range(4)]
+    rows = [(r.doc_id, r.text) for r in base] + extra
+    got = {r.doc_id: r for r in simhash.near_groups(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    prints = {i: fingerprint(t) for i, t in rows}
+    assert all(int(got[i].fingerprint, 16) == p for i, p in prints.items())
+    want = brute_components(sorted(prints), lambda i, j: (prints[i] ^ prints[j]).bit_count() <= 2)
+    assert {i: r.component_id for i, r in got.items()} == want and len(set(want.values())) < len(rows) - 20
+
+
+def test_license_places(spark):
+    docs = spark.createDataFrame([(1, "x The MIT License. mit-license CC BY 4.0, Apache\nLicense"), (2, "GNU Genral Public Licence v3"), (3, "summit license, comit licenses"), (4, None)], "doc_id bigint, text string")
+    got = {r.doc_id: r for r in license_scan.scan_licenses(docs).collect()}
+    r = got[1]
+    assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.score) == (12, 4, 2, 10, "apache,cc-by,mit", 1.0)
+    assert (got[2].n_base, got[2].base_labels, got[2].labels) == (0, "", "gpl") and 0.9 < got[2].score < 1
+    assert got[3].labels == "" and got[3].first_word is None and got[4].n_words == 0 and got[4].score == 0.0
+
+
+def test_license_base_against_brute_force(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    got = {r.doc_id: r for r in license_scan.scan_licenses(docs).collect()}
+    for d in docs.collect():
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(d.text))
+        places = [(i, label) for p, label in license_scan.BASE.items() for i in range(len(words)) if words[i : i + len(p.split())] == p.split()]
+        r = got[d.doc_id]
+        assert (r.n_words, r.n_base, r.base_labels) == (len(words), len(places), ",".join(sorted({x for _, x in places})))
+        assert (r.first_word, r.last_word) == (min(places, default=(None,))[0], max(places, default=(None,))[0])
+
+
+def test_pigeonhole_finds_every_match_within_the_bound():
+    scanner, rng = license_scan.Scanner(), np.random.default_rng(4)
+    for phrase, label, k in license_scan.NOTICES:
+        for _ in range(20):
+            text = list(phrase)
+            for _ in range(k):
+                text[int(rng.integers(1, len(text) - 1))] = "q"
+            assert label in {h.label for h in scanner.hits("zz " + "".join(text) + " zz")}, (phrase, "".join(text))
+
+
+def test_base_spans_against_plain_patterns():
+    rng = np.random.default_rng(1)
+    email, ip = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    for alphabet in ("ab1.@-+ 9", "12..5", "0123456789 -", "+12 ()-"):
+        for _ in range(2000):
+            t = "".join(rng.choice(list(alphabet), 30))
+            got = pii.base_spans(t)
+            assert [s[1:] for s in got if s[0] == "email"] == [m.span() for m in email.finditer(t)]
+            assert [s[1:] for s in got if s[0] == "ip"] == [m.span() for m in ip.finditer(t) if all(int(p) <= 255 for p in m[0].split("."))]
+            phones = [m.span() for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 8 <= sum(c.isdigit() for c in m[0]) <= 15]
+            assert [s[1:] for s in got if s[0] == "phone"] == phones
+            assert all(16 <= sum(c.isdigit() for c in t[a:b]) <= 19 and pii._luhn(re.sub(r"\D", "", t[a:b])) for k, a, b in got if k == "card")
+    assert pii.base_spans("x 4111 1111 1111 1111 y") == [("card", 2, 21)] and pii.base_spans("4111 1111 1111 1112") == []
+    assert pii.base_spans("0" * 6000 + ".1.2.3") == [("ip", 0, 6006)]
+
+
+@pytest.fixture(scope="module")
+def crf():
+    return pii.Crf.fit()
+
+
+def test_field_learns_its_table_and_leaves_prose_alone(crf):
+    for line in pii.LABELLED:
+        words, labels = pii._parse(line)
+        assert crf.decode([words])[0] == labels, line
+    assert pii.windows("plain prose without any trigger, nothing else") == []
+
+
+def test_viterbi_is_exact(crf):
+    import itertools
+
+    words = "call (303) 555-0117, now".split()
+    e = [crf.emit[[crf.names[f] for f in own if f in crf.names]].sum(0) for own in pii._features(words)]
+
+    def score(path):
+        s = crf.step[0, path[0]] + crf.step[path[-1], 0] + sum(e[i][p] for i, p in enumerate(path))
+        return s + sum(crf.step[a, b] for a, b in zip(path, path[1:]))
+
+    best = max(itertools.product(range(len(pii.LABELS)), repeat=len(words)), key=score)
+    assert tuple(crf.decode([words])[0]) == best
+
+
+def test_field_adds_and_base_stays(spark):
+    docs = spark.createDataFrame([(1, "u +1 (269) 555-3296 4524132264652876 and a.b@c.example x"), (2, None)], "doc_id bigint, text string")
+    got = {r.doc_id: r for r in pii.find_personal_data(docs).collect()}
+    assert (got[1].n_email, got[1].n_phone) == (1, 0) and "email:41:54" in got[1].spans and "phone:2:19" in got[1].spans
+    assert got[2].spans == "" and got[2].base_sha256 == hashlib.sha256(b"").hexdigest()
+
+
+def test_language_held_out_accuracy_and_windows(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    truth = {r.doc_id: r.lang for r in docs.collect()}
+    got = language_id.identify(docs).collect()
+    held = [r for r in got if r.held_out]
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1 for r in got)
+    assert sum(r.lang_pred == truth[r.doc_id] for r in held) >= 0.97 * len(held) > 20
+    model = language_id.fit(docs)
+    window, language_id.WINDOW = language_id.WINDOW, 64
+    try:
+        assert np.allclose(model.losses([docs.first().text]), language_id.fit(docs).losses([docs.first().text]))
+    finally:
+        language_id.WINDOW = window
+
+
+def test_language_edges(spark):
+    got = {r.doc_id: r for r in language_id.identify(odd(spark)).collect()}
+    assert [got[i].lang_pred for i in (3, 4, 6)] == ["und"] * 3 and got[5].lang_pred in ("de", "en", "fr")
+    none = language_id.identify(odd(spark).withColumn("lang", F.lit(None).cast("string"))).collect()
+    assert {r.lang_pred for r in none} == {"und"}
+    assert sorted(r.doc_id for r in language_id.drop_unidentified(odd(spark)).where("doc_id in (3, 4, 6, 7)").collect()) == [7]
+    for n in (1, 2, 5, 9, 40):
+        code = language_id.codewords(n)
+        assert len({tuple(c) for c in code}) == n
+
+
+def test_packing_round_trip(spark, small):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(packing.public_tokenizer())
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(9001, None), (9002, ""), (9003, "É<|endoftext|>. ŒUVRE don't x"), (9004, LONG)], "doc_id bigint, text string"))
+    pieces, sequences = {}, {}
+    for r in packing.pack(docs).collect():
+        pieces.setdefault(r.doc_id, []).append(r)
+        sequences.setdefault(r.sequence_id, []).append(r)
+    for d in docs.collect():
+        ids, at = np.array(tokenizer.encode(d.text or "", add_special_tokens=False).ids + [1], "<u4"), 0
+        for p in sorted(pieces[d.doc_id], key=lambda p: p.start):
+            assert (p.start, p.doc_tokens, p.ids_crc32) == (at, len(ids), zlib.crc32(ids[at : at + p.length].tobytes()))
+            at += p.length
+        assert at == len(ids)
+    for own in sequences.values():
+        at = 0
+        for p in sorted(own, key=lambda p: p.offset):
+            assert p.offset == at
+            at += p.length
+        assert at <= 2048 and at & (at - 1) == 0
+
+
+def test_hilbert_steps_to_neighbours():
+    for d, bits in ((2, 3), (3, 2), (4, 2)):
+        grid = np.stack(np.meshgrid(*[np.arange(1 << bits)] * d, indexing="ij"), -1).reshape(-1, d)
+        order = grid[np.argsort(packing.hilbert(grid, bits))]
+        assert sorted(packing.hilbert(grid, bits)) == list(range(len(grid))) and (np.abs(np.diff(order, axis=0)).sum(1) == 1).all()
+
+
+def test_mix_targets_and_takes(spark):
+    rows = [(i, "w " * n, s) for i, (s, n) in enumerate([("a", 4000), ("a", 0), ("b", 3000), ("b", 5000), (None, 700), ("c", 30), ("c", 9)])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = {r.doc_id: r for r in mixing.taken_words(docs, block_words=64).collect()}
+    sizes, weights = {"a": 4000, "b": 8000, "c": 39, None: 700}, {"a": 3, "b": 1, "c": 2, None: 3}
+    total, target, open_ = 1.5 * sum(sizes.values()), {}, set(sizes)
+    while True:  # the excess over the caps goes to the rest, until none is above
+        left = total - sum(target.values())
+        share = {s: left * weights[s] / sum(weights[x] for x in open_) for s in open_}
+        over = {s for s in open_ if share[s] > 2 * sizes[s]}
+        if not over:
+            target |= share
+            break
+        target |= {s: 2.0 * sizes[s] for s in over}
+        open_ -= over
+    for i, _, s in rows:
+        assert got[i].source_size == sizes[s] and got[i].target == pytest.approx(target[s]) and got[i].taken <= 2 * got[i].size
+    for s in sizes:
+        assert abs(sum(got[i].taken for i, _, x in rows if x == s) - target[s]) <= 0.5
+    mixed = mixing.mix(docs, block_words=64)
+    assert {r.doc_id: r.n for r in mixed.groupBy("doc_id").agg(F.sum(mixing.word_count()).alias("n")).collect()} == {i: r.taken for i, r in got.items() if r.taken}
+
+
+def test_schedule_keeps_sources_even(spark):
+    sources = spark.createDataFrame([(0, "a", 900_000, 600_000.0, 0.0, 0.6), (1, "b", 900_000, 400_000.0, 0.6, 1.0)], "src int, source string, source_size bigint, target double, low double, high double")
+    slots = sorted((r.slot, r.src, r["rank"]) for r in mixing.schedule(sources, 1040, 1000).collect())
+    assert sorted(r for _, s, r in slots if s == 0) == list(range(600)) and sorted(r for _, s, r in slots if s == 1) == list(range(400))
+    assert all(abs(rank - 0.6 * slot) < 4 for slot, s, rank in slots if s == 0 and slot < 1000)
