@@ -147,7 +147,7 @@ def parse_reply(text: Column) -> Column:
     unfenced = strip(F.regexp_replace(F.regexp_replace(bare, "^`+|`+$", ""), "^json", ""))
     body = F.when(F.startswith(bare, F.lit("```")), unfenced).otherwise(bare)
     data = F.try_parse_json(body)
-    has = lambda key: F.is_variant_null(F.try_variant_get(data, f"$.{key}", "variant")).isNotNull()
+    has = lambda key: F.try_variant_get(data, f"$.{key}", "variant").isNotNull()
     return F.when(
         (F.schema_of_variant(data).startswith("OBJECT")) & has("answer") & has("abstain"),
         F.struct(
