@@ -24,31 +24,38 @@ def lower_ascii(text: Column) -> Column:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder all executors share; only where the session names none, a temporary one (tests)."""
+    """This application's part of the folder all executors share; only where the session names none, a temporary one (tests)."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
         configured = tempfile.mkdtemp(prefix="citemill-")
         spark.conf.set("spark.checkpoint.dir", configured)
-    return configured.rstrip("/")
+    return f"{configured.rstrip('/')}/citemill/{spark.sparkContext.applicationId}"
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back.
 
     This cuts the lineage, keeps one computation for several readers, and survives lost executors.
+    The files stay until ``discard`` or ``clear_scratch``, since plans built later may read them.
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/citemill/{label}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table_ = spark.read.schema(df.schema).parquet(path)
+    table_._scratch_path = path
+    return table_
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
 def discard(df: DataFrame) -> None:
     """Deletes the files behind a materialised table that no later plan reads."""
-    spark = df.sparkSession
-    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/citemill/" in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
+    _delete(df.sparkSession, df._scratch_path)
+
 
+def clear_scratch(spark: SparkSession) -> None:
+    """Deletes all that this application has materialised; for the end of a job, when its results are written."""
+    _delete(spark, scratch_dir(spark))

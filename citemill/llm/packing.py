@@ -8,6 +8,7 @@ on the curve. What remains at a range's end is cut at powers of two, which need
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -26,6 +27,9 @@ BITS = 10
 REMEMBERED = 450_000
 #: Bytes of the longest word that is remembered.
 LONGEST_REMEMBERED = 64
+#: Bytes of a text that are taken into words at once.
+LONG_TEXT = 1 << 21
+_SPACE = re.compile(rb"[\x20\x09-\x0d]")
 
 _memory: dict[str, _Words] = {}
 
@@ -110,7 +114,21 @@ def encode(texts: list[bytes], path: str) -> tuple[list[bytes], np.dtype]:
     are those of its words; each word is encoded once and remembered. Special tokens keep their case.
     """
     words = _words(path)
-    return words.encode([t if b"<|" in t else t.lower() for t in texts]), words.dtype
+    cased = [t if b"<|" in t else t.lower() for t in texts]
+    if max(map(len, cased), default=0) <= LONG_TEXT:
+        return words.encode(cased), words.dtype
+    return [b"".join(words.encode([part])[0] for part in _parts(t)) for t in cased], words.dtype
+
+
+def _parts(text: bytes) -> Iterator[bytes]:
+    """A long text in parts that end at white space, so that memory for its words is bounded."""
+    at = 0
+    while at < len(text):
+        end = at + LONG_TEXT
+        cut = _SPACE.search(text, end) if end < len(text) else None
+        end = cut.start() if cut else len(text)
+        yield text[at:end]
+        at = end
 
 
 def hilbert(points: np.ndarray, bits: int) -> np.ndarray:

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import deque
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -251,19 +252,25 @@ class Crf:
 
 
 def windows(text: str) -> list[list[re.Match]]:
-    """Runs of words that hold all words that aren't plain, with AROUND plain ones at either side."""
+    """Runs of words that hold all words that aren't plain, with AROUND plain ones at either side; near ones are one run."""
     if not _TRIGGER.search(text):
         return []
-    words = list(_WORD.finditer(text))
-    marked = [i for i, m in enumerate(words) if _TRIGGER.search(m[0])]
-    runs: list[list[int]] = []
-    for i in marked:
-        a, b = max(0, i - AROUND), min(len(words), i + AROUND + 1)
-        if runs and a <= runs[-1][1]:
-            runs[-1][1] = b
+    runs: list[list[re.Match]] = []
+    plain: deque[re.Match] = deque(maxlen=2 * AROUND + 1)  # since the last word that isn't, the last of them
+    for m in _WORD.finditer(text):
+        if not _TRIGGER.search(m[0]):
+            if len(plain) == 2 * AROUND and runs:
+                runs[-1] += list(plain)[:AROUND]
+            plain.append(m)
+        elif runs and len(plain) <= 2 * AROUND:
+            runs[-1] += [*plain, m]
+            plain.clear()
         else:
-            runs.append([a, b])
-    return [words[a:b] for a, b in runs]
+            runs.append([*list(plain)[-AROUND:], m])
+            plain.clear()
+    if runs and len(plain) <= 2 * AROUND:
+        runs[-1] += list(plain)[:AROUND]
+    return runs
 
 
 def field_spans(found: list[list[re.Match]], crf: Crf) -> list[list[tuple[str, int, int]]]:

@@ -102,9 +102,9 @@ def _threads(links: DataFrame) -> DataFrame:
         nxt = materialise(joined, "threads")
         moving = nxt.where("moved").limit(1).count()
         discard(now)
-        now = nxt.drop("moved")
+        now = nxt
         if not moving:
-            return now
+            return now.drop("moved")
 
 
 def link_quotations(messages: DataFrame) -> DataFrame:

@@ -24,6 +24,8 @@ SHINGLE_WORDS = 3
 SEED = 42
 #: Bits in which linked fingerprints may differ; each side covers half of them.
 RADIUS = 2
+#: Shingles whose bits are held at once.
+AT_ONCE = 1 << 16
 
 
 def fingerprint(text: bytes | None, shingle_words: int = SHINGLE_WORDS) -> int:
@@ -36,11 +38,12 @@ def fingerprint(text: bytes | None, shingle_words: int = SHINGLE_WORDS) -> int:
     np.cumsum([len(w) + 1 for w in words], out=starts[1:])
     n = max(1, len(words) - shingle_words + 1)
     ends = starts[min(shingle_words, len(words)) :][:n] - 1
-    hashed = np.fromiter(
-        (xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends.tolist())), np.uint64, n
-    )
-    bits = np.unpackbits(hashed.view(np.uint8).reshape(n, 8), axis=1, bitorder="little")
-    majority = bits.sum(axis=0, dtype=np.int64) * 2 > n
+    ones = np.zeros(64, np.int64)
+    for a in range(0, n, AT_ONCE):
+        some = zip(starts[a : min(a + AT_ONCE, n)].tolist(), ends[a : a + AT_ONCE].tolist())
+        hashed = np.array([xxhash.xxh64_intdigest(joined[i:j], SEED) for i, j in some], np.uint64)
+        ones += np.unpackbits(hashed.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    majority = ones * 2 > n
     return int(np.packbits(majority, bitorder="little").view(np.int64)[0])
 
 

@@ -32,6 +32,8 @@ FILTER_ROWS = 192
 #: A filter with more vectors is split into blocks of this many, and blocks meet in pairs.
 BLOCK_ROWS = 1024
 BLOCKS = 2
+#: Products with codewords that are held at once.
+DECODED_AT_ONCE = 1 << 21
 
 
 @lru_cache(maxsize=8)
@@ -92,8 +94,10 @@ def _decoder(height: float, words: int) -> Callable:
                 rows = np.flatnonzero(sizes == dim)
                 x = np.array([vectors[int(r)].as_py() for r in rows], np.float64)
                 unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-                for r, ids in zip(rows, list_decode(unit, height, words)):
-                    found[r] = ids + dim * words**BLOCKS  # vectors of other lengths never meet
+                step = max(1, DECODED_AT_ONCE // words)
+                for a in range(0, len(rows), step):
+                    for r, ids in zip(rows[a : a + step], list_decode(unit[a : a + step], height, words)):
+                        found[r] = ids + dim * words**BLOCKS  # vectors of other lengths never meet
             filters = pa.array(found, pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([*batch.columns, filters], [*batch.schema.names, "filters"])
 
