@@ -164,7 +164,10 @@ def html_escape(text: Column) -> Column:
     return text
 
 
+#: The chat's limit of characters; the texts around links below are fixed, too.
 CHAT_LIMIT = 4096
+#: Characters of the longest question that is taken.
+QUESTION_LIMIT = 500
 
 
 def chat_html(text: Column, sources: Column, abstained: Column, closest: Column, product: str) -> Column:
@@ -205,10 +208,11 @@ def retry_after(header: Column) -> Column:
     return header.try_cast("double")
 
 
+#: What a judge is told of the expected behaviour.
 EXPECTED_TEXT = {
-    "answer": "The documentation answers this question.",
-    "abstain": "The documentation does not answer this question; the assistant should decline.",
-    "correct_premise": "The question rests on a false premise that the assistant should correct.",
+    "answer": "answer the question",
+    "abstain": "decline: the documentation does not answer this question",
+    "correct_premise": "answer while explicitly correcting the question's false premise",
 }
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from citemill.functions.text import alias_index, check_citations, parse_reply, strip
 
+#: Fixed value: what is said instead of an answer.
 ABSTAIN_TEXT = "I couldn't find this in the {product} documentation, so I won't guess."
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from citemill.functions import text as T
-from citemill.operators import answering, limits
+from citemill.operators import answering, drafting, limits
 from citemill.streaming import usage
 
 from .tables import catalogue, table
@@ -166,3 +166,47 @@ def token_limit(spark, d):
     """Tokens per minute for each event type; tests hold it against a plain loop."""
     events = table(spark, d, "events").select(F.col("event_type").alias("key"), F.col("event_id").alias("id"), (F.unix_micros(F.to_timestamp_ltz("ts")) / 1e6).alias("t"), (F.col("value") * 10).cast("int").alias("tokens"))
     return limits.token_window(events, 300)
+
+
+_NORMED = r"lower(trim(regexp_replace(regexp_replace({0}, '\*\*|`', '', 'g'), '\s+', ' ', 'g')))"
+_DRAFTS = rf"""
+WITH w AS (SELECT doc_id, text, left(text, 60) AS question, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM documents),
+d AS (SELECT doc_id, text, question, list_concat([array_to_string(w[3:8], ' ')], CASE WHEN doc_id % 4 = 0 THEN ['words that are not there'] WHEN doc_id % 4 = 1 THEN [array_to_string(w[10:14], ' ')] ELSE [] END) AS quotes FROM w),
+v AS (SELECT doc_id, quotes FROM d WHERE trim(question) <> ''
+  AND NOT regexp_matches(question, '(?i)\b(this|the) (passage|section|example|snippet|guide|page|document|code|table|text)\b|\b(above|below|following|aforementioned)\b')
+  AND len(list_filter(quotes, lambda q: len(list_filter(regexp_split_to_array(q, '\s+'), lambda x: x <> '')) < 4 OR NOT contains({_NORMED.format('text')}, {_NORMED.format('q')}))) = 0)
+"""
+
+
+@register(_DRAFTS + "SELECT doc_id, len(quotes)::INT AS n_quotes FROM v")
+def evidence_validation(spark, d):
+    """Quotes cut from each document, some of them not in it, held against the document."""
+    docs = table(spark, d, "documents")
+    cut = docs.select("doc_id", "text", T.words(F.col("text")).alias("w"))
+    part = lambda a, n: F.array(F.array_join(F.slice("w", a, n), " "))
+    more = F.when(F.col("doc_id") % 4 == 0, F.array(F.lit("words that are not there"))).when(F.col("doc_id") % 4 == 1, part(10, 5)).otherwise(F.array().cast("array<string>"))
+    drafts = cut.select(F.col("doc_id").alias("did"), F.substring("text", 1, 60).alias("question"), F.concat(part(3, 6), more).alias("quotes"))
+    passages = docs.select(F.col("doc_id").alias("did"), F.lit(0).alias("pos"), "doc_id", "text")
+    return drafting.validated(drafts, passages).select(F.col("did").alias("doc_id"), F.size("evidence").alias("n_quotes"))
+
+
+@register(rf"""
+WITH w AS (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM documents)
+SELECT doc_id, contains({_NORMED.format('text')}, {_NORMED.format("array_to_string(w[2:1 + doc_id % 12], ' ')")}) AND len(w[2:1 + doc_id % 12]) >= 6 AS holds FROM w WHERE text IS NOT NULL""")
+def probe_validation(spark, d):
+    cut = table(spark, d, "documents").where("text is not null").select("doc_id", "text", T.words(F.col("text")).alias("w"))
+    evidence = F.array_join(F.slice("w", F.lit(2), (F.col("doc_id") % 12).cast("int")), " ")
+    return cut.select("doc_id", drafting.probe_holds(evidence, F.col("text")).alias("holds"))
+
+
+@register("""
+WITH k AS (SELECT conv_id, turn, (conv_id + turn) % 5 AS k FROM conversations)
+SELECT conv_id, turn, k IN (0, 1, 4) AS usable, CASE k WHEN 0 THEN 2 WHEN 1 THEN 0 WHEN 4 THEN 1 END::INT AS correctness, CASE k WHEN 0 THEN 1 WHEN 1 THEN 0 WHEN 4 THEN 0 END::INT AS unsupported FROM k""")
+def judge_verdicts(spark, d):
+    """Recorded judge replies, one of five kinds for each turn, parsed."""
+    reply = F.expr("""CASE (conv_id + turn) % 5 WHEN 0 THEN '{"claims": [{"claim": "a", "supported": true}, {"claim": "b", "supported": false}], "correctness": 2}'
+      WHEN 1 THEN '{"correctness": 0, "correctness_reason": "x"}' WHEN 2 THEN '{"correctness": 7}' WHEN 3 THEN 'no json' ELSE '{"claims": [], "correctness": 1}' END""")
+    v = F.col("v")
+    return table(spark, d, "conversations").withColumn("v", drafting.parse_verdict(reply)).select(
+        "conv_id", "turn", v.isNotNull().alias("usable"), v["correctness"].alias("correctness"), F.when(v.isNotNull(), drafting.n_unsupported(v)).alias("unsupported")
+    )
