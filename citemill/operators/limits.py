@@ -33,18 +33,18 @@ class SlidingWindow:
 class TokenWindow:
     """At most ``limit`` tokens in 60 seconds, events of exactly that age still counted.
 
-    An event is let through if it fits or nothing is held; its estimate counts up to the limit.
+    An event is let through if its estimate, taken as ``limit`` at most, fits or nothing is held; it
+    is held with all its tokens. Waits end a tenth of a second past the boundary.
     """
 
     def __init__(self, limit: int, window: float = 60.0):
         self.limit, self.window, self.held, self.used = limit, window, deque(), 0
 
     def check(self, now: float, tokens: int) -> float:
-        tokens = min(tokens, self.limit)
         while self.held and now - self.held[0][0] > self.window:
             self.used -= self.held.popleft()[1]
-        if self.held and self.used + tokens > self.limit:
-            return self.window - (now - self.held[0][0])
+        if self.held and self.used + min(tokens, self.limit) > self.limit:
+            return self.window - (now - self.held[0][0]) + 0.1
         self.held.append((now, tokens))
         self.used += tokens
         return 0.0

@@ -1,7 +1,5 @@
 import json
 
-from pyspark.sql import functions as F
-
 from citemill.plans import evaluation, ingest, service
 from citemill.sources import files, schemas, sinks
 
