@@ -60,7 +60,8 @@ def embed_missing(texts: DataFrame, cache: DataFrame, model: str, encode=None) -
 def top_k(queries: DataFrame, vectors: DataFrame, k: int, exclude_self: bool = False) -> DataFrame:
     """queries(qid, vector), vectors(id, vector) -> (qid, rank, id, score): exact cosine, best first, then id.
 
-    Queries go to the executors in blocks of bounded size; each partition of vectors keeps its own
+    Queries are a stated set, not a corpus: they pass through the driver and go to the executors in
+    blocks of bounded size; each batch of vectors keeps its own
     best k for a query (and those that tie with its k-th), and a ranked limit merges them. Null,
     empty and zero vectors have no cosine and never appear.
     """
