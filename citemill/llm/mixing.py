@@ -17,7 +17,7 @@ from .common import materialise
 PHI = 0.6180339887498949
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of a bucket, about: documents in one running sum, slots in one ranking.
-BUCKET_ROWS = 4096
+BUCKET_ROWS = 1024
 #: Cells of [0, 1) by which a point finds its source.
 CELLS = 1024
 
