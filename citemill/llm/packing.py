@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,14 +22,17 @@ from .common import materialise
 
 SEQUENCE_TOKENS = 2048
 END_ID = 1
+#: Bytes of ids in a range of the curve, about: the number of ranges follows the input.
+RANGE_BYTES = 32 << 20
 DIMENSIONS = 4
 BITS = 10
 #: Words of a generation whose ids a worker remembers; at most two generations.
 REMEMBERED = 450_000
 #: Bytes of the longest word that is remembered.
 LONGEST_REMEMBERED = 64
-#: Bytes of a text that are taken into words at once.
+#: Bytes of a text, and texts, that are taken into words at once.
 LONG_TEXT = 1 << 21
+ROWS_AT_ONCE = 3072
 _SPACE = re.compile(rb"[\x20\x09-\x0d]")
 
 _memory: dict[str, _Words] = {}
@@ -74,13 +78,13 @@ class _Words:
         for w, ids in zip(other, self._ask([w.decode("utf-8", "replace") for w in other])):
             self.now[w] = np.array(ids, self.dtype).tobytes()
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
+    def ids_of(self, words: list[bytes]) -> list[bytes]:
+        """The ids of different words, those met before from memory."""
         if len(self.now) > REMEMBERED:
             self.before, self.now = self.now, {}
         now, before = self.now, self.before
-        split = [t.split() for t in texts]
         fresh = []
-        for w in set().union(*split):
+        for w in words:
             if w not in now:
                 known = before.get(w)
                 if known is None:
@@ -95,10 +99,27 @@ class _Words:
         self.learn([x for x in stems if x not in now])
         for w in tails:
             now[w] = now[w[:-1]] + now[w[-1:]]
-        coded = [b"".join(map(now.__getitem__, words)) for words in split]
+        found = [now[w] for w in words]
         for w in [w for w in fresh if len(w) > LONGEST_REMEMBERED]:
             now.pop(w, None)
-        return coded
+        return found
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, where each text's begin and the last one's end). Words are told apart in Arrow, looked up once each."""
+        split = pc.ascii_split_whitespace(texts)
+        coded = split.flatten().dictionary_encode()
+        found = self.ids_of(coded.dictionary.cast(pa.binary()).to_pylist())
+        pool = np.frombuffer(b"".join(found), self.dtype)
+        size = np.fromiter(map(len, found), np.int64, len(found)) // self.dtype.itemsize
+        word = coded.indices.to_numpy()
+        lengths = size[word]
+        ends = np.cumsum(lengths)
+        begin = (np.cumsum(size) - size)[word] - (ends - lengths)
+        place = np.repeat(begin, lengths)
+        place += np.arange(len(place))
+        ids = pool[place]
+        words_upto = np.cumsum(np.concatenate([[0], pc.list_value_length(split).to_numpy()]))
+        return ids, np.concatenate([[0], ends])[words_upto]
 
 
 def _words(path: str) -> _Words:
@@ -107,17 +128,25 @@ def _words(path: str) -> _Words:
     return _memory[path]
 
 
-def encode(texts: list[bytes], path: str) -> tuple[list[bytes], np.dtype]:
-    """The ids of each text, what the tokenizer gives for the whole text, as little-endian numbers, and their type.
+def encode(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, offsets): the ids of each text are what the tokenizer gives for the whole text; null has none.
 
     The tokenizer never joins what white space parts and ignores the case of A-Z, so a text's ids
     are those of its words; each word is encoded once and remembered. Special tokens keep their case.
     """
     words = _words(path)
-    cased = [t if b"<|" in t else t.lower() for t in texts]
-    if max(map(len, cased), default=0) <= LONG_TEXT:
-        return words.encode(cased), words.dtype
-    return [b"".join(words.encode([part])[0] for part in _parts(t)) for t in cased], words.dtype
+    texts = texts.fill_null("")
+    special = pc.match_substring(texts, "<|")
+    cased = pc.if_else(special, texts, pc.ascii_lower(texts))
+    sizes = pc.binary_length(cased).to_numpy()
+    long_ = np.flatnonzero(sizes > LONG_TEXT)
+    if not len(long_):
+        return words.encode(cased)
+    rows = []
+    for at in range(len(cased)):
+        raw = cased[at].as_py().encode("utf-8", "surrogatepass")
+        rows.append(np.concatenate([words.encode(pa.array([part.decode()]))[0] for part in _parts(raw)] or [np.zeros(0, words.dtype)]))
+    return np.concatenate(rows), np.cumsum([0, *map(len, rows)])
 
 
 def _parts(text: bytes) -> Iterator[bytes]:
@@ -164,8 +193,9 @@ def _directions(seed: int = 11, size: int = 1 << 16) -> np.ndarray:
     return np.random.default_rng(seed).standard_normal((size, DIMENSIONS)).astype(np.float32)
 
 
-def curve_keys(ids: list[np.ndarray], directions: np.ndarray) -> np.ndarray:
-    sums = np.array([directions[i & (len(directions) - 1)].sum(0, dtype=np.float64) for i in ids]).reshape(len(ids), DIMENSIONS)
+def curve_keys(ids: np.ndarray, offsets: np.ndarray, directions: np.ndarray) -> np.ndarray:
+    """The key of each text, none of them without ids."""
+    sums = np.add.reduceat(directions[ids & (len(directions) - 1)], offsets[:-1], axis=0, dtype=np.float64)
     unit = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
     cells = np.clip(((unit + 1) / 2 * (1 << BITS)).astype(np.int64), 0, (1 << BITS) - 1)
     return hilbert(cells, BITS)
@@ -175,16 +205,15 @@ def _encoder(path: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         directions = _directions()
         for whole in batches:
-            for a in range(0, whole.num_rows, 512):
-                batch = whole.slice(a, 512)
-                texts = [t.as_py() or b"" for t in batch.column("text").cast(pa.binary())]
-                coded, kind = encode(texts, path)
-                end = np.array([END_ID], kind).tobytes()
-                ids = [i + end for i in coded]
-                keys = curve_keys([np.frombuffer(i, kind) for i in ids], directions)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.array(keys, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "curve", "ids"]
-                )
+            for a in range(0, whole.num_rows, ROWS_AT_ONCE):
+                batch = whole.slice(a, ROWS_AT_ONCE)
+                ids, offsets = encode(batch.column("text"), path)
+                ids, offsets = np.insert(ids, offsets[1:], END_ID), offsets + np.arange(len(offsets))
+                keys = curve_keys(ids, offsets, directions)
+                at = offsets * ids.itemsize
+                raw = pa.Array.from_buffers(pa.large_binary(), len(keys), [None, pa.py_buffer(at.astype("<i8").tobytes()), pa.py_buffer(ids.tobytes())])
+                columns = [batch.column("doc_id"), pa.array(keys, pa.int64()), pa.array(np.diff(at), pa.int64()), raw.cast(pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "curve", "size", "ids"])
 
     return run
 
@@ -258,11 +287,14 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, sequence_tokens: in
     path = tokenizer_path or public_tokenizer()
     kind = dict(docs.dtypes)["doc_id"]
     coded = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(
-        _encoder(path), f"doc_id {kind}, curve bigint, ids binary"
+        _encoder(path), f"doc_id {kind}, curve bigint, size bigint, ids binary"
     )
     # Written once: the range bounds are sampled from it, and tokenizing twice would cost more than reading.
     coded = materialise(coded, "token-ids")
-    ordered = coded.repartitionByRange("curve", "doc_id").sortWithinPartitions("curve", "doc_id", "ids")
+    held = coded.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).first().bytes
+    ranges = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-held // RANGE_BYTES))
+    rows = coded.select("doc_id", "curve", "ids")
+    ordered = rows.repartitionByRange(ranges, "curve", "doc_id").sortWithinPartitions("curve", "doc_id", "ids")
     return ordered.mapInArrow(
         _packer(sequence_tokens, path),
         f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint",
