@@ -26,13 +26,13 @@ END_ID = 1
 RANGE_BYTES = 32 << 20
 DIMENSIONS = 4
 BITS = 10
-#: Words of a generation whose ids a worker remembers; at most two generations.
-REMEMBERED = 450_000
+#: Words of a generation whose ids a task remembers; at most two generations.
+REMEMBERED = 350_000
 #: Bytes of the longest word that is remembered.
 LONGEST_REMEMBERED = 64
 #: Bytes of a text, and texts, that are taken into words at once.
 LONG_TEXT = 1 << 21
-ROWS_AT_ONCE = 3072
+ROWS_AT_ONCE = 1024
 _SPACE = re.compile(rb"[\x20\x09-\x0d]")
 
 _memory: dict[str, _Words] = {}
@@ -45,7 +45,7 @@ def public_tokenizer() -> str:
 
 
 class _Words:
-    """A worker's tokenizer and the ids of words it has met lately: those of two generations."""
+    """A worker's tokenizer and the ids of words its task has met lately: those of two generations."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -104,6 +104,11 @@ class _Words:
             now.pop(w, None)
         return found
 
+    def forget(self) -> None:
+        """Gives the words' memory back: a worker lives on after its task, and serves other stages."""
+        self.now, self.before = {}, {}
+        pa.default_memory_pool().release_unused()
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, where each text's begin and the last one's end). Words are told apart in Arrow, looked up once each."""
         split = pc.ascii_split_whitespace(texts)
@@ -202,18 +207,24 @@ def curve_keys(ids: np.ndarray, offsets: np.ndarray, directions: np.ndarray) ->
 
 
 def _encoder(path: str) -> Callable:
+    def coded(whole: pa.RecordBatch, directions: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for a in range(0, whole.num_rows, ROWS_AT_ONCE):
+            batch = whole.slice(a, ROWS_AT_ONCE)
+            ids, offsets = encode(batch.column("text"), path)
+            ids, offsets = np.insert(ids, offsets[1:], END_ID), offsets + np.arange(len(offsets))
+            keys = curve_keys(ids, offsets, directions)
+            at = offsets * ids.itemsize
+            raw = pa.Array.from_buffers(pa.large_binary(), len(keys), [None, pa.py_buffer(at.astype("<i8").tobytes()), pa.py_buffer(ids.tobytes())])
+            columns = [batch.column("doc_id"), pa.array(keys, pa.int64()), pa.array(np.diff(at), pa.int64()), raw.cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "curve", "size", "ids"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         directions = _directions()
-        for whole in batches:
-            for a in range(0, whole.num_rows, ROWS_AT_ONCE):
-                batch = whole.slice(a, ROWS_AT_ONCE)
-                ids, offsets = encode(batch.column("text"), path)
-                ids, offsets = np.insert(ids, offsets[1:], END_ID), offsets + np.arange(len(offsets))
-                keys = curve_keys(ids, offsets, directions)
-                at = offsets * ids.itemsize
-                raw = pa.Array.from_buffers(pa.large_binary(), len(keys), [None, pa.py_buffer(at.astype("<i8").tobytes()), pa.py_buffer(ids.tobytes())])
-                columns = [batch.column("doc_id"), pa.array(keys, pa.int64()), pa.array(np.diff(at), pa.int64()), raw.cast(pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "curve", "size", "ids"])
+        try:
+            for whole in batches:
+                yield from coded(whole, directions)
+        finally:
+            _words(path).forget()
 
     return run
 
