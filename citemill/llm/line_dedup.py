@@ -10,9 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 #: A line on more than this part of a host's pages goes, if it is on MIN_PAGES of them at least.
 RATIO = 0.3
 MIN_PAGES = 3
+#: A host with at least one page in HOT_SHARE is large; there are at most so many.
+HOT_SHARE = 256
 
 HIDDEN = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->"
 BREAKS = r"(?i)</?(?:p|br|div|li|ul|ol|h[1-6]|tr|td|th|table|section|article|header|footer|nav|aside|main|title|head|body|html|pre|blockquote|hr|form|option)\b[^>]*>"
@@ -42,14 +46,21 @@ def drop_boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int = MI
     empty table gives an empty one.
     """
     own = pages.select("page_id", host_of(F.col("url")).alias("host"), lines_of(F.col("html")).alias("lines"))
+    own = materialise(own, "lines")  # taking a page apart is most of the work: once, not for counts and for results
     named = own.where("host <> ''")
-    totals = named.groupBy("host").agg(F.count("*").alias("pages"))
+    totals = materialise(named.groupBy("host").agg(F.count("*").alias("pages")), "hosts")
+    n = totals.agg(F.coalesce(F.sum("pages"), F.lit(0)).alias("n")).first().n
     on = named.select("host", F.explode(F.array_distinct(F.transform("lines", lambda x: F.xxhash64(x)))).alias("line"))
     counts = on.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
     common = counts.join(totals, "host").where(F.col("n") > ratio * F.col("pages"))
-    sets = common.groupBy("host").agg(F.collect_set("line").alias("drop"))
+    sets = totals.join(common.groupBy("host").agg(F.collect_set("line").alias("drop")), "host", "left")
+    none = F.array().cast("array<bigint>")
+    sets = materialise(sets.select("host", F.coalesce("drop", none).alias("drop"), (F.col("pages") * HOT_SHARE >= n).alias("hot")), "boilerplate")
+    # The sets of the few largest hosts are broadcast, so their pages are never brought together.
+    marked = own.join(F.broadcast(sets.where("hot")), "host", "left")
+    others = marked.where("hot is null").drop("drop", "hot").join(sets.where("not hot").drop("hot"), "host", "left")
+    joined = marked.where("hot is not null").select("page_id", "host", "lines", "drop").unionByName(others).withColumn("drop", F.coalesce("drop", none))
     kept = F.filter("lines", lambda x: ~F.array_contains("drop", F.xxhash64(x)))
-    joined = own.join(sets, "host", "left").withColumn("drop", F.coalesce("drop", F.array().cast("array<bigint>")))
     return joined.withColumn("kept", kept).select(
         "page_id", "host", F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size("kept")).cast("long").alias("n_dropped"), F.array_join("kept", "\n").alias("text"),

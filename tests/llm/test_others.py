@@ -93,7 +93,9 @@ def test_a_line_everyone_quotes_makes_one_link_each(spark):
     assert all((r.parent_conv, r.parent_turn) == ((r.conv_id, 0) if r.turn else (None, None)) for r in got) and len(got) == 150
 
 
-def test_lines(spark):
+@pytest.mark.parametrize("hot_share", [256, 2, 0])  # all hosts large, one of them, none
+def test_lines(spark, monkeypatch, hot_share):
+    monkeypatch.setattr(line_dedup, "HOT_SHARE", hot_share)
     pages = [(i, f"https://u@A.example:80/p{i}", f"<nav>Menu  here</nav><!-- x --><script>var a='<p>';</script><p>Text <b>number</b> {i}</p><br>Foot") for i in range(4)]
     pages += [(10, "http://b.example/", "<p>Menu here</p><p>own</p>"), (11, None, "<p>Foot</p>"), (12, "http://a.example/x", None), (None, "no url", ""), (10, "http://b.example/", "<p>Menu here</p>own")]
     df = spark.createDataFrame([(*p, "x", "y") for p in pages], "page_id bigint, url string, html string, host string, lines string")
