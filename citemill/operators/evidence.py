@@ -54,6 +54,12 @@ def first_hits(ranked: DataFrame, gold: DataFrame) -> DataFrame:
     return marked.groupBy("qid").agg(F.min(F.when(F.col("is_gold"), F.col("rank"))).alias("first_rank"))
 
 
+def reached(ranked: DataFrame, budget: int) -> DataFrame:
+    """ranked(qid, rank, n_tokens, ...) -> its rows before which fewer tokens than the budget are ranked."""
+    before = Window.partitionBy("qid").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
+    return ranked.withColumn("used", F.coalesce(F.sum("n_tokens").over(before), F.lit(0))).where(F.col("used") < budget).drop("used")
+
+
 def hit_within_tokens(ranked: DataFrame, budget: int) -> DataFrame:
     """ranked(qid, rank, n_tokens, is_hit) -> (qid, hit): a hit counts if the tokens ranked before it are under the budget."""
     before = Window.partitionBy("qid").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)

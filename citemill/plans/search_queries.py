@@ -150,11 +150,17 @@ l AS (SELECT l.qid, l.rank, x.n, contains(x.t, i.t) AS hit, coalesce(sum(x.n) OV
   FROM lexical l JOIN x ON x.doc_id = l.id JOIN i ON i.item_id = l.qid)
 SELECT qid, max((used < 2000 AND hit)::INT)::DOUBLE AS hit FROM l GROUP BY 1""")
 def hit_at_token_budget(spark, d):
-    found = _lexical(spark, d, 50)
-    texts = _texts(spark, d).select("id", match_text(F.col("text")).alias("body"), word_count(F.col("text")).alias("n_tokens"))
+    """Whether 2,000 tokens of the whole ranking reach the passage.
+
+    A ranked document has a word at least, so none past rank 2,000 is within the budget: that bound loses nothing.
+    """
+    budget = 2000
+    texts = _texts(spark, d)
+    ranked = _lexical(spark, d, budget).join(texts.select("id", word_count(F.col("text")).alias("n_tokens")), "id")
+    bodies = texts.select("id", match_text(F.col("text")).alias("body"))
     items = _items(spark, d).select("qid", match_text(F.col("text")).alias("q"))
-    ranked = found.join(texts, "id").join(items, "qid").select("qid", "rank", "n_tokens", F.contains("body", "q").alias("is_hit"))
-    return evidence.hit_within_tokens(ranked, 2000)
+    held = evidence.reached(ranked, budget).join(bodies, "id").join(items, "qid")
+    return evidence.hit_within_tokens(held.select("qid", "rank", "n_tokens", F.contains("body", "q").alias("is_hit")), budget)
 
 
 @register("WITH" + sql.bm25(10) + """, o AS (SELECT l.qid, l.rank, l.id FROM lexical l JOIN documents x ON x.doc_id = l.id
