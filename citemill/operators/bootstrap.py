@@ -20,10 +20,10 @@ def bootstrap_ci(values: DataFrame, n_boot: int = N_BOOT, alpha: float = ALPHA,
     Each of n_boot replicates draws n of a group's n values with replacement; the bounds are the
     means at places int(alpha / 2 * n_boot) and int((1 - alpha / 2) * n_boot) in order. Groups are
     evaluation sets, some hundreds or thousands of values; null values are left out, an empty group
-    gives no row.
+    gives no row. A null group is a group of its own.
     """
     spark = values.sparkSession
-    sound = values.where("value is not null")
+    sound = values.where("value is not null").withColumn("grp", F.struct("grp"))  # a struct of null equals itself in joins
     placed = sound.withColumn("i", F.row_number().over(Window.partitionBy("grp").orderBy("key")) - 1)
     sizes = sound.groupBy("grp").agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
     draws = sizes.select("grp", "n", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)).alias("i"))
@@ -32,7 +32,7 @@ def bootstrap_ci(values: DataFrame, n_boot: int = N_BOOT, alpha: float = ALPHA,
     ordered = means.withColumn("nth", F.row_number().over(Window.partitionBy("grp").orderBy("m", "b")) - 1)
     low, high = int(alpha / 2 * n_boot), min(n_boot - 1, int((1 - alpha / 2) * n_boot))
     bounds = ordered.groupBy("grp").agg(F.max(F.when(F.col("nth") == low, F.col("m"))).alias("low"), F.max(F.when(F.col("nth") == high, F.col("m"))).alias("high"))
-    return sizes.join(bounds, "grp").select("grp", F.round("mean", 6).alias("mean"), F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), "n")
+    return sizes.join(bounds, "grp").select("grp.grp", F.round("mean", 6).alias("mean"), F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), "n")
 
 
 def paired_difference(values: DataFrame, **options) -> DataFrame:

@@ -82,8 +82,8 @@ def bootstrap_ci(spark, d):
 
 @register(sql.bootstrap("SELECT lang AS grp, doc_id AS key, (quality - toxic)::DOUBLE AS value FROM labels JOIN documents USING (doc_id) WHERE lang <> 'en'", 2000))
 def paired_bootstrap_diff(spark, d):
-    """Quality less toxicity, document by document, in each language but English."""
-    rows = table(spark, d, "labels").join(table(spark, d, "documents").where("lang <> 'en'").select("doc_id", "lang"), "doc_id")
+    """Quality less toxicity, document by document, in each language; documents without one are a group."""
+    rows = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "lang"), "doc_id")
     return bootstrap.paired_difference(rows.select(F.col("lang").alias("grp"), F.col("doc_id").alias("key"), F.col("toxic").cast("double").alias("a"), F.col("quality").cast("double").alias("b")))
 
 
@@ -112,8 +112,8 @@ def cohens_kappa(spark, d):
 
 @register("SELECT 'c' || doc_id % 3 AS config, doc_id AS qid, quality AS human, toxic AS judge FROM labels WHERE doc_id % 5 <> 0 AND quality <> toxic")
 def rater_disagreements(spark, d):
-    """Items that a human (quality; ungraded where the id divides by 5) and a judge (toxic) grade differently."""
-    rows = table(spark, d, "labels").select(F.concat(F.lit("c"), (F.col("doc_id") % 3).cast("string")).alias("config"), F.col("doc_id").alias("qid"), F.when(F.col("doc_id") % 5 != 0, F.col("quality")).alias("human"), F.col("toxic").alias("judge"))
+    """Items that a human (quality; null is ungraded) and a judge (toxic) grade differently."""
+    rows = table(spark, d, "labels").select(F.concat(F.lit("c"), (F.col("doc_id") % 3).cast("string")).alias("config"), F.col("doc_id").alias("qid"), F.col("quality").alias("human"), F.col("toxic").alias("judge"))
     return agreement.disagreements(rows.select("config", "qid", "human"), rows.select("config", "qid", "judge"))
 
 

@@ -1,5 +1,7 @@
 """Registered queries over tables of a few rows on which a cut shows."""
 
+import hashlib
+
 from citemill.plans import registry
 
 
@@ -16,3 +18,28 @@ def test_token_budget_reaches_past_rank_50(spark, tmp_path):
     far = [(400 + i, "blue whale " * 40) for i in range(60)] + [(500, "a blue whale swims under old ships " + "at sea " * 200)]
     d = tables(spark, tmp_path, documents=(docs + far, "doc_id bigint, text string"), benchmark=([(1, quote), (2, "blue whale swims under old ships")], "item_id bigint, text string"))
     assert {r.qid: r.hit for r in registry.queries()["hit_at_token_budget"](spark, d).collect()} == {1: 1.0, 2: 0.0}
+
+
+LABELLED = [(i, ("en", None, "fr")[i % 3], int(i % 4 > 0), int(i % 5 == 0)) for i in range(60)]
+
+
+def labelled(spark, path):
+    labels = [(i, None if i == 7 else q, t) for i, _, q, t in LABELLED]
+    return tables(spark, path, documents=([(i, lang) for i, lang, _, _ in LABELLED], "doc_id bigint, lang string"), labels=(labels, "doc_id bigint, quality int, toxic int"))
+
+
+def test_paired_differences_of_all_languages(spark, tmp_path):
+    got = {r.grp: r for r in registry.queries()["paired_bootstrap_diff"](spark, labelled(spark, tmp_path)).collect()}
+    want = {lang: [q - t for i, at, q, t in LABELLED if at == lang and i != 7] for lang in ("en", None, "fr")}
+    assert {g: (r.n, r["mean"]) for g, r in got.items()} == {g: (len(v), round(sum(v) / len(v), 6)) for g, v in want.items()}
+    for g, v in want.items():
+        means = []
+        for b in range(2000):
+            means.append(sum(v[int(hashlib.md5(f"0:{b}:{k}".encode()).hexdigest()[:8], 16) % len(v)] for k in range(len(v))) / len(v))
+        means.sort()
+        assert (got[g].low, got[g].high) == (round(means[50], 6), round(means[1950], 6))
+
+
+def test_all_labels_are_human_grades(spark, tmp_path):
+    got = {(r.config, r.qid, r.human, r.judge) for r in registry.queries()["rater_disagreements"](spark, labelled(spark, tmp_path)).collect()}
+    assert got == {(f"c{i % 3}", i, q, t) for i, _, q, t in LABELLED if q != t and i != 7}
