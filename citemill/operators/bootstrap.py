@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,6 +37,31 @@ def bootstrap_ci(values: DataFrame, n_boot: int = N_BOOT, alpha: float = ALPHA,
     return sizes.join(bounds, "grp").select("grp.grp", F.round("mean", 6).alias("mean"), F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), "n")
 
 
+def counted(values: DataFrame, n_boot: int = N_BOOT, alpha: float = ALPHA, seed: int = SEED) -> DataFrame:
+    """values(grp, value) -> (grp, mean, low, high, n), for groups of any size whose values repeat, as scores do.
+
+    How often a replicate of n draws takes each distinct value is multinomial, so replicates are drawn
+    from the values' counts: the distribution of ``bootstrap_ci``, by another random stream. Values
+    are rounded to 9 decimals first; a group is one row of distinct values and counts.
+    """
+    low, high = int(alpha / 2 * n_boot), min(n_boot - 1, int((1 - alpha / 2) * n_boot))
+
+    @F.pandas_udf("struct<mean:double,low:double,high:double,n:bigint>")
+    def interval(cells: pd.Series) -> pd.DataFrame:
+        out = []
+        for group in cells:
+            group = sorted((c["value"], c["c"]) for c in group)
+            at, c = np.array([v for v, _ in group]), np.array([k for _, k in group], np.int64)
+            n = int(c.sum())
+            means = np.sort(np.random.default_rng(seed).multinomial(n, c / n, n_boot) @ at / n)
+            out.append((float(c @ at / n), float(means[low]), float(means[high]), n))
+        return pd.DataFrame(out, columns=["mean", "low", "high", "n"])
+
+    cells = values.where("value is not null").groupBy("grp", F.round("value", 9).alias("value")).agg(F.count("*").alias("c"))
+    found = cells.groupBy("grp").agg(F.collect_list(F.struct("value", "c")).alias("cells")).select("grp", interval("cells").alias("x"))
+    return found.select("grp", *(F.round(f"x.{c}", 6).alias(c) for c in ("mean", "low", "high")), "x.n")
+
+
 def paired_difference(values: DataFrame, **options) -> DataFrame:
     """values(grp, key, a, b) -> bootstrap_ci of b - a over keys that have both."""
     return bootstrap_ci(values.select("grp", "key", (F.col("b") - F.col("a")).alias("value")), **options)

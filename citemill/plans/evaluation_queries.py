@@ -11,6 +11,7 @@ from .tables import catalogue, table
 
 QUERIES, SQL, register = catalogue()
 CONFIGS = ("naive", "dense", "hybrid", "rerank", "unchecked")
+BASELINES = ("naive", "dense")
 CATEGORIES = ("factual", "multi_section", "numeric", "unanswerable", "adversarial")
 
 
@@ -95,11 +96,13 @@ SELECT config, metric, round(avg(b.value - a.value), 6) AS difference, count(*)
 
 @register(_VERSUS)
 def all_vs_baseline(spark, d):
-    """Every other configuration less the dense baseline, over the questions both have, for each metric."""
+    """Every other configuration less each baseline, over the questions both have, for each metric, with its 95% interval."""
     long_ = metrics.long_form(metrics.per_question(records(spark, d)))
-    base = long_.where("config = 'dense'").select("qid", "metric", F.col("value").alias("a"))
-    other = long_.where("config in ('hybrid', 'rerank', 'unchecked')").select("config", "qid", "metric", F.col("value").alias("b"))
-    return base.join(other, ["qid", "metric"]).groupBy("config", "metric").agg(F.round(F.avg(F.col("b") - F.col("a")), 6).alias("difference"), F.count("*").alias("n"))
+    base = long_.where(F.col("config").isin(*BASELINES)).select(F.col("config").alias("baseline"), "qid", "metric", F.col("value").alias("a"))
+    other = long_.select("config", "qid", "metric", F.col("value").alias("b"))
+    both = base.join(other, ["qid", "metric"]).where("config <> baseline")
+    found = bootstrap.counted(both.select(F.struct("baseline", "config", "metric").alias("grp"), (F.col("b") - F.col("a")).alias("value")))
+    return found.select("grp.baseline", "grp.config", "grp.metric", F.col("mean").alias("difference"), "low", "high", "n")
 
 
 @register("""

@@ -43,3 +43,23 @@ def test_paired_differences_of_all_languages(spark, tmp_path):
 def test_all_labels_are_human_grades(spark, tmp_path):
     got = {(r.config, r.qid, r.human, r.judge) for r in registry.queries()["rater_disagreements"](spark, labelled(spark, tmp_path)).collect()}
     assert got == {(f"c{i % 3}", i, q, t) for i, _, q, t in LABELLED if q != t and i != 7}
+
+
+def test_all_configurations_against_both_baselines(spark, small):
+    from citemill.operators import bootstrap, metrics
+    from citemill.plans import evaluation_queries as e
+
+    got = {(r.baseline, r.config, r.metric): r for r in registry.queries()["all_vs_baseline"](spark, small).collect()}
+    value = {(r.config, r.qid, r.metric): r.value for r in metrics.long_form(metrics.per_question(e.records(spark, small))).collect()}
+    want = {}
+    for (config, qid, metric), v in value.items():
+        for base in ("naive", "dense"):
+            if config != base and (base, qid, metric) in value:
+                want.setdefault((base, config, metric), []).append(v - value[base, qid, metric])
+    assert {k: r.n for k, r in got.items()} == {k: len(v) for k, v in want.items()}
+    assert {(b, c) for b, c, _ in got} == {(b, c) for b in ("naive", "dense") for c in e.CONFIGS if c != b}
+    for k, v in want.items():
+        assert abs(got[k].difference - sum(v) / len(v)) < 2e-6 and got[k].low <= got[k].difference <= got[k].high
+    drawn = spark.createDataFrame([(*k, i, x) for k in [("dense", "hybrid", "hit_5"), ("naive", "dense", "correctness")] for i, x in enumerate(want[k])], "b string, c string, m string, key int, value double")
+    for r in bootstrap.bootstrap_ci(drawn.selectExpr("struct(b, c, m) as grp", "key", "value")).collect():
+        assert abs(got[tuple(r.grp)].low - r.low) < 0.03 and abs(got[tuple(r.grp)].high - r.high) < 0.03
