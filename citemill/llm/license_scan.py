@@ -85,6 +85,17 @@ def _merged(windows: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def _places(pattern: regex.Pattern, clean: str, a: int, b: int, shortest: int) -> Iterator[regex.Match]:
+    """The best match between a and b, then those of the parts before and after it, until no part holds one."""
+    parts = [(a, b)]
+    while parts:
+        a, b = parts.pop()
+        m = pattern.search(clean, a, b) if b - a >= shortest else None
+        if m:
+            yield m
+            parts += [(a, m.start() - 1), (m.end(), b)]  # a space stands before a match
+
+
 class Scanner:
     def __init__(self, notices: tuple = NOTICES):
         self.notices = notices
@@ -114,9 +125,9 @@ class Scanner:
         word = lambda at: int(np.searchsorted(spaces, at))
         out = []
         for i, windows in spans.items():
-            phrase, label, _ = self.notices[i]
+            phrase, label, k = self.notices[i]
             for a, b in _merged(windows):
-                for m in self.patterns[i].finditer(clean, a, b):
+                for m in _places(self.patterns[i], clean, a, b, len(phrase) - k):
                     edits, first = sum(m.fuzzy_counts), word(m.start())
                     out.append(Hit(label, first, word(m.end()) - first + 1, m.start(), m.end(), edits, 1 - edits / len(phrase)))
         return sorted(out, key=lambda h: (h.start, h.end, h.label))
