@@ -2,8 +2,9 @@
 
 Each message is parsed into its own text and the passages it quotes at nested levels. Passages are
 normalised and hashed; a passage's original is the earliest message of the conversation whose own
-text holds it, else the earliest of all, found by an aggregation on the hash, so a line that
-everyone quotes makes no more rows than quotes. Threads are followed by pointer doubling.
+text holds it, else the earliest of the others, found by an aggregation on the hash, so a line that
+everyone quotes makes no more rows than quotes. Threads are followed by pointer doubling, which
+finds cycles, too.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import discard, materialise
@@ -21,7 +22,7 @@ from .common import discard, materialise
 _MARK = re.compile(r"[ \t]*(?:>[ \t]?)+")
 #: The line before a quotation that names its author.
 _ATTRIBUTION = re.compile(r"\s*(?:on\b.*\bwrote|am\b.*\bschrieb.*|le\b.*\ba écrit|el\b.*\bescribió)\s*:\s*", re.IGNORECASE)
-#: Characters of the shortest passage worth linking.
+#: Characters of the shortest passage linked across conversations; within one, any length is.
 SHORTEST = 8
 
 
@@ -55,9 +56,9 @@ def normalise(passage: str) -> str:
 
 
 def units(passage: str) -> list[tuple[int, int]]:
-    """(hash, length) of the passage, its paragraphs and its lines, all normalised; short ones left out."""
+    """(hash, length) of the passage, its paragraphs and its lines, all normalised; empty ones left out."""
     parts = [passage, *re.split(r"\n\s*\n", passage), *passage.split("\n")]
-    found = {n for n in map(normalise, parts) if len(n) >= SHORTEST}
+    found = {n for n in map(normalise, parts) if n}
     return sorted((xxhash.xxh64_intdigest(n.encode("utf-8", "replace")) - (1 << 63), len(n)) for n in found)
 
 
@@ -78,43 +79,64 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _originals(own: DataFrame, quoted: DataFrame) -> DataFrame:
     """quoted with to_conv, to_turn: the earliest message that holds the passage, of the same conversation if one is earlier."""
-    wanted = own.join(quoted.select("hash").distinct(), "hash", "left_semi")
-    near = wanted.groupBy("conv_id", "hash").agg(F.min("turn").alias("near_turn"))
-    far = near.groupBy("hash").agg(F.min(F.struct("conv_id", "near_turn")).alias("far"))
+    near = own.groupBy("conv_id", "hash").agg(F.min("turn").alias("near_turn"), F.max("length").alias("own_length"))
+    # A conversation's own place may be the quotation or later, so two conversations are kept.
+    nth = F.row_number().over(Window.partitionBy("hash").orderBy("conv_id"))
+    firsts = near.where(F.col("own_length") >= SHORTEST).withColumn("nth", nth).where("nth <= 2")
+    place = F.struct("conv_id", "near_turn")
+    far = firsts.groupBy("hash").agg(F.min(F.when(F.col("nth") == 1, place)).alias("first"), F.min(F.when(F.col("nth") == 2, place)).alias("second"))
     here = F.col("near_turn") < F.col("turn")
-    away = F.col("far.conv_id") < F.col("conv_id")
-    return quoted.join(near, ["conv_id", "hash"], "left").join(far, "hash", "left").select(
+    away = F.when(F.col("first.conv_id") == F.col("conv_id"), F.col("second")).otherwise(F.col("first"))
+    joined = quoted.join(near.drop("own_length"), ["conv_id", "hash"], "left").join(far, "hash", "left").withColumn("away", away)
+    return joined.select(
         "conv_id", "turn", "level", "length",
-        F.when(here, F.col("conv_id")).when(away, F.col("far.conv_id")).alias("to_conv"),
-        F.when(here, F.col("near_turn")).when(away, F.col("far.near_turn")).alias("to_turn"),
+        F.when(here, F.col("conv_id")).otherwise(F.col("away.conv_id")).alias("to_conv"),
+        F.when(here, F.col("near_turn")).otherwise(F.col("away.near_turn")).alias("to_turn"),
     ).where("to_turn is not null")
 
 
 def _threads(links: DataFrame) -> DataFrame:
-    """links(conv_id, turn, to_conv, to_turn) -> conv_id, turn, thread_conv, thread_turn, depth, by pointer doubling."""
-    now = materialise(links.select("conv_id", "turn", F.col("to_conv").alias("thread_conv"), F.col("to_turn").alias("thread_turn"), F.lit(1).cast("bigint").alias("depth")), "threads")
+    """links(conv_id, turn, to_conv, to_turn) -> conv_id, turn, thread_conv, thread_turn, depth, by pointer doubling.
+
+    The earliest message of a cycle is a root and has no row. ``low`` is the earliest of the
+    ancestors passed: a message that is its own is the earliest of its cycle.
+    """
+    start = links.select(
+        "conv_id", "turn", F.col("to_conv").alias("thread_conv"), F.col("to_turn").alias("thread_turn"), F.lit(1).cast("bigint").alias("depth"),
+        F.struct(F.col("to_conv").alias("conv_id"), F.col("to_turn").alias("turn")).alias("low"),
+    )
+    now, before, steps = materialise(start, "threads"), None, 1
     while True:
-        up = now.select(F.col("conv_id").alias("thread_conv"), F.col("turn").alias("thread_turn"), F.col("thread_conv").alias("c"), F.col("thread_turn").alias("t"), F.col("depth").alias("d"))
+        up = now.select(F.col("conv_id").alias("thread_conv"), F.col("turn").alias("thread_turn"), F.col("thread_conv").alias("c"), F.col("thread_turn").alias("t"), F.col("depth").alias("d"), F.col("low").alias("l"))
         joined = now.join(up, ["thread_conv", "thread_turn"], "left").select(
             "conv_id", "turn", F.coalesce("c", "thread_conv").alias("thread_conv"), F.coalesce("t", "thread_turn").alias("thread_turn"),
-            (F.col("depth") + F.coalesce("d", F.lit(0))).alias("depth"), F.col("c").isNotNull().alias("moved"),
+            (F.col("depth") + F.coalesce("d", F.lit(0))).alias("depth"), F.least("low", "l").alias("low"), F.col("c").isNotNull().alias("moved"),
         )
         nxt = materialise(joined, "threads")
-        moving = nxt.where("moved").limit(1).count()
+        moving = nxt.where("moved").count()
         discard(now)
-        now = nxt
+        now, steps = nxt, 2 * steps
         if not moving:
-            return now.drop("moved")
+            return now.drop("moved", "low")
+        # Paths that end do so at every length up to the longest: where none ended, all that move lead to cycles, none longer than they are many.
+        if moving == before and steps >= moving:
+            roots = now.where("moved and low.conv_id = conv_id and low.turn = turn").select("conv_id", "turn")
+            left = materialise(links.join(roots, ["conv_id", "turn"], "left_anti"), "links")
+            discard(now)
+            return _threads(left)
+        before = moving
 
 
 def link_quotations(messages: DataFrame) -> DataFrame:
     """One row per message: conv_id, turn, role, text (without quotes), n_quotes, parent_conv, parent_turn, thread_conv, thread_turn, depth.
 
     The parent is the original of the outermost quoted level that has one, the one with most quoted
-    characters, then the latest. Sorted by conv_id, thread_conv, thread_turn, turn, a conversation
+    characters, then the latest, conversations of larger id after all others. Sorted by conv_id, thread_conv, thread_turn, turn, a conversation
     reads in reply order: a thread's root, then its replies. A message without a found original is
-    the root of its own thread (depth 0, null parent). A link always leads to an earlier turn of the
-    conversation or to a conversation of smaller id. Null text counts as empty; a message with a null
+    the root of its own thread (depth 0, null parent). A link leads to an earlier turn of the
+    conversation, whatever the passage's length, or to another conversation, if the passage has 8
+    characters at least. Where links go round, the earliest message of the cycle keeps its parent but
+    is the root of the thread (depth 0). Null text counts as empty; a message with a null
     conv_id or turn is linked with nothing; rows that repeat (conv_id, turn) share their links. An
     empty table gives an empty one; other columns don't matter.
     """
@@ -124,12 +146,12 @@ def link_quotations(messages: DataFrame) -> DataFrame:
         "quoted array<struct<level:bigint,hash:bigint,length:bigint>>, n_quotes bigint"
     )
     parsed = materialise(plain.mapInArrow(_parse, schema), "messages")
-    own = parsed.where("conv_id is not null and turn is not null").select("conv_id", "turn", F.explode("own.hash").alias("hash"))
+    own = parsed.where("conv_id is not null and turn is not null").select("conv_id", "turn", F.inline("own"))
     quoted = parsed.where("n_quotes > 0 and conv_id is not null and turn is not null").select("conv_id", "turn", F.inline("quoted")).distinct()
     votes = _originals(own, quoted).groupBy("conv_id", "turn", "level", "to_conv", "to_turn").agg(F.sum("length").alias("votes"))
-    best = votes.groupBy("conv_id", "turn").agg(F.max(F.struct(-F.col("level"), "votes", "to_conv", "to_turn")).alias("best"))
+    best = votes.groupBy("conv_id", "turn").agg(F.max(F.struct(-F.col("level"), "votes", F.col("to_conv") <= F.col("conv_id"), "to_conv", "to_turn")).alias("best"))
     links = materialise(best.select("conv_id", "turn", "best.to_conv", "best.to_turn"), "links")
-    placed = links.join(_threads(links), ["conv_id", "turn"])
+    placed = links.join(_threads(links), ["conv_id", "turn"], "left")
     return parsed.join(placed, ["conv_id", "turn"], "left").select(
         "conv_id", "turn", "role", "text", "n_quotes",
         F.col("to_conv").alias("parent_conv"), F.col("to_turn").alias("parent_turn"),

@@ -2,7 +2,7 @@
 
 import pytest
 
-from citemill.llm import license_scan
+from citemill.llm import license_scan, quotations
 
 
 @pytest.mark.parametrize("label, places", [
@@ -22,3 +22,28 @@ def test_places_are_whole_words_and_apart():
     text = " ".join(["apache licence", "apache license", "mit license"] * 2000)
     hits = [h for h in license_scan.Scanner().hits(text) if h.label == "apache"]
     assert [(h.start, h.end, h.edits) for h in hits] == [(42 * (i // 2) + 15 * (i % 2), 42 * (i // 2) + 15 * (i % 2) + 14, (i + 1) % 2) for i in range(4000)]
+
+
+def links(spark, *messages):
+    rows = quotations.link_quotations(spark.createDataFrame([(c, t, "user", x) for c, t, x in messages], "conv_id bigint, turn bigint, role string, text string")).collect()
+    return {(r.conv_id, r.turn): ((r.parent_conv, r.parent_turn), (r.thread_conv, r.thread_turn), r.depth) for r in rows}
+
+
+def test_short_quotations_within_a_conversation(spark):
+    got = links(spark, (1, 0, "Why?"), (1, 1, "> Why?\nSo it is"), (1, 2, "> x\nno"), (2, 0, "> Why?\nElsewhere"))
+    assert got == {(1, 0): ((None, None), (1, 0), 0), (1, 1): ((1, 0), (1, 0), 1), (1, 2): ((None, None), (1, 2), 0), (2, 0): ((None, None), (2, 0), 0)}
+
+
+def test_originals_in_conversations_of_larger_id(spark):
+    got = links(spark, (1, 0, "> stands only in seven\nindeed"), (7, 0, "Stands only in seven"), (2, 0, "> stands only in seven\nstands only in seven"), (7, 1, "> indeed"))
+    assert got[1, 0] == ((2, 0), (7, 0), 2) and got[2, 0] == ((7, 0), (7, 0), 1) and got[7, 0] == ((None, None), (7, 0), 0)
+
+
+def test_cycles_have_one_root(spark):
+    n = 11
+    ring = [(c, 0, f"> passage number {(c + 1) % n} here\npassage number {c} here") for c in range(n)]
+    tails = [(100, 0, "> passage number 5 here\na tail of it"), (101, 0, "> a tail of it\nand its end"), (-5, 0, "> and its end")]
+    got = links(spark, *ring, *tails, (200, 0, "one of two messages\n> two of two messages"), (201, 0, "two of two messages\n> one of two messages"))
+    assert all(got[c, 0] == (((c + 1) % n, 0), (0, 0), (n - c) % n) for c in range(n))
+    assert got[100, 0] == ((5, 0), (0, 0), 7) and got[101, 0] == ((100, 0), (0, 0), 8) and got[-5, 0] == ((101, 0), (0, 0), 9)
+    assert got[200, 0] == ((201, 0), (200, 0), 0) and got[201, 0] == ((200, 0), (200, 0), 1)
