@@ -50,9 +50,15 @@ def numeric_sections(spark, d):
 
 @register(r"SELECT doc_id, len(w) AS n_words, array_to_string(w[1:700], ' ') AS section FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM documents) WHERE len(w) >= 60")
 def drafting_sections(spark, d):
-    """Sections long enough to draft a question from, at most 700 words of each shown (a feature of the prompt)."""
-    docs = table(spark, d, "documents").select("doc_id", T.words(F.col("text")).alias("w")).where(F.size("w") >= 60)
-    return docs.select("doc_id", F.size("w").cast("long").alias("n_words"), F.array_join(F.slice("w", 1, 700), " ").alias("section"))
+    """Sections long enough to draft a question from, at most 700 words of each shown (a feature of the prompt).
+
+    Only documents with a line that may be a heading, or underline one, are parsed; others are one section.
+    """
+    text = F.col("text")
+    parsed = chunking.section_texts(F.when(F.rlike("text", F.lit(r"(?m)^[ \t]*(#|(=+|-+)[ \t]*$)")), text))
+    cut = table(spark, d, "documents").select("doc_id", F.explode(F.coalesce(parsed, F.array("text"))).alias("text"))
+    sections = cut.select("doc_id", T.words(text).alias("w")).where(F.size("w") >= 60)
+    return sections.select("doc_id", F.size("w").cast("long").alias("n_words"), F.array_join(F.slice("w", 1, 700), " ").alias("section"))
 
 
 @register("SELECT doc_id, sha256(text) AS sha256, strlen(text) AS bytes, sha256('m' || chr(0) || text) AS key, length(text) // 3 + 1 AS estimated_tokens, substr(sha256('s:' || doc_id), 1, 16) AS user_hash FROM documents WHERE text IS NOT NULL")

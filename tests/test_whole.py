@@ -63,3 +63,10 @@ def test_all_configurations_against_both_baselines(spark, small):
     drawn = spark.createDataFrame([(*k, i, x) for k in [("dense", "hybrid", "hit_5"), ("naive", "dense", "correctness")] for i, x in enumerate(want[k])], "b string, c string, m string, key int, value double")
     for r in bootstrap.bootstrap_ci(drawn.selectExpr("struct(b, c, m) as grp", "key", "value")).collect():
         assert abs(got[tuple(r.grp)].low - r.low) < 0.03 and abs(got[tuple(r.grp)].high - r.high) < 0.03
+
+
+def test_each_section_is_a_draft(spark, tmp_path):
+    body = {k: " ".join(f"{k}{i}" for i in range(n)) for k, n in (("a", 800), ("b", 90), ("c", 59), ("d", 61), ("e", 900))}
+    docs = [(1, f"# One\n\n{body['a']}\n\n## Two\n\n{body['b']}\n\n## Three\n\n{body['c']}\n\nFour\n====\n\n{body['d']}\n"), (2, body["e"]), (3, body["c"]), (4, None), (5, "# Only a heading")]
+    got = sorted((r.doc_id, r.n_words, r.section) for r in registry.queries()["drafting_sections"](spark, tables(spark, tmp_path, documents=(docs, "doc_id bigint, text string"))).collect())
+    assert got == sorted((i, len(w), " ".join(w[:700])) for i, k in ((1, "a"), (1, "b"), (1, "d"), (2, "e")) for w in [body[k].split(" ")])
