@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,10 @@ HASH_BITS = 13
 SMOOTHING = 0.5
 #: Two least losses nearer than this mark a row as ambiguous.
 AMBIGUOUS = 0.1
+#: Languages that are learned: the commonest ones, so that dirty labels can't grow the model.
+MOST_LANGS = 256
+#: A text of so many letters, or more, that is still ambiguous is in none of the learned languages.
+TELLING_LETTERS = 200
 #: Bytes scored at a time, so that a very long text takes no more memory than others.
 WINDOW = 1 << 19
 _LETTER = regex.compile(r"\p{L}")
@@ -36,6 +41,11 @@ def has_letter(text: str | None) -> bool:
     return text is not None and _LETTER.search(text) is not None
 
 
+def telling(text: str) -> bool:
+    """Whether a text has TELLING_LETTERS letters."""
+    return sum(1 for _ in islice(_LETTER.finditer(text), TELLING_LETTERS)) == TELLING_LETTERS
+
+
 def _segments(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray]]:
     """(row, hashed trigrams) of whole texts, window by window."""
     for row, text in enumerate(texts):
@@ -131,9 +141,14 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(own[at])], ["lang", "gram", "n"])
 
 
-def fit(labelled: DataFrame) -> Model | None:
-    """labelled(text, lang), nulls left out -> the model; None if there is nothing to learn from."""
-    rows = labelled.where("text is not null and lang is not null").select("text", "lang")
+def fit(labelled: DataFrame, most_langs: int = MOST_LANGS) -> Model | None:
+    """labelled(text, lang), nulls left out -> the model; None if there is nothing to learn from.
+
+    The ``most_langs`` commonest languages are learned, from all their rows.
+    """
+    rows = labelled.where("text is not null and lang is not null").select("text", F.col("lang").cast("string").alias("lang"))
+    known = [r.lang for r in rows.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(most_langs).collect()]
+    rows = rows.where(F.col("lang").isin(known))
     sums = rows.mapInArrow(_count, "lang string, gram int, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     found = sums.toPandas()
     langs = sorted(set(found.lang))
@@ -150,7 +165,8 @@ def fit(labelled: DataFrame) -> Model | None:
     no = ((1 - ones) / (1 - ones).sum(1, keepdims=True)) @ share
     weights = np.log(yes) - np.log(no)
     apart = ((yes - no) * weights).sum(1)
-    return Model(langs, code, np.ascontiguousarray(weights.T, np.float32), apart / apart.sum() * len(apart))
+    weight = apart / apart.sum() * len(apart) if apart.sum() > 0 else np.ones(len(apart))  # languages of the same words: no bit tells
+    return Model(langs, code, np.ascontiguousarray(weights.T, np.float32), weight)
 
 
 def _predictor(model: Model | None) -> Callable:
@@ -182,16 +198,29 @@ def identify(docs: DataFrame) -> DataFrame:
     )
 
 
-def drop_unidentified(docs: DataFrame) -> DataFrame:
-    """The rows whose language is found, with all their columns; those without any letter go."""
+def drop_unidentified(docs: DataFrame, languages: tuple[str, ...] | None = None) -> DataFrame:
+    """The rows whose language is found, with all their columns.
+
+    What has no letter goes, and so does a text of TELLING_LETTERS letters or more whose two nearest
+    codewords are still as good as equal: it is in none of the learned languages. Shorter ambiguous
+    texts stay. With ``languages``, only those stay. Where no row is labelled nothing is learned and
+    only what has no letter goes.
+    """
     model = fit(docs.where(~held_out()))
 
-    @F.arrow_udf("string")
-    def language(text: pa.Array) -> pa.Array:
-        found: list[str] = []
+    @F.arrow_udf("boolean")
+    def stays(text: pa.Array) -> pa.Array:
+        found: list[bool] = []
         for a in range(0, len(text), 1024):
             part = text.slice(a, 1024).to_pylist()
-            found += model.predict(part)[0] if model else ["und"] * len(part)
-        return pa.array(found, pa.string())
-
-    return docs.where(language(F.col("text").cast("string")) != "und")
+            if model is None:
+                found += [has_letter(t) for t in part]
+                continue
+            langs, _, near = model.predict(part)
+            found += [
+                lang != "und" and (languages is None or lang in languages) and not (unclear and telling(t))
+                for t, lang, unclear in zip(part, langs, near)
+            ]
+        return pa.array(found, pa.bool_())
+
+    return docs.where(stays(F.col("text").cast("string")))

@@ -133,6 +133,21 @@ class Scanner:
         return sorted(out, key=lambda h: (h.start, h.end, h.label))
 
 
+def source_spans(text: bytes, hits: list[Hit]) -> list[tuple[int, int]]:
+    """Where hits stand in the text as it was given: code points, from their first word's start to their last word's end."""
+    if not hits:
+        return []
+    inside = np.zeros(len(text) + 2, np.int8)
+    inside[1:-1] = np.frombuffer(text.translate(_WORDS), np.uint8) != 32
+    edges = np.diff(inside)
+    starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+    later = np.flatnonzero((np.frombuffer(text, np.uint8) & 0xC0) == 0x80)  # bytes that begin no code point
+    first = np.array([h.first_word for h in hits])
+    last = first + [h.n_words - 1 for h in hits]
+    a, b = starts[first], ends[last]
+    return list(zip((a - np.searchsorted(later, a)).tolist(), (b - np.searchsorted(later, b)).tolist()))
+
+
 def base_places(clean: bytes) -> list[tuple[int, str]]:
     """(word, label) of all places where a base phrase's words stand consecutively."""
     padded, out, spaces = b" " + clean + b" ", [], None
@@ -159,7 +174,8 @@ def _scan(notices: tuple) -> Callable:
         for batch in batches:
             rows = []
             for value in batch.column("text").cast(pa.binary()):
-                clean = normalise(value.as_py())
+                text = value.as_py() or b""
+                clean = normalise(text)
                 base = base_places(clean)
                 hits = scanner.hits(clean.decode("utf-8", "replace"))
                 at = [w for w, _ in base]
@@ -168,7 +184,7 @@ def _scan(notices: tuple) -> Callable:
                     clean.count(b" ") + 1 if clean else 0, len(base), min(at, default=None), max(at, default=None),
                     ",".join(sorted(labels)), ",".join(sorted(labels | {h.label for h in hits})),
                     max([1.0] * bool(base) + [h.similarity for h in hits], default=0.0),
-                    json.dumps([[h.label, h.start, h.end, h.edits] for h in hits]),
+                    json.dumps([[h.label, *span, h.edits] for h, span in zip(hits, source_spans(text, hits))]),
                 ))
             columns = list(zip(*rows)) or [()] * 8
             kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64(), pa.string()]
@@ -184,8 +200,8 @@ def scan_licenses(docs: DataFrame, notices: tuple = NOTICES) -> DataFrame:
     Words are maximal runs of digits, letters and non-ASCII characters after lower-casing A-Z. The
     n_base exact places give first_word, last_word (null without any) and base_labels; labels adds
     those of fuzzy matches, score is the best similarity (1 less edits over the notice's length; 0
-    without a match), spans lists [label, start, end, edits] in the text of words joined by single
-    spaces. Null and empty texts have no words and no matches. Whole texts are searched, one row at a
+    without a match), spans lists [label, start, end, edits] of the text as it was given, in code
+    points, end exclusive. Null and empty texts have no words and no matches. Whole texts are searched, one row at a
     time, so the table's order and repeats don't matter; only doc_id and text are read.
     """
     kind = dict(docs.dtypes)["doc_id"]

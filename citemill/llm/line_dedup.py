@@ -15,12 +15,16 @@ from .common import materialise
 #: A line on more than this part of a host's pages goes, if it is on MIN_PAGES of them at least.
 RATIO = 0.3
 MIN_PAGES = 3
-#: A host with at least one page in HOT_SHARE is large; there are at most so many.
+#: A host with at least one page in HOT_SHARE is large; there are at most so many. Those with up to
+#: HOT_LINES boilerplate lines are broadcast: 8 bytes a line, 32 MB in all at most.
 HOT_SHARE = 256
+HOT_LINES = 16384
 
-HIDDEN = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->"
-BREAKS = r"(?i)</?(?:p|br|div|li|ul|ol|h[1-6]|tr|td|th|table|section|article|header|footer|nav|aside|main|title|head|body|html|pre|blockquote|hr|form|option)\b[^>]*>"
-TAGS = r"<[^>]*>"
+#: What is opened and never closed hides the rest of the page; no pattern looks past the next < for a tag's end,
+#: so that each takes time in proportion to the page, whatever it holds.
+HIDDEN = r"(?is)<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)|<!--.*?(?:-->|\z)"
+BREAKS = r"(?i)</?(?:p|br|div|li|ul|ol|h[1-6]|tr|td|th|table|section|article|header|footer|nav|aside|main|title|head|body|html|pre|blockquote|hr|form|option)\b[^<>]*>"
+TAGS = r"<[^<>]*>"
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 
 
@@ -55,7 +59,7 @@ def drop_boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int = MI
     common = counts.join(totals, "host").where(F.col("n") > ratio * F.col("pages"))
     sets = totals.join(common.groupBy("host").agg(F.collect_set("line").alias("drop")), "host", "left")
     none = F.array().cast("array<bigint>")
-    sets = materialise(sets.select("host", F.coalesce("drop", none).alias("drop"), (F.col("pages") * HOT_SHARE >= n).alias("hot")), "boilerplate")
+    sets = materialise(sets.select("host", F.coalesce("drop", none).alias("drop"), ((F.col("pages") * HOT_SHARE >= n) & (F.coalesce(F.size("drop"), F.lit(0)) <= HOT_LINES)).alias("hot")), "boilerplate")
     # The sets of the few largest hosts are broadcast, so their pages are never brought together.
     marked = own.join(F.broadcast(sets.where("hot")), "host", "left")
     others = marked.where("hot is null").drop("drop", "hot").join(sets.where("not hot").drop("hot"), "host", "left")

@@ -12,12 +12,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, running_sums
 
 PHI = 0.6180339887498949
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows of a bucket, about: documents in one running sum, slots in one ranking.
-BUCKET_ROWS = 1024
+#: Slots ranked together, from LEAST_SLOTS up: a source has no more than some thousands of such groups.
+LEAST_SLOTS, SLOT_GROUPS = 1024, 4096
 #: Cells of [0, 1) by which a point finds its source.
 CELLS = 1024
 
@@ -56,27 +56,16 @@ def source_targets(sizes: DataFrame, share: float, limit: float, weights: tuple)
     ).select("src", "source", "source_size", "target", "low", "high")
 
 
-def streams(docs: DataFrame, sources: DataFrame, bucket_bits: int, carry: tuple = ()) -> DataFrame:
-    """docs(doc_id, source, size) -> doc_id, src, size, source_size, target, at: at is the word of its source's stream where the document starts.
+def streams(docs: DataFrame, sources: DataFrame, carry: tuple = ()) -> DataFrame:
+    """docs(doc_id, source, size, row_id) -> doc_id, src, size, source_size, target, at: at is the word of its source's stream where the document starts.
 
-    The order is that of md5(doc_id). Its leading bits name a bucket; sums of buckets before it and
-    a running sum within it give ``at``.
+    The order is that of md5(doc_id); rows that share a doc_id follow each other by size.
     """
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    lead = F.conv(F.substring(key, 1, 8), 16, 10).cast("long")
     placed = docs.join(sources, docs.source.eqNullSafe(sources.source)).select(
-        "doc_id", *carry, "size", "src", "source_size", "target", key.alias("key"),
-        F.shiftright(lead, 32 - bucket_bits).alias("bucket"),
-    )
-    sums = placed.groupBy("src", "bucket").agg(F.sum("size").alias("words"))
-    before = Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select("src", "bucket", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("start"))
-    within = Window.partitionBy("src", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        placed.withColumn("inner_at", F.coalesce(F.sum("size").over(within), F.lit(0)))
-        .join(starts, ["src", "bucket"])
-        .select("doc_id", *carry, "src", "size", "source_size", "target", (F.col("start") + F.col("inner_at")).alias("at"))
+        "doc_id", *[c for c in carry if c != "row_id"], "row_id", "size", "src", "source_size", "target", key.alias("key"),
     )
+    return running_sums(placed, ["src"], ["key", "doc_id", "size", "row_id"], "size", "at").drop("key")
 
 
 def schedule(sources: DataFrame, slots: int, block_words: int) -> DataFrame:
@@ -95,7 +84,8 @@ def schedule(sources: DataFrame, slots: int, block_words: int) -> DataFrame:
     by_point = spark.range(slots).select(F.col("id").alias("slot"), point.alias("x"))
     by_point = by_point.withColumn("cell", F.floor(F.col("x") * CELLS))
     taken = by_point.join(stretches, "cell").where("x >= low and x < high")
-    taken = taken.select("slot", "src", "need", F.floor(F.col("slot") / BUCKET_ROWS).alias("chunk"))
+    together = max(LEAST_SLOTS, slots // SLOT_GROUPS)
+    taken = taken.select("slot", "src", "need", F.floor(F.col("slot") / together).alias("chunk"))
     counts = taken.groupBy("src", "chunk").count()
     before = Window.partitionBy("src").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("src", "chunk", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
@@ -120,12 +110,11 @@ def mix_pieces(
     Null text has size 0; null sources form the last source; a document without words has no piece.
     Equal rows are interchangeable and both take part. An empty table gives empty ones.
     """
-    sized = materialise(docs.select("doc_id", *carry, "source", word_count().alias("size")), "sizes")
+    ids = () if "row_id" in carry else (F.monotonically_increasing_id().alias("row_id"),)
+    sized = materialise(docs.select("doc_id", *carry, *ids, "source", word_count().alias("size")), "sizes")
     sources = materialise(source_targets(sized, share, limit, weights), "sources")
-    # Two numbers come to the driver, to set the count of buckets and of slots.
-    n, words = sized.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
-    bits = max(0, min(31, (n // BUCKET_ROWS).bit_length()))
-    placed = materialise(streams(sized, sources, bits, carry), "streams")
+    words = sized.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]  # one number, to set the count of slots
+    placed = materialise(streams(sized, sources, carry), "streams")
     slots = int(share * words / block_words * 1.02) + 64
     plan = schedule(sources, slots, block_words).join(
         sources.select("src", "source_size", F.round("target").cast("long").alias("goal")), "src"
@@ -149,20 +138,26 @@ def mix_pieces(
 
 
 def taken_words(docs: DataFrame, **options) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken (words the mix takes, repeats counted)."""
+    """One row per document: doc_id, size, source_size, target, taken, first_slot.
+
+    taken counts the words that the mix takes, repeats counted; first_slot is the slot in which the
+    document first comes, the order of the mix (null where nothing is taken).
+    """
     placed, pieces = mix_pieces(docs, **options)
-    sums = pieces.groupBy("src", "at").agg(F.sum("words").alias("taken")).withColumn("filled", F.lit(True))
+    sums = pieces.groupBy("src", "at").agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot")).withColumn("filled", F.lit(True))
     keyed = placed.withColumn("filled", F.col("size") > 0)
     return keyed.join(sums, ["src", "at", "filled"], "left").select(
-        "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken")
+        "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), "first_slot"
     )
 
 
-def mix(docs: DataFrame, **options) -> DataFrame:
+def mix(docs: DataFrame, slot_column: str | None = None, **options) -> DataFrame:
     """The mix itself as rows of ``docs``: a document once for each pass that takes it.
 
     Where a pass ends within a document, its row holds the words up to there, parted by spaces, and
     n_chars (if there is such a column) their length. Documents the mix leaves out don't appear.
+    ``slot_column`` names an added column with the row's first slot: sorted by it, every prefix of the
+    mix holds its sources near their weights.
     """
     own = docs.columns
     rows = materialise(
@@ -170,11 +165,12 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     )
     narrow = rows.select("row_id", "row.doc_id", "row.source", "row.text")
     placed, pieces = mix_pieces(narrow, carry=("row_id",), **options)
-    passes = pieces.groupBy("src", "at", "pass").agg(F.sum("words").alias("taken"))
+    passes = pieces.groupBy("src", "at", "pass").agg(F.sum("words").alias("taken"), F.min("slot").alias("slot"))
     chosen = passes.join(placed.where("size > 0").select("src", "at", "row_id", "size"), ["src", "at"])
-    out = rows.join(chosen.select("row_id", "taken", "size"), "row_id")
+    out = rows.join(chosen.select("row_id", "taken", "size", "slot"), "row_id")
     words = F.regexp_extract_all(F.col("row.text"), F.lit(WORD), 0)
     part = F.array_join(F.slice(words, 1, F.col("taken").cast("int")), " ")
     out = out.withColumn("text_", F.when(F.col("taken") < F.col("size"), part).otherwise(F.col("row.text")))
     columns = {"text": F.col("text_"), "n_chars": F.when(F.col("taken") < F.col("size"), F.length("text_").cast("long")).otherwise(F.col("row.n_chars")) if "n_chars" in own else None}
-    return out.select(*[(columns[c] if c in columns else F.col(f"row.`{c}`")).alias(c) for c in own])
+    slot = [F.col("slot").alias(slot_column)] if slot_column else []
+    return out.select(*[(columns[c] if c in columns else F.col(f"row.`{c}`")).alias(c) for c in own], *slot)

@@ -3,7 +3,9 @@
 Each document's token ids are hashed to random directions of a few dimensions and added up; the
 direction of the sum is quantised and turned into its Hilbert key. Documents are range-sorted by
 that key, and each range is cut into full sequences as it is read, so a sequence holds neighbours
-on the curve. What remains at a range's end is cut at powers of two, which need no padding.
+on the curve. What remains at a range's end is cut at powers of two, which need no padding. Long
+documents are sorted as rows of SORTED_TOKENS, so that ranges of about as many rows hold about as
+many bytes.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ from .common import materialise
 
 SEQUENCE_TOKENS = 2048
 END_ID = 1
+#: Tokens of a document in one row of the range sort.
+SORTED_TOKENS = 2048
 #: Bytes of ids in a range of the curve, about: the number of ranges follows the input.
 RANGE_BYTES = 32 << 20
 DIMENSIONS = 4
@@ -212,11 +216,17 @@ def _encoder(path: str) -> Callable:
             batch = whole.slice(a, ROWS_AT_ONCE)
             ids, offsets = encode(batch.column("text"), path)
             ids, offsets = np.insert(ids, offsets[1:], END_ID), offsets + np.arange(len(offsets))
-            keys = curve_keys(ids, offsets, directions)
-            at = offsets * ids.itemsize
-            raw = pa.Array.from_buffers(pa.large_binary(), len(keys), [None, pa.py_buffer(at.astype("<i8").tobytes()), pa.py_buffer(ids.tobytes())])
-            columns = [batch.column("doc_id"), pa.array(keys, pa.int64()), pa.array(np.diff(at), pa.int64()), raw.cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "curve", "size", "ids"])
+            keys, lengths = curve_keys(ids, offsets, directions), np.diff(offsets)
+            parts = -(-lengths // SORTED_TOKENS)
+            row = np.repeat(np.arange(len(parts)), parts)
+            start = (np.arange(len(row)) - (np.cumsum(parts) - parts)[row]) * SORTED_TOKENS
+            at = np.append(offsets[row] + start, offsets[-1]) * ids.itemsize
+            raw = pa.Array.from_buffers(pa.large_binary(), len(row), [None, pa.py_buffer(at.astype("<i8").tobytes()), pa.py_buffer(ids.tobytes())])
+            columns = [
+                batch.column("doc_id").take(pa.array(row)), pa.array(keys[row], pa.int64()), pa.array(start, pa.int64()),
+                pa.array(lengths[row], pa.int64()), pa.array(np.diff(at), pa.int64()), raw.cast(pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "curve", "start", "doc_tokens", "size", "ids"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         directions = _directions()
@@ -268,12 +278,13 @@ def _packer(most: int, path: str) -> Callable:
         kind = None
         for batch in batches:
             kind = batch.schema.field("doc_id").type
-            for doc, value in zip(batch.column("doc_id").to_pylist(), batch.column("ids")):
+            told = (batch.column(c).to_pylist() for c in ("doc_id", "start", "doc_tokens"))
+            for doc, start, tokens, value in zip(*told, batch.column("ids")):
                 ids = np.frombuffer(value.as_py(), stored).astype("<u4").tobytes()
                 n, at = len(ids) // 4, 0
                 while at < n:
                     take = min(n - at, most - filled)
-                    held.append((doc, at, ids[4 * at : 4 * (at + take)], n))
+                    held.append((doc, start + at, ids[4 * at : 4 * (at + take)], tokens))
                     filled += take
                     at += take
                     if filled == most:
@@ -298,14 +309,14 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, sequence_tokens: in
     path = tokenizer_path or public_tokenizer()
     kind = dict(docs.dtypes)["doc_id"]
     coded = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(
-        _encoder(path), f"doc_id {kind}, curve bigint, size bigint, ids binary"
+        _encoder(path), f"doc_id {kind}, curve bigint, start bigint, doc_tokens bigint, size bigint, ids binary"
     )
     # Written once: the range bounds are sampled from it, and tokenizing twice would cost more than reading.
     coded = materialise(coded, "token-ids")
     held = coded.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).first().bytes
     ranges = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-held // RANGE_BYTES))
-    rows = coded.select("doc_id", "curve", "ids")
-    ordered = rows.repartitionByRange(ranges, "curve", "doc_id").sortWithinPartitions("curve", "doc_id", "ids")
+    rows = coded.select("doc_id", "curve", "start", "doc_tokens", "ids")
+    ordered = rows.repartitionByRange(ranges, "curve", "doc_id", "start").sortWithinPartitions("curve", "doc_id", "start", "ids")
     return ordered.mapInArrow(
         _packer(sequence_tokens, path),
         f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint",

@@ -3,19 +3,22 @@
 The field's features are word shapes (and those of the neighbours); it is trained on the driver
 from the small labelled table below and decoded by Viterbi for many windows at once in numpy.
 Windows hold every word that isn't plainly prose, with plain words around; a plain word amid plain
-words is always outside (``Crf.fit`` checks that), so nothing is lost between windows.
+words is always outside (``Crf.fit`` checks that), so nothing is lost between windows. A window of
+any length is decoded exactly in segments: what a segment does to each label before it is worked out
+first, the labels at the borders follow, and then the segments' own.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections import deque
+from array import array
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +26,7 @@ KINDS = ("email", "ip", "card", "phone")
 _AT_RIGHT = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 #: The patterns of ip, card and phone. A digit before can't begin another match.
 _IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
-_CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
+_CARD = re.compile(r"[0-9]++(?:[\x20-][0-9]++)*+")  # the pattern's matches, and single digits, in constant memory
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 
@@ -50,19 +53,28 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", max(at + 1, done))
 
 
-def base_spans(text: str) -> list[tuple[str, int, int]]:
+def base_matches(text: str) -> Iterator[tuple[str, int, int]]:
     """(kind, start, end) of exact patterns, kinds as listed, then by start."""
-    out = [("email", a, b) for a, b in _emails(text)]
-    if _DIGIT.search(text):
-        if "." in text:
-            out += [("ip", *m.span()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p[-3:]) <= 255 for p in m[0].split("."))]
-        for m in _CARD.finditer(text):
-            digits = re.sub("[^0-9]", "", m[0]) if m.end() - m.start() <= 40 else ""
+    yield from (("email", a, b) for a, b in _emails(text))
+    if not _DIGIT.search(text):
+        return
+    if "." in text:
+        for m in _IP.finditer(text):
+            if all(len(p.lstrip("0")) <= 3 and int(p[-3:]) <= 255 for p in m[0].split(".")):
+                yield "ip", *m.span()
+    for m in _CARD.finditer(text):
+        if 16 <= m.end() - m.start() <= 40:
+            digits = re.sub("[^0-9]", "", m[0])
             if 16 <= len(digits) <= 19 and _luhn(digits):
-                out.append(("card", *m.span()))
-        if "+" in text:
-            out += [("phone", *m.span()) for m in _PHONE.finditer(text) if 8 <= len(_DIGIT.findall(m[0])) <= 15]
-    return out
+                yield "card", *m.span()
+    if "+" in text:
+        for m in _PHONE.finditer(text):
+            if 8 <= len(_DIGIT.findall(m[0])) <= 15:
+                yield "phone", *m.span()
+
+
+def base_spans(text: str) -> list[tuple[str, int, int]]:
+    return list(base_matches(text))
 
 
 # ---- the field ----
@@ -88,6 +100,18 @@ LABELLED = (
     "host [ip 203.0.113.9:8080] is down",
     "address [ip 10.0.0.1/24] is ours and [ip 2001:db8::8a2e:370:7334] too",
     "server [ip 172.16.254.1], port 443, is up",
+    "route to [ip 2001:db8::17] and [ip fe80::1] is lost",
+    "listens on [ip 2001:db8:0:1::5], says [ip 2001:0db8:85a3:0000:0000:8a2e:0370:7334] there",
+    "the clock said 12:30:45 and later 08:15:00.123 on both",
+    "verse 3:16 and ratio 2:1:4 or a::b in code",
+    "ring [phone 0171 555 0199] before six",
+    "call [phone 0800 555 0100] or [phone 030 901820] for free",
+    "dial [phone 555 0177] here, or [phone 555.014.2210], maybe",
+    "office: [phone (030) 901820], home: [phone (0171) 555 0144] then",
+    "fax [phone +33 1 70 18 00 00] and mobile [phone +33612345678] too",
+    "in [ip 198.51.100.7]: 42 packets and 17 errors",
+    "between 1850 and 1914 about 12 000 and 300 000 left",
+    "pages 100 200 and 300 of volume 12 are missing",
     "user [email jane(at)example.org] or [email jane[at]example[dot]org] wrote",
     "contact [email bob.m@sub.example.net], please",
     "send <[email amy_k+news@example.co.uk]> the list",
@@ -111,14 +135,23 @@ EPOCHS, STEP, PENALTY = 150, 0.1, 0.002
 _WORD = re.compile(r"\S+")
 _TRIGGER = re.compile(r"[0-9@\[\]()<>+]")
 _EDGE = ".,;:!?\"'<>"
+_HEXTETS = re.compile(r"(?=\S*::|(?:[^:]+:){7}[^:]+$)(?=\S*[0-9])[0-9A-Fa-f:]{3,39}")
+_SPACE = re.compile(r"\s")
 #: Plain words kept around words that aren't.
 AROUND = 2
+#: Characters of a word that its shape looks at; longer words aren't remembered.
+LONGEST_SHAPED = 128
+#: Words and shapes whose scores a task remembers.
+REMEMBERED = 100_000
+#: Words of a segment, and segments that are decoded at once.
+SEGMENT, AT_ONCE = 1024, 64
+#: Characters of texts, about, that are taken together.
+TEXT_AT_ONCE = 1 << 22
 
 
-@lru_cache(maxsize=200_000)
 def shape(word: str) -> tuple[str, ...]:
     """The features of a word, from its shape alone."""
-    core = word.strip(_EDGE)
+    core = word.strip(_EDGE)[:LONGEST_SHAPED]
     if not _TRIGGER.search(core):
         return ("plain",)
     full = re.sub(r"[^\W\d_]+", "a", re.sub(r"\d", "9", core))
@@ -132,6 +165,7 @@ def shape(word: str) -> tuple[str, ...]:
         *(["bracket-at"] if re.search(r"[\[(]at[\])]", core) else []),
         *(["quad"] if re.fullmatch(r"\d{1,3}(\.\d{1,3}){3}([:/]\d+)?", core) else []),
         *(["colons"] if core.count(":") >= 2 else []),
+        *(["hextets"] if _HEXTETS.fullmatch(core) else []),
         *(["parens"] if core[0] == "(" and core[-1] == ")" and digits == len(core) - 2 else []),
         *(["plus"] if core[0] == "+" and digits == len(core) - 1 else []),
         *(["all-digits"] if digits == len(core) else []),
@@ -218,129 +252,290 @@ class Crf:
             best = np.maximum(best, (best[:, None] + gain).max(0))
         return bool(best[0] <= 1e-9)
 
-    def decode(self, sequences: list[list[str]]) -> list[list[int]]:
+    def decode(self, sequences: list[list[str]], shapes: Shapes | None = None) -> list[list[int]]:
         """The best labels of each sequence of words; sequences of like length are decoded together."""
+        shapes = shapes or Shapes(self)
         out: list[list[int]] = [[] for _ in sequences]
-        order = sorted(range(len(sequences)), key=lambda i: len(sequences[i]))
+        order = sorted((i for i, s in enumerate(sequences) if s), key=lambda i: len(sequences[i]))
         for a in range(0, len(order), 256):
-            some = [i for i in order[a : a + 256] if sequences[i]]
-            if not some:
-                continue
+            some = order[a : a + 256]
             lengths = np.array([len(sequences[i]) for i in some])
             e = np.zeros((len(some), lengths.max(), len(LABELS)))
-            for row, i in enumerate(some):
-                for col, own in enumerate(_features(sequences[i])):
-                    e[row, col] = self.emit[[self.names[f] for f in own if f in self.names]].sum(0)
-            score = e[:, 0] + self.step[0]
-            back = np.zeros(e.shape, np.int8)
-            final = np.zeros_like(score)
-            final[lengths == 1] = score[lengths == 1]
+            flat = [w for i in some for w in (None, *sequences[i])]
+            scored = shapes.scores([*flat, None])
+            at = np.cumsum(np.concatenate([[1], lengths + 1]))
+            for row, n in enumerate(lengths):
+                e[row, :n] = scored[at[row] : at[row] + n]
+            last = np.zeros(len(some), np.int64)  # a sequence is followed by O
+            for row, own in enumerate(self._paths(e, lengths, last, last, True)):
+                out[some[row]] = own[: lengths[row]].tolist()
+        return out
+
+    def _paths(self, e: np.ndarray, lengths: np.ndarray, before: np.ndarray, last: np.ndarray, closes: bool) -> np.ndarray:
+        """The best labels of rows of word scores after the labels ``before``; ``last`` is the label that follows (closes) or the last one."""
+        score = e[:, 0] + self.step[before]
+        back = np.zeros(e.shape, np.int8)
+        final = np.where((lengths == 1)[:, None], score, 0.0)
+        for t in range(1, e.shape[1]):
+            via = score[:, :, None] + self.step[None]
+            back[:, t] = via.argmax(1)
+            score = via.max(1) + e[:, t]
+            final[lengths == t + 1] = score[lengths == t + 1]
+        at = (final + self.step[:, last].T).argmax(1) if closes else last
+        labels = np.zeros(e.shape[:2], np.int8)
+        for t in range(e.shape[1] - 1, -1, -1):
+            inside = t < lengths
+            labels[inside, t] = at[inside]
+            at = np.where(inside, back[np.arange(len(e)), t, at], at)
+        return labels
+
+    def decode_long(self, text: str, starts: array, ends: array, shapes: Shapes) -> np.ndarray:
+        """The best labels of one sequence of any length, its words given by place; memory for words' scores is that of AT_ONCE segments."""
+        n, k = len(starts), len(LABELS)
+
+        def blocks() -> Iterator[tuple[int, np.ndarray]]:
+            whole = n - n % SEGMENT
+            for a in [*range(0, whole, SEGMENT * AT_ONCE), *([whole] if whole < n else [])]:
+                b = min(a + SEGMENT * AT_ONCE, whole) if a < whole else n
+                words = [text[starts[i] : ends[i]] if 0 <= i < n else None for i in range(a - 1, b + 1)]
+                yield a, shapes.scores(words)[1:-1].reshape(-1, min(SEGMENT, b - a), k)
+
+        through = []  # of each segment: the best score from a label before it to each last label
+        for _, e in blocks():
+            v = self.step[None] + e[:, None, 0]
             for t in range(1, e.shape[1]):
-                via = score[:, :, None] + self.step[None]
-                back[:, t] = via.argmax(1)
-                score = via.max(1) + e[:, t]
-                final[lengths == t + 1] = score[lengths == t + 1]
-            at = (final + self.step[:, 0]).argmax(1)
-            labels = np.zeros(e.shape[:2], np.int8)
-            for t in range(e.shape[1] - 1, -1, -1):
-                inside = t < lengths
-                labels[inside, t] = at[inside]
-                at = np.where(inside, back[np.arange(len(some)), t, at], at)
-            for row, i in enumerate(some):
-                out[i] = labels[row, : lengths[row]].tolist()
+                v = (v[:, :, :, None] + self.step[None, None]).max(2) + e[:, None, t]
+            through += list(v)
+        best, back = np.where(np.arange(k) == 0, 0.0, -np.inf), []
+        for m in through:
+            via = best[:, None] + m
+            back.append(via.argmax(0))
+            best = via.max(0)
+        borders = [int((best + self.step[:, 0]).argmax())]
+        for b in reversed(back):
+            borders.append(int(b[borders[-1]]))
+        borders.reverse()  # the label before each segment, and the last one
+        out, at = np.zeros(n, np.int8), 0
+        for a, e in blocks():
+            before, last = np.array(borders[at : at + len(e)]), np.array(borders[at + 1 : at + 1 + len(e)])
+            out[a : a + e.shape[0] * e.shape[1]] = self._paths(e, np.full(len(e), e.shape[1]), before, last, False).ravel()
+            at += len(e)
+        return out
+
+
+class Shapes:
+    """What word shapes add to labels' scores, for the word itself, the next and the one before; worked out once for each shape."""
+
+    def __init__(self, crf: Crf):
+        self.names, self.emit = crf.names, crf.emit
+        self.clear()
+
+    def clear(self) -> None:
+        self.words: dict[str, int] = {}
+        self.shapes: dict[tuple[str, ...], int] = {}
+        self.rows: list[np.ndarray] = []
+        self.edge = self._row(("edge",))
+
+    def _row(self, feats: tuple[str, ...]) -> int:
+        if feats not in self.shapes:
+            take = lambda names: self.emit[[self.names[f] for f in names if f in self.names]].sum(0)
+            self.rows.append(np.stack([take(feats), take("<" + f for f in feats[:2]), take(">" + f for f in feats[:2])]))
+            self.shapes[feats] = len(self.rows) - 1
+        return self.shapes[feats]
+
+    def scores(self, words: list[str | None]) -> np.ndarray:
+        """(words, labels); None stands for an edge, and its own row has no meaning."""
+        if len(self.words) > REMEMBERED or len(self.rows) > REMEMBERED:
+            self.clear()
+        ids = np.empty(len(words), np.int64)
+        for i, w in enumerate(words):
+            at = self.edge if w is None else self.words.get(w)
+            if at is None:
+                at = self._row(shape(w))
+                if len(w) <= LONGEST_SHAPED:
+                    self.words[w] = at
+            ids[i] = at
+        first = int(ids.min())
+        table = np.stack(self.rows[first : int(ids.max()) + 1])
+        own = table[ids - first]
+        out = own[:, 0]
+        out[1:] += own[:-1, 1]
+        out[:-1] += own[1:, 2]
         return out
 
 
-def windows(text: str) -> list[list[re.Match]]:
-    """Runs of words that hold all words that aren't plain, with AROUND plain ones at either side; near ones are one run."""
-    if not _TRIGGER.search(text):
-        return []
-    runs: list[list[re.Match]] = []
-    plain: deque[re.Match] = deque(maxlen=2 * AROUND + 1)  # since the last word that isn't, the last of them
-    for m in _WORD.finditer(text):
-        if not _TRIGGER.search(m[0]):
-            if len(plain) == 2 * AROUND and runs:
-                runs[-1] += list(plain)[:AROUND]
-            plain.append(m)
-        elif runs and len(plain) <= 2 * AROUND:
-            runs[-1] += [*plain, m]
-            plain.clear()
+def _word_at(text: str, at: int, floor: int) -> tuple[int, int]:
+    """The word that holds place ``at``, begun not before ``floor``."""
+    a = at
+    while a > floor and not text[a - 1].isspace():
+        a -= 1
+    m = _SPACE.search(text, at)
+    return a, m.start() if m else len(text)
+
+
+def _words_before(text: str, at: int, floor: int) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    while len(out) < AROUND:
+        while at > floor and text[at - 1].isspace():
+            at -= 1
+        if at <= floor:
+            break
+        end = at
+        while at > floor and not text[at - 1].isspace():
+            at -= 1
+        out.append((at, end))
+    return out[::-1]
+
+
+def windows(text: str) -> Iterator[tuple[array, array]]:
+    """Runs of words, as starts and ends, that hold all words that aren't plain, with AROUND plain ones at either side; near ones are one run."""
+    starts, ends = array("q"), array("q")
+
+    def add(words: list[tuple[int, int]]) -> None:
+        for a, b in words:
+            starts.append(a)
+            ends.append(b)
+
+    done = 0  # the end of the last word that isn't plain
+    found = _TRIGGER.search(text)
+    while found:
+        word = _word_at(text, found.start(), done)
+        if starts:
+            gap = [m.span() for m in islice(_WORD.finditer(text, done, word[0]), 2 * AROUND + 1)]
+            add(gap if len(gap) <= 2 * AROUND else gap[:AROUND])
+            if len(gap) > 2 * AROUND:
+                yield starts, ends
+                starts, ends = array("q"), array("q")
+        if not starts:
+            add(_words_before(text, word[0], done))
+        add([word])
+        done = word[1]
+        found = _TRIGGER.search(text, done)
+    if starts:
+        add([m.span() for m in islice(_WORD.finditer(text, done), AROUND)])
+        yield starts, ends
+
+
+def _spans(text: str, starts: array, ends: array, labels, out: dict[str, tuple[array, array]]) -> None:
+    """Adds the spans that labels of a run tell, edges of words stripped."""
+    last = None
+    for i in np.flatnonzero(labels).tolist():
+        name = LABELS[labels[i]]
+        word = text[starts[i] : ends[i]]
+        core = word.strip(_EDGE)
+        a = starts[i] + word.find(core)
+        if name[0] == "I" and last is not None:
+            last[1][-1] = a + len(core)
         else:
-            runs.append([*list(plain)[-AROUND:], m])
-            plain.clear()
-    if runs and len(plain) <= 2 * AROUND:
-        runs[-1] += list(plain)[:AROUND]
-    return runs
+            last = out[name[2:]]
+            last[0].append(a)
+            last[1].append(a + len(core))
 
 
-def field_spans(found: list[list[re.Match]], crf: Crf) -> list[list[tuple[str, int, int]]]:
-    out = []
-    for run, labels in zip(found, crf.decode([[m[0] for m in run] for run in found])):
-        spans: list[list] = []
-        for m, label in zip(run, labels):
-            name = LABELS[label]
-            if name == "O":
-                continue
-            core = m[0].strip(_EDGE)
-            a = m.start() + m[0].find(core)
-            if name[0] == "I" and spans:
-                spans[-1][2] = a + len(core)
+def _no_spans() -> dict[str, tuple[array, array]]:
+    return {k: (array("q"), array("q")) for k in KINDS}
+
+
+def field_spans(texts: list[str], crf: Crf, shapes: Shapes) -> list[dict[str, tuple[array, array]]]:
+    """Of each text the starts and ends of the field's spans, by kind."""
+    out, short = [_no_spans() for _ in texts], []
+
+    def flush() -> None:
+        for (row, starts, ends), labels in zip(short, crf.decode([[texts[row][a:b] for a, b in zip(s, e)] for row, s, e in short], shapes)):
+            _spans(texts[row], starts, ends, labels, out[row])
+        short.clear()
+
+    for row, text in enumerate(texts):
+        for starts, ends in windows(text):
+            if len(starts) > SEGMENT:
+                flush()  # spans stay in the text's order
+                _spans(text, starts, ends, crf.decode_long(text, starts, ends, shapes), out[row])
             else:
-                spans.append([name[2:], a, a + len(core)])
-        out.append([tuple(s) for s in spans])
+                short.append((row, starts, ends))
+                if len(short) >= 4096:
+                    flush()
+    flush()
     return out
 
 
-def merged(base: list[tuple[str, int, int]], added: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Base spans stay; of the field's those that touch no base span come to them. Kinds as listed, then by start."""
-    taken = np.array(sorted((a, b) for _, a, b in base), np.int64).reshape(-1, 2)
-    reach = np.maximum.accumulate(taken[:, 1])
-    free = []
-    for kind, a, b in added:
-        i = np.searchsorted(taken[:, 0], b)
-        if b > a and (i == 0 or reach[i - 1] <= a):
-            free.append((kind, a, b))
-    return sorted(base + free, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
+def merged(base: dict, added: dict) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Base spans stay; of the field's those that touch no base span come to them. By kind, then start."""
+    whole = [np.concatenate([np.frombuffer(base[k][i], np.int64) for k in KINDS]) for i in (0, 1)]
+    order = np.argsort(whole[0], kind="stable")
+    taken, reach = whole[0][order], np.maximum.accumulate(whole[1][order])
+    out = {}
+    for kind in KINDS:
+        a, b = (np.frombuffer(x, np.int64) for x in added[kind])
+        i = np.searchsorted(taken, b)
+        free = b > a
+        if len(taken):
+            free &= (i == 0) | (reach[np.maximum(i, 1) - 1] <= a)
+        starts = np.concatenate([np.frombuffer(base[kind][0], np.int64), a[free]])
+        ends = np.concatenate([np.frombuffer(base[kind][1], np.int64), b[free]])
+        order = np.argsort(starts, kind="stable")
+        out[kind] = starts[order], ends[order]
+    return out
 
 
-def _text_of(spans: list[tuple[str, int, int]]) -> str:
-    return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+def _told(spans: dict) -> Iterator[str]:
+    """kind:start:end of all spans, comma-joined, in parts."""
+    first = True
+    for kind in KINDS:
+        starts, ends = spans[kind]
+        for at in range(0, len(starts), 8192):
+            part = ",".join(f"{kind}:{a}:{b}" for a, b in zip(starts[at : at + 8192], ends[at : at + 8192]))
+            yield part if first else "," + part
+            first = False
 
 
 def _finder(crf: Crf) -> Callable:
-    names = [*(f"n_{k}" for k in KINDS), "base_sha256", "spans"]
+    names = [*(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_spans"]
+
+    def row_of(text: str, added: dict) -> tuple:
+        base = _no_spans()
+        for kind, a, b in base_matches(text):
+            base[kind][0].append(a)
+            base[kind][1].append(b)
+        digest = hashlib.sha256()
+        for part in _told(base):
+            digest.update(part.encode())
+        every = merged(base, added)
+        return *(len(base[k][0]) for k in KINDS), digest.hexdigest(), "".join(_told(every)), sum(len(every[k][0]) for k in KINDS)
+
+    def groups(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        """Slices of at most 1,024 rows and about TEXT_AT_ONCE characters, one row at least."""
+        upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < len(upto):
+            end = int(np.searchsorted(upto, (upto[at - 1] if at else 0) + TEXT_AT_ONCE, side="right"))
+            end = max(at + 1, min(end, at + 1024))
+            yield batch.slice(at, end - at)
+            at = end
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shapes = Shapes(crf)
         for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                batch = whole.slice(at, 1024)
+            for batch in groups(whole):
                 texts = [t or "" for t in batch.column("text").to_pylist()]
-                runs = [windows(t) for t in texts]
-                found = iter(field_spans([r for own in runs for r in own], crf))
-                rows = []
-                for text, own in zip(texts, runs):
-                    base = base_spans(text)
-                    added = [s for _ in own for s in next(found)]
-                    rows.append((
-                        *(sum(k == kind for k, _, _ in base) for kind in KINDS),
-                        hashlib.sha256(_text_of(base).encode()).hexdigest(), _text_of(merged(base, added)),
-                    ))
-                kinds = [pa.int64()] * 4 + [pa.string()] * 2
-                columns = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds]
+                rows = [row_of(t, own) for t, own in zip(texts, field_spans(texts, crf, shapes))]
+                kinds = [*[pa.int64()] * 4, pa.string(), pa.string(), pa.int64()]
+                columns = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", *names])
 
     return run
 
 
 def find_personal_data(docs: DataFrame, crf: Crf | None = None) -> DataFrame:
-    """One row per input row: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans.
+    """One row per input row: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans.
 
     Counts and base_sha256 tell of the exact patterns; spans lists those and the field's as
-    kind:start:end (code points, end exclusive) by kind, then start. Null and empty texts have none.
-    Whole texts are read; equal texts give equal results; only doc_id and text matter.
+    kind:start:end (code points, end exclusive) by kind, then start, and n_spans counts them. Null
+    and empty texts have none. Whole texts are read, long ones in segments; equal texts give equal
+    results; only doc_id and text matter. The field calls any 15 to 19 digits a card, Luhn's check
+    passed or not: a number that is personal data is worth more than one that isn't.
     """
     kind = dict(docs.dtypes)["doc_id"]
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(
         _finder(crf or Crf.fit()),
-        f"doc_id {kind}, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string",
+        f"doc_id {kind}, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, n_spans bigint",
     )

@@ -72,9 +72,9 @@ OP5_SQL = r"""
 WITH p AS (
   SELECT page_id, coalesce(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '') AS host,
          regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''),
-           '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->', '', 'g'),
-           '(?i)</?(?:p|br|div|li|ul|ol|h[1-6]|tr|td|th|table|section|article|header|footer|nav|aside|main|title|head|body|html|pre|blockquote|hr|form|option)\b[^>]*>', chr(10), 'g'),
-           '<[^>]*>', '', 'g') AS body
+           '(?is)<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)|<!--.*?(?:-->|\z)', '', 'g'),
+           '(?i)</?(?:p|br|div|li|ul|ol|h[1-6]|tr|td|th|table|section|article|header|footer|nav|aside|main|title|head|body|html|pre|blockquote|hr|form|option)\b[^<>]*>', chr(10), 'g'),
+           '<[^<>]*>', '', 'g') AS body
   FROM pages),
 l AS (
   SELECT page_id, host, list_filter(list_transform(regexp_split_to_array(body, '[\r\n]+'),
@@ -107,14 +107,22 @@ t AS (
          least(cap, coalesce((SELECT arg_min(level, (cap / w, src)) FROM l WHERE level * w <= cap) * w, cap)) AS target
   FROM l),
 p AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target, round(t.target)::BIGINT AS goal,
+  SELECT d.doc_id, d.size, t.src, t.source_size, t.target, round(t.target)::BIGINT AS goal,
          coalesce(sum(d.size) OVER (PARTITION BY t.src ORDER BY md5(d.doc_id::VARCHAR)
                                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+w AS (SELECT (1.5::DOUBLE * sum(source_size) / 1024 * 1.02::DOUBLE)::DOUBLE AS w FROM s),
+n AS (SELECT CASE WHEN w IS NULL THEN 64 ELSE floor(w)::BIGINT + 64 END AS slots FROM w),
+h AS (SELECT src, target, sum(target) OVER (ORDER BY src ROWS UNBOUNDED PRECEDING) / (SELECT sum(target) FROM t) AS high FROM t),
+b AS (SELECT src, target, high, coalesce(lag(high) OVER (ORDER BY src), 0) AS low FROM h),
+i AS (SELECT unnest(range((SELECT slots FROM n))) AS slot),
+x AS (SELECT slot, slot * 0.6180339887498949::DOUBLE - floor(slot * 0.6180339887498949::DOUBLE) AS x FROM i),
+r AS (SELECT slot, src, row_number() OVER (PARTITION BY src ORDER BY slot) - 1 AS nth FROM x JOIN b ON target >= 0.5 AND x >= low AND x < high)
+SELECT p.doc_id, size, source_size, target,
        (CASE WHEN size = 0 THEN 0
-             ELSE goal // source_size * size + least(size, greatest(0, goal % source_size - before)) END)::BIGINT AS taken
-FROM p
+             ELSE goal // source_size * size + least(size, greatest(0, goal % source_size - before)) END)::BIGINT AS taken,
+       CASE WHEN size > 0 AND before < goal THEN coalesce(slot, (SELECT slots FROM n) + before // 1024) END::BIGINT AS first_slot
+FROM p LEFT JOIN r ON r.src = p.src AND r.nth = p.before // 1024
 """
 
 

@@ -51,7 +51,8 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
     for batch in batches:
         texts = batch.column("text").cast(pa.binary())
         prints = pa.array([fingerprint(t.as_py()) for t in texts], pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), prints], ["doc_id", "fp"])
+        kept = [c for c in batch.schema.names if c != "text"]
+        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], prints], [*kept, "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -68,6 +69,12 @@ def links(distinct: DataFrame) -> DataFrame:
     return pairs.where(F.bit_count(F.col("hi").bitwiseXOR(F.col("lo"))) <= RADIUS)
 
 
+def _rooted(nodes: DataFrame) -> DataFrame:
+    """nodes(fp, ...) -> with root: the least fingerprint reachable."""
+    roots = components(links(nodes.select("fp")))
+    return nodes.join(roots, nodes.fp == roots.node, "left").select(*nodes.columns, F.coalesce("root", "fp").alias("root"))
+
+
 def near_groups(docs: DataFrame) -> DataFrame:
     """One row per input row: doc_id, fingerprint (16 hex digits), component_id.
 
@@ -78,8 +85,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     """
     prints = materialise(fingerprints(docs), "fingerprints")
     nodes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "nodes")
-    roots = components(links(nodes.select("fp")))
-    placed = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
+    placed = _rooted(nodes)
     named = placed.join(placed.groupBy("root").agg(F.min("least_id").alias("component_id")), "root")
     return prints.join(named.select("fp", "component_id"), "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
@@ -89,12 +95,20 @@ def near_groups(docs: DataFrame) -> DataFrame:
 def keep_one_of_each_group(docs: DataFrame) -> DataFrame:
     """The documents that stay, with all their columns: of each component the row with the smallest doc_id.
 
-    Rows are told apart by doc_id; of rows that repeat the smallest doc_id one stays. Groups whose
-    doc_ids are all null are kept whole, since nothing names one of them.
+    A null doc_id counts as larger than any; of rows that share the smallest doc_id, that with the
+    least digest of its text stays, so exactly one row of each component does, whatever the ids are.
+    Of rows equal in doc_id and text, one stays.
     """
-    named = near_groups(docs)
-    stays = named.where("doc_id = component_id").select("doc_id").distinct()
-    chosen = docs.join(stays, "doc_id", "left_semi")
-    first = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_first())
-    once = chosen.withColumn("nth_", F.row_number().over(first)).where("nth_ = 1").drop("nth_")
-    return once.unionByName(docs.where("doc_id is null"))
+    digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    marked = docs.select("doc_id", "text", digest.alias("digest_"))
+    kind = dict(docs.dtypes)["doc_id"]
+    prints = marked.mapInArrow(_fingerprint_batches, f"doc_id {kind}, digest_ string, fp bigint")
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "digest_")
+    nodes = materialise(prints.groupBy("fp").agg(F.min(place).alias("least")), "nodes")
+    stays = _rooted(nodes).groupBy("root").agg(F.min("least").alias("least")).select(F.struct("least.doc_id", "least.digest_").alias("key_"))
+    # Rows equal in doc_id and text go before the shuffle, and the text moves once: window and join share the key.
+    others = [c for c, t in docs.dtypes if c not in ("doc_id", "text") and "map<" not in t and t != "variant"]
+    first = Window.partitionBy("key_").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in others]) if others else F.lit(0))
+    keyed = docs.withColumn("digest_", digest).withColumn("key_", F.struct("doc_id", "digest_"))
+    once = keyed.withColumn("nth_", F.row_number().over(first)).where("nth_ = 1")
+    return once.join(stays, "key_", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -31,11 +31,11 @@ def lower(t):
 @pytest.mark.parametrize("run, columns", [
     (license_scan.scan_licenses, "doc_id n_words n_base first_word last_word base_labels labels score spans"),
     (exact_dedup.exact_groups, "doc_id keep_id group_size kept text_sha256"),
-    (pii.find_personal_data, "doc_id n_email n_ip n_card n_phone base_sha256 spans"),
+    (pii.find_personal_data, "doc_id n_email n_ip n_card n_phone base_sha256 spans n_spans"),
     (packing.pack, "doc_id start length ids_crc32 doc_tokens sequence_id offset"),
     (simhash.near_groups, "doc_id fingerprint component_id"),
     (language_id.identify, "doc_id held_out lang_pred score ambiguous"),
-    (mixing.taken_words, "doc_id size source_size target taken"),
+    (mixing.taken_words, "doc_id size source_size target taken first_slot"),
 ])
 def test_columns_odd_rows_and_empty_tables(spark, run, columns):
     docs = odd(spark)
@@ -158,7 +158,7 @@ def test_field_learns_its_table_and_leaves_prose_alone(crf):
     for line in pii.LABELLED:
         words, labels = pii._parse(line)
         assert crf.decode([words])[0] == labels, line
-    assert pii.windows("plain prose without any trigger, nothing else") == []
+    assert list(pii.windows("plain prose without any trigger, nothing else")) == []
 
 
 def test_viterbi_is_exact(crf):
