@@ -17,6 +17,7 @@ CAMEL = r"[A-Z]+(?=[A-Z][a-z])|[A-Z]?[a-z]+|[A-Z]+|\d+"
 #: Where prose is cut into sentences, for chunks and for answers.
 CHUNK_SENTENCE = r"(?U)(?<=[.!?])\s+(?=[A-Z`\[*(])"
 ANSWER_SENTENCE = r"(?U)(?<=[.!?])\s+(?=[A-Z0-9`\"(])"
+#: Fixed value: a citation in an answer.
 MARKER = r"\[S(\d+)\]"
 #: Wording that leans on a passage, and numeric content.
 CONTEXT_DEPENDENT = (
@@ -53,12 +54,17 @@ def identifiers(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(IDENTIFIER), 0)
 
 
+def is_one_term(word: Column) -> Column:
+    """Whether an identifier has no parts beside itself, as almost all words of prose."""
+    return F.rlike(word, F.lit("^(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+)$"))
+
+
 def identifier_terms(word: Column) -> Column:
     """The terms of one identifier: itself and, if it has several or a dot, its parts; stop words left out."""
     parts = F.flatten(F.transform(F.split(word, r"\."), lambda s: F.regexp_extract_all(s, F.lit(CAMEL), 0)))
     whole = F.array(F.lower(word))
     several = (F.size(parts) > 1) | F.contains(word, F.lit("."))
-    terms = F.when(several, F.concat(whole, F.transform(parts, lambda p: F.lower(p)))).otherwise(whole)
+    terms = F.when(is_one_term(word), whole).when(several, F.concat(whole, F.transform(parts, lambda p: F.lower(p)))).otherwise(whole)
     return F.filter(terms, lambda t: ~t.isin(*STOP_WORDS))
 
 

@@ -4,15 +4,19 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 N_BOOT, ALPHA, SEED = 2000, 0.05, 0
 
 
-def _draw(seed: int, n) -> F.Column:
+#: Replicates that are drawn in one row.
+AT_ONCE = 40
+
+
+def _draw(seed: int, b, i, n) -> F.Column:
     """A place in 0..n-1 that only the replicate and the draw decide."""
-    h = F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), "b", "i").cast("binary")), 1, 8)
+    h = F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), b, i).cast("binary")), 1, 8)
     return F.conv(h, 16, 10).cast("long") % n
 
 
@@ -21,20 +25,25 @@ def bootstrap_ci(values: DataFrame, n_boot: int = N_BOOT, alpha: float = ALPHA,
 
     Each of n_boot replicates draws n of a group's n values with replacement; the bounds are the
     means at places int(alpha / 2 * n_boot) and int((1 - alpha / 2) * n_boot) in order. Groups are
-    evaluation sets, some hundreds or thousands of values; null values are left out, an empty group
-    gives no row. A null group is a group of its own.
+    evaluation sets: a group's values are an array, replicates are drawn from it row by row, and no
+    draw is ever a row. For groups that don't fit in one, ``counted``. Null values are left out, an
+    empty group gives no row. A null group is a group of its own.
     """
-    spark = values.sparkSession
-    sound = values.where("value is not null").withColumn("grp", F.struct("grp"))  # a struct of null equals itself in joins
-    placed = sound.withColumn("i", F.row_number().over(Window.partitionBy("grp").orderBy("key")) - 1)
-    sizes = sound.groupBy("grp").agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
-    draws = sizes.select("grp", "n", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)).alias("i"))
-    draws = draws.join(spark.range(n_boot).withColumnRenamed("id", "b")).select("grp", "b", _draw(seed, F.col("n")).alias("i"))
-    means = draws.join(placed.select("grp", "i", "value"), ["grp", "i"]).groupBy("grp", "b").agg(F.avg("value").alias("m"))
-    ordered = means.withColumn("nth", F.row_number().over(Window.partitionBy("grp").orderBy("m", "b")) - 1)
+    sound = values.where("value is not null").withColumn("value", F.col("value").cast("double"))
+    held = F.transform(F.array_sort(F.collect_list(F.struct("key", "value"))), lambda x: x["value"])
+    sets = sound.groupBy("grp").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), held.alias("own"))
+    parts = sets.select("*", F.explode(F.sequence(F.lit(0), F.lit((n_boot - 1) // AT_ONCE))).alias("part"))
+    parts = parts.repartition(max(int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")), 16), F.struct("grp"), "part")
+
+    def replicate(b):
+        drawn = F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)
+        return F.aggregate(drawn, F.lit(0.0), lambda s, i: s + F.get("own", _draw(seed, b, i, F.col("n")).cast("int"))) / F.col("n")
+
+    some = F.sequence(F.col("part") * AT_ONCE, F.least((F.col("part") + 1) * AT_ONCE, F.lit(n_boot)) - 1)
+    drawn = parts.select("grp", "n", "mean", F.transform(some, replicate).alias("m"))
     low, high = int(alpha / 2 * n_boot), min(n_boot - 1, int((1 - alpha / 2) * n_boot))
-    bounds = ordered.groupBy("grp").agg(F.max(F.when(F.col("nth") == low, F.col("m"))).alias("low"), F.max(F.when(F.col("nth") == high, F.col("m"))).alias("high"))
-    return sizes.join(bounds, "grp").select("grp.grp", F.round("mean", 6).alias("mean"), F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), "n")
+    whole = drawn.groupBy("grp", "n", "mean").agg(F.array_sort(F.flatten(F.collect_list("m"))).alias("m"))
+    return whole.select("grp", F.round("mean", 6).alias("mean"), F.round(F.get("m", F.lit(low)), 6).alias("low"), F.round(F.get("m", F.lit(high)), 6).alias("high"), "n")
 
 
 def counted(values: DataFrame, n_boot: int = N_BOOT, alpha: float = ALPHA, seed: int = SEED) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from citemill.functions.text import embedding_key, terms
+from citemill.sources.store import stored
 
 #: Queries whose vectors go to the executors at once: 4,096 of 1,024 dimensions are 32 MB.
 QUERY_BLOCK = 4096
@@ -51,6 +52,16 @@ def embed(texts: DataFrame, encode: Callable[[list[str]], np.ndarray] | None = N
     return texts.select("id", terms(text).alias("terms")).mapInPandas(hashed, f"id {kind}, vector array<double>")
 
 
+def embed_counts(counts: DataFrame) -> DataFrame:
+    """``embed``'s default vectors from ``bm25.term_counts``, for texts that have a term: in the JVM, and from one tokenising for both indexes."""
+    h = F.conv(F.substring(F.md5(F.col("term").cast("binary")), 1, 8), 16, 10).cast("bigint")
+    sign = F.when(F.floor(h / HASHED_DIM) % 2 == 1, F.col("tf")).otherwise(-F.col("tf"))
+    buckets = counts.select("id", (h % HASHED_DIM).cast("int").alias("bucket"), sign.alias("v")).groupBy("id", "bucket").agg(F.sum("v").cast("double").alias("v"))
+    held = F.map_from_entries(F.collect_list(F.struct("bucket", "v")))
+    vector = F.transform(F.sequence(F.lit(0), F.lit(HASHED_DIM - 1)), lambda b: F.coalesce(F.element_at("held", b), F.lit(0.0)))
+    return buckets.groupBy("id").agg(held.alias("held")).select("id", vector.alias("vector"))
+
+
 def embed_missing(texts: DataFrame, cache: DataFrame, model: str, encode=None) -> DataFrame:
     """The rows to append to ``cache(key, vector)``: one for each distinct text it lacks."""
     keyed = texts.select(embedding_key(model, F.col("text")).alias("id"), "text").dropDuplicates(["id"])
@@ -60,28 +71,30 @@ def embed_missing(texts: DataFrame, cache: DataFrame, model: str, encode=None) -
 def top_k(queries: DataFrame, vectors: DataFrame, k: int, exclude_self: bool = False) -> DataFrame:
     """queries(qid, vector), vectors(id, vector) -> (qid, rank, id, score): exact cosine, best first, then id.
 
-    Queries are a stated set, not a corpus: they pass through the driver and go to the executors in
-    blocks of bounded size; each batch of vectors keeps its own
+    Queries are a stated set, not a corpus: they pass through the driver and go to the executors block
+    by block, a block's results being written before the next is read; each batch of vectors keeps its own
     best k for a query (and those that tie with its k-th), and a ranked limit merges them. Null,
     empty and zero vectors have no cosine and never appear.
     """
     kinds = dict(queries.dtypes)["qid"], dict(vectors.dtypes)["id"]
     schema = f"qid {kinds[0]}, id {kinds[1]}, score double"
-    stated = queries.where("vector is not null")
-    found = None
-    block: list = []
-    parts = []
-    for row in stated.select("qid", "vector").toLocalIterator():
-        block.append((row.qid, np.array(row.vector, float)))
-        if len(block) == QUERY_BLOCK:
-            parts.append(block)
+    own = vectors.where("vector is not null").select("id", "vector")
+    found, block = None, []
+
+    def scored() -> DataFrame | None:
+        part = [(q, v / np.linalg.norm(v)) for q, v in block if len(v) and np.isfinite(v).all() and np.linalg.norm(v) > 0]
+        return own.mapInPandas(_scorer(part, k + exclude_self), schema) if part else None
+
+    for row in queries.where("vector is not null").select("qid", "vector").toLocalIterator():
+        if len(block) == QUERY_BLOCK:  # a block's results are written, so that the driver holds one block
+            done = scored()
+            if done is not None:
+                found = stored(done, "nearest") if found is None else found.union(stored(done, "nearest"))
             block = []
-    for part in [*parts, block]:
-        part = [(q, v / np.linalg.norm(v)) for q, v in part if len(v) and np.isfinite(v).all() and np.linalg.norm(v) > 0]
-        if not part:
-            continue
-        own = vectors.where("vector is not null").select("id", "vector").mapInPandas(_scorer(part, k + exclude_self), schema)
-        found = own if found is None else found.union(own)
+        block.append((row.qid, np.array(row.vector, float)))
+    last = scored()
+    if last is not None:
+        found = last if found is None else found.union(last)
     if found is None:
         return queries.sparkSession.createDataFrame([], f"qid {kinds[0]}, rank int, id {kinds[1]}, score double")
     if exclude_self:

@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from functools import reduce
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from citemill.functions.text import match_text
+from citemill.sources.store import stored
 
-#: Words of the key by which quotes find texts.
-KEY_WORDS = 4
+#: Characters of quotes in one automaton.
+QUOTE_CHARS = 1 << 20
 
 
 def resolve(quotes: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -35,17 +42,43 @@ def unresolved(groups: DataFrame) -> DataFrame:
 def locate(quotes: DataFrame, texts: DataFrame) -> DataFrame:
     """quotes(qid, quote), texts(id, text) -> (qid, id): texts whose normalised form contains the quote, wherever it is.
 
-    The inner words of a quote of 6 words or more stand whole in any text that contains it, so four
-    of them are a key to join on; ``contains`` then decides. Shorter quotes need a document
-    (``resolve``) and are refused here.
+    Quotes are a stated set: they go to the executors as automata of QUOTE_CHARS characters at most,
+    and each text is searched for all of an automaton's quotes in one pass, with no shuffle. Blank
+    and null quotes are nowhere.
     """
-    asked = quotes.select("qid", match_text(F.col("quote")).alias("q")).withColumn("w", F.split("q", " "))
-    asked = asked.withColumn("key", F.when(F.size("w") >= KEY_WORDS + 2, F.xxhash64(F.array_join(F.slice("w", 2, KEY_WORDS), " "))).otherwise(F.raise_error(F.lit("quotes need 6 words"))))
-    own = texts.select("id", match_text(F.col("text")).alias("body")).withColumn("w", F.split("body", " "))
-    places = F.sequence(F.lit(1), F.greatest(F.size("w") - KEY_WORDS + 1, F.lit(1)))
-    keyed = own.select("id", F.explode(F.array_distinct(F.transform(places, lambda i: F.xxhash64(F.array_join(F.slice("w", i, KEY_WORDS), " "))))).alias("key"))
-    hits = keyed.join(asked.select("qid", "q", "key"), "key").select("qid", "q", "id").distinct()
-    return hits.join(own.select("id", "body"), "id").where(F.contains("body", "q")).select("qid", "id")
+    asked = quotes.select("qid", match_text(F.col("quote")).alias("q")).where("q <> ''")
+    own = texts.where("text is not null").select("id", match_text(F.col("text")).alias("body"))
+    schema = f"qid {dict(quotes.dtypes)['qid']}, id {dict(texts.dtypes)['id']}"
+    kind = pa.field("qid", to_arrow_type(asked.schema["qid"].dataType)).type
+    found, block, size = [], [], 0
+    for row in asked.toLocalIterator():
+        if block and size + len(row.q) > QUOTE_CHARS:
+            found.append(stored(own.mapInArrow(_searcher(block, kind), schema), "quotes"))
+            block, size = [], 0
+        block.append((row.qid, row.q))
+        size += len(row.q)
+    last = own.mapInArrow(_searcher(block, kind), schema)
+    return reduce(DataFrame.unionByName, [*found, last])
+
+
+def _searcher(quotes: list[tuple], kind: pa.DataType) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked: dict[str, list] = {}
+        for qid, q in quotes:
+            asked.setdefault(q, []).append(qid)
+        automaton = ahocorasick.Automaton()
+        for q, qids in asked.items():
+            automaton.add_word(q, qids)
+        automaton.make_automaton()
+        for batch in batches:
+            qids, rows = [], []
+            for row, body in enumerate(batch.column("body").to_pylist()):
+                for own in {id(x): x for _, x in (automaton.iter(body) if asked else ())}.values():
+                    qids += own
+                    rows += [row] * len(own)
+            yield pa.RecordBatch.from_arrays([pa.array(qids, kind), batch.column("id").take(pa.array(rows, pa.int64()))], ["qid", "id"])
+
+    return run
 
 
 def first_hits(ranked: DataFrame, gold: DataFrame) -> DataFrame:

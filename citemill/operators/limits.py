@@ -1,18 +1,25 @@
 """Rate limits over event tables: an ordered fold for each key with state of bounded size.
 
 Events are dealt by key and sorted in their partitions, then streamed through the fold batch by
-batch, so a key with very many events takes time but no memory.
+batch, so a key with very many events takes no memory. Where no event comes for a whole window
+nothing is held any more: keys with very many events are cut there and their stretches folded in
+parallel. Keys go through as they are, null being a key like others.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import deque
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Keys with more events are cut where a window passes without one.
+MANY_EVENTS = 1 << 20
+
 
 class SlidingWindow:
     """At most ``limit`` events in ``window`` seconds; a refused event is not recorded."""
@@ -29,6 +36,18 @@ class SlidingWindow:
             return 0.0
         return self.window - (now - self.held[0])
 
+    def waits(self, times: list[float]) -> list[float]:
+        """``check`` of times in order; runs of refused events are passed over at once."""
+        out: list[float] = []
+        while len(out) < len(times):
+            wait = self.check(times[len(out)])
+            out.append(wait)
+            if wait:
+                oldest = self.held[0]
+                end = bisect_left(times, True, len(out), key=lambda t: t - oldest >= self.window)
+                out += [self.window - (t - oldest) for t in times[len(out) : end]]
+        return out
+
 
 class TokenWindow:
     """At most ``limit`` tokens in 60 seconds, events of exactly that age still counted.
@@ -50,41 +69,79 @@ class TokenWindow:
         return 0.0
 
 
-def _fold(events: DataFrame, keys: list[str], order: list[str], schema: str, make: Callable, columns: list[str]) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, state = None, None
-        for pdf in batches:
-            out = []
-            for row in pdf.itertuples(index=False):
-                key = tuple(getattr(row, k) for k in keys)
-                if key != current:
-                    current, state = key, make()
-                out.append(state(row))
-            yield pd.DataFrame(out, columns=columns)
+def _stretches(events: DataFrame, window: float) -> DataFrame:
+    """events with ``stretch``: events of one key in different stretches lie a window apart at least.
 
-    return events.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+    Time is cut into cells a window long, and a cell without an event parts stretches, so a key's
+    stretches follow from its cells. Only keys with MANY_EVENTS have more than one.
+    """
+    many = events.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > MANY_EVENTS).select(F.struct("key").alias("k_"))
+    if many.isEmpty():
+        return events.withColumn("stretch", F.lit(0).cast("bigint"))
+    cell = F.floor(F.col("t") / (window + 1)).cast("bigint")
+    keyed = events.withColumn("k_", F.struct("key")).withColumn("cell_", cell)
+    cells = keyed.join(many, "k_", "left_semi").select("k_", "cell_").distinct()
+    order = Window.partitionBy("k_").orderBy("cell_")
+    fresh = (F.col("cell_") - F.lag("cell_").over(order) > 1).cast("bigint")
+    named = cells.withColumn("fresh", F.coalesce(fresh, F.lit(0))).select("k_", "cell_", F.sum("fresh").over(order).alias("stretch"))
+    return keyed.join(named, ["k_", "cell_"], "left").withColumn("stretch", F.coalesce("stretch", F.lit(0))).drop("k_", "cell_")
+
+
+def _fold(events: DataFrame, window: float, out: str, make: Callable[[], Callable]) -> DataFrame:
+    """events(key, id, t, ...) -> key, id, t and ``out``: make() gives a function from a run's columns but key and id to the new columns.
+
+    It is called with successive parts of one key's events in order of time and id, and holds the state between them.
+    """
+    kinds = dict(events.dtypes)
+    added = pa.schema([(c.split()[0], {"double": pa.float64(), "string": pa.string()}[c.split()[1]]) for c in out.split(", ")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, step = None, None
+        for batch in batches:
+            keys, stretch = batch.column("key"), batch.column("stretch")
+            n = batch.num_rows
+            if not n:
+                continue
+            ends = sorted({*pc.run_end_encode(keys).run_ends.to_pylist(), *pc.run_end_encode(stretch).run_ends.to_pylist()})
+            columns = [batch.column(c).to_pylist() for c in batch.schema.names if c not in ("key", "id", "stretch")]
+            found: list[list] = [[] for _ in added]
+            begin = 0
+            for end in ends:
+                key = (keys[begin].as_py(), stretch[begin].as_py())
+                if step is None or key != current:
+                    current, step = key, make()
+                for column, values in zip(found, step(*(c[begin:end] for c in columns))):
+                    column += values
+                begin = end
+            made = [pa.array(v, f.type) for v, f in zip(found, added)]
+            yield pa.RecordBatch.from_arrays([keys, batch.column("id"), batch.column("t"), *made], ["key", "id", "t", *added.names])
+
+    dealt = _stretches(events, window).repartition("key", "stretch").sortWithinPartitions("key", "stretch", "t", "id")
+    return dealt.mapInArrow(run, f"key {kinds['key']}, id {kinds['id']}, t double, {out}")
+
+
+def _timed(events: DataFrame, *others: str) -> DataFrame:
+    return events.select("key", "id", F.col("t").cast("double").alias("t"), *others)
 
 
 def sliding_window(events: DataFrame, limit: int, window: float) -> DataFrame:
     """events(key, id, t seconds) -> (key, id, t, wait): wait is 0 where the event is let through. Ties go by id."""
-    k, i = dict(events.dtypes)["key"], dict(events.dtypes)["id"]
 
     def make():
         limiter = SlidingWindow(limit, window)
-        return lambda row: (row.key, row.id, row.t, limiter.check(row.t))
+        return lambda times: (limiter.waits(times),)
 
-    return _fold(events.select("key", "id", F.col("t").cast("double").alias("t")), ["key"], ["t", "id"], f"key {k}, id {i}, t double, wait double", make, ["key", "id", "t", "wait"])
+    return _fold(_timed(events), window, "wait double", make)
 
 
 def token_window(events: DataFrame, limit: int) -> DataFrame:
     """events(key, id, t, tokens) -> (key, id, t, wait)."""
-    k, i = dict(events.dtypes)["key"], dict(events.dtypes)["id"]
 
     def make():
         limiter = TokenWindow(limit)
-        return lambda row: (row.key, row.id, row.t, limiter.check(row.t, int(row.tokens)))
+        return lambda times, tokens: ([limiter.check(t, n) for t, n in zip(times, tokens)],)
 
-    return _fold(events.select("key", "id", F.col("t").cast("double").alias("t"), "tokens"), ["key"], ["t", "id"], f"key {k}, id {i}, t double, wait double", make, ["key", "id", "t", "wait"])
+    return _fold(_timed(events, F.col("tokens").cast("bigint").alias("tokens")), 60.0, "wait double", make)
 
 
 SCOPES = ("user_minute", "user_day", "global_day")
@@ -94,33 +151,38 @@ def cascade(events: DataFrame, per_minute: int, per_day: int, global_day: int) -
     """events(key, id, t) -> (key, id, t, wait, scope): user-minute, user-day, then the global day.
 
     A limiter that let an event through keeps it even if a later one refuses. The first two fold by
-    user; what passes both meets the global limit, one ordered stream by its nature, whose state is
-    the last day's admitted events and which runs as a fold over one key.
+    user. What passes both meets the global limit, which is one ordered stream for as long as no day
+    passes without an event: such a stretch is folded in one task, batch by batch, refused events
+    passed over at once, with the last day's admitted times as its only state.
     """
-    k, i = dict(events.dtypes)["key"], dict(events.dtypes)["id"]
 
     def by_user():
         minute, day = SlidingWindow(per_minute, 60), SlidingWindow(per_day, 86400)
 
-        def step(row):
-            wait, scope = minute.check(row.t), SCOPES[0]
-            if not wait:
-                wait, scope = day.check(row.t), SCOPES[1]
-            return (row.key, row.id, row.t, wait, scope if wait else None)
+        def step(times):
+            waits, scopes = [], []
+            for t in times:
+                wait, scope = minute.check(t), SCOPES[0]
+                if not wait:
+                    wait, scope = day.check(t), SCOPES[1]
+                waits.append(wait)
+                scopes.append(scope if wait else None)
+            return waits, scopes
 
         return step
 
     def by_all():
         limiter = SlidingWindow(global_day, 86400)
 
-        def step(row):
-            wait = limiter.check(row.t)
-            return (row.key, row.id, row.t, wait, SCOPES[2] if wait else None, 0)
+        def step(times):
+            waits = limiter.waits(times)
+            return waits, [SCOPES[2] if w else None for w in waits]
 
         return step
 
-    schema, columns = f"key {k}, id {i}, t double, wait double, scope string", ["key", "id", "t", "wait", "scope"]
-    mine = _fold(events.select("key", "id", F.col("t").cast("double").alias("t")), ["key"], ["t", "id"], schema, by_user, columns)
-    passed = mine.where("scope is null").withColumn("all_", F.lit(0))
-    everyone = _fold(passed, ["all_"], ["t", "id"], schema + ", all_ int", by_all, [*columns, "all_"]).drop("all_")
+    mine = _fold(_timed(events), 86400.0, "wait double, scope string", by_user)
+    passed = mine.where("scope is null").select(F.lit(0).alias("key"), F.struct("id", "key").alias("id"), "t")
+    # Ids are ordered before keys, as where a user's events are folded.
+    everyone = _fold(passed, 86400.0, "wait double, scope string", by_all)
+    everyone = everyone.select(F.col("id.key").alias("key"), F.col("id.id").alias("id"), "t", "wait", "scope")
     return mine.where("scope is not null").unionByName(everyone)

@@ -154,18 +154,52 @@ def rate_limit_sliding(spark, d):
     return limits.sliding_window(events, 3, 86400).select(F.col("key").alias("user_id"), F.col("id").alias("event_id"), F.round("wait", 3).alias("wait"))
 
 
-@register()
+_EVENTS = "e AS (SELECT user_id, event_id, event_type, epoch_us(ts) / 1e6 AS t, floor(value * 10)::BIGINT AS tokens FROM events)"
+
+
+@register(f"""
+WITH RECURSIVE {_EVENTS},
+r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS n FROM e),
+f AS (
+  SELECT user_id, 0::BIGINT AS n, NULL::BIGINT AS event_id, NULL::DOUBLE AS t, []::DOUBLE[] AS m, []::DOUBLE[] AS d, 0.0::DOUBLE AS w1, 0.0::DOUBLE AS w2 FROM r WHERE n = 1
+  UNION ALL
+  SELECT user_id, n, event_id, t, CASE WHEN len(m) < 2 THEN list_append(m, t) ELSE m END, CASE WHEN len(m) < 2 AND len(d) < 3 THEN list_append(d, t) ELSE d END,
+         CASE WHEN len(m) < 2 THEN 0.0::DOUBLE ELSE 60 - (t - m[1]) END, CASE WHEN len(m) < 2 AND len(d) >= 3 THEN 86400 - (t - d[1]) ELSE 0.0::DOUBLE END
+  FROM (SELECT r.user_id, r.n, r.event_id, r.t, list_filter(f.m, lambda x: r.t - x < 60) AS m, CASE WHEN len(list_filter(f.m, lambda x: r.t - x < 60)) < 2 THEN list_filter(f.d, lambda x: r.t - x < 86400) ELSE f.d END AS d
+        FROM f JOIN r ON r.user_id = f.user_id AND r.n = f.n + 1)),
+mine AS (SELECT user_id, event_id, t, w1 + w2 AS wait, CASE WHEN w1 > 0 THEN 'user_minute' WHEN w2 > 0 THEN 'user_day' END AS scope FROM f WHERE n > 0),
+p AS (SELECT list({{'id': event_id, 't': t}} ORDER BY t, event_id) AS l FROM mine WHERE scope IS NULL),
+g AS (
+  SELECT unnest(list_reduce(l, lambda a, x: {{
+    'h': CASE WHEN len(list_filter(a.h, lambda y: x.t - y < 86400)) < 250 THEN list_append(list_filter(a.h, lambda y: x.t - y < 86400), x.t) ELSE list_filter(a.h, lambda y: x.t - y < 86400) END,
+    'o': list_append(a.o, {{'id': x.id, 'wait': CASE WHEN len(list_filter(a.h, lambda y: x.t - y < 86400)) < 250 THEN 0.0::DOUBLE ELSE 86400 - (x.t - list_filter(a.h, lambda y: x.t - y < 86400)[1]) END}})
+  }}, {{'h': []::DOUBLE[], 'o': []::STRUCT(id BIGINT, wait DOUBLE)[]}}).o) AS x FROM p)
+SELECT user_id, event_id, round(wait, 3) AS wait, scope FROM mine WHERE scope IS NOT NULL
+UNION ALL SELECT user_id, event_id, round(x.wait, 3), CASE WHEN x.wait > 0 THEN 'global_day' END FROM g JOIN mine ON event_id = x.id""")
 def rate_limit_cascade(spark, d):
-    """User-minute, user-day and global-day limits one after the other; tests hold it against a plain loop."""
+    """User-minute, user-day and global-day limits one after the other."""
     events = table(spark, d, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), (F.unix_micros(F.to_timestamp_ltz("ts")) / 1e6).alias("t"))
-    return limits.cascade(events, 2, 3, 250)
+    return limits.cascade(events, 2, 3, 250).select(F.col("key").alias("user_id"), F.col("id").alias("event_id"), F.round("wait", 3).alias("wait"), "scope")
 
 
-@register()
+@register(f"""
+WITH RECURSIVE {_EVENTS},
+r AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY t, event_id) AS n FROM e),
+f AS (
+  SELECT user_id, event_type, 0::BIGINT AS n, NULL::BIGINT AS event_id, []::STRUCT(t DOUBLE, k BIGINT)[] AS h, 0.0::DOUBLE AS wait FROM r WHERE n = 1
+  UNION ALL
+  SELECT user_id, event_type, n, event_id, CASE WHEN fits THEN list_append(h, {{'t': t, 'k': tokens}}) ELSE h END, CASE WHEN fits THEN 0.0::DOUBLE ELSE 60 - (t - h[1].t) + 0.1::DOUBLE END
+  FROM (SELECT *, len(h) = 0 OR list_sum(list_transform(h, lambda x: x.k)) + least(tokens, 300) <= 300 AS fits
+        FROM (SELECT r.user_id, r.event_type, r.n, r.event_id, r.t, r.tokens, list_filter(f.h, lambda x: r.t - x.t <= 60) AS h
+              FROM f JOIN r ON r.user_id = f.user_id AND r.event_type IS NOT DISTINCT FROM f.event_type AND r.n = f.n + 1)))
+SELECT user_id, event_type, event_id, round(wait, 3) AS wait FROM f WHERE n > 0""")
 def token_limit(spark, d):
-    """Tokens per minute for each event type; tests hold it against a plain loop."""
-    events = table(spark, d, "events").select(F.col("event_type").alias("key"), F.col("event_id").alias("id"), (F.unix_micros(F.to_timestamp_ltz("ts")) / 1e6).alias("t"), (F.col("value") * 10).cast("int").alias("tokens"))
-    return limits.token_window(events, 300)
+    """Tokens per minute for each user and event type."""
+    events = table(spark, d, "events").select(
+        F.concat_ws("\t", F.col("user_id").cast("string"), "event_type").alias("key"), F.struct("event_id", "user_id", "event_type").alias("id"),
+        (F.unix_micros(F.to_timestamp_ltz("ts")) / 1e6).alias("t"), F.floor(F.col("value") * 10).alias("tokens"),
+    )
+    return limits.token_window(events, 300).select("id.user_id", "id.event_type", "id.event_id", F.round("wait", 3).alias("wait"))
 
 
 _NORMED = r"lower(trim(regexp_replace(regexp_replace({0}, '\*\*|`', '', 'g'), '\s+', ' ', 'g')))"

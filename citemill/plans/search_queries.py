@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from citemill.functions.text import match_text, terms, word_count
 from citemill.operators import bm25, dense, evidence, fusion
+from citemill.sources.store import stored
 
 from . import sql
 from .tables import catalogue, table
@@ -21,13 +22,25 @@ def _items(spark, d):
     return table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), "text")
 
 
-def _lexical(spark, d, k):
-    return bm25.search(_items(spark, d), bm25.build(_texts(spark, d)), k)
+def _counts(spark, d):
+    """Terms of all documents, tokenised once for what a query builds of them."""
+    return bm25.term_counts(_texts(spark, d))
 
 
-def _near(spark, d, k):
+def _lexical(spark, d, k, counts=None):
+    counts = stored(_counts(spark, d), "terms") if counts is None else counts
+    return bm25.search(_items(spark, d), bm25.build(_texts(spark, d), counts), k)
+
+
+def _near(spark, d, k, counts):
     asked = dense.embed(_items(spark, d).withColumnRenamed("qid", "id")).withColumnRenamed("id", "qid")
-    return dense.top_k(asked, dense.embed(_texts(spark, d)), k)
+    return dense.top_k(asked, dense.embed_counts(counts), k)
+
+
+def _both(spark, d, k):
+    """Dense and lexical rankings over one stored tokenising."""
+    counts = stored(_counts(spark, d), "terms")
+    return _near(spark, d, k, counts), _lexical(spark, d, k, counts)
 
 
 def _vectors(spark, d):
@@ -87,13 +100,14 @@ def hit_mrr_recall(spark, d):
 @register("WITH" + sql.hybrid(20) + """, l AS (SELECT qid, 0 AS list_id, dense_rank AS rank, id FROM fused)
 SELECT qid, rank, id, round(score, 9) AS score FROM fused""")
 def rrf_fusion(spark, d):
-    lists = _near(spark, d, 30).select("qid", F.lit(0).alias("list_id"), "rank", "id").unionByName(_lexical(spark, d, 30).select("qid", F.lit(1).alias("list_id"), "rank", "id"))
+    lists = [found.select("qid", F.lit(i).alias("list_id"), "rank", "id") for i, found in enumerate(_both(spark, d, 30))]
+    lists = lists[0].unionByName(lists[1])
     return fusion.reciprocal_rank_fusion(lists).where("rank <= 20").withColumn("score", F.round("score", 9))
 
 
 @register("WITH" + sql.hybrid(20) + " SELECT qid, rank, id, round(score, 9) AS score, dense_rank, bm25_rank FROM fused")
 def hybrid_candidates(spark, d):
-    return fusion.candidates(_near(spark, d, 30), _lexical(spark, d, 30), 20).withColumn("score", F.round("score", 9))
+    return fusion.candidates(*_both(spark, d, 30), 20).withColumn("score", F.round("score", 9))
 
 
 @register("WITH" + sql.hybrid(20) + """,
@@ -105,8 +119,8 @@ SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY rerank_score DESC, old)
 def hybrid_rerank_proxy(spark, d):
     from . import retrieval
 
-    texts = _texts(spark, d)
-    found = retrieval.retrieve(_items(spark, d), texts, dense.embed(texts), bm25.build(texts))
+    texts, counts = _texts(spark, d), stored(_counts(spark, d), "terms")
+    found = retrieval.retrieve(_items(spark, d), texts, dense.embed_counts(counts), bm25.build(texts, counts))
     return found.select("qid", "rank", "id", "dense_rank", "bm25_rank", "rerank_score")
 
 
