@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from typing import Protocol
 
 import pandas as pd
@@ -10,13 +12,38 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citemill.functions.text import alias_index, check_citations, parse_reply, strip
+from citemill.sources.store import stored
 
 #: Fixed value: what is said instead of an answer.
 ABSTAIN_TEXT = "I couldn't find this in the {product} documentation, so I won't guess."
 
 
+@dataclass(frozen=True)
+class Response:
+    """A model's reply with what it cost; a client that knows neither tokens nor seconds may return the text alone."""
+
+    text: str
+    input_tokens: int
+    output_tokens: int
+    latency_s: float
+
+
 class LanguageModel(Protocol):
-    def generate(self, prompt: str, *, system: str, temperature: float, json_schema: dict | None, max_output_tokens: int) -> str: ...
+    def generate(self, prompt: str, *, system: str, temperature: float, json_schema: dict | None, max_output_tokens: int) -> Response | str: ...
+
+
+class Paced:
+    """A client that starts at most ``per_minute`` requests a minute."""
+
+    def __init__(self, inner: LanguageModel, per_minute: float, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep):
+        self.inner, self.every, self.clock, self.sleep, self.free_at = inner, 60 / per_minute, clock, sleep, float("-inf")
+
+    def generate(self, prompt: str, **options) -> Response | str:
+        wait = self.free_at - self.clock()
+        if wait > 0:
+            self.sleep(wait)
+        self.free_at = max(self.free_at, self.clock()) + self.every
+        return self.inner.generate(prompt, **options)
 
 
 _factories: dict[str, Callable[..., LanguageModel]] = {}
@@ -54,28 +81,71 @@ def with_feedback(user: Column, reason: Column, n: Column) -> Column:
     )
 
 
-def generate(prompts: DataFrame, client: Callable[[], LanguageModel], system: str = "", max_output_tokens: int = 1024) -> DataFrame:
-    """prompts(qid, prompt) -> (qid, reply): each worker makes one client and asks it row by row."""
+def measured(model: LanguageModel, prompt: str, **options) -> Response:
+    """A reply with its cost: as the client tells, else seconds by the clock and tokens as estimated from the characters."""
+    begin = time.perf_counter()
+    said = model.generate(prompt, **options)
+    if isinstance(said, Response):
+        return said
+    estimate = lambda text: len(text) // 3 + 1  # noqa: E731  as functions.text.estimated_tokens
+    return Response(said, estimate(prompt + options.get("system", "")), estimate(said), time.perf_counter() - begin)
+
+
+#: What a call gives, and what a response cache holds under its key.
+REPLY = "reply string, input_tokens int, output_tokens int, latency_s double"
+
+
+def generate(prompts: DataFrame, client: Callable[[], LanguageModel], system: str = "", max_output_tokens: int = 1024, temperature: float = 0.0) -> DataFrame:
+    """prompts(qid, prompt) -> (qid, reply, input_tokens, output_tokens, latency_s): each worker makes one client and asks it row by row.
+
+    The rows are written and read back, so a model is asked once, whatever reads them later.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = client()
         for pdf in batches:
-            said = [model.generate(p, system=system, temperature=0.0, json_schema=None, max_output_tokens=max_output_tokens) for p in pdf["prompt"]]
-            yield pd.DataFrame({"qid": pdf["qid"], "reply": said})
+            said = [measured(model, p, system=system, temperature=temperature, json_schema=None, max_output_tokens=max_output_tokens) for p in pdf["prompt"]]
+            yield pd.DataFrame({
+                "qid": pdf["qid"], "reply": [r.text for r in said], "input_tokens": [r.input_tokens for r in said],
+                "output_tokens": [r.output_tokens for r in said], "latency_s": [r.latency_s for r in said],
+            })
+
+    return stored(prompts.select("qid", "prompt").mapInPandas(run, f"qid {dict(prompts.dtypes)['qid']}, {REPLY}"), "replies")
+
+
+def response_key(model: str, prompt: Column, system: str = "", temperature: float = 0.0, max_output_tokens: int = 1024) -> Column:
+    """The key of a request: sha256 of a JSON array of all that decides the reply."""
+    told = F.to_json(F.array(F.lit(model), F.lit(system), prompt, F.lit(str(temperature)), F.lit(str(max_output_tokens))))
+    return F.sha2(told.cast("binary"), 256)
 
-    return prompts.select("qid", "prompt").mapInPandas(run, f"qid {dict(prompts.dtypes)['qid']}, reply string")
+
+CACHE = f"key string, {REPLY}"
+
+
+def generate_cached(prompts: DataFrame, client: Callable[[], LanguageModel], cache: DataFrame, model: str, **options) -> tuple[DataFrame, DataFrame]:
+    """``generate`` behind cache(key, reply, ...) -> (replies, rows to append to the cache).
+
+    Equal requests are asked once. A hit has the tokens and seconds of the call that made it.
+    ``model`` names the provider, the model and its settings.
+    """
+    keyed = prompts.select("qid", "prompt", response_key(model, F.col("prompt"), **options).alias("key"))
+    missing = keyed.join(cache.select("key"), "key", "left_anti").dropDuplicates(["key"])
+    fresh = generate(missing.select(F.col("key").alias("qid"), "prompt"), client, **options).withColumnRenamed("qid", "key")
+    known = cache.select(fresh.columns).dropDuplicates(["key"]).unionByName(fresh)
+    return keyed.select("qid", "key").join(known, "key").drop("key"), fresh
 
 
 def decide(
     attempts: DataFrame, product: str = "product", citation_check: bool = True, require_coverage: bool = False,
     abstain_on_violation: bool = True, min_score: float | None = None,
 ) -> DataFrame:
-    """attempts(qid, n_sources, top_score, replies: array<string>) -> (qid, text, abstained, reason, closest, cited, check).
+    """attempts(qid, n_sources, top_score, replies: array<string>) -> (qid, text, abstained, reason, closest, cited, check, first_valid).
 
     In this order: nothing retrieved or a top score under the gate (a null score never is); the last
     reply unparsable; the model abstains, pointing to its closest source; citations invalid under a
     policy that abstains, pointing to the first source; else the answer. ``replies`` are those that
-    were asked for: up to the first whose check passes (``attempts_used``). closest is a 0-based place.
+    were asked for, up to the first whose check passes: so the first attempt was valid (first_valid) if
+    there is one reply and its check passed; null without a check. closest is a 0-based place.
     """
     last = F.element_at("replies", -1)
     seen = attempts.withColumn("reply", F.when(F.size("replies") > 0, parse_reply(last)))
@@ -95,6 +165,7 @@ def decide(
     return seen.select(
         "qid", text.alias("text"), reason.isNotNull().alias("abstained"), reason.alias("reason"), closest.alias("closest"),
         F.when(reason.isNull(), known).otherwise(F.array().cast("array<string>")).alias("cited"), "check",
+        F.when(F.col("check").isNotNull() & (F.size("replies") > 0), (F.size("replies") == 1) & F.col("check.valid")).alias("first_valid"),
     )
 
 
@@ -107,22 +178,26 @@ def needs_retry(replies: DataFrame, require_coverage: bool = False) -> DataFrame
     return judged.select("qid", again.alias("prompt")).where("prompt is not null")
 
 
-def answer(questions: DataFrame, client: Callable[[], LanguageModel], template: str, product: str = "product", retries: int = 1, **policy) -> DataFrame:
-    """questions(qid, question, n_sources, sources, top_score) -> ``decide``'s rows: generation, retries with feedback, decision.
+def answer(questions: DataFrame, client: Callable[[], LanguageModel], template: str, product: str = "product", retries: int = 1, system: str = "", **policy) -> DataFrame:
+    """questions(qid, question, n_sources, sources, top_score) -> ``decide``'s rows, n_llm_calls, input_tokens, output_tokens, generation_s.
 
-    Questions that the gate stops, or that found nothing, are never sent.
+    Generation, retries with feedback, decision. Questions that the gate stops, or that found
+    nothing, are never sent; their calls, tokens and seconds are 0.
     """
     gate = policy.get("min_score")
-    asked = questions.withColumn("prompt", prompt(template, sources=F.col("sources"), question=F.col("question"), product=F.lit(product)))
+    asked = questions.withColumn("prompt", prompt(template, sources=F.col("sources"), question=F.trim("question"), product=F.lit(product)))
     open_ = asked.where("n_sources > 0")
     if gate is not None:
         open_ = open_.where(F.coalesce(F.col("top_score") >= gate, F.lit(True)))
     todo, said = open_.select("qid", "prompt"), None
     for attempt in range(1 + retries):
-        replies = generate(todo, client).withColumn("attempt", F.lit(attempt)).persist()  # a model is asked once
+        replies = generate(todo, client, system.replace("{product}", product)).withColumn("attempt", F.lit(attempt))
         said = replies if said is None else said.unionByName(replies)
         if attempt < retries:
             todo = needs_retry(replies.join(todo, "qid").join(open_.select("qid", "n_sources"), "qid"), policy.get("require_coverage", False))
-    whole = said.groupBy("qid").agg(F.transform(F.sort_array(F.collect_list(F.struct("attempt", "reply"))), lambda x: x["reply"]).alias("replies"))
-    joined = questions.join(whole, "qid", "left").withColumn("replies", F.coalesce("replies", F.array().cast("array<string>")))
-    return decide(joined, product, **policy)
+    costs = {"n_llm_calls": F.count("*").cast("int"), "input_tokens": F.sum("input_tokens").cast("int"), "output_tokens": F.sum("output_tokens").cast("int"), "generation_s": F.sum("latency_s")}
+    in_order = F.transform(F.sort_array(F.collect_list(F.struct("attempt", "reply"))), lambda x: x["reply"])
+    whole = said.groupBy("qid").agg(in_order.alias("replies"), *[c.alias(n) for n, c in costs.items()])
+    joined = questions.join(whole.select("qid", "replies"), "qid", "left").withColumn("replies", F.coalesce("replies", F.array().cast("array<string>")))
+    decided = decide(joined, product, **policy).join(whole.drop("replies"), "qid", "left")
+    return decided.fillna(0, list(costs))

@@ -2,22 +2,45 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 N_BOOT, ALPHA, SEED = 2000, 0.05, 0
 
 
-#: Replicates that are drawn in one row.
+#: Replicates that a row asks for.
 AT_ONCE = 40
 
 
-def _draw(seed: int, b, i, n) -> F.Column:
-    """A place in 0..n-1 that only the replicate and the draw decide."""
-    h = F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), b, i).cast("binary")), 1, 8)
-    return F.conv(h, 16, 10).cast("long") % n
+def _hashes(seed: int, b: range, i: range) -> np.ndarray:
+    """A number for each replicate and draw, the same for all groups: its remainder by n is the place drawn."""
+    told = (hashlib.md5(f"{seed}:{x}:{y}".encode()).digest()[:4] for x in b for y in i)
+    return np.frombuffer(b"".join(told), ">u4").reshape(len(b), len(i)).astype(np.int64)
+
+
+def _replicates(seed: int, n_boot: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, known = None, np.zeros((0, 0), np.int64)
+        for batch in batches:
+            means = []
+            for part, own in zip(batch.column("part").to_pylist(), batch.column("own")):
+                values = np.asarray(own.values, np.float64)
+                b = range(part * AT_ONCE, min((part + 1) * AT_ONCE, n_boot))
+                if part != now:
+                    now, known = part, np.zeros((len(b), 0), np.int64)
+                if known.shape[1] < len(values):
+                    known = np.concatenate([known, _hashes(seed, b, range(known.shape[1], len(values)))], axis=1)
+                means.append([float(values[row[: len(values)] % len(values)].mean()) for row in known])
+            yield pa.RecordBatch.from_arrays([batch.column("grp"), pa.array(means, pa.list_(pa.float64()))], ["grp", "m"])
+
+    return run
 
 
 def bootstrap_ci(values: DataFrame, n_boot: int = N_BOOT, alpha: float = ALPHA, seed: int = SEED) -> DataFrame:
@@ -25,25 +48,22 @@ def bootstrap_ci(values: DataFrame, n_boot: int = N_BOOT, alpha: float = ALPHA,
 
     Each of n_boot replicates draws n of a group's n values with replacement; the bounds are the
     means at places int(alpha / 2 * n_boot) and int((1 - alpha / 2) * n_boot) in order. Groups are
-    evaluation sets: a group's values are an array, replicates are drawn from it row by row, and no
-    draw is ever a row. For groups that don't fit in one, ``counted``. Null values are left out, an
-    empty group gives no row. A null group is a group of its own.
+    evaluation sets: a group's values are an array, a task draws some replicates of it, and no draw
+    is ever a row. For groups that don't fit in one, ``counted``. Null values are left out, an empty
+    group gives no row. A null group is a group of its own.
     """
     sound = values.where("value is not null").withColumn("value", F.col("value").cast("double"))
     held = F.transform(F.array_sort(F.collect_list(F.struct("key", "value"))), lambda x: x["value"])
     sets = sound.groupBy("grp").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), held.alias("own"))
-    parts = sets.select("*", F.explode(F.sequence(F.lit(0), F.lit((n_boot - 1) // AT_ONCE))).alias("part"))
-    parts = parts.repartition(max(int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")), 16), F.struct("grp"), "part")
-
-    def replicate(b):
-        drawn = F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)
-        return F.aggregate(drawn, F.lit(0.0), lambda s, i: s + F.get("own", _draw(seed, b, i, F.col("n")).cast("int"))) / F.col("n")
-
-    some = F.sequence(F.col("part") * AT_ONCE, F.least((F.col("part") + 1) * AT_ONCE, F.lit(n_boot)) - 1)
-    drawn = parts.select("grp", "n", "mean", F.transform(some, replicate).alias("m"))
+    parts = sets.select("grp", "own", F.explode(F.sequence(F.lit(0), F.lit((n_boot - 1) // AT_ONCE))).alias("part"))
+    dealt = parts.repartition(max(int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")), 16), "part").sortWithinPartitions("part")
+    schema = StructType([parts.schema["grp"], StructField("m", ArrayType(DoubleType()))])
+    drawn = dealt.mapInArrow(_replicates(seed, n_boot), schema)
     low, high = int(alpha / 2 * n_boot), min(n_boot - 1, int((1 - alpha / 2) * n_boot))
-    whole = drawn.groupBy("grp", "n", "mean").agg(F.array_sort(F.flatten(F.collect_list("m"))).alias("m"))
-    return whole.select("grp", F.round("mean", 6).alias("mean"), F.round(F.get("m", F.lit(low)), 6).alias("low"), F.round(F.get("m", F.lit(high)), 6).alias("high"), "n")
+    ordered = drawn.groupBy("grp").agg(F.array_sort(F.flatten(F.collect_list("m"))).alias("m"))  # n_boot numbers a group
+    bounds = ordered.select(F.struct("grp").alias("g"), F.round(F.get("m", F.lit(low)), 6).alias("low"), F.round(F.get("m", F.lit(high)), 6).alias("high"))
+    whole = sets.select(F.struct("grp").alias("g"), F.round("mean", 6).alias("mean"), "n")  # a struct of null equals itself in joins
+    return whole.join(bounds, "g").select("g.grp", "mean", "low", "high", "n")
 
 
 def counted(values: DataFrame, n_boot: int = N_BOOT, alpha: float = ALPHA, seed: int = SEED) -> DataFrame:
@@ -78,5 +98,16 @@ def paired_difference(values: DataFrame, **options) -> DataFrame:
 
 def compare(metrics: DataFrame, baseline: str, other: str) -> DataFrame:
     """long-form metrics(config, qid, metric, value): other less baseline, question by question, for each metric."""
-    own = lambda c, name: metrics.where(F.col("config") == c).select(F.col("metric").alias("grp"), F.col("qid").alias("key"), F.col("value").alias(name))
-    return paired_difference(own(baseline, "a").join(own(other, "b"), ["grp", "key"]))
+    found = against(metrics, (baseline,)).where(F.col("config") == other)
+    return found.select(F.col("metric").alias("grp"), F.col("difference").alias("mean"), "low", "high", "n")
+
+
+def against(metrics: DataFrame, baselines: tuple[str, ...], **options) -> DataFrame:
+    """long-form metrics(config, qid, metric, value) -> (baseline, config, metric, difference, low, high, n).
+
+    Every other configuration less each baseline, over the questions for which both have a value.
+    """
+    base = metrics.where(F.col("config").isin(*baselines)).select(F.col("config").alias("baseline"), "qid", "metric", F.col("value").alias("a"))
+    both = base.join(metrics.select("config", "qid", "metric", F.col("value").alias("b")), ["qid", "metric"]).where("config <> baseline")
+    found = paired_difference(both.select(F.struct("baseline", "config", "metric").alias("grp"), F.col("qid").alias("key"), "a", "b"), **options)
+    return found.select("grp.baseline", "grp.config", "grp.metric", F.col("mean").alias("difference"), "low", "high", "n")

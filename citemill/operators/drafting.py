@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from citemill.functions.text import QUESTION_LIMIT, is_context_dependent, match_text, strip, word_count
+from citemill.functions.text import QUESTION_LIMIT, has_numeric, is_context_dependent, match_text, strip, word_count
+from citemill.sources.store import stored
 
 from .answering import LanguageModel, generate, prompt
 
@@ -69,37 +70,140 @@ def n_unsupported(verdict: Column) -> Column:
     return F.size(F.filter(verdict["claims"], lambda c: ~c["supported"]))
 
 
-def judge(answers: DataFrame, client: Callable[[], LanguageModel], template: str, attempts: int = 2) -> DataFrame:
-    """answers(qid, abstained, question, expected, reference, context, answer) -> (qid, verdict, error).
+def judge(answers: DataFrame, client: Callable[[], LanguageModel], template: str, attempts: int = 2, system: str = "") -> DataFrame:
+    """answers(qid, abstained, question, expected, reference, context, answer) -> (qid, verdict, error, judge_tokens).
 
     Abstentions aren't judged. An unusable verdict is asked for again, ``attempts`` times in all; what
-    stays unusable has a null verdict and an error.
+    stays unusable has a null verdict and an error. Tokens of all attempts count.
     """
     said = F.coalesce("reference", F.lit("(none: the documentation does not answer this question)"))
     asked = answers.where("not abstained").select("qid", prompt(template, question=F.col("question"), expected=F.col("expected"), reference=said, context=F.col("context"), answer=F.col("answer")).alias("prompt"))
-    open_, out = asked, None
+    open_, calls = asked, None
     for _ in range(attempts):
-        got = generate(open_, client).withColumn("verdict", parse_verdict(F.col("reply"))).persist()  # a model is asked once
-        done = got.where("verdict is not null").select("qid", "verdict")
-        out = done if out is None else out.unionByName(done)
+        got = generate(open_, client, system).withColumn("verdict", parse_verdict(F.col("reply")))
+        calls = got if calls is None else calls.unionByName(got)
         open_ = open_.join(got.where("verdict is null").select("qid"), "qid", "left_semi")
-    failed = F.when(F.col("verdict").isNull(), F.lit("the judge gave no usable verdict"))
-    return asked.select("qid").join(out, "qid", "left").withColumn("error", failed)
+    spent = F.coalesce(F.sum(F.col("input_tokens") + F.col("output_tokens")), F.lit(0)).cast("int").alias("judge_tokens")
+    out = calls.groupBy("qid").agg(F.first("verdict", ignorenulls=True).alias("verdict"), spent)
+    return out.withColumn("error", F.when(F.col("verdict").isNull(), F.lit("the judge gave no usable verdict"))).select("qid", "verdict", "error", "judge_tokens")
+
+
+_DRAFT = "question string, reference_answer string, evidence array<string>"
+
+
+def _drafts(prompts: DataFrame, client: Callable[[], LanguageModel]) -> DataFrame:
+    """prompts(qid, prompt) -> (did, question, reference_answer, quotes) as the model says."""
+    said = generate(prompts, client, temperature=0.7, max_output_tokens=3000)
+    return said.select(F.col("qid").alias("did"), F.from_json("reply", _DRAFT).alias("d")).select("did", "d.question", "d.reference_answer", F.col("d.evidence").alias("quotes"))
 
 
 def draft(sections: DataFrame, client: Callable[[], LanguageModel], template: str) -> DataFrame:
     """sections(did, doc_id, heading, text) -> (did, question, reference_answer, evidence): one question each, if its evidence holds."""
     asked = sections.select(F.col("did").alias("qid"), prompt(template, heading=F.col("heading"), passage=F.col("text")).alias("prompt"))
-    data = F.from_json("reply", "question string, reference_answer string, evidence array<string>")
-    drafts = generate(asked, client).select(F.col("qid").alias("did"), data.alias("d")).select("did", "d.question", "d.reference_answer", F.col("d.evidence").alias("quotes")).persist()
+    drafts = _drafts(asked, client)
     good = validated(drafts, sections.select("did", F.lit(0).alias("pos"), "doc_id", "text"))
     return drafts.join(good, "did").select("did", "question", "reference_answer", "evidence")
 
 
+def draft_pairs(pairs: DataFrame, client: Callable[[], LanguageModel], template: str) -> DataFrame:
+    """pairs(did, a, b: struct<doc_id, heading, text>) -> as ``draft``: questions that need both passages, a quote from either."""
+    parts = {f"{what}_{side}": F.col(f"{side}.{field}") for side in "ab" for what, field in (("heading", "heading"), ("passage", "text"))}
+    drafts = _drafts(pairs.select(F.col("did").alias("qid"), prompt(template, **parts).alias("prompt")), client)
+    passages = pairs.select("did", F.posexplode(F.array("a", "b")).alias("pos", "p")).select("did", "pos", "p.doc_id", "p.text")
+    return drafts.join(validated_pairs(drafts, passages), "did").select("did", "question", "reference_answer", "evidence")
+
+
+def draft_unanswerable(areas: DataFrame, client: Callable[[], LanguageModel], template: str, n: int = 4, most_headings: int = 25, seed: int = 7) -> DataFrame:
+    """areas(area, heading) -> (area, question): near misses that a model thinks of from headings of the area, a shuffled most_headings of them in a prompt."""
+    key = F.md5(F.concat_ws(":", F.lit(str(seed)), "area", "heading").cast("binary"))
+    nth = F.row_number().over(Window.partitionBy("area").orderBy(key, "heading"))
+    some = areas.select("area", "heading").distinct().withColumn("nth", nth).where(F.col("nth") <= most_headings)
+    listed = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("nth", "heading"))), lambda h: F.concat(F.lit("- "), h["heading"])), "\n")
+    asked = some.groupBy(F.col("area").alias("qid")).agg(prompt(template, headings=listed, n=F.lit(str(n))).alias("prompt"))
+    said = generate(asked, client, temperature=0.8, max_output_tokens=3000)
+    told = said.select(F.col("qid").alias("area"), F.explode(F.from_json("reply", "questions array<string>")["questions"]).alias("question"))
+    return told.select("area", strip(F.col("question")).alias("question")).where("question <> ''").distinct()
+
+
+def verified_unanswerable(candidates: DataFrame, client: Callable[[], LanguageModel], template: str) -> DataFrame:
+    """candidates(qid, question, context: the excerpts found for it) -> (qid, holds, reason): whether a model finds no answer there, not even in part."""
+    asked = candidates.select("qid", prompt(template, question=F.col("question"), context=F.col("context")).alias("prompt"))
+    told = generate(asked, client, max_output_tokens=800).select("qid", F.from_json("reply", "answered string, reason string").alias("v"))
+    return told.select("qid", F.coalesce(F.col("v.answered") == "no", F.lit(False)).alias("holds"), F.coalesce("v.reason", F.lit("the verifier's reply is no JSON")).alias("reason"))
+
+
+def draft_probes(sections: DataFrame, client: Callable[[], LanguageModel], template: str, done: DataFrame | None = None, seed: int = 13) -> DataFrame:
+    """sections(doc_id, heading_path, text) -> (question, evidence, doc_id, heading_path): one probe for each document that ``done`` lacks, if its evidence holds.
+
+    The section is chosen by seed and document, so a resumed run takes the same. 600 words of it are shown.
+    """
+    open_ = sections if done is None else sections.join(done.select("doc_id"), "doc_id", "left_anti")
+    key = F.md5(F.concat_ws(":", F.lit(str(seed)), "doc_id", F.array_join("heading_path", " > "), "text").cast("binary"))
+    one = open_.groupBy("doc_id").agg(F.min_by(F.struct("heading_path", "text"), key).alias("s"))
+    shown = one.select("doc_id", "s.heading_path", F.array_join(F.slice(F.split("s.text", " "), 1, 600), " ").alias("text"))
+    asked = shown.select(F.col("doc_id").alias("qid"), prompt(template, heading=F.array_join("heading_path", " > "), passage=F.col("text")).alias("prompt"))
+    told = generate(asked, client, temperature=0.7).select(F.col("qid").alias("doc_id"), F.from_json("reply", "question string, evidence string").alias("p"))
+    return told.join(shown, "doc_id").where(probe_holds(F.col("p.evidence"), F.col("text"))).select("p.question", "p.evidence", "doc_id", "heading_path")
+
+
+#: How many questions of each (category, subtype) a set needs.
+TARGETS = {
+    ("factual", None): 25, ("numeric", None): 20, ("multi_section", None): 20, ("unanswerable", None): 28,
+    ("adversarial", "false_premise"): 8, ("adversarial", "outdated_term"): 5, ("adversarial", "other_protocol"): 7,
+}
+#: Sections tried for each question that is wanted.
+TRIES = 3
+
+
+def section_key(doc_id: Column, heading_path: Column) -> Column:
+    """What a section is known by, so that none is drafted from twice."""
+    return F.concat_ws(" :: ", doc_id, F.array_join(heading_path, " > "))
+
+
+def draft_set(
+    sections: DataFrame, existing: DataFrame, client: Callable[[], LanguageModel], templates: dict[tuple[str, str | None], str],
+    targets: dict[tuple[str, str | None], int] = TARGETS, seed: int = 7,
+) -> DataFrame:
+    """New questions of single sections for each (category, subtype) of ``templates`` that ``existing`` has too few of.
+
+    sections(doc_id, heading_path, text), existing(category, subtype, notes). A kind's sections are
+    the next in shuffled order that no question was drafted from, TRIES for each question wanted
+    (numeric ones need numbers in them); each kind is one batch for the model, and of what holds the
+    first wanted stay.
+    """
+    key = F.md5(F.concat_ws(":", F.lit(str(seed)), "notes", "text").cast("binary"))
+    fresh = sections.withColumn("notes", section_key(F.col("doc_id"), F.col("heading_path"))).join(existing.select("notes"), "notes", "left_anti")
+    fresh = stored(fresh.withColumn("did", key).dropDuplicates(["notes"]), "sections")
+    have = {(r.category, r.subtype): r["count"] for r in existing.groupBy("category", "subtype").count().collect()}  # a row for each kind of question
+    out, used = None, None
+    for (category, subtype), template in templates.items():
+        want = targets[category, subtype] - have.get((category, subtype), 0)
+        if want <= 0:
+            continue
+        left = fresh.where(has_numeric(F.col("text"))) if category == "numeric" else fresh
+        left = left if used is None else left.join(used, "notes", "left_anti")
+        chosen = stored(left.orderBy("did").limit(want * TRIES), "chosen")
+        good = draft(chosen.select("did", "doc_id", F.array_join("heading_path", " > ").alias("heading"), "text"), client, template)
+        expected = "correct_premise" if subtype == "false_premise" else "answer"
+        rows = make_questions(good.join(chosen.select("did", "notes"), "did").orderBy("did").limit(want), category, subtype, expected)
+        out = rows if out is None else out.unionByName(rows)
+        used = chosen.select("notes") if used is None else used.union(chosen.select("notes"))
+    return out if out is not None else make_questions(sections.sparkSession.createDataFrame([], "did string, question string, reference_answer string, evidence array<struct<doc_id:string,quote:string,pos:int>>, notes string"), "", None, "")
+
+
+def make_questions(drafts: DataFrame, category: str, subtype: str | None, expected: str, source: str = "llm_draft") -> DataFrame:
+    """drafts(did, question, reference_answer, evidence, notes) -> rows of the question table (``schemas.QUESTION``), without a split."""
+    none = lambda kind: F.lit(None).cast(kind)
+    return drafts.select(
+        F.concat(F.lit("draft-"), F.col("did").cast("string")).alias("id"), none("string").alias("split"), F.lit(category).alias("category"), F.lit(subtype).cast("string").alias("subtype"),
+        "question", F.lit(expected).alias("expected"), "reference_answer",
+        F.transform("evidence", lambda e: F.struct(e["doc_id"].alias("doc_id"), e["quote"].alias("quote"))).alias("evidence"),
+        F.lit(source).alias("source"), none("string").alias("draft_id"), F.lit(False).alias("reviewed"), "notes",
+    )
+
+
 def within_quota(drafts: DataFrame, quotas: dict[tuple[str, str | None], int]) -> DataFrame:
     """drafts(did, category, subtype) -> the first quota of each (category, subtype) by did; strata without a quota have none."""
-    from pyspark.sql import Window
-
     spark = drafts.sparkSession
     table = spark.createDataFrame([(c, s, n) for (c, s), n in quotas.items()], "c string, s string, quota int")
     nth = F.row_number().over(Window.partitionBy("category", "subtype").orderBy("did"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,6 +56,21 @@ def overlap_score(query_terms: Column, text_terms: Column) -> Column:
     return F.round(F.coalesce(F.try_divide(F.size(F.array_intersect(asked, text_terms)).cast("double"), F.size(asked)), F.lit(0.0)), 6)
 
 
+def model_score(reranker: Callable[[], Callable[[str, list[str]], list[float]]]) -> Callable[[Column, Column], Column]:
+    """A cross-encoder as a column function of query and passage; passages of one query in a batch are scored together."""
+
+    @F.pandas_udf("double")
+    def score(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        model = reranker()
+        for queries, passages in parts:
+            out = pd.Series(0.0, index=queries.index)
+            for query, rows in passages.fillna("").groupby(queries.fillna("")):
+                out[rows.index] = [float(x) for x in model(query, rows.tolist())]
+            yield out
+
+    return score
+
+
 def first_of_other_document(found: DataFrame, own_doc: Column, doc: Column) -> DataFrame:
     """The first hit of each query that is of another document."""
     return found.where(doc != own_doc).groupBy("qid").agg(F.min_by("id", "rank").alias("id"), F.min("rank").alias("rank"))

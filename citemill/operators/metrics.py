@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import bootstrap
+
 MEAN_METRICS = (
     "hit_1", "hit_5", "mrr_10", "evidence_recall_5", "correctness", "fully_correct", "any_unsupported",
     "correct_abstention", "false_abstention", "citation_valid", "citation_first_try_valid", "fully_cited",
@@ -70,9 +72,10 @@ def long_form(metrics: DataFrame, names: tuple = MEAN_METRICS) -> DataFrame:
     return metrics.unpivot(["config", "qid", "category"], list(names), "metric", "value").where("value is not null")
 
 
-def summarize(metrics: DataFrame) -> DataFrame:
-    """(config, metric, mean, n)."""
-    return long_form(metrics).groupBy("config", "metric").agg(F.round(F.avg("value"), 6).alias("mean"), F.count("*").alias("n"))
+def summarize(metrics: DataFrame, **options) -> DataFrame:
+    """(config, metric, mean, low, high, n): means with their bootstrap intervals (options of ``bootstrap_ci``)."""
+    values = long_form(metrics).select(F.struct("config", "metric").alias("grp"), F.col("qid").alias("key"), "value")
+    return bootstrap.bootstrap_ci(values, **options).select("grp.config", "grp.metric", "mean", "low", "high", "n")
 
 
 def costs(metrics: DataFrame) -> DataFrame:

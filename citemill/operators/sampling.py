@@ -49,22 +49,33 @@ def sample_each(rows: DataFrame, stratum: str, key: str, n: int, seed: int = 0)
 def apply_curation(questions: DataFrame, drop: DataFrame, rewrite: DataFrame, recategorize: DataFrame) -> DataFrame:
     """drop(id), rewrite(id, new_question, new_reference), recategorize(id, new_category).
 
-    Dropped ids go; rewritten questions take what isn't null and a new source; the rest is kept.
+    Dropped ids go; rewritten questions take what isn't null and a new source; the rest is kept. An
+    id that no question has is an error, raised when the result is computed.
     """
-    kept = questions.join(drop.select("id").distinct(), "id", "left_anti")
-    joined = kept.join(rewrite.withColumn("rewritten_", F.lit(True)), "id", "left").join(recategorize, "id", "left")
+    named = drop.select("id").union(rewrite.select("id")).union(recategorize.select("id")).distinct()
+    unknown = named.join(questions.select("id"), "id", "left_anti")
+    wrong = unknown.agg(F.sort_array(F.collect_set(F.col("id").cast("string"))).alias("ids_"))  # at most as many as a curation file names
+    decided = questions.join(drop.select("id").distinct().withColumn("dropped_", F.lit(True)), "id", "left")
+    joined = decided.join(rewrite.withColumn("rewritten_", F.lit(True)), "id", "left").join(recategorize, "id", "left").crossJoin(F.broadcast(wrong))  # one row
+    told = F.concat(F.lit("the curation names unknown ids: "), F.array_join(F.slice("ids_", 1, 20), ", "))
+    checked = joined.where(F.when(F.size("ids_") > 0, F.raise_error(told).cast("boolean")).otherwise(F.col("dropped_").isNull()))
     changed = {
         "question": F.coalesce("new_question", "question"),
         "reference_answer": F.coalesce("new_reference", "reference_answer"),
         "source": F.when(F.col("rewritten_"), "llm_draft+human_edit").otherwise(F.col("source")),
         "category": F.coalesce("new_category", "category"),
     }
-    return joined.select(*[changed.get(c, F.col(c)).alias(c) for c in questions.columns])
+    return checked.select(*[changed.get(c, F.col(c)).alias(c) for c in questions.columns])
 
 
 def unknown_ids(questions: DataFrame, *sections: DataFrame) -> DataFrame:
-    """Ids that a curation names and no question has; a caller makes it an error if there are any."""
+    """Ids that a curation names and no question has."""
     named = sections[0].select("id")
     for s in sections[1:]:
         named = named.union(s.select("id"))
     return named.distinct().join(questions.select("id"), "id", "left_anti")
+
+
+def finalize(drafts: DataFrame, curation: dict[str, DataFrame], seed: int = 11) -> DataFrame:
+    """Curated drafts with their splits and final ids: what is written as the question set."""
+    return assign_splits(apply_curation(drafts, curation["drop"], curation["rewrite"], curation["recategorize"]), seed)

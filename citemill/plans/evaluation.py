@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+import time
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citemill.functions.text import expected_text
 from citemill.operators import answering, bm25, bootstrap, drafting, evidence, metrics
+from citemill.sources import sinks
+from citemill.sources.store import stored
 
 from .retrieval import retrieve
 
@@ -21,6 +26,18 @@ class EvalConfig:
     citation_check: bool = True
     citations_requested: bool = True
     min_score: float | None = None
+    #: The configuration's own prompt, if it isn't the run's.
+    template: str | None = None
+
+
+#: The configurations of a run: no safeguards at all, then the retrieval modes, then no citation check.
+DEFAULT_CONFIGS = (
+    EvalConfig("naive_rag", "dense", citation_check=False, citations_requested=False),
+    EvalConfig("baseline_dense", "dense"),
+    EvalConfig("hybrid", "hybrid"),
+    EvalConfig("hybrid_rerank", "hybrid_rerank"),
+    EvalConfig("hybrid_rerank_no_citecheck", "hybrid_rerank", citation_check=False),
+)
 
 
 def gold(questions: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -29,14 +46,35 @@ def gold(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     return evidence.gold_groups(evidence.resolve(quotes, chunks))
 
 
+def fingerprint(pipeline: dict, configs: list[EvalConfig], questions: DataFrame, templates: dict[str, str], models: dict[str, str]) -> dict:
+    """All that decides a run's records: settings, configurations, prompts and questions by digest, models.
+
+    The questions' digest doesn't depend on their order.
+    """
+    row = questions.agg(F.count("*").alias("n"), F.sum(F.xxhash64(F.to_json(F.struct(*sorted(questions.columns)))).cast("decimal(38,0)")).alias("s")).first()
+    digest = lambda text: hashlib.sha256(text.encode()).hexdigest()[:12]
+    return {
+        **pipeline, "models": models, "questions": digest(f"{row.n}:{row.s}"), "prompts": {k: digest(v) for k, v in sorted(templates.items())},
+        "configs": [asdict(c) for c in configs],
+    }
+
+
+def run_id(told: dict) -> str:
+    """A run is named by its fingerprint, so the same run resumes and another one starts afresh."""
+    return "run-" + hashlib.sha256(json.dumps(told, sort_keys=True).encode()).hexdigest()[:10]
+
+
 def evaluate(
     questions: DataFrame, configs: list[EvalConfig], index: dict[str, DataFrame], client: Callable[[], answering.LanguageModel],
     judge_client: Callable[[], answering.LanguageModel], template: str, judge_template: str, done: DataFrame | None = None, top_k: int = 5,
+    **retrieval,
 ) -> DataFrame:
     """One record per question and configuration that has none in ``done(config, qid)``.
 
-    Each configuration is one plan over all its questions; identical requests of two configurations
-    are for the client's own cache to notice.
+    Each configuration is one plan over all its questions. Retrieval is a batch: a question's
+    retrieval_s is the batch's seconds over its questions. Calls, tokens and seconds of generation
+    and of the judge are those of the clients (``answering.measured``). ``retrieval`` goes to
+    ``retrieve``: an encoder, a reranker, sizes.
     """
     chunks = index["chunks"]
     texts = chunks.select(F.col("chunk_id").alias("id"), "text")
@@ -45,7 +83,9 @@ def evaluate(
         todo = questions
         if done is not None:
             todo = questions.join(done.where(F.col("config") == cfg.name).select(F.col("qid").alias("id")), "id", "left_anti")
-        found = retrieve(todo.select(F.col("id").alias("qid"), F.col("question").alias("text")), texts, index["vectors"], bm25.Index(index["postings"]), cfg.mode, top_k).persist()
+        begin = time.perf_counter()
+        found = stored(retrieve(todo.select(F.col("id").alias("qid"), F.col("question").alias("text")), texts, index["vectors"], bm25.Index(index["postings"]), cfg.mode, top_k, **retrieval), "retrieved")
+        each = (time.perf_counter() - begin) / max(todo.count(), 1)
         shown = found.join(chunks, found.id == chunks.chunk_id).select("qid", "rank", F.array_join("heading_path", " > ").alias("heading"), "url", "text")
         ids = found.groupBy("qid").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"]).alias("retrieved_ids"), F.max("rerank_score").alias("top_rerank_score"))
         asked = todo.withColumnRenamed("id", "qid").join(answering.sources_text(shown), "qid", "left").join(ids, "qid", "left").join(groups, "qid", "left")
@@ -53,7 +93,7 @@ def evaluate(
             "n_sources": F.coalesce("n_sources", F.lit(0)), "sources": F.coalesce("sources", F.lit("")),
             "retrieved_ids": F.coalesce("retrieved_ids", F.array().cast("array<string>")), "gold_groups": F.coalesce("gold_groups", F.array().cast("array<array<string>>")),
         })
-        answers = answering.answer(asked.withColumn("top_score", F.col("top_rerank_score")), client, template, citation_check=cfg.citation_check, min_score=cfg.min_score).persist()
+        answers = stored(answering.answer(asked.withColumn("top_score", F.col("top_rerank_score")), client, cfg.template or template, citation_check=cfg.citation_check, min_score=cfg.min_score), "answers")
         told = asked.join(answers, "qid").select(
             "qid", "abstained", "question", expected_text(F.col("expected")).alias("expected"), F.col("reference_answer").alias("reference"), F.col("sources").alias("context"), F.col("text").alias("answer")
         )
@@ -62,19 +102,86 @@ def evaluate(
             "qid", F.lit(cfg.name).alias("config"), "split", "category", "subtype", "expected", "question", F.col("reference_answer").alias("reference"),
             "retrieved_ids", "top_rerank_score", "gold_groups", F.col("text").alias("answer"), "abstained", F.col("reason").alias("abstain_reason"),
             F.transform("cited", lambda a: F.col("retrieved_ids")[F.substring(a, 2, 9).cast("int") - 1]).alias("cited_ids"),
-            F.when(~F.col("abstained"), F.col("check.valid")).alias("citation_valid"), F.lit(None).cast("boolean").alias("citation_first_attempt_valid"),
+            F.col("check.valid").alias("citation_valid"), F.col("first_valid").alias("citation_first_attempt_valid"),
             F.size("check.uncited_sentences").alias("n_uncited_sentences"), F.lit(cfg.citations_requested).alias("citations_requested"),
-            F.lit(0).alias("input_tokens"), F.lit(0).alias("output_tokens"), F.lit(0.0).alias("retrieval_s"), F.lit(0.0).alias("generation_s"), "verdict",
-            F.col("error").alias("judge_error"), F.lit(0).alias("judge_tokens"),
+            "n_llm_calls", "input_tokens", "output_tokens", F.lit(each).alias("retrieval_s"), "generation_s", "verdict",
+            F.col("error").alias("judge_error"), F.coalesce("judge_tokens", F.lit(0)).alias("judge_tokens"),
+            F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX").alias("created_at"),
         )
         out = rows if out is None else out.unionByName(rows)
     return out
 
 
+def of_split(records: DataFrame, split: str) -> DataFrame:
+    return records if split == "all" else records.where(F.col("split") == split)
+
+
 def report(records: DataFrame, split: str = "all", n_boot: int = bootstrap.N_BOOT) -> DataFrame:
     """records -> (config, metric, mean, low, high, n) of the chosen split."""
-    chosen = records if split == "all" else records.where(F.col("split") == split)
-    values = metrics.long_form(metrics.per_question(chosen))
-    named = values.select(F.concat_ws("\t", "config", "metric").alias("grp"), F.col("qid").alias("key"), "value")
-    found = bootstrap.bootstrap_ci(named, n_boot)
-    return found.select(F.split("grp", "\t")[0].alias("config"), F.split("grp", "\t")[1].alias("metric"), "mean", "low", "high", "n")
+    return metrics.summarize(metrics.per_question(of_split(records, split)), n_boot=n_boot)
+
+
+#: The configurations that others are compared with, and by which metrics.
+BASELINES = ("naive_rag", "baseline_dense")
+COMPARED = ("hit_5", "mrr_10", "correctness", "any_unsupported", "correct_abstention", "false_abstention")
+
+
+def results(records: DataFrame, split: str = "test", baselines: tuple[str, ...] = BASELINES, n_boot: int = bootstrap.N_BOOT) -> dict:
+    """A run's results as one small document: each configuration's summary, and paired differences from each baseline that is there."""
+    measured = stored(metrics.per_question(of_split(records, split)), "measured")
+    summaries: dict[str, dict] = {r.config: {"n_questions": r["count"]} for r in measured.groupBy("config").count().collect()}
+    for r in metrics.summarize(measured, n_boot=n_boot).collect():
+        summaries[r.config][r.metric] = {"mean": r["mean"], "ci95": [r.low, r.high], "n": r.n}
+    for r in metrics.hallucination(measured).collect():
+        summaries[r.config]["hallucination_rate"] = {"mean": r.rate, "unsupported_claims": int(r.unsupported or 0), "total_claims": int(r.claims or 0), "n": r.n}
+    for r in metrics.costs(measured).collect():
+        summaries[r.config] |= {"latency_s": {"p50": r.latency_p50, "p95": r.latency_p95}, "tokens_per_question": r.mean_tokens, "judge_tokens_per_question": r.mean_judge_tokens}
+    for r in metrics.by_category(measured).collect():
+        summaries[r.config].setdefault("by_category", {})[r.category] = {"n": r.n, "correctness": r.correctness, "correct_abstention": r.correct_abstention}
+    versus: dict = {}
+    for r in bootstrap.against(metrics.long_form(measured, COMPARED), baselines, n_boot=n_boot).collect():
+        versus.setdefault(r.baseline, {}).setdefault(r.config, {})[r.metric] = {"diff": r.difference, "ci95": [r.low, r.high]}
+    return {"split": split, "summaries": summaries, "vs_baseline": versus}
+
+
+#: Columns of the results table.
+SHOWN = {
+    "hit_5": "Hit@5", "mrr_10": "MRR@10", "correctness": "Answer correctness", "hallucination_rate": "Hallucination rate (claims)",
+    "correct_abstention": "Correct abstention (unanswerable)", "false_abstention": "False abstention (answerable)", "citation_valid": "Citation validity",
+}
+
+
+def results_markdown(told: dict) -> str:
+    """The table of all configurations, and under it the differences from each baseline."""
+
+    def cell(summary: dict, key: str) -> str:
+        own = summary.get(key) or {}
+        if own.get("mean") is None:
+            return "n/a"
+        if "ci95" not in own:
+            return f"{own['mean']:.1%} ({own['unsupported_claims']}/{own['total_claims']})"
+        return f"{own['mean']:.1%} [{own['ci95'][0]:.0%}, {own['ci95'][1]:.0%}]"
+
+    def row(cells: list[str]) -> str:
+        return "| " + " | ".join(cells) + " |"
+
+    seconds = lambda s: f"{s['p50']:.1f}s / {s['p95']:.1f}s" if s and s["p50"] is not None else "n/a"
+    lines = [f"Split `{told['split']}`, 95% bootstrap intervals in brackets.", "", row(["Configuration", *SHOWN.values(), "Latency p50 / p95", "Tokens/q"]), "|---" * (len(SHOWN) + 3) + "|"]
+    for name, s in sorted(told["summaries"].items()):
+        tokens = s.get("tokens_per_question")
+        lines.append(row([f"`{name}`", *(cell(s, k) for k in SHOWN), seconds(s.get("latency_s")), "n/a" if tokens is None else f"{tokens:.0f}"]))
+    for base, others in sorted(told["vs_baseline"].items()):
+        lines += ["", f"Paired differences from `{base}`:", "", row(["Configuration", *COMPARED]), "|---" * (len(COMPARED) + 1) + "|"]
+        for name, found in sorted(others.items()):
+            shown = lambda d: f"{d['diff']:+.1%} [{d['ci95'][0]:+.0%}, {d['ci95'][1]:+.0%}]" if d else "n/a"
+            lines.append(row([f"`{name}`", *(shown(found.get(k)) for k in COMPARED)]))
+    return "\n".join(lines) + "\n"
+
+
+def write_results(records: DataFrame, run_dir: str, split: str = "test", **options) -> dict:
+    """results.json and results.md of a run, on the driver: they are small documents."""
+    told = results(records, split, **options)
+    sinks.write_json(told, f"{run_dir}/results.json")
+    with open(f"{run_dir}/results.md", "w", encoding="utf-8", newline="\n") as f:
+        f.write(results_markdown(told))
+    return told

@@ -12,6 +12,8 @@ from .tables import catalogue, table
 QUERIES, SQL, register = catalogue()
 CONFIGS = ("naive", "dense", "hybrid", "rerank", "unchecked")
 BASELINES = ("naive", "dense")
+#: Replicates for the many groups of a report's tables.
+REPLICATES = 500
 CATEGORIES = ("factual", "multi_section", "numeric", "unanswerable", "adversarial")
 
 
@@ -46,9 +48,10 @@ def per_question_metrics(spark, d):
 _LONG = f"u AS (UNPIVOT (SELECT config, qid, category, {sql.MEANS} FROM m) ON {sql.MEANS} INTO NAME metric VALUE value)"
 
 
-@register(f"WITH {sql.RECORDS}, {_LONG} SELECT config, metric, round(avg(value), 6) AS mean, count(*) AS n FROM u GROUP BY 1, 2")
+@register(sql.bootstrap("SELECT config || chr(9) || metric AS grp, qid AS key, value FROM u", REPLICATES, "split_part(grp, chr(9), 1) AS config, split_part(grp, chr(9), 2) AS metric, mean, low, high, n", f"{sql.RECORDS}, {_LONG},"))
 def metric_summary(spark, d):
-    return metrics.summarize(metrics.per_question(records(spark, d)))
+    """Mean, 95% interval and count of every metric in each configuration."""
+    return metrics.summarize(metrics.per_question(records(spark, d)), n_boot=REPLICATES)
 
 
 @register(f"WITH {sql.RECORDS} SELECT config, category, count(*) AS n, round(avg(correctness), 6) AS correctness, round(avg(correct_abstention), 6) AS correct_abstention FROM m GROUP BY 1, 2")
@@ -81,28 +84,21 @@ def bootstrap_ci(spark, d):
     return bootstrap.bootstrap_ci(rows.select(F.col("source").alias("grp"), F.col("doc_id").alias("key"), F.col("quality").cast("double").alias("value")))
 
 
-@register(sql.bootstrap("SELECT lang AS grp, doc_id AS key, (quality - toxic)::DOUBLE AS value FROM labels JOIN documents USING (doc_id) WHERE lang <> 'en'", 2000))
+@register(sql.bootstrap("SELECT lang AS grp, doc_id AS key, (quality - toxic)::DOUBLE AS value FROM labels JOIN documents USING (doc_id)", 2000))
 def paired_bootstrap_diff(spark, d):
     """Quality less toxicity, document by document, in each language; documents without one are a group."""
     rows = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "lang"), "doc_id")
     return bootstrap.paired_difference(rows.select(F.col("lang").alias("grp"), F.col("doc_id").alias("key"), F.col("toxic").cast("double").alias("a"), F.col("quality").cast("double").alias("b")))
 
 
-_VERSUS = f"""WITH {sql.RECORDS}, {_LONG},
-a AS (SELECT qid, metric, value FROM u WHERE config = 'dense'),
-b AS (SELECT config, qid, metric, value FROM u WHERE config IN ('hybrid', 'rerank', 'unchecked'))
-SELECT config, metric, round(avg(b.value - a.value), 6) AS difference, count(*) AS n FROM a JOIN b USING (qid, metric) GROUP BY 1, 2"""
+_VERSUS = """SELECT a.config || chr(9) || b.config || chr(9) || metric AS grp, qid AS key, b.value - a.value AS value
+FROM u a JOIN u b USING (qid, metric) WHERE a.config IN ('naive', 'dense') AND b.config <> a.config"""
 
 
-@register(_VERSUS)
+@register(sql.bootstrap(_VERSUS, REPLICATES, "split_part(grp, chr(9), 1) AS baseline, split_part(grp, chr(9), 2) AS config, split_part(grp, chr(9), 3) AS metric, mean AS difference, low, high, n", f"{sql.RECORDS}, {_LONG},"))
 def all_vs_baseline(spark, d):
     """Every other configuration less each baseline, over the questions both have, for each metric, with its 95% interval."""
-    long_ = metrics.long_form(metrics.per_question(records(spark, d)))
-    base = long_.where(F.col("config").isin(*BASELINES)).select(F.col("config").alias("baseline"), "qid", "metric", F.col("value").alias("a"))
-    other = long_.select("config", "qid", "metric", F.col("value").alias("b"))
-    both = base.join(other, ["qid", "metric"]).where("config <> baseline")
-    found = bootstrap.counted(both.select(F.struct("baseline", "config", "metric").alias("grp"), (F.col("b") - F.col("a")).alias("value")))
-    return found.select("grp.baseline", "grp.config", "grp.metric", F.col("mean").alias("difference"), "low", "high", "n")
+    return bootstrap.against(metrics.long_form(metrics.per_question(records(spark, d))), BASELINES, n_boot=REPLICATES)
 
 
 @register("""
@@ -113,7 +109,7 @@ def cohens_kappa(spark, d):
     return agreement.cohens_kappa(table(spark, d, "labels").select(F.col("quality").alias("a"), F.col("toxic").alias("b")))
 
 
-@register("SELECT 'c' || doc_id % 3 AS config, doc_id AS qid, quality AS human, toxic AS judge FROM labels WHERE doc_id % 5 <> 0 AND quality <> toxic")
+@register("SELECT 'c' || doc_id % 3 AS config, doc_id AS qid, quality AS human, toxic AS judge FROM labels WHERE quality <> toxic")
 def rater_disagreements(spark, d):
     """Items that a human (quality; null is ungraded) and a judge (toxic) grade differently."""
     rows = table(spark, d, "labels").select(F.concat(F.lit("c"), (F.col("doc_id") % 3).cast("string")).alias("config"), F.col("doc_id").alias("qid"), F.col("quality").alias("human"), F.col("toxic").alias("judge"))

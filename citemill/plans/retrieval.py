@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,9 +15,13 @@ MODES = ("dense", "hybrid", "hybrid_rerank")
 
 def retrieve(
     questions: DataFrame, chunks: DataFrame, vectors: DataFrame, index: bm25.Index, mode: str = "hybrid_rerank",
-    top_k: int = 5, candidates: int = 30, rerank_candidates: int = 20, rrf_k: int = 60, encode=None, query_prefix: str = "",
+    top_k: int = 5, candidates: int = 30, rerank_candidates: int = 20, rrf_k: int = 60, encode=None, query_prefix: str = "", reranker: Callable | None = None,
 ) -> DataFrame:
-    """questions(qid, text), chunks(id, text), vectors(id, vector) -> (qid, rank, id, score, dense_rank, bm25_rank, rerank_score)."""
+    """questions(qid, text), chunks(id, text), vectors(id, vector) -> (qid, rank, id, score, dense_rank, bm25_rank, rerank_score).
+
+    ``reranker()`` makes, once in each worker, a function from (query, passages) to their scores;
+    without it the share of a query's terms in the passage is the score.
+    """
     if mode not in MODES:
         raise ValueError(f"mode is one of {', '.join(MODES)}")
     asked = dense.embed(questions.select(F.col("qid").alias("id"), F.concat(F.lit(query_prefix), F.col("text")).alias("text")), encode)
@@ -28,5 +34,6 @@ def retrieve(
     if mode == "hybrid":
         return found.withColumn("rerank_score", none("double", "rerank_score"))
     texts = found.join(chunks.select("id", F.col("text").alias("body")), "id").join(questions.select("qid", "text"), "qid")
-    scored = fusion.rerank(texts, fusion.overlap_score(terms(F.col("text")), terms(F.col("body"))), top_k)
+    score = fusion.model_score(reranker)(F.col("text"), F.col("body")) if reranker else fusion.overlap_score(terms(F.col("text")), terms(F.col("body")))
+    scored = fusion.rerank(texts, score, top_k)
     return scored.select("qid", "rank", "id", F.col("rerank_score").alias("score"), "dense_rank", "bm25_rank", "rerank_score")

@@ -89,14 +89,16 @@ m AS (
 MEANS = "hit_1, hit_5, mrr_10, evidence_recall_5, correctness, fully_correct, any_unsupported, correct_abstention, false_abstention, citation_valid, citation_first_try_valid, fully_cited"
 
 
-def bootstrap(values: str, n_boot: int) -> str:
-    """The whole statement for ``values``: a SELECT of grp, key, value."""
+def bootstrap(values: str, n_boot: int, columns: str = "grp, mean, low, high, n", before: str = "") -> str:
+    """The whole statement for ``values``: a SELECT of grp, key, value. Groups are numbered, so that null is one."""
     low, high = int(0.025 * n_boot), min(n_boot - 1, int(0.975 * n_boot))
     return f"""
-WITH v AS (SELECT grp, value, row_number() OVER (PARTITION BY grp ORDER BY key) - 1 AS i FROM ({values}) WHERE value IS NOT NULL),
-z AS (SELECT grp, count(*) AS n, avg(value) AS mean FROM v GROUP BY 1),
-d AS (SELECT grp, b, ('0x' || substr(md5('0:' || b || ':' || k), 1, 8))::UBIGINT % n AS i FROM z, range({n_boot}) AS t(b), range(n) AS u(k)),
-x AS (SELECT grp, b, avg(value) AS m FROM d JOIN v USING (grp, i) GROUP BY 1, 2),
-o AS (SELECT grp, m, row_number() OVER (PARTITION BY grp ORDER BY m, b) - 1 AS nth FROM x)
-SELECT grp, round(any_value(mean), 6) AS mean, round(max(CASE WHEN nth = {low} THEN m END), 6) AS low, round(max(CASE WHEN nth = {high} THEN m END), 6) AS high, any_value(n) AS n
-FROM o JOIN z USING (grp) GROUP BY grp"""
+WITH {before}
+v_ AS (SELECT grp, value, dense_rank() OVER (ORDER BY grp) AS g, row_number() OVER (PARTITION BY grp ORDER BY key) - 1 AS i FROM ({values}) WHERE value IS NOT NULL),
+z_ AS (SELECT g, any_value(grp) AS grp, count(*) AS n, avg(value) AS mean FROM v_ GROUP BY 1),
+h_ AS (SELECT b, k, ('0x' || substr(md5('0:' || b || ':' || k), 1, 8))::UBIGINT AS h FROM range({n_boot}) AS t(b), range((SELECT max(n) FROM z_)) AS u(k)),
+x_ AS (SELECT g, b, avg(value) AS m FROM (SELECT g, b, (h % n)::BIGINT AS i FROM h_ JOIN z_ ON k < n) JOIN v_ USING (g, i) GROUP BY 1, 2),
+o_ AS (SELECT g, m, row_number() OVER (PARTITION BY g ORDER BY m, b) - 1 AS nth FROM x_),
+ci_ AS (SELECT any_value(grp) AS grp, round(any_value(mean), 6) AS mean, round(max(CASE WHEN nth = {low} THEN m END), 6) AS low, round(max(CASE WHEN nth = {high} THEN m END), 6) AS high, any_value(n) AS n
+  FROM o_ JOIN z_ USING (g) GROUP BY g)
+SELECT {columns} FROM ci_"""

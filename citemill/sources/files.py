@@ -93,11 +93,11 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_records(spark: SparkSession, run_dir: str) -> DataFrame:
-    """All records of a run. The configuration is the file's stem or, in our own sink, the folder's name; fields that older files lack get defaults."""
-    rows = spark.read.schema(schemas.RECORD).json(f"{run_dir}/records/*.jsonl")
+    """All records of a run: those of ``sinks.append_records``, and files that are named by their configuration (its name is then the file's stem). Fields that older files lack get defaults."""
+    rows = spark.read.schema(schemas.RECORD).option("recursiveFileLookup", "true").option("mode", "FAILFAST").json(f"{run_dir}/records")
     stem = F.regexp_extract(F.input_file_name(), r"([^/]+)\.jsonl$", 1)
     filled = {k: F.coalesce(F.col(k), F.lit(v)) for k, v in schemas.DEFAULTS.items()}
-    return rows.withColumns({"config": stem, **filled})
+    return rows.withColumns({"config": F.when(stem != "", stem).otherwise(F.col("config")), **filled})
 
 
 def read_curation(spark: SparkSession, path: str) -> dict[str, DataFrame]:

@@ -17,9 +17,9 @@ def write_manifest(manifest: DataFrame, path: str) -> None:
     write_jsonl(manifest.orderBy("doc_id"), path, keep_nulls=True)
 
 
-def append_records(records: DataFrame, path: str) -> None:
-    """Parquet by configuration; a run resumes after what is there."""
-    records.write.mode("append").partitionBy("config").parquet(path)
+def append_records(records: DataFrame, run_dir: str) -> None:
+    """JSON lines below the run's folder, as ``files.read_records`` reads them; a run resumes after what is there."""
+    records.write.mode("append").option("ignoreNullFields", False).json(f"{run_dir}/records")
 
 
 def upsert(rows: DataFrame, old: DataFrame, key: str) -> DataFrame:
@@ -69,6 +69,34 @@ def replace_block(page: str, begin: str, end: str, block: str) -> str:
     return f"{before}{begin}\n{block.strip()}\n{end}{after}"
 
 
-def review_sheet(records: DataFrame) -> DataFrame:
-    """records(config, qid, question, answer) -> (config, qid, block): one block of Markdown per item to grade."""
-    return records.select("config", "qid", F.format_string("### %s / %s\n\nQuestion: %s\n\nAnswer: %s\n\nYour grade (0, 1 or 2): \n", "config", "qid", F.coalesce("question", F.lit("")), F.coalesce("answer", F.lit(""))).alias("block"))
+def review_sheet(questions: DataFrame, urls: DataFrame) -> DataFrame:
+    """questions (``schemas.QUESTION``), urls(doc_id, published_url) -> (id, category, block): a block of Markdown for each question to review."""
+    quotes = questions.select("id", F.posexplode("evidence").alias("pos", "e")).join(urls.select(F.col("doc_id").alias("d"), "published_url"), F.col("e.doc_id") == F.col("d"), "left")
+    line = F.format_string('- evidence ([source](%s)): "%s"', F.coalesce("published_url", "e.doc_id"), F.col("e.quote"))
+    listed = quotes.groupBy("id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", line.alias("line")))), lambda x: x["line"]), "\n").alias("quotes"))
+    head = F.concat(F.format_string("### %s · expected: `%s`", "id", "expected"), F.coalesce(F.concat(F.lit(" · "), "subtype"), F.lit("")))
+    block = F.concat_ws("\n", head, F.concat(F.lit("**Q:** "), "question"), F.concat(F.lit("**Reference:** "), "reference_answer"), "quotes", F.lit("\nVerdict: \n"))
+    return questions.join(listed, "id", "left").select("id", "category", block.alias("block"))
+
+
+def judge_sheet(records: DataFrame) -> DataFrame:
+    """records(config, qid, category, expected, question, reference, answer) -> (config, qid, block): what a person grades, the judge's grade hidden."""
+    kind = F.concat("category", F.when(F.col("expected") == "correct_premise", ", false premise").otherwise(""))
+    block = F.format_string(
+        "### %s / %s\n\n**Question** (%s): %s\n\n**Reference answer:** %s\n\n**Assistant's answer:** %s\n\nYour grade (2/1/0): \n",
+        "config", "qid", kind, "question", F.coalesce("reference", F.lit("(none)")), "answer",
+    )
+    return records.select("config", "qid", block.alias("block"))
+
+
+def write_sheet(blocks: DataFrame, path: str, title: str, *order: str) -> None:
+    """A sheet is a sample for people, so one file: the title, then the blocks in order."""
+    body = [r.block for r in blocks.orderBy(*order).select("block").collect()]
+    with open(path, "w", encoding="utf-8", newline="\n") as f:
+        f.write("\n".join([f"# {title}\n", *body]))
+
+
+def write_json(told: dict, path: str) -> None:
+    """A small document, such as a run's fingerprint."""
+    with open(path, "w", encoding="utf-8", newline="\n") as f:
+        json.dump(told, f, indent=2, sort_keys=True)

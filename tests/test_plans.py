@@ -1,7 +1,7 @@
 import json
 
 from citemill.plans import evaluation, ingest, service
-from citemill.sources import files, schemas, sinks
+from citemill.sources import files, sinks
 
 CFG = files.CorpusConfig("docs", "c0ffee", ("",), extensions=(".md", ".mdx"), url_template="https://x.example/{path}")
 
@@ -30,14 +30,23 @@ def test_corpus_to_report(spark, tmp_path):
     questions = spark.createDataFrame(rows, "id string, split string, category string, subtype string, question string, expected string, reference_answer string, evidence array<struct<doc_id:string,quote:string>>")
     configs = [evaluation.EvalConfig("hybrid", "hybrid"), evaluation.EvalConfig("rerank")]
     records = evaluation.evaluate(questions, configs, index, Writer, Judge, "{sources}\n{question}", "{answer}")
-    sinks.append_records(records, str(tmp_path / "records"))
-    stored = spark.read.schema(schemas.RECORD).parquet(str(tmp_path / "records"))
+    sinks.append_records(records, str(tmp_path / "run"))
+    stored = files.read_records(spark, str(tmp_path / "run"))
     by = {(r.config, r.qid): r for r in stored.collect()}
     assert len(by) == 4 and by["rerank", "q1"].gold_groups == [["fees#000"]] and by["rerank", "q1"].cited_ids == ["fees#000"] and by["hybrid", "q2"].abstain_reason == "model"
     summary = evaluation.report(stored, "test", n_boot=50)
     means = {(r.config, r.metric): r["mean"] for r in summary.collect()}
     assert means["rerank", "hit_1"] == 1.0 and means["hybrid", "correct_abstention"] == 1.0 and means["rerank", "correctness"] == 1.0
     assert "| hit_1 |" in sinks.report_markdown(summary)
+    q1 = by["rerank", "q1"]
+    assert q1.citation_first_attempt_valid is True and q1.n_llm_calls == 1 and q1.input_tokens > q1.output_tokens > 0 < q1.judge_tokens
+    assert 0 < q1.retrieval_s and 0 <= q1.generation_s < 60 and q1.created_at and by["hybrid", "q2"].judge_tokens == 0
+    told = evaluation.write_results(stored, str(tmp_path / "run"), baselines=("hybrid",), n_boot=50)
+    assert told["vs_baseline"]["hybrid"]["rerank"]["hit_5"]["diff"] == 0.0 and told["summaries"]["rerank"]["tokens_per_question"] > 0
+    assert json.loads((tmp_path / "run/results.json").read_text())["split"] == "test" and "Paired differences from `hybrid`" in (tmp_path / "run/results.md").read_text()
+    one = evaluation.fingerprint({"corpus": "c0ffee"}, configs, questions, {"answer": "x"}, {"generator": "m"})
+    assert evaluation.run_id(one) == evaluation.run_id(evaluation.fingerprint({"corpus": "c0ffee"}, configs, questions.orderBy("id"), {"answer": "x"}, {"generator": "m"}))
+    assert evaluation.run_id(one) != evaluation.run_id(one | {"prompts": {}}) and evaluation.run_id(one).startswith("run-")
     left = evaluation.evaluate(questions, configs, index, Writer, Judge, "{sources}\n{question}", "{answer}", done=stored.where("qid = 'q1'"))
     assert {(r.config, r.qid) for r in left.select("config", "qid").collect()} == {("hybrid", "q2"), ("rerank", "q2")}
 

@@ -36,6 +36,11 @@ def test_questions_leave_nulls_out_and_records_read_old_files(spark, tmp_path):
     (tmp_path / "run/records/hybrid.jsonl").write_text('{"qid": "q1", "expected": "answer"}\n\n')
     r = files.read_records(spark, str(tmp_path / "run")).first()
     assert (r.config, r.abstained, r.citations_requested) == ("hybrid", False, True)
+    own = spark.createDataFrame([("q2", "dense", None), ("q3", "a/b", 1)], "qid string, config string, n_llm_calls int")
+    sinks.append_records(own, str(tmp_path / "run"))
+    sinks.append_records(own.where("qid = 'q3'").replace("q3", "q4"), str(tmp_path / "run"))
+    got = {(r.config, r.qid, r.n_llm_calls) for r in files.read_records(spark, str(tmp_path / "run")).collect()}
+    assert got == {("hybrid", "q1", 0), ("dense", "q2", 0), ("a/b", "q3", 1), ("a/b", "q4", 1)}
 
 
 def test_upsert_and_resume(spark):
