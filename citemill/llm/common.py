@@ -99,7 +99,7 @@ def clear_scratch(spark: SparkSession) -> None:
 
 
 #: Rows of a range in ``running_sums``: from LEAST_RANGE up, so that few ranges are needed for very many rows.
-LEAST_RANGE, MOST_RANGES = 1024, 4096
+LEAST_RANGE, MOST_RANGES = 4096, 1024
 LARGE_RANGE = 1 << 20
 
 

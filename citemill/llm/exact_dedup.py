@@ -69,26 +69,16 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
     """The documents that stay, with all their columns: of equal texts the row with the largest doc_id.
 
-    Only digests and ids are shuffled. Digests that repeat, with the id that stays, are a table of
-    their own; rows of heavy ones are settled where they are read, and the others meet that table in
-    a join, for which Spark moves the texts only if the table is too large to broadcast. Rows that
-    share the largest doc_id of their text are told apart by their other columns, and one stays.
+    Of rows that share it, one stays. Losers of heavy texts end where they are read; of the others each
+    partition sends on at most one row for a text, whatever the size of the tables.
     """
     own = docs.columns
-    rows = materialise(docs.select(digest().alias("text_sha256"), F.struct("doc_id").alias("pick")), "digests")
-    heavy = materialise(heavy_winners(rows), "winners")
-    light = rows.join(F.broadcast(heavy), "text_sha256", "left_anti")
-    groups = light.groupBy("text_sha256").agg(F.max("pick").alias("light_pick"), F.count("*").alias("n")).where("n > 1")
-    repeated = materialise(groups.drop("n"), "repeated")
-    tops = heavy.select("text_sha256", F.col("heavy_pick").alias("pick")).union(repeated)
-    tied = materialise(rows.join(tops, ["text_sha256", "pick"]).groupBy("text_sha256").count().where("count > 1").select("text_sha256"), "tied")
-    key = {"text_sha256": digest(), "pick": F.struct("doc_id")}
-    left = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), *[c.alias(n) for n, c in key.items()])
-    left = left.join(F.broadcast(heavy), "text_sha256", "left").where("heavy_pick is null or pick = heavy_pick").drop("heavy_pick", "heavy_size")
-    left = left.join(repeated, "text_sha256", "left").where("light_pick is null or pick = light_pick").drop("light_pick")
-    if tied.isEmpty():
-        return left.select("row.*")
-    others = [f"row.`{c}`" for c, t in docs.dtypes if c != "doc_id" and "map<" not in t and t != "variant"]
-    first = Window.partitionBy("text_sha256").orderBy(F.xxhash64(*others))
-    once = left.join(tied, "text_sha256", "left_semi").withColumn("nth", F.row_number().over(first)).where("nth = 1")
-    return left.join(tied, "text_sha256", "left_anti").select("row.*").unionByName(once.select("row.*"))
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), F.col("doc_id").alias("pick"), digest().alias("text_sha256"))
+    rows = materialise(keyed.select("text_sha256", "pick"), "digests")
+    winners = materialise(heavy_winners(rows), "winners")
+    # Losers of a heavy text end here, before any shuffle.
+    left = keyed.join(F.broadcast(winners), "text_sha256", "left").where(
+        "heavy_size is null or pick <=> heavy_pick"
+    )
+    first = Window.partitionBy("text_sha256").orderBy(F.col("pick").desc_nulls_last())
+    return left.withColumn("nth", F.row_number().over(first)).where("nth = 1").select("row.*")
