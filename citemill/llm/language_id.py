@@ -28,8 +28,10 @@ SMOOTHING = 0.5
 AMBIGUOUS = 0.1
 #: Languages that are learned: the commonest ones, so that dirty labels can't grow the model.
 MOST_LANGS = 256
-#: A text of so many letters, or more, that is still ambiguous is in none of the learned languages.
+#: A text of so many letters, or more, of which no bit can be told is in none of the learned languages:
+#: its least loss is nearly that of guessing every bit. (A mixture of two has bits that both agree on.)
 TELLING_LETTERS = 200
+UNDECIDED = 0.9
 #: Bytes scored at a time, so that a very long text takes no more memory than others.
 WINDOW = 1 << 19
 _LETTER = regex.compile(r"\p{L}")
@@ -107,9 +109,12 @@ class Model:
         z = np.clip(sums / np.sqrt(np.maximum(n, 1))[:, None], -30, 30)
         return np.stack([(np.log1p(np.exp(-z * c)) * self.bit_weight).sum(1) for c in self.code], axis=1)
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[bool]]:
+    def undecided(self, loss: np.ndarray) -> np.ndarray:
+        return loss.min(1) >= UNDECIDED * np.log(2) * self.bit_weight.sum()
+
+    def predict(self, texts: list[str | None], loss: np.ndarray | None = None) -> tuple[list[str], list[float], list[bool]]:
         """Language, score in 0 to 1 and ambiguity of each text; und, 0 and True where there is no letter."""
-        loss = self.losses(texts)
+        loss = self.losses(texts) if loss is None else loss
         best = loss.argmin(1)
         least = loss[np.arange(len(texts)), best]
         share = np.exp(least[:, None] - loss)
@@ -201,9 +206,9 @@ def identify(docs: DataFrame) -> DataFrame:
 def drop_unidentified(docs: DataFrame, languages: tuple[str, ...] | None = None) -> DataFrame:
     """The rows whose language is found, with all their columns.
 
-    What has no letter goes, and so does a text of TELLING_LETTERS letters or more whose two nearest
-    codewords are still as good as equal: it is in none of the learned languages. Shorter ambiguous
-    texts stay. With ``languages``, only those stay. Where no row is labelled nothing is learned and
+    What has no letter goes, and so does a text of TELLING_LETTERS letters or more that is ambiguous and
+    of which no bit can be told: it is in none of the learned languages. Shorter ambiguous texts and
+    mixtures of languages stay. With ``languages``, only those stay. Where no row is labelled nothing is learned and
     only what has no letter goes.
     """
     model = fit(docs.where(~held_out()))
@@ -216,10 +221,11 @@ def drop_unidentified(docs: DataFrame, languages: tuple[str, ...] | None = None)
             if model is None:
                 found += [has_letter(t) for t in part]
                 continue
-            langs, _, near = model.predict(part)
+            loss = model.losses(part)
+            langs, _, near = model.predict(part, loss)
             found += [
-                lang != "und" and (languages is None or lang in languages) and not (unclear and telling(t))
-                for t, lang, unclear in zip(part, langs, near)
+                lang != "und" and (languages is None or lang in languages) and not (unclear and lost and telling(t))
+                for t, lang, unclear, lost in zip(part, langs, near, model.undecided(loss))
             ]
         return pa.array(found, pa.bool_())
 
