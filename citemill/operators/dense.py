@@ -62,10 +62,20 @@ def embed_counts(counts: DataFrame) -> DataFrame:
     return buckets.groupBy("id").agg(held.alias("held")).select("id", vector.alias("vector"))
 
 
+def keyed(texts: DataFrame, model: str) -> DataFrame:
+    """texts(text, ...) with the cache's key: model and text decide it."""
+    return texts.withColumn("key", embedding_key(model, F.col("text")))
+
+
+def missing(texts: DataFrame, cache: DataFrame, model: str) -> DataFrame:
+    """The rows of texts(text, ...) that cache(key, ...) lacks, with their key."""
+    return keyed(texts, model).join(cache.select("key"), "key", "left_anti")
+
+
 def embed_missing(texts: DataFrame, cache: DataFrame, model: str, encode=None) -> DataFrame:
     """The rows to append to ``cache(key, vector)``: one for each distinct text it lacks."""
-    keyed = texts.select(embedding_key(model, F.col("text")).alias("id"), "text").dropDuplicates(["id"])
-    return embed(keyed.join(cache, keyed.id == cache.key, "left_anti"), encode).withColumnRenamed("id", "key")
+    fresh = missing(texts, cache, model).dropDuplicates(["key"]).select(F.col("key").alias("id"), "text")
+    return embed(fresh, encode).withColumnRenamed("id", "key")
 
 
 def top_k(queries: DataFrame, vectors: DataFrame, k: int, exclude_self: bool = False) -> DataFrame:

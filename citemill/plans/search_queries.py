@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from citemill.functions.text import match_text, terms, word_count
+from citemill.functions.text import match_text, terms, word_count, words
 from citemill.operators import bm25, dense, evidence, fusion
 from citemill.sources.store import stored
 
@@ -146,15 +146,19 @@ def unresolved_evidence(spark, d):
 
 
 @register(rf"""
-WITH s AS (SELECT doc_id, regexp_split_to_array(text, '\n')[1] AS quote, text FROM documents),
-n AS (SELECT doc_id, lower(trim(regexp_replace(regexp_replace(quote, '\*\*|`', '', 'g'), '\s+', ' ', 'g'))) AS q, {_NORM} AS t FROM s)
-SELECT doc_id AS qid, contains(t, q) AS found FROM n WHERE t IS NOT NULL""")
+WITH w AS (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL),
+q AS (SELECT doc_id, array_to_string(w[2:6], ' ') AS text FROM w), n AS (SELECT doc_id, {_NORM} AS q FROM q),
+l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM w), u AS (SELECT doc_id, unnest(range(len(l))) AS pos, unnest(l) AS text FROM l),
+b AS (SELECT doc_id, doc_id || '#' || pos AS chunk_id, {_NORM} AS body FROM u)
+SELECT n.doc_id AS qid, coalesce(string_agg(chunk_id, ',' ORDER BY chunk_id), '') AS chunk_ids FROM n LEFT JOIN b ON b.doc_id = n.doc_id AND contains(b.body, n.q) GROUP BY 1""")
 def evidence_by_document(spark, d):
-    """Each document's first line as a quote of that document: resolved by doc_id."""
+    """Words 2 to 6 of each document as a quote, resolved to the document's lines: all that hold it, none where it crosses a line's end."""
     docs = table(spark, d, "documents").where("text is not null")
-    quotes = docs.select(F.col("doc_id").alias("qid"), F.lit(0).alias("pos"), "doc_id", F.split("text", "\n")[0].alias("quote"))
-    chunks = docs.select(F.col("doc_id").cast("string").alias("chunk_id"), "doc_id", "text")
-    return evidence.resolve(quotes, chunks).select("qid", (F.size("chunk_ids") > 0).alias("found"))
+    quote = F.array_join(F.slice(words(F.col("text")), 2, 5), " ")
+    quotes = docs.select(F.col("doc_id").alias("qid"), F.lit(0).alias("pos"), "doc_id", quote.alias("quote"))
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "text"))
+    chunks = lines.select(F.concat_ws("#", F.col("doc_id").cast("string"), F.col("n").cast("string")).alias("chunk_id"), "doc_id", "text")
+    return evidence.resolve(quotes, chunks).select("qid", F.array_join("chunk_ids", ",").alias("chunk_ids"))
 
 
 @register("WITH" + sql.bm25(50) + f""",
@@ -190,11 +194,9 @@ def other_document_candidate(spark, d):
 @register("SELECT doc_id, sha256('m' || chr(0) || text) AS key FROM documents WHERE sha256('m' || chr(0) || text) NOT IN (SELECT sha256('m' || chr(0) || d.text) FROM documents d JOIN labels l ON l.doc_id = d.doc_id WHERE d.text IS NOT NULL)")
 def embedding_cache_misses(spark, d):
     """Documents whose text no labelled document has: what a content-addressed cache of those would still encode."""
-    from citemill.functions.text import embedding_key
-
-    docs = table(spark, d, "documents").select("doc_id", embedding_key("m", F.col("text")).alias("key"))
-    cached = docs.join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_semi").select("key").distinct()
-    return docs.where("key is not null").join(cached, "key", "left_anti").select("doc_id", "key")
+    docs = table(spark, d, "documents").where("text is not null").select("doc_id", "text")
+    labelled = docs.join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_semi")
+    return dense.missing(docs, dense.keyed(labelled, "m"), "m").select("doc_id", "key")
 
 
 @register("SELECT doc_id, sum(n) AS n_tokens FROM (" + "WITH" + sql.terms("d", "documents", "doc_id") + " SELECT doc_id, tf AS n FROM d) GROUP BY 1")
