@@ -5,6 +5,10 @@ distinct fingerprint emits itself and all fingerprints at one bit's distance (ha
 two fingerprints at two bits or less emit a common one and meet there. A meeting place holds 65
 fingerprints at most, so none can grow hot, and linking each to the least of them keeps every
 connection without emitting all pairs.
+
+Near copies of a similarity of five-word shingles are further apart than two bits of 64. For them
+``keep_one_of_each_group`` takes several shorter fingerprints of a text's different words, which an
+edit moves little; what meets in any of them is verified on the whole shingle sets.
 """
 
 from __future__ import annotations
@@ -13,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,6 +31,12 @@ SEED = 42
 RADIUS = 2
 #: Shingles whose bits are held at once.
 AT_ONCE = 1 << 16
+#: Near copies have at least this Jaccard similarity of their sets of NEAR_WORDS-word shingles.
+NEAR_SIMILARITY, NEAR_WORDS = 0.8, 5
+#: Fingerprints by which near copies are sought, and bits of each: 192 bits of a word's hashes in all.
+TABLES, TABLE_BITS = 4, 48
+#: Texts whose words are told apart at once.
+TEXTS_AT_ONCE = 256
 
 
 def fingerprint(text: bytes | None, shingle_words: int = SHINGLE_WORDS) -> int:
@@ -92,23 +103,135 @@ def near_groups(docs: DataFrame) -> DataFrame:
     )
 
 
+def _coded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """(word codes of all texts, where each text's begin and the last one's end, the word of each code)."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+    coded = split.flatten().dictionary_encode()
+    words, codes = coded.dictionary.cast(pa.binary()).to_pylist(), coded.indices.to_numpy()
+    text = np.repeat(np.arange(len(texts)), pc.list_value_length(split).to_numpy())
+    if b"" in words:  # what the splitter sees around white space at a text's ends
+        real = codes != words.index(b"")
+        codes, text = codes[real], text[real]
+    return codes, np.concatenate([[0], np.cumsum(np.bincount(text, minlength=len(texts)))]), words
+
+
+def table_prints(texts: pa.Array) -> np.ndarray:
+    """(texts, TABLES): fingerprints of the texts' different words, the table's number above their bits."""
+    codes, offsets, words = _coded(texts)
+    hashed = b"".join([xxhash.xxh3_128_digest(w, SEED) + xxhash.xxh64_digest(w, SEED) for w in words])
+    bits = np.frombuffer(hashed, np.uint8).reshape(-1, TABLES * TABLE_BITS // 8)
+    majority = np.zeros((len(texts), TABLES * TABLE_BITS), bool)
+    for at in range(len(texts)):
+        own = np.unique(codes[offsets[at] : offsets[at + 1]])
+        ones = np.zeros(TABLES * TABLE_BITS, np.int64)
+        for a in range(0, len(own), AT_ONCE):
+            ones += np.unpackbits(bits[own[a : a + AT_ONCE]], axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        majority[at] = ones * 2 > len(own)
+    wide = np.zeros((len(texts), TABLES, 8), np.uint8)
+    wide[:, :, : TABLE_BITS // 8] = np.packbits(majority, axis=1, bitorder="little").reshape(len(texts), TABLES, TABLE_BITS // 8)
+    return wide.view("<i8")[:, :, 0] + (np.arange(TABLES) << TABLE_BITS)
+
+
+def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
+    """Each text's set of NEAR_WORDS-word shingles as 64-bit hashes; fewer words are one shingle, none give none."""
+    codes, offsets, words = _coded(texts)
+    hashes = np.array([xxhash.xxh64_intdigest(w, SEED) for w in words], np.uint64)
+    sets = []
+    for at in range(len(texts)):
+        own = hashes[codes[offsets[at] : offsets[at + 1]]]
+        n = len(own) and max(1, len(own) - NEAR_WORDS + 1)
+        mixed = np.full(n, min(len(own), NEAR_WORDS), np.uint64)
+        for i in range(min(len(own), NEAR_WORDS)):
+            mixed = (mixed ^ own[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
+            mixed ^= mixed >> np.uint64(29)
+        sets.append(np.unique(mixed).view(np.int64))
+    return sets
+
+
+def _lists(rows: list[np.ndarray] | np.ndarray) -> pa.Array:
+    ends = np.cumsum([0, *map(len, rows)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(rows) if len(rows) else [], pa.int64()))
+
+
+def _listing(of_texts, name: str):
+    """Batches with ``text`` replaced by the list of numbers that ``of_texts`` makes of it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for a in range(0, whole.num_rows, TEXTS_AT_ONCE):
+                batch = whole.slice(a, TEXTS_AT_ONCE)
+                kept = [c for c in batch.schema.names if c != "text"]
+                made = _lists(of_texts(batch.column("text")))
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], made], [*kept, name])
+
+    return run
+
+
+def _meetings(places: DataFrame) -> DataFrame:
+    """places(place), distinct -> (hi, lo): places within RADIUS bits of one table that meet at a variant.
+
+    A variant meets TABLE_BITS + 1 places at most; each is linked to the least and to the one before it.
+    """
+    ball = F.array("place", *[F.col("place").bitwiseXOR(F.lit(1 << i)) for i in range(TABLE_BITS)])
+    met = places.select("place", F.explode(ball).alias("variant"))
+    order = Window.partitionBy("variant").orderBy("place")
+    seen = met.select("place", F.array(F.first("place").over(order), F.lag("place").over(order)).alias("others"))
+    return seen.select(F.col("place").alias("hi"), F.explode("others").alias("lo")).where("lo < hi").distinct()
+
+
+def candidates(nodes: DataFrame) -> DataFrame:
+    """nodes(node, places) -> (hi, lo), hi > lo: pairs to verify.
+
+    A place's nodes are each paired with its least one, its head; heads of places that meet are paired.
+    """
+    placed = nodes.select("node", F.explode("places").alias("place"))
+    heads = materialise(placed.groupBy("place").agg(F.min("node").alias("head")), "places")
+    inside = placed.join(heads, "place").where("node > head").select(F.col("node").alias("hi"), F.col("head").alias("lo"))
+    of_hi, of_lo = (heads.select(F.col("place").alias(c), F.col("head").alias(f"{c}_head")) for c in ("hi", "lo"))
+    met = _meetings(heads.select("place")).join(of_hi, "hi").join(of_lo, "lo").where("hi_head <> lo_head")
+    return inside.union(met.select(F.greatest("hi_head", "lo_head"), F.least("hi_head", "lo_head"))).distinct()
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs(hi, lo) whose sets(node, shingles) have a similarity of NEAR_SIMILARITY or more; two empty sets are equal."""
+    of_hi, of_lo = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"{c}_set")) for c in ("hi", "lo"))
+    both = pairs.join(of_hi, "hi").join(of_lo, "lo").withColumn("sizes", F.size("hi_set") + F.size("lo_set"))
+    shared = F.size(F.array_intersect("hi_set", "lo_set"))
+    return both.where(shared + 1e-9 >= NEAR_SIMILARITY * (F.col("sizes") - shared)).select("hi", "lo")
+
+
 def keep_one_of_each_group(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with all their columns: of each component the row with the smallest doc_id.
+    """The documents that stay, with all their columns: of each group of near copies the row with the smallest doc_id.
+
+    Two texts are linked if they meet in one of TABLES fingerprints within RADIUS bits and their sets of
+    five-word shingles (A-Z lower-cased, words parted by ASCII white space) have a similarity of 0.8 or
+    more; groups are what links connect. Texts that differ in case or white space only, and texts without
+    words, null ones included, are always linked; no text is linked to one that is less similar.
 
     A null doc_id counts as larger than any; of rows that share the smallest doc_id, that with the
-    least digest of its text stays, so exactly one row of each component does, whatever the ids are.
-    Of rows equal in doc_id and text, one stays.
+    least digest of its text stays, so exactly one row of each group does, whatever the ids are.
+    Of rows equal in doc_id and text, one stays. An empty table gives an empty one.
     """
-    digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
-    marked = docs.select("doc_id", "text", digest.alias("digest_"))
+    digest = F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
+    marked = docs.select("doc_id", F.col("text").cast("string").alias("text"), digest.alias("digest"))
     kind = dict(docs.dtypes)["doc_id"]
-    prints = marked.mapInArrow(_fingerprint_batches, f"doc_id {kind}, digest_ string, fp bigint")
-    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "digest_")
-    nodes = materialise(prints.groupBy("fp").agg(F.min(place).alias("least")), "nodes")
-    stays = _rooted(nodes).groupBy("root").agg(F.min("least").alias("least")).select(F.struct("least.doc_id", "least.digest_").alias("key_"))
+    prints = marked.mapInArrow(_listing(table_prints, "places"), f"doc_id {kind}, digest binary, places array<bigint>")
+    least = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "digest")
+    nodes = prints.groupBy("digest").agg(F.min(least).alias("least"), F.first("places").alias("places"))
+    nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+
+    pairs = materialise(candidates(nodes), "pairs")
+    asked = pairs.select(F.explode(F.array("hi", "lo")).alias("node")).distinct().join(nodes.select("node", "digest"), "node")
+    nth = F.row_number().over(Window.partitionBy("digest").orderBy(F.lit(0)))
+    texts = marked.select("digest", "text").withColumn("nth", nth).where("nth = 1").join(asked, "digest").select("node", "text")
+    sets = materialise(texts.mapInArrow(_listing(shingle_sets, "shingles"), "node bigint, shingles array<bigint>"), "shingles")
+    roots = components(verified(pairs, sets))
+
+    rooted = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("least").alias("least"))
+    stays = rooted.select(F.struct("least.doc_id", "least.digest").alias("key"))
     # Rows equal in doc_id and text go before the shuffle, and the text moves once: window and join share the key.
     others = [c for c, t in docs.dtypes if c not in ("doc_id", "text") and "map<" not in t and t != "variant"]
-    first = Window.partitionBy("key_").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in others]) if others else F.lit(0))
-    keyed = docs.withColumn("digest_", digest).withColumn("key_", F.struct("doc_id", "digest_"))
-    once = keyed.withColumn("nth_", F.row_number().over(first)).where("nth_ = 1")
-    return once.join(stays, "key_", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    first = Window.partitionBy("key").orderBy(F.xxhash64(*[F.col(f"row.`{c}`") for c in others]) if others else F.lit(0))
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.struct("doc_id", digest.alias("digest")).alias("key"))
+    once = keyed.withColumn("nth", F.row_number().over(first)).where("nth = 1")
+    return once.join(stays, "key", "left_semi").select("row.*")
