@@ -108,7 +108,8 @@ def test_lines(spark, monkeypatch, hot_share):
 
 
 def test_pipeline_against_brute_force(spark, small):
-    from tests.llm.test_documents import brute_components, fingerprint, lower
+    from tests.llm.test_documents import lower
+    from tests.llm.test_more import near_by_hand
 
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "exact_dedup", "simhash_near_dedup", "source_mix", "curve_packing"]
     docs, after = spark.read.parquet(f"{small}/documents.parquet"), []
@@ -122,8 +123,8 @@ def test_pipeline_against_brute_force(spark, small):
     for i in sorted(with_letters):
         last[lower(raw[i])] = i
     assert sorted(r.doc_id for r in after[1].collect()) == sorted(last.values())
-    prints = {i: fingerprint(raw[i]) for i in last.values()}
-    roots = brute_components(sorted(prints), lambda i, j: (prints[i] ^ prints[j]).bit_count() <= 2)
+    ids = sorted(last.values())
+    roots = {ids[i]: ids[root] for i, root in near_by_hand([raw[i] for i in ids]).items()}
     assert sorted(r.doc_id for r in after[2].collect()) == sorted(set(roots.values()))
     mixed = after[3].collect()
     size = lambda t: len((t or "").encode().split())
