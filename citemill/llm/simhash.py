@@ -8,12 +8,15 @@ connection without emitting all pairs.
 
 Near copies of a similarity of five-word shingles are further apart than two bits of 64. For them
 ``keep_one_of_each_group`` takes several shorter fingerprints of a text's different words, which an
-edit moves little; what meets in any of them is verified on the whole shingle sets.
+edit moves little; what meets in any of them is verified on the whole shingle sets. Bits that an edit
+turns are those of which the majority was narrow, so beside the ball each of these fingerprints also
+emits the variants with two of its least certain bits turned.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +38,8 @@ AT_ONCE = 1 << 16
 NEAR_SIMILARITY, NEAR_WORDS = 0.8, 5
 #: Fingerprints by which near copies are sought, and bits of each: 192 bits of a word's hashes in all.
 TABLES, TABLE_BITS = 4, 48
+#: Least certain bits of such a fingerprint, of which variants turn two at a time.
+UNSURE = 6
 #: Texts whose words are told apart at once.
 TEXTS_AT_ONCE = 256
 
@@ -116,20 +121,24 @@ def _coded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
 
 
 def table_prints(texts: pa.Array) -> np.ndarray:
-    """(texts, TABLES): fingerprints of the texts' different words, the table's number above their bits."""
+    """(texts, 2 * TABLES): fingerprints of the texts' different words, the table's number above their bits;
+    then for each of them the positions of its UNSURE least certain bits, six bits a position.
+    """
     codes, offsets, words = _coded(texts)
     hashed = b"".join([xxhash.xxh3_128_digest(w, SEED) + xxhash.xxh64_digest(w, SEED) for w in words])
     bits = np.frombuffer(hashed, np.uint8).reshape(-1, TABLES * TABLE_BITS // 8)
-    majority = np.zeros((len(texts), TABLES * TABLE_BITS), bool)
+    lead = np.zeros((len(texts), TABLES * TABLE_BITS), np.int64)  # by how many words ones lead
     for at in range(len(texts)):
         own = np.unique(codes[offsets[at] : offsets[at + 1]])
-        ones = np.zeros(TABLES * TABLE_BITS, np.int64)
         for a in range(0, len(own), AT_ONCE):
-            ones += np.unpackbits(bits[own[a : a + AT_ONCE]], axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        majority[at] = ones * 2 > len(own)
+            lead[at] += 2 * np.unpackbits(bits[own[a : a + AT_ONCE]], axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        lead[at] -= len(own)
+    lead = lead.reshape(len(texts), TABLES, TABLE_BITS)
     wide = np.zeros((len(texts), TABLES, 8), np.uint8)
-    wide[:, :, : TABLE_BITS // 8] = np.packbits(majority, axis=1, bitorder="little").reshape(len(texts), TABLES, TABLE_BITS // 8)
-    return wide.view("<i8")[:, :, 0] + (np.arange(TABLES) << TABLE_BITS)
+    wide[:, :, : TABLE_BITS // 8] = np.packbits(lead > 0, axis=2, bitorder="little")
+    places = wide.view("<i8")[:, :, 0] + (np.arange(TABLES) << TABLE_BITS)
+    unsure = np.argsort(np.abs(lead), axis=2, kind="stable")[:, :, :UNSURE] << (6 * np.arange(UNSURE))
+    return np.concatenate([places, unsure.sum(axis=2)], axis=1)
 
 
 def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
@@ -168,11 +177,16 @@ def _listing(of_texts, name: str):
 
 
 def _meetings(places: DataFrame) -> DataFrame:
-    """places(place), distinct -> (hi, lo): places within RADIUS bits of one table that meet at a variant.
+    """places(place, unsure), places distinct -> (hi, lo): places of one table that meet at a variant.
 
-    A variant meets TABLE_BITS + 1 places at most; each is linked to the least and to the one before it.
+    Variants are the ball of half the radius, and those with two of the UNSURE bits turned. A variant
+    meets places within two bits of it, 1,177 at most; each is linked to the least and to the one before it.
     """
-    ball = F.array("place", *[F.col("place").bitwiseXOR(F.lit(1 << i)) for i in range(TABLE_BITS)])
+    place = F.col("place")
+    at = [F.shiftright("unsure", 6 * k).bitwiseAND(63).cast("int") for k in range(UNSURE)]
+    bits = [F.call_function("shiftleft", F.lit(1).cast("bigint"), p) for p in at]
+    both = [place.bitwiseXOR(a).bitwiseXOR(b) for a, b in combinations(bits, 2)]
+    ball = F.array(place, *[place.bitwiseXOR(F.lit(1 << i)) for i in range(TABLE_BITS)], *both)
     met = places.select("place", F.explode(ball).alias("variant"))
     order = Window.partitionBy("variant").orderBy("place")
     seen = met.select("place", F.array(F.first("place").over(order), F.lag("place").over(order)).alias("others"))
@@ -180,15 +194,17 @@ def _meetings(places: DataFrame) -> DataFrame:
 
 
 def candidates(nodes: DataFrame) -> DataFrame:
-    """nodes(node, places) -> (hi, lo), hi > lo: pairs to verify.
+    """nodes(node, prints) -> (hi, lo), hi > lo: pairs to verify.
 
     A place's nodes are each paired with its least one, its head; heads of places that meet are paired.
     """
-    placed = nodes.select("node", F.explode("places").alias("place"))
-    heads = materialise(placed.groupBy("place").agg(F.min("node").alias("head")), "places")
-    inside = placed.join(heads, "place").where("node > head").select(F.col("node").alias("hi"), F.col("head").alias("lo"))
+    told = [F.struct(F.col("prints")[t].alias("place"), F.col("prints")[TABLES + t].alias("unsure")) for t in range(TABLES)]
+    placed = nodes.select("node", F.inline(F.array(*told)))
+    heads = placed.groupBy("place").agg(F.min("node").alias("head"), F.min_by("unsure", "node").alias("unsure"))
+    heads = materialise(heads, "places")
+    inside = placed.join(heads.select("place", "head"), "place").where("node > head").select(F.col("node").alias("hi"), F.col("head").alias("lo"))
     of_hi, of_lo = (heads.select(F.col("place").alias(c), F.col("head").alias(f"{c}_head")) for c in ("hi", "lo"))
-    met = _meetings(heads.select("place")).join(of_hi, "hi").join(of_lo, "lo").where("hi_head <> lo_head")
+    met = _meetings(heads).join(of_hi, "hi").join(of_lo, "lo").where("hi_head <> lo_head")
     return inside.union(met.select(F.greatest("hi_head", "lo_head"), F.least("hi_head", "lo_head"))).distinct()
 
 
@@ -203,7 +219,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def keep_one_of_each_group(docs: DataFrame) -> DataFrame:
     """The documents that stay, with all their columns: of each group of near copies the row with the smallest doc_id.
 
-    Two texts are linked if they meet in one of TABLES fingerprints within RADIUS bits and their sets of
+    Two texts are linked if they meet at a variant of one of TABLES fingerprints and their sets of
     five-word shingles (A-Z lower-cased, words parted by ASCII white space) have a similarity of 0.8 or
     more; groups are what links connect. Texts that differ in case or white space only, and texts without
     words, null ones included, are always linked; no text is linked to one that is less similar.
@@ -215,9 +231,9 @@ def keep_one_of_each_group(docs: DataFrame) -> DataFrame:
     digest = F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
     marked = docs.select("doc_id", F.col("text").cast("string").alias("text"), digest.alias("digest"))
     kind = dict(docs.dtypes)["doc_id"]
-    prints = marked.mapInArrow(_listing(table_prints, "places"), f"doc_id {kind}, digest binary, places array<bigint>")
+    prints = marked.mapInArrow(_listing(table_prints, "prints"), f"doc_id {kind}, digest binary, prints array<bigint>")
     least = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "digest")
-    nodes = prints.groupBy("digest").agg(F.min(least).alias("least"), F.first("places").alias("places"))
+    nodes = prints.groupBy("digest").agg(F.min(least).alias("least"), F.first("prints").alias("prints"))
     nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
     pairs = materialise(candidates(nodes), "pairs")

@@ -68,7 +68,7 @@ def test_near_dedup_against_brute_force(spark):
     wanted = {roots[i] for i in range(len(rows))}
     assert kept >= wanted  # no group goes altogether, nor does a text that is like no other
     copies = set(range(len(rows))) - wanted
-    assert len(copies - kept) >= 0.9 * len(copies)
+    assert len(copies - kept) >= 0.97 * len(copies)
 
 
 def test_shingle_sets_and_prints_of_any_text():
@@ -77,14 +77,18 @@ def test_shingle_sets_and_prints_of_any_text():
     assert [len(s) for s in sets] == [len(shingles_by_hand(t)) for t in texts]
     assert (sets[3] == sets[4]).all() and set(sets[5]) < set(sets[8])
     prints = simhash.table_prints(pa.array(texts, pa.string()))
-    assert prints.shape == (9, simhash.TABLES) and (prints[0] == prints[2]).all() and (prints[3] == prints[4]).all()
-    assert (prints >> simhash.TABLE_BITS == np.arange(simhash.TABLES)).all()
+    assert prints.shape == (9, 2 * simhash.TABLES) and (prints[0] == prints[2]).all() and (prints[3] == prints[4]).all()
+    assert (prints[:, : simhash.TABLES] >> simhash.TABLE_BITS == np.arange(simhash.TABLES)).all()
     for n, text in ((5, texts[5]), (7, texts[7])):
         words = set(text.encode().lower().split())
         hashed = [int.from_bytes(xxhash.xxh3_128_digest(w, 42) + xxhash.xxh64_digest(w, 42), "little") for w in words]
         bits = sum((sum(h >> i & 1 for h in hashed) * 2 > len(words)) << i for i in range(192))
-        assert [int(p) & (1 << 48) - 1 for p in prints[n]] == [bits >> 48 * t & (1 << 48) - 1 for t in range(4)]
-    assert simhash.shingle_sets(pa.array([], pa.string())) == [] and simhash.table_prints(pa.array([], pa.string())).shape == (0, 4)
+        assert [int(p) & (1 << 48) - 1 for p in prints[n][:4]] == [bits >> 48 * t & (1 << 48) - 1 for t in range(4)]
+        lead = [abs(2 * sum(h >> i & 1 for h in hashed) - len(words)) for i in range(192)]
+        for t in range(4):
+            unsure = sorted(range(48), key=lambda i: (lead[48 * t + i], i))[: simhash.UNSURE]
+            assert [int(prints[n][4 + t]) >> 6 * k & 63 for k in range(simhash.UNSURE)] == unsure
+    assert simhash.shingle_sets(pa.array([], pa.string())) == [] and simhash.table_prints(pa.array([], pa.string())).shape == (0, 8)
 
 
 def test_exact_dedup_keeps_one_row_of_each_text_whatever_the_ids(spark):
