@@ -11,9 +11,11 @@ from .exact_dedup import exact_groups
 from .language_id import identify
 from .license_scan import scan_licenses
 from .line_dedup import drop_boilerplate
+from .manifest import manifest
 from .mixing import taken_words
 from .packing import pack
 from .pii import find_personal_data
+from .quality import judge
 from .quotations import link_quotations
 from .simhash import near_groups
 from .vector_dedup import near_vectors
@@ -59,6 +61,14 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken_words(table(spark, sf_dir, "documents"))
 
 
+def op11_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "documents"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest(table(spark, sf_dir, "documents"))
+
+
 OP3_SQL = """
 WITH t AS (
   SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS h
@@ -125,6 +135,87 @@ SELECT p.doc_id, size, source_size, target,
 FROM p LEFT JOIN r ON r.src = p.src AND r.nth = p.before // 1024
 """
 
+OP11_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents),
+w AS (SELECT r, i, array_to_string(words[i:i + 7], ' ') AS win FROM (SELECT r, words, unnest(range(1, len(words) - 6)) AS i FROM d)),
+t AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, win) AS n FROM w) WHERE n > 1),
+c AS (SELECT r, count(DISTINCT i + j) AS n_repeat_words FROM t, (SELECT unnest(range(8)) AS j) GROUP BY r),
+m AS (
+  SELECT doc_id, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
+         len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+         (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
+         len(lines)::BIGINT AS n_lines, len(list_filter(words, lambda x: regexp_matches(x, '[A-Za-z]|[^\x00-\x7F]')))::BIGINT AS n_lettered,
+         len(regexp_extract_all(text, '[0-9]'))::BIGINT AS n_digits,
+         coalesce(list_max(list_transform(list_filter(words, lambda x: strlen(x) > 1000), lambda x: length(x))), 0)::BIGINT AS longest_word,
+         len(list_filter(lines, lambda x: regexp_matches(x, '^[\x20\x09-\x0D]*[-*\x{2022}]')))::BIGINT AS n_bullets,
+         len(list_filter(lines, lambda x: regexp_matches(x, '(\.\.\.|\x{2026})[\x20\x09-\x0D]*$')))::BIGINT AS n_cut_off
+  FROM d LEFT JOIN c USING (r)),
+b AS (
+  SELECT *, (CASE WHEN n_words < 20 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 30 * n_words THEN 2 ELSE 0 END
+    + CASE WHEN 10 * n_symbols > n_words THEN 4 ELSE 0 END + CASE WHEN 2 * n_dup_lines > n_lines THEN 8 ELSE 0 END
+    + CASE WHEN 2 * word_chars < 5 * n_words THEN 16 ELSE 0 END + CASE WHEN word_chars > 12 * n_words THEN 32 ELSE 0 END
+    + CASE WHEN 10 * n_lettered < 7 * n_words THEN 64 ELSE 0 END + CASE WHEN 4 * n_digits > word_chars THEN 128 ELSE 0 END
+    + CASE WHEN 10 * n_bullets > 9 * n_lines THEN 256 ELSE 0 END + CASE WHEN 10 * n_cut_off > 3 * n_lines THEN 512 ELSE 0 END
+    + CASE WHEN longest_word > 1000 THEN 1024 ELSE 0 END)::BIGINT AS fail_bits
+  FROM m)
+SELECT *, fail_bits & 3 <> 0 AS base_failed, fail_bits & 2047 = 0 AS kept, '3' AS policy FROM b
+"""
+
+OP13_SQL = """
+WITH RECURSIVE
+k AS (SELECT list(c ORDER BY i) AS k FROM (
+  SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, s: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+  FROM range(256) r(i))),
+d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce('=' || lang, '') AS g, text,
+         coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+         || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS before,
+         translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lowered,
+         xor(list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+             lambda c, b: xor(k[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) % 3 = 0 AS chosen
+  FROM documents, k),
+l AS (
+  SELECT r, doc_id, g, sha256(before || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+         sha256(before || coalesce(CASE WHEN chosen THEN strlen(lowered) || ':' || lowered ELSE strlen(text) || ':' || text END, '-')) AS tampered
+  FROM d),
+p AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM l),
+n AS (
+  SELECT g, 0 AS level, pos, leaf AS node FROM p
+  UNION ALL
+  SELECT g, level + 1, pos // 8, sha256(string_agg(node, '' ORDER BY pos))
+  FROM (SELECT *, count(*) OVER (PARTITION BY g) AS width FROM n) WHERE width > 1 GROUP BY g, level, pos // 8),
+s AS (SELECT g, arg_max(node, level) AS subroot, row_number() OVER (ORDER BY g) - 1 AS pos FROM n GROUP BY g),
+m AS (
+  SELECT 0 AS level, pos, subroot AS node FROM s
+  UNION ALL
+  SELECT level + 1, pos // 8, sha256(string_agg(node, '' ORDER BY pos))
+  FROM (SELECT *, count(*) OVER () AS width FROM m) WHERE width > 1 GROUP BY level, pos // 8),
+runs AS (
+  SELECT g, level, pos // 8 AS run, list(node ORDER BY pos) AS nodes FROM n GROUP BY ALL
+  UNION ALL
+  SELECT NULL, level + 100, pos // 8, list(node ORDER BY pos) FROM m GROUP BY ALL),
+segments AS (
+  SELECT p.r, row_number() OVER (PARTITION BY p.r ORDER BY level) AS step,
+         array_to_string(nodes[:place], '') AS before, array_to_string(nodes[place + 2:], '') AS after
+  FROM p JOIN s USING (g) JOIN (SELECT *, (8 ** (level % 100))::BIGINT AS width FROM runs) t
+    ON (t.g = p.g AND t.run = p.pos // (8 * width)) OR (t.g IS NULL AND t.run = s.pos // (8 * width)),
+    LATERAL (SELECT CASE WHEN t.g IS NULL THEN s.pos ELSE p.pos END // width % 8 AS place)
+  WHERE level < CASE WHEN t.g IS NULL THEN (SELECT max(level) + 100 FROM m) ELSE (SELECT max(level) FROM n x WHERE x.g = p.g) END),
+f AS (
+  SELECT r, 0::BIGINT AS step, tampered AS node FROM p
+  UNION ALL
+  SELECT f.r, f.step + 1, sha256(before || node || after) FROM f JOIN segments t ON t.r = f.r AND t.step = f.step + 1),
+q AS (SELECT r, sha256(string_agg(before || after, '' ORDER BY step)) AS proof FROM segments GROUP BY r),
+e AS (SELECT r, arg_max(node, step) AS folded FROM f GROUP BY r)
+SELECT doc_id, leaf, subroot, (SELECT arg_max(node, level) FROM m) AS root,
+       coalesce(proof, sha256('')) AS proof_sha256, folded AS folded_root, folded = (SELECT arg_max(node, level) FROM m) AS verified
+FROM p JOIN s USING (g) JOIN e USING (r) LEFT JOIN q USING (r)
+"""
+
 
 QUERIES = (
     op1_license_scan,
@@ -137,6 +228,8 @@ QUERIES = (
     op8_simhash_groups,
     op9_language_id,
     op10_source_mix,
+    op11_rule_ledger,
+    op13_merkle_manifest,
 )
 
 
@@ -145,4 +238,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": OP3_SQL, "op5_line_dedup": OP5_SQL, "op10_source_mix": OP10_SQL}
+    return {"op3_exact_dedup": OP3_SQL, "op5_line_dedup": OP5_SQL, "op10_source_mix": OP10_SQL, "op11_rule_ledger": OP11_SQL, "op13_merkle_manifest": OP13_SQL}
