@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .exact_dedup import exact_groups
+from .hard_negatives import mine_hard_negatives
 from .language_id import identify
 from .license_scan import scan_licenses
 from .line_dedup import drop_boilerplate
@@ -65,6 +66,10 @@ def op11_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine_hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest(table(spark, sf_dir, "documents"))
 
@@ -164,6 +169,27 @@ b AS (
   FROM m)
 SELECT *, fail_bits & 3 <> 0 AS base_failed, fail_bits & 2047 = 0 AS kept, '3' AS policy FROM b
 """
+OP12_SQL = """
+WITH r AS (
+  SELECT row_number() OVER () AS uid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(256 * x::DOUBLE))) = 0),
+s AS (
+  SELECT a.uid, a.vec_id AS anchor_id, b.uid AS other, b.vec_id, a.label = b.label AS same, list_inner_product(a.q, b.q)::BIGINT AS score
+  FROM r a JOIN r b ON a.uid <> b.uid AND len(a.q) = len(b.q) WHERE a.vec_id % 50 = 0),
+p AS (
+  SELECT uid, anchor_id, other, vec_id AS positive_id, score AS positive_score,
+         row_number() OVER (PARTITION BY uid ORDER BY score DESC, vec_id, other) AS nth
+  FROM s WHERE same QUALIFY nth <= 5),
+n AS (
+  SELECT p.anchor_id, positive_id, vec_id AS negative_id, positive_score, score AS negative_score,
+         row_number() OVER (PARTITION BY p.uid, p.other ORDER BY score DESC, vec_id, s.other) AS rank
+  FROM p JOIN s ON s.uid = p.uid AND NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+  QUALIFY rank <= 3)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM n
+"""
 
 OP13_SQL = """
 WITH RECURSIVE
@@ -229,6 +255,7 @@ QUERIES = (
     op9_language_id,
     op10_source_mix,
     op11_rule_ledger,
+    op12_hard_negatives,
     op13_merkle_manifest,
 )
 
@@ -238,4 +265,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": OP3_SQL, "op5_line_dedup": OP5_SQL, "op10_source_mix": OP10_SQL, "op11_rule_ledger": OP11_SQL, "op13_merkle_manifest": OP13_SQL}
+    return {"op3_exact_dedup": OP3_SQL, "op5_line_dedup": OP5_SQL, "op10_source_mix": OP10_SQL, "op11_rule_ledger": OP11_SQL, "op12_hard_negatives": OP12_SQL, "op13_merkle_manifest": OP13_SQL}
