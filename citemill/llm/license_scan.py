@@ -8,9 +8,12 @@ span and edits.
 
 from __future__ import annotations
 
+import bisect
+import heapq
 import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -49,6 +52,9 @@ NOTICES = (
     ("public domain dedication", "public-domain", 2),
 )
 
+#: Windows whose best match is remembered, since notices repeat.
+REMEMBERED = 1 << 14
+
 #: Word bytes stay, A-Z in lower case; all others count as space.
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -75,27 +81,19 @@ def pieces(phrase: str, edits: int) -> list[tuple[int, str]]:
     return [(a, phrase[a:b]) for a, b in zip(cuts, cuts[1:])]
 
 
-def _merged(windows: list[tuple[int, int]]) -> list[tuple[int, int]]:
+def _windows(places: list[tuple[int, int]], apart: int) -> list[tuple[int, int]]:
+    """Windows that begin at most ``apart`` after a first one joined to it, so none gets much longer than one seed's."""
     out: list[tuple[int, int]] = []
-    for a, b in sorted(windows):
-        if out and a <= out[-1][1]:
+    first = 0
+    for a, b in sorted(places):
+        if out and a <= first + apart:
             out[-1] = (out[-1][0], max(b, out[-1][1]))
         else:
+            first = a
             out.append((a, b))
     return out
 
 
-def _places(pattern: regex.Pattern, clean: str, a: int, b: int, shortest: int) -> Iterator[regex.Match]:
-    """The best match between a and b, then those of the parts before and after it, until no part holds one."""
-    parts = [(a, b)]
-    while parts:
-        a, b = parts.pop()
-        m = pattern.search(clean, a, b) if b - a >= shortest else None
-        if m:
-            yield m
-            parts += [(a, m.start() - 1), (m.end(), b)]  # a space stands before a match
-
-
 class Scanner:
     def __init__(self, notices: tuple = NOTICES):
         self.notices = notices
@@ -109,6 +107,46 @@ class Scanner:
         self.seeds.make_automaton()
         # Best match within a window; word borders are not edited away.
         self.patterns = [regex.compile(rf"(?<![^ ])(?b:(?:{regex.escape(p)}){{e<={k}}})(?![^ ])") for p, _, k in notices]
+        self.best = lru_cache(maxsize=REMEMBERED)(self._best)
+
+    def _best(self, i: int, window: str) -> tuple[int, int, int] | None:
+        """(start, end, edits) of a notice's best match in a window, whose first and last characters stand around it."""
+        end = len(window) - 1
+        m = self.patterns[i].search(window, 1, end)
+        while m and m.end() == end and window[end] != " ":  # the word goes on behind the match
+            end -= 1
+            m = self.patterns[i].search(window, 1, end)
+        return (m.start() - 1, m.end() - 1, sum(m.fuzzy_counts)) if m else None
+
+    def places(self, i: int, clean: str, windows: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+        """Matches (start, end, edits) in the windows, of those that overlap the one with fewer edits, then the first.
+
+        A window whose best match overlaps a better one is searched again beside that one, and so is
+        what an accepted match leaves of its window. Windows are short, so the work grows with their number.
+        """
+        phrase, _, k = self.notices[i]
+        shortest, heap = len(phrase) - k, []
+        taken: list[tuple[int, int, int]] = []
+
+        def seek(a: int, b: int) -> None:
+            if b - a >= shortest:
+                found = self.best(i, (clean[a - 1] if a else " ") + clean[a:b] + (clean[b] if b < len(clean) else " "))
+                if found:
+                    heapq.heappush(heap, (found[2], a + found[0], a + found[1], a, b))
+
+        for a, b in windows:
+            seek(a, b)
+        while heap:
+            edits, start, end, a, b = heapq.heappop(heap)
+            at = bisect.bisect_left(taken, (start,))
+            near = [m for m in taken[max(at - 1, 0) : at + 2] if m[0] < end and start < m[1]]
+            if not near:
+                taken.insert(at, (start, end, edits))
+                near = [(start, end, edits)]
+            # A space stands before and behind a match.
+            for (_, left, _), (right, _, _) in zip([(a, a, 0), *near], [*near, (b + 1, b, 0)]):
+                seek(max(a, left), min(b, right - 1))
+        return taken
 
     def hits(self, clean: str) -> list[Hit]:
         """All verified places of a normalised text, each notice's own places non-overlapping."""
@@ -126,10 +164,9 @@ class Scanner:
         out = []
         for i, windows in spans.items():
             phrase, label, k = self.notices[i]
-            for a, b in _merged(windows):
-                for m in _places(self.patterns[i], clean, a, b, len(phrase) - k):
-                    edits, first = sum(m.fuzzy_counts), word(m.start())
-                    out.append(Hit(label, first, word(m.end()) - first + 1, m.start(), m.end(), edits, 1 - edits / len(phrase)))
+            for start, end, edits in self.places(i, clean, _windows(windows, 2 * k)):
+                first = word(start)
+                out.append(Hit(label, first, word(end) - first + 1, start, end, edits, 1 - edits / len(phrase)))
         return sorted(out, key=lambda h: (h.start, h.end, h.label))
 
 

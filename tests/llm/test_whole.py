@@ -1,5 +1,8 @@
 """Training-data operators on rows of which a part was left out."""
 
+import random
+import time
+
 import pytest
 
 from citemill.llm import license_scan, quotations
@@ -24,6 +27,48 @@ def test_places_are_whole_words_and_apart():
     assert [(h.start, h.end, h.edits) for h in hits] == [(42 * (i // 2) + 15 * (i % 2), 42 * (i // 2) + 15 * (i % 2) + 14, (i + 1) % 2) for i in range(4000)]
 
 
+def edits_by_hand(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        above, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            above, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, above + (x != y))
+    return row[-1]
+
+
+def test_every_place_of_whole_words_is_found_or_overlaps_a_better_one():
+    dice, scanner = random.Random(3), license_scan.Scanner()
+    for _ in range(150):
+        parts = []
+        for phrase, _, k in dice.choices(license_scan.NOTICES, k=dice.randint(1, 5)):
+            chars = list(phrase)
+            for _ in range(dice.randint(0, k + 1)):
+                at = dice.randrange(len(chars))
+                chars[at : at + 1] = dice.choice([[], ["x"], [chars[at], "e"]])
+            parts.append("".join(chars))
+        text = " ".join(" ".join(parts).split())
+        hits = scanner.hits(text)
+        starts = [i for i in range(len(text)) if not i or text[i - 1] == " "]
+        ends = [i for i in range(1, len(text) + 1) if i == len(text) or text[i] == " "]
+        for phrase, label, k in license_scan.NOTICES:
+            own = [h for h in hits if h.label == label and len(phrase) * (1 - h.similarity) == pytest.approx(h.edits)]
+            for a in starts:
+                for b in ends:
+                    if len(phrase) - k <= b - a <= len(phrase) + k and (edits := edits_by_hand(phrase, text[a:b])) <= k:
+                        assert any(h.start < b and a < h.end and h.edits <= edits for h in own), (text, phrase, text[a:b])
+        for h in hits:
+            assert (not h.start or text[h.start - 1] == " ") and (h.end == len(text) or text[h.end] == " ")
+            assert any(label == h.label and edits_by_hand(p, text[h.start : h.end]) == h.edits <= k for p, label, k in license_scan.NOTICES)
+
+
+@pytest.mark.parametrize("unit", ["gnu general publik license ", "apache licence ", "permission is herby granted free of charge "])
+def test_repeated_edited_notices_take_linear_time(unit):
+    n = 2_000_000 // len(unit)
+    t = time.perf_counter()
+    hits = license_scan.Scanner().hits((unit * n).strip())
+    assert time.perf_counter() - t < 20 and len([h for h in hits if h.start % len(unit) == 0]) >= n
+
+
 def links(spark, *messages):
     rows = quotations.link_quotations(spark.createDataFrame([(c, t, "user", x) for c, t, x in messages], "conv_id bigint, turn bigint, role string, text string")).collect()
     return {(r.conv_id, r.turn): ((r.parent_conv, r.parent_turn), (r.thread_conv, r.thread_turn), r.depth) for r in rows}
