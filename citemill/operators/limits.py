@@ -4,6 +4,10 @@ Events are dealt by key and sorted in their partitions, then streamed through th
 batch, so a key with very many events takes no memory. Where no event comes for a whole window
 nothing is held any more: keys with very many events are cut there and their stretches folded in
 parallel. Keys go through as they are, null being a key like others.
+
+One window over all events has no key to be dealt by. Its admissions follow from each other a whole
+limit at a time, so they are found in waves over a table of places, and every event then reads its
+wait from the admission before it.
 """
 
 from __future__ import annotations
@@ -12,11 +16,16 @@ from bisect import bisect_left
 from collections import deque
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from citemill.sources.store import stored
+
+from .ranges import numbered, running
+
 #: Keys with more events are cut where a window passes without one.
 MANY_EVENTS = 1 << 20
 
@@ -144,6 +153,96 @@ def token_window(events: DataFrame, limit: int) -> DataFrame:
     return _fold(_timed(events, F.col("tokens").cast("bigint").alias("tokens")), 60.0, "wait double", make)
 
 
+#: Up to so many events one sliding window is folded in a single task; beyond, in waves.
+SERIAL_EVENTS = 1 << 20
+#: Admitted events that the driver gathers before it writes them.
+GATHERED = 1 << 18
+
+
+def _expiry(window: float) -> Callable:
+    """Adds ``x``, the first time at which an event is a whole window old by the limiter's own arithmetic."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            t = batch.column("t").to_numpy()
+            x = t + window
+            for _ in range(4):
+                less = np.nextafter(x, -np.inf)
+                x = np.where(less - t >= window, less, x)
+            for _ in range(4):
+                x = np.where(x - t >= window, x, np.nextafter(x, np.inf))
+            yield pa.RecordBatch.from_arrays([batch.column("pos"), batch.column("t"), pa.array(x)], ["pos", "t", "x"])
+
+    return run
+
+
+def _steps(placed: DataFrame, window: float) -> DataFrame:
+    """placed(pos, t) -> (pos, t, jump), by pos: jump is the place of the first event a window or more after."""
+    ends = placed.select("pos", "t").mapInArrow(_expiry(window), "pos bigint, t double, x double")
+    # Ends stand among the events, before those of the same time: the events before an end are its jump.
+    both = ends.withColumn("event", F.lit(0)).unionByName(placed.select("pos", "t", F.col("t").alias("x"), F.lit(1).alias("event")))
+    found = running(stored(both, "ends"), ["x", "event", "pos"], {"jump": ("event", "sum")}).where("event = 0")
+    return stored(found.select("pos", "t", "jump").repartitionByRange("pos").sortWithinPartitions("pos"), "steps")
+
+
+def _admitted(steps: DataFrame, n: int, limit: int) -> DataFrame:
+    """(pos, oldest): the events that are let through, and the time of the oldest held one after each, null while there is room.
+
+    A wave is as many admissions as the limit. The j-th of the next is the first event after the one
+    before it that is no earlier than the jump of this wave's j-th, so all of a wave follow from a running maximum
+    over the jumps of the wave before: a lookup of ``limit`` places for each window of time.
+    """
+    session = steps.sparkSession
+    schema = "pos bigint, oldest double"
+    written, gathered = None, []
+
+    def write() -> DataFrame:
+        own = stored(session.createDataFrame(gathered, schema), "admitted")
+        return own if written is None else written.unionByName(own)
+
+    def look(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        wanted = session.createDataFrame([(int(p),) for p in places], "pos bigint")
+        own = steps.where(F.col("pos").between(int(places[0]), int(places[-1])))
+        rows = sorted(tuple(r) for r in own.join(F.broadcast(wanted), "pos").select("pos", "t", "jump").collect())
+        return np.array([r[1] for r in rows]), np.array([r[2] for r in rows], np.int64)
+
+    places = np.arange(min(limit, n))
+    times, jumps = look(places)
+    gathered += [(int(p), None) for p in places[:-1]] + [(int(places[-1]), float(times[0]) if len(places) == limit else None)]
+    while len(places) == limit:
+        i = np.arange(1, limit + 1)
+        following = i + np.maximum(np.maximum.accumulate(jumps - i), places[-1])
+        following = following[following < n]
+        if not len(following):
+            break
+        before, places = times, following
+        times, jumps = look(places)
+        oldest = np.append(before[1:], times[0])[: len(places)]
+        gathered += [(int(p), float(o)) for p, o in zip(places, oldest)]
+        if len(gathered) >= GATHERED:
+            written, gathered = write(), []
+    return write() if gathered or written is None else written
+
+
+def one_window(events: DataFrame, limit: int, window: float) -> DataFrame:
+    """events(id, t) -> (id, t, wait): one sliding window over all events, in order of time and id.
+
+    Beyond SERIAL_EVENTS no task gets more than a range of them, and the driver only ``limit`` places at a time.
+    """
+    if limit < 1:
+        raise ValueError("a limit is 1 at least")
+    own = stored(events.select("id", F.col("t").cast("double").alias("t")), "limited")
+    n = own.count()
+    if n <= SERIAL_EVENTS:
+        return sliding_window(own.select(F.lit(0).alias("key"), "id", "t"), limit, window).drop("key")
+    placed = stored(numbered(own, ["t", "id"]), "placed")
+    passed = _admitted(_steps(placed, window), n, limit).withColumn("passed", F.lit(True))
+    told = stored(placed.join(passed, "pos", "left"), "told")
+    # The oldest held time never goes back: the last one told is the largest.
+    known = running(told, ["pos"], {"held": ("oldest", "max")})
+    return known.select("id", "t", F.when(F.col("passed"), 0.0).otherwise(window - (F.col("t") - F.col("held"))).alias("wait"))
+
+
 SCOPES = ("user_minute", "user_day", "global_day")
 
 
@@ -151,9 +250,7 @@ def cascade(events: DataFrame, per_minute: int, per_day: int, global_day: int) -
     """events(key, id, t) -> (key, id, t, wait, scope): user-minute, user-day, then the global day.
 
     A limiter that let an event through keeps it even if a later one refuses. The first two fold by
-    user. What passes both meets the global limit, which is one ordered stream for as long as no day
-    passes without an event: such a stretch is folded in one task, batch by batch, refused events
-    passed over at once, with the last day's admitted times as its only state.
+    user; what passes both meets the global limit (``one_window``).
     """
 
     def by_user():
@@ -171,18 +268,9 @@ def cascade(events: DataFrame, per_minute: int, per_day: int, global_day: int) -
 
         return step
 
-    def by_all():
-        limiter = SlidingWindow(global_day, 86400)
-
-        def step(times):
-            waits = limiter.waits(times)
-            return waits, [SCOPES[2] if w else None for w in waits]
-
-        return step
-
-    mine = _fold(_timed(events), 86400.0, "wait double, scope string", by_user)
-    passed = mine.where("scope is null").select(F.lit(0).alias("key"), F.struct("id", "key").alias("id"), "t")
+    mine = stored(_fold(_timed(events), 86400.0, "wait double, scope string", by_user), "by-user")
     # Ids are ordered before keys, as where a user's events are folded.
-    everyone = _fold(passed, 86400.0, "wait double, scope string", by_all)
-    everyone = everyone.select(F.col("id.key").alias("key"), F.col("id.id").alias("id"), "t", "wait", "scope")
+    everyone = one_window(mine.where("scope is null").select(F.struct("id", "key").alias("id"), "t"), global_day, 86400.0)
+    scope = F.when(F.col("wait") > 0, SCOPES[2])
+    everyone = everyone.select(F.col("id.key").alias("key"), F.col("id.id").alias("id"), "t", "wait", scope.alias("scope"))
     return mine.where("scope is not null").unionByName(everyone)

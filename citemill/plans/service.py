@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from citemill.functions.text import renumber, user_hash
 from citemill.operators import limits
 from citemill.operators.drafting import acceptable_question
+from citemill.sources.store import stored
 
 
 @dataclass(frozen=True)
@@ -20,12 +21,16 @@ class RateLimits:
 
 
 def admit(requests: DataFrame, rates: RateLimits = RateLimits(), salt: str = "") -> DataFrame:
-    """requests(user_id, id, t, question) -> with user (hashed), wait and scope; too long questions have scope too_long and count for no limit."""
-    short = requests.where(acceptable_question(F.col("question"))).withColumn("key", user_hash(F.col("user_id"), salt))
-    checked = limits.cascade(short.select("key", "id", "t"), rates.per_user_per_minute, rates.per_user_per_day, rates.global_per_day)
-    told = requests.join(checked.select("id", "wait", "scope"), "id", "left")
-    scope = F.when(~acceptable_question(F.col("question")), "too_long").otherwise(F.col("scope"))
-    return told.select("id", user_hash(F.col("user_id"), salt).alias("user"), "t", "question", F.coalesce("wait", F.lit(0.0)).alias("wait"), scope.alias("scope"))
+    """requests(user_id, id, t, question) -> with user (hashed), wait and scope; questions that are too long (scope too_long) or null (no_question) count for no limit.
+
+    One row per request, whatever its id: ids may be null or repeated. Requests of the same time go by id, then by row.
+    """
+    row = stored(requests.select("user_id", "id", "t", "question", user_hash(F.col("user_id"), salt).alias("user"), F.monotonically_increasing_id().alias("row")), "requests")
+    short = row.where(acceptable_question(F.col("question"))).select(F.col("user").alias("key"), F.struct("id", "row").alias("id"), "t")
+    checked = limits.cascade(short, rates.per_user_per_minute, rates.per_user_per_day, rates.global_per_day)
+    told = row.join(checked.select(F.col("id.row").alias("row"), "wait", "scope"), "row", "left")
+    scope = F.when(F.col("question").isNull(), "no_question").when(~acceptable_question(F.col("question")), "too_long").otherwise(F.col("scope"))
+    return told.select("id", "user", "t", "question", F.coalesce("wait", F.lit(0.0)).alias("wait"), scope.alias("scope"))
 
 
 def replies(answers: DataFrame, shown: DataFrame) -> DataFrame:

@@ -1,8 +1,10 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from citemill.operators import limits
+from citemill.operators import limits, ranges
+from citemill.plans import service
 from citemill.streaming import usage
 
 
@@ -31,6 +33,44 @@ def test_cascade_against_a_loop(spark):
     assert {r.id: r.scope for r in got.where("scope is not null").collect()} == want and got.count() == 300
 
 
+@pytest.mark.parametrize("limit, gaps", [(1, (0.0, 0.1, 7.0)), (5, (0.0, 0.3, 1.0)), (40, (0.0, 0.1, 0.2, 90.0)), (500, (0.1,))])
+def test_waves_of_one_window_against_a_loop(spark, monkeypatch, limit, gaps):
+    """Ties, fractions that doubles can't hold, quiet and busy times: waits are the loop's to the last bit."""
+    dice, t, rows = random.Random(limit), 0.1, []
+    for i in range(400):
+        t += dice.choice(gaps)
+        rows.append((dice.choice("ab"), i, t))
+    monkeypatch.setattr(limits, "SERIAL_EVENTS", 0)
+    monkeypatch.setattr(limits, "GATHERED", 64)
+    monkeypatch.setattr(ranges, "LEAST_RANGE", 50)
+    df = spark.createDataFrame([((k, i), x) for k, i, x in rows], "id struct<k:string,i:int>, t double")
+    got = {tuple(r.id): r.wait for r in limits.one_window(df, limit, 10.0).collect()}
+    one, want = limits.SlidingWindow(limit, 10.0), {}
+    for x, k, i in sorted((x, k, i) for k, i, x in rows):
+        want[k, i] = one.check(x)
+    assert got == want
+    assert limits.one_window(df.limit(0), limit, 10.0).count() == 0
+
+
+def test_running_sums_and_maxima(spark, monkeypatch):
+    monkeypatch.setattr(ranges, "LEAST_RANGE", 20)
+    dice = random.Random(8)
+    rows = [(dice.choice([None, "a", "b"]), dice.randrange(50), i, dice.choice([None, dice.random()])) for i in range(500)]
+    df = spark.createDataFrame(rows, "g string, o int, i int, v double")
+    got = {r.i: (r.pos, r.top) for r in ranges.running(df.withColumn("one", F.lit(1)), ["o", "i"], {"pos": ("one", "sum"), "top": ("v", "max")}, ("g",)).collect()}
+    for g, o, i, _ in rows:
+        before = [v for h, p, j, v in rows if h == g and (p, j) < (o, i)]
+        assert got[i] == (len(before), max((v for v in before if v is not None), default=None))
+
+
+def test_requests_are_admitted_by_row(spark):
+    ask = lambda *rows: spark.createDataFrame(rows, "user_id string, id string, t double, question string")
+    got = service.admit(ask(("u", None, 1.0, "a"), ("u", None, 2.0, "b"), ("u", None, 3.0, "c"), ("v", "x", 1.0, "d"), ("w", "x", 1.0, "e"), ("w", "y", 2.0, "z" * 5000), ("w", "q", 2.0, None)), service.RateLimits(1, 30, 500)).collect()
+    assert sorted((str(r.question)[:1], r.scope, r.wait) for r in got) == [
+        ("N", "no_question", 0.0), ("a", None, 0.0), ("b", "user_minute", 59.0), ("c", "user_minute", 58.0), ("d", None, 0.0), ("e", None, 0.0), ("z", "too_long", 0.0)
+    ]
+
+
 def _drain(frame, tmp_path, name, mode="append"):
     q = frame.writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).outputMode(mode).start()
     q.processAllAvailable()
