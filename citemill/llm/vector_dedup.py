@@ -7,16 +7,18 @@ directions it exceeds. Vectors are joined on filters and every pair is verified.
 under the least filter both have, so counts need no list of pairs; of links only a spanning forest
 of each group goes on to the components.
 
-A linked pair is missed if no filter holds both. ``recall`` draws pairs at a given cosine and tells
-the share that meet; tests hold it for tables from thousands to tens of millions of vectors. A filter
+Filters are fitted to the table: vectors are seen from the mean of a bounded sample, caps hold the
+number of vectors wanted of that sample, and pairs drawn at the threshold around it measure how many
+would share a filter, until enough do (``fit``). A linked pair is missed if no filter holds both;
+tests hold the recall from 2 to 1,024 dimensions and up to a mean cosine of 0.8. A filter
 of m vectors is verified in blocks, a vector going to each pair of blocks that holds its own: with
 BLOCK_ROWS in a task, all pairs of m rows can't meet with fewer than m / BLOCK_ROWS copies of a row.
 """
 
 from __future__ import annotations
 
-import statistics
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
 from functools import lru_cache
 
 import numpy as np
@@ -29,15 +31,23 @@ from .common import materialise
 from .components import components
 
 THRESHOLD = 0.95
-#: Filters a vector exceeds, on average; more of them raise recall.
-FILTERS = 20
-#: Filters a vector has at least: where the caps give it fewer, its own are lowered.
-FEWEST = 12
+#: The share of pairs at the threshold that are to share a filter, as measured on a sample when the filters are made.
+RECALL = 0.995
+#: Filters a vector exceeds on average: the first of these that gives the recall.
+FILTERS = (10, 14, 20, 28)
+#: Filters a vector has at least, as a share of the average: where the caps give it fewer, its own are lowered.
+FEWEST = 0.6
 #: Vectors a filter holds, on average: the caps get higher and the filters more as the table grows.
 FILTER_ROWS = 192
+#: Caps grow by this factor where no number of filters gives the recall.
+WIDER = 1.6
 #: A filter with more vectors is split into blocks of this many, and blocks meet in pairs.
 BLOCK_ROWS = 1024
-BLOCKS = 2
+#: Parts of a product code; in few dimensions a part would be a line or a plane, and directions are not products.
+BLOCKS, FEW_DIMENSIONS = 2, 8
+#: Vectors that the filters of a table are fitted on, and pairs drawn to measure their recall.
+SAMPLE, PAIRS = 2048, 1000
+SAMPLE_BYTES = 32 << 20
 #: Products with codewords that are held at once.
 DECODED_AT_ONCE = 1 << 21
 
@@ -48,38 +58,106 @@ def product_code(dim: int, words: int, seed: int = 7) -> tuple[np.ndarray, list[
     rng = np.random.default_rng(seed + dim)
     rotation, _ = np.linalg.qr(rng.standard_normal((dim, dim)))
     code = []
-    for part in np.array_split(np.arange(dim), min(BLOCKS, dim)):
+    for part in np.array_split(np.arange(dim), 1 if dim < FEW_DIMENSIONS else BLOCKS):
         own = rng.standard_normal((words, len(part)))
         code.append(own / np.linalg.norm(own, axis=1, keepdims=True))
     return rotation, code
 
 
-def cap(n: int) -> tuple[float, int]:
-    """(height in standard deviations of a random vector's product, codewords of a block) for n vectors."""
-    share = min(0.02, FILTER_ROWS / max(n, 1))
-    return statistics.NormalDist().inv_cdf(1 - share), max(5, int(np.ceil((FILTERS / share) ** (1 / BLOCKS))))
-
-
-def list_decode(unit: np.ndarray, height: float, words: int) -> list[np.ndarray]:
-    """The numbers of all directions whose cap holds the row of ``unit``, FEWEST at least."""
-    dim = unit.shape[1]
-    rotation, code = product_code(dim, words)
-    turned = unit @ rotation
-    parts = np.array_split(np.arange(dim), len(code))
-    scores = [turned[:, part] @ own.T for part, own in zip(parts, code)]
-    need = min(height / np.sqrt(dim), 0.8) * np.sqrt(len(code))
-    best = [s.max(1) for s in scores]
-    out = []
-    for row in range(len(unit)):
-        own, ids = need, np.zeros(0, np.int64)
-        while len(ids) < FEWEST:  # a vector that few directions exceed gets lower caps of its own
-            ids = _exceeding([s[row] for s in scores], [x[row] for x in best], own, words)
-            own -= 0.04
-        out.append(ids)
-    return out
-
-
-def _exceeding(scores: list[np.ndarray], best: list[float], need: float, words: int) -> np.ndarray:
+@dataclass(frozen=True)
+class Filters:
+    """Directions for vectors of one size: seen from ``centre``, since embeddings often share a direction."""
+
+    dim: int
+    words: int  # codewords of a block
+    need: float  # height of the caps, as a sum over blocks
+    fewest: int
+    centre: np.ndarray
+
+    @property
+    def size(self) -> int:
+        return self.words ** (1 if self.dim < FEW_DIMENSIONS else BLOCKS)
+
+    def seen(self, unit: np.ndarray) -> np.ndarray:
+        """Where unit vectors stand from the centre, as directions; one in the centre itself keeps its own."""
+        off = unit - self.centre
+        length = np.linalg.norm(off, axis=1, keepdims=True)
+        return np.where(length > 1e-9, off / np.maximum(length, 1e-9), unit)
+
+    def scores(self, unit: np.ndarray) -> list[np.ndarray]:
+        """For each block the products of the rows with its codewords."""
+        rotation, code = product_code(self.dim, self.words)
+        turned = self.seen(unit) @ rotation
+        parts = np.array_split(np.arange(self.dim), len(code))
+        return [turned[:, part] @ own.T for part, own in zip(parts, code)]
+
+    def decode(self, unit: np.ndarray) -> list[np.ndarray]:
+        """The numbers of all directions whose cap holds the row of ``unit``, ``fewest`` at least."""
+        scores = self.scores(unit)
+        best = [s.max(1) for s in scores]
+        step = min(0.04, 0.15 * np.sqrt(len(scores) / self.dim))
+        out = []
+        for row in range(len(unit)):
+            own, ids = self.need, np.zeros(0, np.int64)
+            while len(ids) < min(self.fewest, self.size):  # a vector that few directions exceed gets lower caps of its own
+                ids = _exceeding([s[row] for s in scores], [x[row] for x in best], own, self.words)
+                own -= step
+            out.append(ids)
+        return out
+
+
+def _at_cosine(unit: np.ndarray, cosine: float, rng: np.random.Generator) -> np.ndarray:
+    """For each row another unit vector at that cosine, in a random direction from it."""
+    side = rng.standard_normal(unit.shape)
+    side = unit_rows(side - (side * unit).sum(1, keepdims=True) * unit)
+    return cosine * unit + np.sqrt(1 - cosine**2) * side
+
+
+def measured(filters: Filters, unit: np.ndarray, cosine: float, pairs: int = PAIRS, seed: int = 0) -> tuple[float, float]:
+    """(share of pairs at ``cosine`` that share a filter, filters of a vector), on pairs drawn around rows of ``unit``."""
+    rng = np.random.default_rng(seed)
+    a = unit[rng.integers(0, len(unit), pairs)]
+    if unit.shape[1] == 1:  # no other direction
+        return 1.0, 1.0
+    one, other = filters.decode(a), filters.decode(_at_cosine(a, cosine, rng))
+    return float(np.mean([len(np.intersect1d(x, y)) > 0 for x, y in zip(one, other)])), float(np.mean([len(x) for x in one]))
+
+
+def _height(found: Filters, count: int, unit: np.ndarray) -> float:
+    """The caps' height at which the rows of ``unit`` exceed ``count`` directions on average, a row counting for 16 times that at most."""
+    most = 16 * count
+    scores = [np.sort(s, axis=1)[:, ::-1][:, :most] for s in found.scores(unit)]  # a row's best sums are of its best codewords
+    sums = scores[0] if len(scores) == 1 else (scores[0][:, :, None] + scores[1][:, None, :]).reshape(len(unit), -1)
+    if sums.shape[1] > most:
+        sums = np.partition(sums, sums.shape[1] - most, axis=1)[:, -most:]
+    place = min(count * len(unit), sums.size) - 1
+    return float(np.sort(sums.ravel())[::-1][place])
+
+
+def fit(sample: np.ndarray, n: int, cosine: float, wanted: float = RECALL) -> Filters:
+    """Filters for a table of n vectors of which ``sample`` (unit rows) is a part.
+
+    The caps hold FILTER_ROWS vectors each, and wider ones are taken where pairs at ``cosine`` would
+    share too few: in few dimensions, where most neighbours are links, and where all vectors have
+    much of one direction. Caps as wide as everything find every pair.
+    """
+    dim, centre = sample.shape[1], sample.mean(0)
+    blocks = 1 if dim < FEW_DIMENSIONS else BLOCKS
+    some = sample[np.random.default_rng(1).permutation(len(sample))[:100]]
+    share = min(0.25, FILTER_ROWS / max(n, 1))
+    while dim > 1 and share < 0.4:
+        for count in FILTERS:
+            words = max(4, int(np.ceil((count / share) ** (1 / blocks))))
+            found = Filters(dim, words, -9.0, int(np.ceil(FEWEST * count)), centre)
+            found = replace(found, need=_height(found, count, some))
+            if measured(found, sample, cosine, 60)[0] > wanted - 0.05 and measured(found, sample, cosine, seed=1)[0] >= wanted:
+                return found
+        share *= WIDER
+    return Filters(dim, 1, -9.0, 1, centre)
+
+
+def _exceeding(scores: list[np.ndarray], best: list[float], need: float, words: int, most: int | None = None) -> np.ndarray:
+    """Directions whose sum over blocks is ``need`` at least; with ``most``, it may stop beyond so many."""
     sums, ids = np.zeros(1), np.zeros(1, np.int64)
     for b, s in enumerate(scores):
         rest = sum(best[b + 1 :])
@@ -90,17 +168,6 @@ def _exceeding(scores: list[np.ndarray], best: list[float], need: float, words:
     return ids
 
 
-def recall(n: int, dim: int, cosine: float, pairs: int, seed: int = 0) -> float:
-    """The share of random pairs at ``cosine`` that share a filter, with caps for a table of n vectors."""
-    rng = np.random.default_rng(seed)
-    a = unit_rows(rng.standard_normal((pairs, dim)))
-    side = rng.standard_normal((pairs, dim))
-    side = unit_rows(side - (side * a).sum(1, keepdims=True) * a)
-    b = cosine * a + np.sqrt(1 - cosine**2) * side
-    height, words = cap(n)
-    return float(np.mean([len(np.intersect1d(x, y)) > 0 for x, y in zip(list_decode(a, height, words), list_decode(b, height, words))]))
-
-
 def unit_rows(x: np.ndarray) -> np.ndarray:
     """Rows of length 1 in double precision; scaled first, so that no square is beyond the range of doubles."""
     x = x.astype(np.float64)
@@ -113,25 +180,39 @@ def _matrix(vectors: pa.Array) -> np.ndarray:
     return vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1)
 
 
-def _decoder(height: float, words: int) -> Callable:
+def _decoder(fitted: dict[int, tuple[int, Filters]]) -> Callable:
+    """``fitted`` has, for each vector size, the number of its first filter and the filters."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             vectors = batch.column("embedding")
             sizes = pc.list_value_length(vectors).to_numpy()
             found: list = [None] * len(sizes)
             for dim in set(sizes.tolist()):
+                first, filters = fitted[dim]
                 rows = np.flatnonzero(sizes == dim)
                 unit = unit_rows(_matrix(vectors.take(pa.array(rows))))
-                step = max(1, DECODED_AT_ONCE // words)
+                step = max(1, DECODED_AT_ONCE // filters.words)
                 for a in range(0, len(rows), step):
-                    for r, ids in zip(rows[a : a + step], list_decode(unit[a : a + step], height, words)):
-                        found[r] = ids + dim * words**BLOCKS  # vectors of other lengths never meet
-            filters = pa.array(found, pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, filters], [*batch.schema.names, "filters"])
+                    for r, ids in zip(rows[a : a + step], filters.decode(unit[a : a + step])):
+                        found[r] = ids + first  # vectors of other lengths never meet
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.int64()))], [*batch.schema.names, "filters"])
 
     return run
 
 
+def fitted_filters(vectors: DataFrame, threshold: float, wanted: float) -> dict[int, tuple[int, Filters]]:
+    """Filters for each vector size, numbered apart, from SAMPLE vectors of it (SAMPLE_BYTES at most) in order of a hash of rep."""
+    out, first = {}, 0
+    for row in vectors.groupBy(F.size("embedding").alias("dim")).count().collect():
+        dim, n = row["dim"], row["count"]
+        rows = vectors.where(F.size("embedding") == dim).orderBy(F.xxhash64("rep")).limit(max(64, min(SAMPLE, SAMPLE_BYTES // (8 * dim)))).select("embedding").collect()
+        found = fit(unit_rows(np.array([r.embedding for r in rows], np.float64)), n, threshold, wanted)
+        out[dim] = first, found
+        first += found.size
+    return out
+
+
 def _forest(linked: np.ndarray) -> np.ndarray:
     """The least index reachable from each row of a symmetric adjacency."""
     label = np.arange(len(linked))
@@ -185,13 +266,14 @@ def _verifier(threshold: float) -> Callable:
     return run
 
 
-def vector_links(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def vector_links(vectors: DataFrame, threshold: float = THRESHOLD, wanted: float = RECALL) -> DataFrame:
     """vectors(rep, copies, embedding), all different -> (rep, links, root), several rows for a rep.
 
     links add up to the other vectors within ``threshold``, copies counted; rows with one root are connected.
     """
-    n, kind = vectors.count(), dict(vectors.dtypes)["embedding"]
-    decoded = materialise(vectors.mapInArrow(_decoder(*cap(n)), f"rep bigint, copies bigint, embedding {kind}, filters array<bigint>"), "filters")
+    kind = dict(vectors.dtypes)["embedding"]
+    fitted = fitted_filters(vectors, threshold, wanted)
+    decoded = materialise(vectors.mapInArrow(_decoder(fitted), f"rep bigint, copies bigint, embedding {kind}, filters array<bigint>"), "filters")
     counts = decoded.select(F.explode("filters").alias("filter")).groupBy("filter").count()
     # Filters of two vectors or more; a full one is split.
     used = materialise(counts.where("count > 1").select("filter", F.ceil(F.col("count") / BLOCK_ROWS).cast("int").alias("blocks")), "filter-sizes")
@@ -205,7 +287,7 @@ def vector_links(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return rows.groupBy("filter", "first", "second").applyInArrow(_verifier(threshold), "rep bigint, links bigint, root bigint")
 
 
-def near_vectors(table: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def near_vectors(table: DataFrame, threshold: float = THRESHOLD, wanted: float = RECALL) -> DataFrame:
     """One row per input row: vec_id, n_links, component_id, kept.
 
     n_links counts the other vectors whose cosine (in double precision) is at least ``threshold``;
@@ -226,7 +308,7 @@ def near_vectors(table: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     nodes = rows.where("sound and vec_id is not null").groupBy("embedding").agg(F.min("vec_id").alias("rep"))
     sizes = rows.where("sound").groupBy("embedding").agg(F.count("*").alias("copies"))
     nodes = materialise(nodes.join(sizes, "embedding").select("rep", "copies", "embedding"), "distinct-vectors")
-    found = materialise(vector_links(nodes, threshold), "links")
+    found = materialise(vector_links(nodes, threshold, wanted), "links")
     sums = found.groupBy("rep").agg(F.sum("links").alias("links"))
     roots = components(found.where("rep <> root").select(F.col("rep").alias("hi"), F.col("root").alias("lo")))
     named = nodes.join(sums, "rep", "left").join(roots, nodes.rep == roots.node, "left").select(

@@ -151,7 +151,8 @@ def test_stages_on_odd_rows(spark, stage):
 
 @pytest.mark.parametrize("n", [2_000, 50_000, 10**7])
 def test_recall_of_pairs_at_the_threshold(n):
-    assert vector_dedup.recall(n, 64, 0.95, 300) >= 0.99
+    rows = lambda seed: vector_dedup.unit_rows(np.random.default_rng(seed).standard_normal((2048, 64)))
+    assert vector_dedup.measured(vector_dedup.fit(rows(0), n, 0.95), rows(1), 0.95, 300)[0] >= 0.99
 
 
 def test_cosines_are_of_doubles(spark):

@@ -46,17 +46,47 @@ def test_vectors_against_brute_force(spark, monkeypatch):
     assert np.mean([got[i].component_id == root[i] for i in range(len(v))]) >= 0.99
 
 
+def sharing_a_direction(n, dim, mean_cosine, seed):
+    """Unit vectors whose pairs have that cosine on average, as those of a text model have."""
+    x = np.random.default_rng(seed).standard_normal((n, dim)) / np.sqrt(dim)
+    x[:, 0] += np.sqrt(mean_cosine / (1 - mean_cosine))
+    return vector_dedup.unit_rows(x)
+
+
+@pytest.mark.parametrize("n, dim, mean_cosine", [
+    (500, 2, 0), (50_000, 2, 0), (50_000, 3, 0), (50_000, 5, 0), (50_000, 8, 0), (50_000, 16, 0.3), (50_000, 64, 0), (50_000, 64, 0.6), (50_000, 64, 0.8),
+    (50_000, 1024, 0), (50_000, 1024, 0.8), (10**7, 64, 0), (10**7, 64, 0.6),
+])
+def test_recall_and_copies_whatever_the_dimension_and_direction(n, dim, mean_cosine):
+    filters = vector_dedup.fit(sharing_a_direction(2048, dim, mean_cosine, 0), n, 0.95)
+    fresh = sharing_a_direction(3000, dim, mean_cosine, 1)  # none of those that the filters were fitted on
+    recall, copies = vector_dedup.measured(filters, fresh, 0.95, 600, seed=5)
+    assert recall >= 0.98 and copies < 40
+
+
+@pytest.mark.parametrize("dim, mean_cosine, spread", [(2, 0, 0.01), (3, 0, 0.05), (48, 0.6, 0.03), (48, 0.8, 0.03)])
+def test_few_dimensions_and_shared_directions_against_brute_force(spark, dim, mean_cosine, spread):
+    own = sharing_a_direction(900, dim, mean_cosine, 2)
+    v = np.concatenate([own, own[:300] + spread * np.random.default_rng(3).standard_normal((300, dim))])
+    df = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(v)], "vec_id bigint, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in vector_dedup.near_vectors(df).collect()}
+    unit = vector_dedup.unit_rows(v)
+    linked = unit @ unit.T >= 0.95
+    links, want = np.array([got[i] for i in range(len(v))]), linked.sum(1) - 1
+    assert (links <= want).all() and links.sum() >= 0.98 * want.sum() > 400
+
+
 def test_list_decoding_is_complete():
     rng = np.random.default_rng(0)
     u = rng.standard_normal((20, 12))
     u /= np.linalg.norm(u, axis=1, keepdims=True)
     rotation, code = vector_dedup.product_code(12, 9)
-    need = 1.0 / np.sqrt(12) * np.sqrt(2)
+    need, fewest = 1.0 / np.sqrt(12) * np.sqrt(2), 12
     turned = u @ rotation
-    for row, ids in enumerate(vector_dedup.list_decode(u, 1.0, 9)):
+    for row, ids in enumerate(vector_dedup.Filters(12, 9, need, fewest, np.zeros(12)).decode(u)):
         sums = (turned[row, :6] @ code[0].T)[:, None] + (turned[row, 6:] @ code[1].T)[None]
         want = set(np.flatnonzero(sums.ravel() >= need).tolist())
-        assert want <= set(ids.tolist()) and (len(want) < vector_dedup.FEWEST or want == set(ids.tolist()))
+        assert want <= set(ids.tolist()) and (len(want) < fewest or want == set(ids.tolist()))
 
 
 def test_components(spark):
