@@ -1,8 +1,13 @@
-"""Percentile bootstrap intervals, single and paired."""
+"""Percentile bootstrap intervals, single and paired.
+
+A replicate gives each row a weight, how often it is drawn, from a hash of the row's key and the
+replicate's number: a Poisson number of mean one, which is what the number of draws of one row of many is. So
+a replicate's sums are added up wherever rows lie, and no group is ever gathered.
+"""
 
 from __future__ import annotations
 
-import hashlib
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -10,60 +15,83 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 N_BOOT, ALPHA, SEED = 2000, 0.05, 0
 
+#: Rows of a group that one task adds up, about.
+PART_ROWS = 1 << 16
+#: Weights that are held at once.
+AT_ONCE = 1 << 20
+
+#: Multipliers of the integer hash, and of a replicate's number.
+STEP, MIX = 2654435761, ((16, 2246822507), (13, 3266489909), (16, 1))
+#: A row is drawn as often as its hash reaches one of these: the Poisson distribution of mean 1 in 32 bits.
+DRAWN = tuple(int(2**32 * sum(math.exp(-1) / math.factorial(j) for j in range(k + 1))) for k in range(11))
 
-#: Replicates that a row asks for.
-AT_ONCE = 40
 
+def weights(keys: np.ndarray, replicates: np.ndarray) -> np.ndarray:
+    """How often each replicate draws each key; ``keys`` are 32-bit hashes."""
+    x = keys.astype(np.uint32)[:, None] + (replicates.astype(np.uint64) * STEP).astype(np.uint32)[None]
+    for shift, factor in MIX:
+        x ^= x >> np.uint32(shift)
+        x *= np.uint32(factor)
+    w = np.zeros(x.shape, np.uint8)
+    for least in DRAWN:
+        w += x >= np.uint32(least)
+    return w
 
-def _hashes(seed: int, b: range, i: range) -> np.ndarray:
-    """A number for each replicate and draw, the same for all groups: its remainder by n is the place drawn."""
-    told = (hashlib.md5(f"{seed}:{x}:{y}".encode()).digest()[:4] for x in b for y in i)
-    return np.frombuffer(b"".join(told), ">u4").reshape(len(b), len(i)).astype(np.int64)
 
+def _summed(n_boot: int) -> Callable:
+    """Rows by (grp, part) -> one row for each run of them, with its sums of weights and of weighted values."""
+    replicates = np.arange(n_boot)
+    step = max(1, AT_ONCE // n_boot)
 
-def _replicates(seed: int, n_boot: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, known = None, np.zeros((0, 0), np.int64)
         for batch in batches:
-            means = []
-            for part, own in zip(batch.column("part").to_pylist(), batch.column("own")):
-                values = np.asarray(own.values, np.float64)
-                b = range(part * AT_ONCE, min((part + 1) * AT_ONCE, n_boot))
-                if part != now:
-                    now, known = part, np.zeros((len(b), 0), np.int64)
-                if known.shape[1] < len(values):
-                    known = np.concatenate([known, _hashes(seed, b, range(known.shape[1], len(values)))], axis=1)
-                means.append([float(values[row[: len(values)] % len(values)].mean()) for row in known])
-            yield pa.RecordBatch.from_arrays([batch.column("grp"), pa.array(means, pa.list_(pa.float64()))], ["grp", "m"])
+            at = batch.column("at").to_numpy()
+            keys, values = batch.column("hash").to_numpy(), batch.column("value").to_numpy()
+            ends = [*(np.flatnonzero(np.diff(at)) + 1).tolist(), len(at)] if len(at) else []
+            begin, drawn, sums = 0, [], []
+            for end in ends:
+                n, total = np.zeros(n_boot, np.int64), np.zeros(n_boot)
+                for a in range(begin, end, step):
+                    w = weights(keys[a : min(a + step, end)], replicates)
+                    n += w.sum(0, dtype=np.int64)
+                    total += values[a : min(a + step, end)] @ w.astype(np.float64)
+                drawn.append(n)
+                sums.append(total)
+                begin = end
+            first = pa.array([0, *ends[:-1]] if ends else [], pa.int64())
+            columns = [batch.column("grp").take(first), pa.array(drawn, pa.list_(pa.int64())), pa.array(sums, pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["grp", "drawn", "total"])
 
     return run
 
 
 def bootstrap_ci(values: DataFrame, n_boot: int = N_BOOT, alpha: float = ALPHA, seed: int = SEED) -> DataFrame:
-    """values(grp, key, value), keys distinct in a group -> (grp, mean, low, high, n).
+    """values(grp, key, value) -> (grp, mean, low, high, n).
 
-    Each of n_boot replicates draws n of a group's n values with replacement; the bounds are the
-    means at places int(alpha / 2 * n_boot) and int((1 - alpha / 2) * n_boot) in order. Groups are
-    evaluation sets: a group's values are an array, a task draws some replicates of it, and no draw
-    is ever a row. For groups that don't fit in one, ``counted``. Null values are left out, an empty
-    group gives no row. A null group is a group of its own.
+    The bounds are the replicates' means at places int(alpha / 2 * n_boot) and int((1 - alpha / 2) *
+    n_boot) in order; a replicate that draws nothing has the group's mean. Rows that share a key are
+    drawn together. Null values are left out, an empty group gives no row; a null group is a group of
+    its own. Groups of any size: what is shuffled are the rows, without their text, and n_boot sums for each PART_ROWS of them.
     """
-    sound = values.where("value is not null").withColumn("value", F.col("value").cast("double"))
-    held = F.transform(F.array_sort(F.collect_list(F.struct("key", "value"))), lambda x: x["value"])
-    sets = sound.groupBy("grp").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), held.alias("own"))
-    parts = sets.select("grp", "own", F.explode(F.sequence(F.lit(0), F.lit((n_boot - 1) // AT_ONCE))).alias("part"))
-    dealt = parts.repartition(max(int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")), 16), "part").sortWithinPartitions("part")
-    schema = StructType([parts.schema["grp"], StructField("m", ArrayType(DoubleType()))])
-    drawn = dealt.mapInArrow(_replicates(seed, n_boot), schema)
+    hashed = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("key").cast("string"), F.lit("")))), 1, 8), 16, 10).cast("bigint")
+    sound = values.where("value is not null").select(F.struct("grp").alias("g"), hashed.alias("hash"), F.col("value").cast("double").alias("value"))
+    whole = sound.groupBy("g").agg(F.count("*").alias("n"), F.avg("value").alias("mean"))  # a struct of null equals itself in joins
+    dealt = sound.join(whole.select("g", F.ceil(F.col("n") / PART_ROWS).alias("parts")), "g")
+    dealt = dealt.withColumn("at", F.xxhash64("g", F.pmod(F.xxhash64("hash"), F.col("parts"))))
+    dealt = dealt.repartition("at").sortWithinPartitions("at", "g").select("g.grp", "at", "hash", "value")
+    schema = StructType([dealt.schema["grp"], StructField("drawn", ArrayType(LongType())), StructField("total", ArrayType(DoubleType()))])
+    drawn = dealt.mapInArrow(_summed(n_boot), schema)
+    each = drawn.select(F.struct("grp").alias("g"), F.posexplode(F.arrays_zip("drawn", "total")).alias("b", "s"))
+    sums = each.groupBy("g", "b").agg(F.sum("s.drawn").alias("drawn"), F.sum("s.total").alias("total"))
+    means = sums.join(whole, "g").select("g", F.when(F.col("drawn") > 0, F.col("total") / F.col("drawn")).otherwise(F.col("mean")).alias("m"))
     low, high = int(alpha / 2 * n_boot), min(n_boot - 1, int((1 - alpha / 2) * n_boot))
-    ordered = drawn.groupBy("grp").agg(F.array_sort(F.flatten(F.collect_list("m"))).alias("m"))  # n_boot numbers a group
-    bounds = ordered.select(F.struct("grp").alias("g"), F.round(F.get("m", F.lit(low)), 6).alias("low"), F.round(F.get("m", F.lit(high)), 6).alias("high"))
-    whole = sets.select(F.struct("grp").alias("g"), F.round("mean", 6).alias("mean"), "n")  # a struct of null equals itself in joins
-    return whole.join(bounds, "g").select("g.grp", "mean", "low", "high", "n")
+    ordered = means.groupBy("g").agg(F.array_sort(F.collect_list("m")).alias("m"))  # n_boot numbers a group
+    bounds = ordered.select("g", F.round(F.get("m", F.lit(low)), 6).alias("low"), F.round(F.get("m", F.lit(high)), 6).alias("high"))
+    return whole.join(bounds, "g").select("g.grp", F.round("mean", 6).alias("mean"), "low", "high", "n")
 
 
 def counted(values: DataFrame, n_boot: int = N_BOOT, alpha: float = ALPHA, seed: int = SEED) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bootstrap
+from .quantiles import percentiles
 
 MEAN_METRICS = (
     "hit_1", "hit_5", "mrr_10", "evidence_recall_5", "correctness", "fully_correct", "any_unsupported",
@@ -80,10 +81,10 @@ def summarize(metrics: DataFrame, **options) -> DataFrame:
 
 def costs(metrics: DataFrame) -> DataFrame:
     """(config, latency p50 and p95 by linear interpolation, mean tokens)."""
-    return metrics.groupBy("config").agg(
-        F.round(F.percentile("latency_s", 0.5), 6).alias("latency_p50"), F.round(F.percentile("latency_s", 0.95), 6).alias("latency_p95"),
-        F.round(F.avg("tokens"), 6).alias("mean_tokens"), F.round(F.avg("judge_tokens"), 6).alias("mean_judge_tokens"),
-    )
+    means = metrics.groupBy(F.struct("config").alias("g")).agg(F.round(F.avg("tokens"), 6).alias("mean_tokens"), F.round(F.avg("judge_tokens"), 6).alias("mean_judge_tokens"))
+    found = percentiles(metrics.select(F.col("config").alias("grp"), F.col("latency_s").alias("value")), {"p50": 0.5, "p95": 0.95})
+    places = found.select(F.struct(F.col("grp").alias("config")).alias("g"), F.round("p50", 6).alias("latency_p50"), F.round("p95", 6).alias("latency_p95"))
+    return means.join(places, "g", "left").select("g.config", "latency_p50", "latency_p95", "mean_tokens", "mean_judge_tokens")
 
 
 def hallucination(metrics: DataFrame) -> DataFrame:
@@ -99,12 +100,7 @@ def by_category(metrics: DataFrame) -> DataFrame:
 
 
 def chunk_sizes(chunks: DataFrame) -> DataFrame:
-    """Count, nearest-place p50 and p95 (not interpolated) and the largest n_tokens.
-
-    Chunks of one size are counted first, so ranks need one row per size only.
-    """
-    sizes = chunks.groupBy("n_tokens").agg(F.count("*").alias("c"))
-    whole = Window.partitionBy()
-    ranked = sizes.withColumn("upto", F.sum("c").over(Window.orderBy("n_tokens"))).withColumn("n", F.sum("c").over(whole))
-    at = lambda place: F.min(F.when(F.col("upto") > place, F.col("n_tokens")))
-    return ranked.agg(F.max("n").alias("n_chunks"), at(F.floor(F.col("n") / 2)).alias("p50"), at(F.floor(F.col("n") * 0.95)).alias("p95"), F.max("n_tokens").alias("largest"))
+    """Count, nearest-place p50 and p95 (not interpolated) and the largest n_tokens; one row, also without chunks."""
+    whole = chunks.agg(F.count("n_tokens").alias("n_chunks"), F.max("n_tokens").alias("largest"))
+    found = percentiles(chunks.select(F.lit(0).alias("grp"), F.col("n_tokens").alias("value")), {"p50": 0.5, "p95": 0.95}, interpolate=False)
+    return whole.join(found, F.lit(True), "left").select("n_chunks", "p50", "p95", "largest")  # one row by one row at most

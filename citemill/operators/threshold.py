@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from citemill.sources.store import stored
+
+from .ranges import numbered, running
+
 STEP = 1e-6
 
 
@@ -24,36 +28,46 @@ def sweep(records: DataFrame, max_false: float = 0.10) -> DataFrame:
     Candidates are none, every distinct score and every score + 1e-6, in this order; a row abstains
     if it did or its score is below the threshold (a null score never is). Those within the cap on
     false abstention come first, then by correct - false abstention, then by candidate. Records are
-    added up by score before; running sums over distinct scores give all points at once, not a pass
-    over the records for each threshold.
+    added up by score before; running sums over ranges of distinct scores give all points at once, not a
+    pass over the records for each threshold.
     """
-    counts = _counts(records)
-    below = Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    upto = Window.orderBy("score").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy()
-    scored = (
-        counts.withColumn("all_u", F.sum("n_u").over(whole)).withColumn("all_a", F.sum("n_a").over(whole))
-        .withColumn("base_u", F.sum(F.col("n_u") - F.col("open_u")).over(whole)).withColumn("base_a", F.sum(F.col("n_a") - F.col("open_a")).over(whole))
-    )
-    ranked = scored.where("score is not null").withColumn("place", F.row_number().over(Window.orderBy("score")))
-    ranked = ranked.withColumn("m", F.count("*").over(whole))
-    gated = lambda w, side: F.coalesce(F.sum(f"open_{side}").over(w), F.lit(0))
-    at = ranked.select(F.col("score").alias("threshold"), F.col("place").alias("ordinal"), gated(below, "u").alias("g_u"), gated(below, "a").alias("g_a"), "all_u", "all_a", "base_u", "base_a")
-    over = ranked.select((F.col("score") + STEP).alias("threshold"), (F.col("m") + F.col("place")).alias("ordinal"), gated(upto, "u").alias("g_u"), gated(upto, "a").alias("g_a"), "all_u", "all_a", "base_u", "base_a")
-    none = scored.select(F.lit(None).cast("double").alias("threshold"), F.lit(0).alias("ordinal"), F.lit(0).alias("g_u"), F.lit(0).alias("g_a"), "all_u", "all_a", "base_u", "base_a").distinct()
-    rate = lambda side: F.coalesce(F.try_divide((F.col(f"base_{side}") + F.col(f"g_{side}")).cast("double"), F.col(f"all_{side}")), F.lit(0.0))
-    points = none.unionByName(at).unionByName(over).select("threshold", "ordinal", rate("u").alias("correct"), rate("a").alias("false_"), F.col("all_u").alias("n_unanswerable"), F.col("all_a").alias("n_answerable"))
-    order = Window.orderBy((F.col("false_") <= max_false).desc(), F.round(F.col("correct") - F.col("false_"), 12).desc(), "ordinal")
-    return points.select(
-        F.row_number().over(order).alias("place"), F.round("threshold", 7).alias("threshold"), F.round("correct", 6).alias("correct_abstention"),
+    return numbered(_points(records, max_false), ["over_", "less_", "ordinal"], "nth").select(
+        (F.col("nth") + 1).cast("int").alias("place"), F.round("threshold", 7).alias("threshold"), F.round("correct", 6).alias("correct_abstention"),
         F.round("false_", 6).alias("false_abstention"), "n_unanswerable", "n_answerable",
     )
 
 
+def _points(records: DataFrame, max_false: float) -> DataFrame:
+    """(threshold, ordinal, correct, false_, over_, less_, totals) of every candidate, to be ordered by over_, less_, ordinal."""
+    counts = stored(_counts(records), "scores")
+    whole = counts.agg(
+        *[F.coalesce(F.sum(f"n_{s}"), F.lit(0)).alias(f"all_{s}") for s in "ua"],
+        *[F.coalesce(F.sum(F.col(f"n_{s}") - F.col(f"open_{s}")), F.lit(0)).alias(f"base_{s}") for s in "ua"], F.count("score").alias("m"),
+    )
+    scores = counts.where("score is not null").withColumn("one_", F.lit(1).cast("bigint"))
+    ranked = running(scores, ["score"], {"g_u": ("open_u", "sum"), "g_a": ("open_a", "sum"), "place": ("one_", "sum")})
+    each = F.explode(F.array(
+        F.struct(F.col("score").alias("threshold"), F.lit(False).alias("after"), "g_u", "g_a"),
+        F.struct((F.col("score") + STEP).alias("threshold"), F.lit(True).alias("after"), (F.col("g_u") + F.col("open_u")).alias("g_u"), (F.col("g_a") + F.col("open_a")).alias("g_a")),
+    ))
+    at = ranked.select("place", each.alias("x")).select("x.threshold", "x.after", F.col("place") + 1, "x.g_u", "x.g_a").toDF("threshold", "after", "nth", "g_u", "g_a")
+    rows = at.join(F.broadcast(whole), F.lit(True))  # beside one row of totals
+    ordinal = F.col("nth") + F.when(F.col("after"), F.col("m")).otherwise(0)
+    none = whole.select(F.lit(None).cast("double").alias("threshold"), F.lit(0).cast("bigint").alias("ordinal"), F.lit(0).cast("bigint").alias("g_u"), F.lit(0).cast("bigint").alias("g_a"), "all_u", "all_a", "base_u", "base_a")
+    every = none.unionByName(rows.withColumn("ordinal", ordinal).select(none.columns))
+    rate = lambda side: F.coalesce(F.try_divide((F.col(f"base_{side}") + F.col(f"g_{side}")).cast("double"), F.col(f"all_{side}")), F.lit(0.0))
+    points = every.select("threshold", "ordinal", rate("u").alias("correct"), rate("a").alias("false_"), F.col("all_u").alias("n_unanswerable"), F.col("all_a").alias("n_answerable"))
+    return stored(points.withColumns({"over_": (F.col("false_") > max_false).cast("int"), "less_": -F.round(F.col("correct") - F.col("false_"), 12)}), "points")
+
+
 def best(records: DataFrame, max_false: float = 0.10) -> DataFrame:
     """The first point of the sweep; records that aren't of the dev split are an error."""
     dev = records.withColumn("score", F.when(F.col("split") == "dev", F.col("score")).otherwise(F.raise_error(F.lit("tuning takes dev records only"))))
-    return sweep(dev, max_false).where("place = 1")
+    first = _points(dev, max_false).agg(F.min(F.struct("over_", "less_", "ordinal", "threshold", "correct", "false_", "n_unanswerable", "n_answerable")).alias("p"))
+    return first.select(
+        F.lit(1).alias("place"), F.round("p.threshold", 7).alias("threshold"), F.round("p.correct", 6).alias("correct_abstention"),
+        F.round("p.false_", 6).alias("false_abstention"), "p.n_unanswerable", "p.n_answerable",
+    )
 
 
 def simulate(records: DataFrame, thresholds: list[float | None]) -> DataFrame:

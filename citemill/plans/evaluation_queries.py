@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from citemill.operators import agreement, bootstrap, metrics, sampling, threshold
+from citemill.operators import agreement, bootstrap, metrics, quantiles, sampling, threshold
 
 from . import sql
 from .tables import catalogue, table
@@ -72,9 +72,10 @@ def run_costs(spark, d):
 
 @register("SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(avg(value), 6) AS mean FROM events GROUP BY 1")
 def latency_percentiles(spark, d):
-    return table(spark, d, "events").groupBy("event_type").agg(
-        F.round(F.percentile("value", 0.5), 6).alias("p50"), F.round(F.percentile("value", 0.95), 6).alias("p95"), F.round(F.avg("value"), 6).alias("mean")
-    )
+    events = table(spark, d, "events").select(F.col("event_type").alias("grp"), "value")
+    means = events.groupBy(F.struct("grp").alias("g")).agg(F.round(F.avg("value"), 6).alias("mean"))
+    found = quantiles.percentiles(events, {"p50": 0.5, "p95": 0.95}).select(F.struct("grp").alias("g"), F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"))
+    return means.join(found, "g", "left").select(F.col("g.grp").alias("event_type"), "p50", "p95", "mean")
 
 
 @register(sql.bootstrap("SELECT source AS grp, doc_id AS key, quality::DOUBLE AS value FROM labels JOIN documents USING (doc_id)", 2000))

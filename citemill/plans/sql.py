@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from citemill.functions.text import STOP_WORDS
+from citemill.operators.bootstrap import DRAWN, MIX, STEP
 
 _STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
 
@@ -92,12 +93,17 @@ MEANS = "hit_1, hit_5, mrr_10, evidence_recall_5, correctness, fully_correct, an
 def bootstrap(values: str, n_boot: int, columns: str = "grp, mean, low, high, n", before: str = "") -> str:
     """The whole statement for ``values``: a SELECT of grp, key, value. Groups are numbered, so that null is one."""
     low, high = int(0.025 * n_boot), min(n_boot - 1, int(0.975 * n_boot))
+    steps = [f"x0_ AS (SELECT g, b::UBIGINT AS b, value, (h + b::UBIGINT * {STEP}) & 4294967295 AS x FROM v_, range({n_boot}) t(b))"]
+    for k, (shift, factor) in enumerate(MIX):
+        steps.append(f"x{k + 1}_ AS (SELECT g, b, value, xor(x, x >> {shift}) * {factor} & 4294967295 AS x FROM x{k}_)")
+    drawn = " + ".join(f"(x >= {least})::INT" for least in DRAWN)
     return f"""
 WITH {before}
-v_ AS (SELECT grp, value, dense_rank() OVER (ORDER BY grp) AS g, row_number() OVER (PARTITION BY grp ORDER BY key) - 1 AS i FROM ({values}) WHERE value IS NOT NULL),
+v_ AS (SELECT grp, ('0x' || substr(md5('0:' || key), 1, 8))::UBIGINT AS h, value::DOUBLE AS value, dense_rank() OVER (ORDER BY grp) AS g FROM ({values}) WHERE value IS NOT NULL),
 z_ AS (SELECT g, any_value(grp) AS grp, count(*) AS n, avg(value) AS mean FROM v_ GROUP BY 1),
-h_ AS (SELECT b, k, ('0x' || substr(md5('0:' || b || ':' || k), 1, 8))::UBIGINT AS h FROM range({n_boot}) AS t(b), range((SELECT max(n) FROM z_)) AS u(k)),
-x_ AS (SELECT g, b, avg(value) AS m FROM (SELECT g, b, (h % n)::BIGINT AS i FROM h_ JOIN z_ ON k < n) JOIN v_ USING (g, i) GROUP BY 1, 2),
+{", ".join(steps)},
+w_ AS (SELECT g, b, value, {drawn} AS w FROM x3_),
+x_ AS (SELECT g, b, CASE WHEN sum(w) > 0 THEN sum(w * value) / sum(w) ELSE any_value(mean) END AS m FROM w_ JOIN z_ USING (g) GROUP BY 1, 2),
 o_ AS (SELECT g, m, row_number() OVER (PARTITION BY g ORDER BY m, b) - 1 AS nth FROM x_),
 ci_ AS (SELECT any_value(grp) AS grp, round(any_value(mean), 6) AS mean, round(max(CASE WHEN nth = {low} THEN m END), 6) AS low, round(max(CASE WHEN nth = {high} THEN m END), 6) AS high, any_value(n) AS n
   FROM o_ JOIN z_ USING (g) GROUP BY g)
