@@ -5,8 +5,9 @@ whose bit is 1 from the others: its weights are log ratios of smoothed byte-trig
 each language counting alike. Decoding weighs each bit's logistic loss by how well the bit's two
 sides differ, and chooses the codeword of least loss; a near second marks the row as ambiguous.
 
-Trigram counts cover all training rows; they are added up on the executors, and only one number
-for each language and hashed trigram comes to the driver, however large the corpus is.
+Trigram counts cover all training rows and every language. They are added up on the executors, first by
+language, then by bit: what comes to the driver are the languages' names and one number for each bit and
+hashed trigram, and the bits grow with the logarithm of the languages.
 """
 
 from __future__ import annotations
@@ -21,13 +22,19 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 HASH_BITS = 13
 #: Added to every trigram count.
 SMOOTHING = 0.5
 #: Two least losses nearer than this mark a row as ambiguous.
 AMBIGUOUS = 0.1
-#: Languages that are learned: the commonest ones, so that dirty labels can't grow the model.
-MOST_LANGS = 256
+#: Up to so many languages codewords are chosen from several draws, by their distance.
+CHOSEN_CODES = 1024
+#: Languages whose counts a task holds at a time.
+HELD_LANGS = 256
+#: Labels that name languages; more are no languages, and an error.
+MOST_NAMES = 1 << 20
 #: A text of so many letters, or more, of which no bit can be told is in none of the learned languages:
 #: its least loss is nearly that of guessing every bit. (A mixture of two has bits that both agree on.)
 TELLING_LETTERS = 200
@@ -71,6 +78,11 @@ def codewords(n_langs: int) -> np.ndarray:
     bits = 8 * int(np.ceil(np.log2(n_langs)))
     rng = np.random.default_rng(5)
     best, apart = None, -1
+    if n_langs > CHOSEN_CODES:
+        while True:  # two of so many bits are hardly ever equal
+            code = rng.choice([-1.0, 1.0], (n_langs, bits))
+            if len(np.unique(code, axis=0)) == n_langs:
+                return code
     for _ in range(64):
         code = rng.choice([-1.0, 1.0], (n_langs, bits))
         code = code[:, np.abs(code.sum(0)) < n_langs]
@@ -107,7 +119,9 @@ class Model:
                 rows, held, size = [], [], 0
         flush()
         z = np.clip(sums / np.sqrt(np.maximum(n, 1))[:, None], -30, 30)
-        return np.stack([(np.log1p(np.exp(-z * c)) * self.bit_weight).sum(1) for c in self.code], axis=1)
+        # A bit costs one thing where a codeword has 1 and another where it has -1.
+        yes, no = np.log1p(np.exp(-z)) * self.bit_weight, np.log1p(np.exp(z)) * self.bit_weight
+        return yes @ (self.code > 0).T + no @ (self.code < 0).T
 
     def undecided(self, loss: np.ndarray) -> np.ndarray:
         return loss.min(1) >= UNDECIDED * np.log(2) * self.bit_weight.sum()
@@ -136,38 +150,66 @@ def held_out():
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: dict[str, np.ndarray] = {}
+
+    def told() -> Iterator[pa.RecordBatch]:
+        for lang, own in counts.items():
+            at = np.flatnonzero(own)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(own[at])], ["lang", "gram", "n"])
+
     for batch in batches:
-        langs = batch.column("lang").to_pylist()
-        for row, grams in _segments(batch.column("text").to_pylist()):
-            own = counts.setdefault(langs[row], np.zeros(1 << HASH_BITS, np.int64))
-            own += np.bincount(grams, minlength=1 << HASH_BITS)
-    for lang, own in counts.items():
-        at = np.flatnonzero(own)
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(own[at])], ["lang", "gram", "n"])
+        for a in range(0, batch.num_rows, HELD_LANGS):
+            langs = batch.column("lang").slice(a, HELD_LANGS).to_pylist()
+            for row, grams in _segments(batch.column("text").slice(a, HELD_LANGS).to_pylist()):
+                own = counts.setdefault(langs[row], np.zeros(1 << HASH_BITS, np.int64))
+                own += np.bincount(grams, minlength=1 << HASH_BITS)
+            if len(counts) > HELD_LANGS:
+                yield from told()
+                counts.clear()
+    yield from told()
 
 
-def fit(labelled: DataFrame, most_langs: int = MOST_LANGS) -> Model | None:
-    """labelled(text, lang), nulls left out -> the model; None if there is nothing to learn from.
+def _by_bit(ones: np.ndarray) -> Callable:
+    """(place of the language, gram, share) -> (gram, sums over languages: of all, then of those with each bit)."""
 
-    The ``most_langs`` commonest languages are learned, from all their rows.
-    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((1 << HASH_BITS, ones.shape[1]))
+        for batch in batches:
+            place, gram, share = (batch.column(c).to_numpy() for c in ("place", "gram", "share"))
+            np.add.at(sums, gram, share[:, None] * ones[place])
+        at = np.flatnonzero(sums.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(list(sums[at]), pa.list_(pa.float64()))], ["gram", "sums"])
+
+    return run
+
+
+def fit(labelled: DataFrame) -> Model | None:
+    """labelled(text, lang), nulls left out -> the model of all its languages; None if there is nothing to learn from."""
+    spark = labelled.sparkSession
     rows = labelled.where("text is not null and lang is not null").select("text", F.col("lang").cast("string").alias("lang"))
-    known = [r.lang for r in rows.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(most_langs).collect()]
-    rows = rows.where(F.col("lang").isin(known))
-    sums = rows.mapInArrow(_count, "lang string, gram int, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    found = sums.toPandas()
-    langs = sorted(set(found.lang))
+    counts = materialise(rows.mapInArrow(_count, "lang string, gram int, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "trigrams")
+    totals = counts.groupBy("lang").agg(F.sum("n").alias("total")).limit(MOST_NAMES + 1).collect()
+    if len(totals) > MOST_NAMES:
+        raise ValueError(f"over {MOST_NAMES} different labels: these are no languages")
+    langs = sorted(r.lang for r in totals)
     if not langs:
         return None
-    counts = np.full((len(langs), 1 << HASH_BITS), SMOOTHING)
-    counts[np.searchsorted(langs, found.lang), found.gram] += found.n
-    share = counts / counts.sum(1, keepdims=True)
     code = codewords(len(langs))
     if len(langs) == 1:
         return Model(langs, code, np.zeros((1 << HASH_BITS, 1), np.float32), np.ones(1))
-    ones = (code > 0).T.astype(float)
-    yes = (ones / ones.sum(1, keepdims=True)) @ share
-    no = ((1 - ones) / (1 - ones).sum(1, keepdims=True)) @ share
+    place = {lang: i for i, lang in enumerate(langs)}
+    whole = np.zeros(len(langs))
+    for r in totals:
+        whole[place[r.lang]] = r.total + SMOOTHING * (1 << HASH_BITS)
+    ones = np.concatenate([np.ones((len(langs), 1)), code > 0], axis=1)
+    named = spark.createDataFrame([(lang, i, float(whole[i])) for lang, i in place.items()], "lang string, place int, whole double")
+    shares = counts.join(named, "lang").select("place", "gram", (F.col("n") / F.col("whole")).alias("share"))
+    bits = shares.mapInArrow(_by_bit(ones), "gram int, sums array<double>").groupBy("gram").agg(*[F.sum(F.get("sums", F.lit(b))).alias(f"b{b}") for b in range(ones.shape[1])])
+    sums = np.zeros((1 << HASH_BITS, ones.shape[1]))
+    for r in bits.collect():
+        sums[r[0]] = r[1:]
+    sums = (sums + SMOOTHING * (1 / whole) @ ones).T  # a language's trigrams that it never had count as SMOOTHING each
+    n = ones.sum(0)
+    yes, no = sums[1:] / n[1:, None], (sums[0] - sums[1:]) / (n[0] - n[1:])[:, None]
     weights = np.log(yes) - np.log(no)
     apart = ((yes - no) * weights).sum(1)
     weight = apart / apart.sum() * len(apart) if apart.sum() > 0 else np.ones(len(apart))  # languages of the same words: no bit tells

@@ -128,10 +128,58 @@ def test_languages_chosen_and_unclear_texts(spark, small):
     assert sorted(r.doc_id for r in left) == [i for i, t, _ in rows if sum(c.isalpha() for c in t) < language_id.TELLING_LETTERS]
 
 
-def test_dirty_labels_are_bounded(spark):
-    docs = spark.createDataFrame([(f"some text number {i}", f"l{i}") for i in range(40)] + [("der die das und ist", "de"), ("the and of with is", "en")] * 5, "text string, lang string")
-    model = language_id.fit(docs, most_langs=2)
-    assert model.langs == ["de", "en"] and model.predict(["die und das"])[0] == ["de"]
+def made_languages(n, rows, seed):
+    """(text, language) of n languages, each with fifty words of its own letters."""
+    dice = random.Random(seed)
+    out = []
+    for lang in range(n):
+        own = random.Random(f"letters {lang}")
+        letters = own.choices("abcdefghijklmnopqrstuvwxyz", k=9)
+        words = ["".join(own.choices(letters, k=own.randint(2, 8))) for _ in range(50)]
+        out += [(" ".join(dice.choices(words, k=60)), f"l{lang:04}") for _ in range(rows)]
+    return out
+
+
+def test_three_hundred_languages_are_all_learned(spark):
+    model = language_id.fit(spark.createDataFrame(made_languages(300, 3, 1), "text string, lang string"))
+    assert model.langs == [f"l{i:04}" for i in range(300)] and model.code.shape[1] <= 72
+    fresh = made_languages(300, 1, 2)
+    got = model.predict([t for t, _ in fresh])[0]
+    assert np.mean([g == lang for g, (_, lang) in zip(got, fresh)]) > 0.95
+
+
+def test_codewords_of_very_many_languages_differ():
+    code = language_id.codewords(5000)
+    assert code.shape == (5000, 104) and len(np.unique(code, axis=0)) == 5000
+
+
+def test_models_and_decoding_against_loops(spark):
+    """Counts, weights and losses, language by language and bit by bit."""
+    rows = made_languages(7, 4, 3) + [("der die das", None), (None, "l0001")]
+    model = language_id.fit(spark.createDataFrame(rows, "text string, lang string").repartition(3))
+    grams = lambda text: [int(h) for _, part in language_id._segments([text]) for h in part]
+    size = 1 << language_id.HASH_BITS
+    share = []
+    for lang in model.langs:
+        own = np.full(size, language_id.SMOOTHING)
+        for text, which in rows:
+            if which == lang and text:
+                for g in grams(text):
+                    own[g] += 1
+        share.append(own / own.sum())
+    apart = []
+    for b in range(model.code.shape[1]):
+        yes = np.mean([s for s, c in zip(share, model.code[:, b]) if c > 0], axis=0)
+        no = np.mean([s for s, c in zip(share, model.code[:, b]) if c < 0], axis=0)
+        assert np.allclose(model.weights[:, b], np.log(yes / no), atol=1e-4)
+        apart.append(((yes - no) * np.log(yes / no)).sum())
+    assert np.allclose(model.bit_weight, np.array(apart) / sum(apart) * len(apart), rtol=1e-6)
+    for text in (rows[0][0], rows[9][0] + " " + rows[20][0], "x"):
+        own = grams(text)
+        z = [min(30, max(-30, float(sum(model.weights[g, b] for g in own)) / len(own) ** 0.5)) for b in range(model.code.shape[1])]
+        loss = [sum(w * np.log1p(np.exp(-c * x)) for w, c, x in zip(model.bit_weight, word, z)) for word in model.code]
+        assert np.allclose(model.losses([text])[0], loss, rtol=1e-5)
+        assert model.predict([text])[0] == [model.langs[int(np.argmin(loss))]]
 
 
 @pytest.mark.parametrize("stage", [language_id.drop_unidentified, exact_dedup.drop_exact_copies, simhash.keep_one_of_each_group, mixing.mix])
