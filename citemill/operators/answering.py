@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citemill.functions.text import alias_index, check_citations, parse_reply, strip
@@ -95,14 +97,101 @@ def measured(model: LanguageModel, prompt: str, **options) -> Response:
 REPLY = "reply string, input_tokens int, output_tokens int, latency_s double"
 
 
-def generate(prompts: DataFrame, client: Callable[[], LanguageModel], system: str = "", max_output_tokens: int = 1024, temperature: float = 0.0) -> DataFrame:
+class Together:
+    """A client for a job whose tasks together start at most ``per_minute`` requests a minute.
+
+    Prompts are dealt to lanes, one task each, and a lane keeps its share of the pace. The lanes divide the
+    pace evenly, so in no minute do more start, however few or many lanes run at a time.
+    """
+
+    def __init__(self, client: Callable[[], LanguageModel], per_minute: int, lanes: int = 8):
+        if per_minute < 1:
+            raise ValueError("a pace is one request a minute at least")
+        self.lanes = max(n for n in range(1, min(lanes, per_minute) + 1) if per_minute % n == 0)
+        self.client, self.each = client, per_minute // self.lanes
+
+    def of_lane(self) -> LanguageModel:
+        return Paced(self.client(), self.each)
+
+
+class Cached:
+    """A client behind a store of replies in a folder that driver and executors share.
+
+    Equal requests are asked once, now and in later runs: prompt, system text, temperature and size,
+    and ``model``, which names provider, model and settings, decide a reply. A hit has the tokens and seconds of
+    the call that made it. Prompts are asked ``at_once`` at a time and a batch's replies are published
+    whole, by a rename, so a run that fails loses one batch and readers never see a part of one. The
+    store is dealt into buckets by key; ``compact`` gathers the batches into one.
+    """
+
+    def __init__(self, client: Callable[[], LanguageModel] | Together, path: str, model: str, at_once: int = 10_000):
+        self.client, self.path, self.model, self.at_once = client, path.rstrip("/"), model, at_once
+
+    def _files(self, spark: SparkSession):
+        where = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        return where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), lambda name: spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+
+    def _published(self, spark: SparkSession) -> list[str]:
+        files, at = self._files(spark)
+        return sorted(x.getPath().toString() for x in files.listStatus(at("published"))) if files.exists(at("published")) else []
+
+    def read(self, spark: SparkSession) -> DataFrame:
+        """(bucket, key, reply, ...), a row for each key."""
+        schema = f"{CACHE}, bucket string"
+        batches = self._published(spark)
+        if not batches:
+            return spark.createDataFrame([], schema).select("bucket", *_CACHED)
+        rows = reduce(DataFrame.unionByName, [spark.read.schema(schema).parquet(b) for b in batches])
+        first = rows.groupBy("bucket", "key").agg(F.min(F.struct(*_CACHED[1:])).alias("r"))  # runs at the same time may have asked twice
+        return first.select("bucket", "key", "r.*")
+
+    def publish(self, replies: DataFrame) -> None:
+        spark, name = replies.sparkSession, uuid.uuid4().hex
+        replies.withColumn("bucket", F.substring("key", 1, 1)).write.partitionBy("bucket").parquet(f"{self.path}/staging/{name}")
+        files, at = self._files(spark)
+        files.mkdirs(at("published"))
+        if not files.rename(at(f"staging/{name}"), at(f"published/{name}")):
+            raise OSError(f"{self.path}: a batch of replies can't be published")
+
+    def compact(self, spark: SparkSession) -> None:
+        old = self._published(spark)
+        if len(old) > 1:
+            self.publish(self.read(spark).drop("bucket"))
+            files, _ = self._files(spark)
+            for batch in old:
+                files.delete(spark._jvm.org.apache.hadoop.fs.Path(batch), True)
+
+    def generate(self, prompts: DataFrame, **options) -> DataFrame:
+        spark = prompts.sparkSession
+        key = response_key(self.model, F.col("prompt"), **options)
+        keyed = stored(prompts.select("qid", "prompt", key.alias("key")).withColumn("bucket", F.substring("key", 1, 1)), "prompts")
+        missing = keyed.join(self.read(spark).select("bucket", "key"), ["bucket", "key"], "left_anti").dropDuplicates(["key"])
+        missing = stored(missing.select(F.col("key").alias("qid"), "prompt"), "missing")
+        parts = -(-missing.count() // self.at_once)
+        for part in range(parts):
+            some = missing.where(F.pmod(F.xxhash64("qid"), F.lit(parts)) == part)
+            self.publish(generate(some, self.client, **options).withColumnRenamed("qid", "key"))
+        known = self.read(spark)
+        return stored(keyed.select("qid", "bucket", "key").join(known, ["bucket", "key"]).select("qid", *_CACHED[1:]), "replies")
+
+
+#: What may ask a model: a factory of clients, or one of the two above around it.
+Client = Callable[[], LanguageModel] | Together | Cached
+
+
+def generate(prompts: DataFrame, client: Client, system: str = "", max_output_tokens: int = 1024, temperature: float = 0.0) -> DataFrame:
     """prompts(qid, prompt) -> (qid, reply, input_tokens, output_tokens, latency_s): each worker makes one client and asks it row by row.
 
     The rows are written and read back, so a model is asked once, whatever reads them later.
     """
+    if isinstance(client, Cached):
+        return client.generate(prompts, system=system, max_output_tokens=max_output_tokens, temperature=temperature)
+    asked, make = prompts.select("qid", "prompt"), client
+    if isinstance(client, Together):
+        asked, make = asked.repartition(client.lanes, F.xxhash64("qid")), client.of_lane
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = client()
+        model = make()
         for pdf in batches:
             said = [measured(model, p, system=system, temperature=temperature, json_schema=None, max_output_tokens=max_output_tokens) for p in pdf["prompt"]]
             yield pd.DataFrame({
@@ -110,7 +199,7 @@ def generate(prompts: DataFrame, client: Callable[[], LanguageModel], system: st
                 "output_tokens": [r.output_tokens for r in said], "latency_s": [r.latency_s for r in said],
             })
 
-    return stored(prompts.select("qid", "prompt").mapInPandas(run, f"qid {dict(prompts.dtypes)['qid']}, {REPLY}"), "replies")
+    return stored(asked.mapInPandas(run, f"qid {dict(prompts.dtypes)['qid']}, {REPLY}"), "replies")
 
 
 def response_key(model: str, prompt: Column, system: str = "", temperature: float = 0.0, max_output_tokens: int = 1024) -> Column:
@@ -120,19 +209,7 @@ def response_key(model: str, prompt: Column, system: str = "", temperature: floa
 
 
 CACHE = f"key string, {REPLY}"
-
-
-def generate_cached(prompts: DataFrame, client: Callable[[], LanguageModel], cache: DataFrame, model: str, **options) -> tuple[DataFrame, DataFrame]:
-    """``generate`` behind cache(key, reply, ...) -> (replies, rows to append to the cache).
-
-    Equal requests are asked once. A hit has the tokens and seconds of the call that made it.
-    ``model`` names the provider, the model and its settings.
-    """
-    keyed = prompts.select("qid", "prompt", response_key(model, F.col("prompt"), **options).alias("key"))
-    missing = keyed.join(cache.select("key"), "key", "left_anti").dropDuplicates(["key"])
-    fresh = generate(missing.select(F.col("key").alias("qid"), "prompt"), client, **options).withColumnRenamed("qid", "key")
-    known = cache.select(fresh.columns).dropDuplicates(["key"]).unionByName(fresh)
-    return keyed.select("qid", "key").join(known, "key").drop("key"), fresh
+_CACHED = [c.split()[0] for c in CACHE.split(", ")]
 
 
 def decide(
@@ -178,20 +255,24 @@ def needs_retry(replies: DataFrame, require_coverage: bool = False) -> DataFrame
     return judged.select("qid", again.alias("prompt")).where("prompt is not null")
 
 
-def answer(questions: DataFrame, client: Callable[[], LanguageModel], template: str, product: str = "product", retries: int = 1, system: str = "", **policy) -> DataFrame:
+def answer(
+    questions: DataFrame, client: Client, template: str, product: str = "product", retries: int = 1, system: str = "", temperature: float = 0.0,
+    max_output_tokens: int = 1024, **policy,
+) -> DataFrame:
     """questions(qid, question, n_sources, sources, top_score) -> ``decide``'s rows, n_llm_calls, input_tokens, output_tokens, generation_s.
 
-    Generation, retries with feedback, decision. Questions that the gate stops, or that found
+    Generation, retries with feedback (none without the citation check), decision. Questions that the gate stops, or that found
     nothing, are never sent; their calls, tokens and seconds are 0.
     """
     gate = policy.get("min_score")
+    retries = retries if policy.get("citation_check", True) else 0
     asked = questions.withColumn("prompt", prompt(template, sources=F.col("sources"), question=F.trim("question"), product=F.lit(product)))
     open_ = asked.where("n_sources > 0")
     if gate is not None:
         open_ = open_.where(F.coalesce(F.col("top_score") >= gate, F.lit(True)))
     todo, said = open_.select("qid", "prompt"), None
     for attempt in range(1 + retries):
-        replies = generate(todo, client, system.replace("{product}", product)).withColumn("attempt", F.lit(attempt))
+        replies = generate(todo, client, system.replace("{product}", product), max_output_tokens, temperature).withColumn("attempt", F.lit(attempt))
         said = replies if said is None else said.unionByName(replies)
         if attempt < retries:
             todo = needs_retry(replies.join(todo, "qid").join(open_.select("qid", "n_sources"), "qid"), policy.get("require_coverage", False))

@@ -114,20 +114,25 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, exclude_self: bool = F
 
 
 def _scorer(queries: list[tuple], k: int) -> Callable:
-    qids = np.array([q for q, _ in queries], dtype=object)
-    matrix = np.stack([v for _, v in queries])
+    """Vectors are scored by the queries of their own length; others have no product with them."""
+    sizes: dict[int, list[tuple]] = {}
+    for q, v in queries:
+        sizes.setdefault(len(v), []).append((q, v))
+    sets = {n: (np.array([q for q, _ in some], dtype=object), np.stack([v for _, v in some])) for n, some in sizes.items()}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            x = [np.asarray(v, float) for v in pdf["vector"]]
-            sound = [i for i, v in enumerate(x) if v.shape == matrix[0].shape and np.isfinite(v).all() and v.any()]
-            if not sound:
-                continue
-            x = np.stack([x[i] for i in sound])
-            ids = pdf["id"].to_numpy()[sound]
-            scores = np.round((x / np.linalg.norm(x, axis=1, keepdims=True)) @ matrix.T, 6)
-            at_least = np.partition(scores, max(len(x) - k, 0), axis=0)[max(len(x) - k, 0)]
-            rows, cols = np.nonzero(scores >= at_least)
-            yield pd.DataFrame({"qid": qids[cols], "id": ids[rows], "score": scores[rows, cols]})
+            rows: dict[int, list] = {}
+            for i, v in enumerate(pdf["vector"]):
+                v = np.asarray(v, float)
+                if len(v) in sets and np.isfinite(v).all() and v.any():
+                    rows.setdefault(len(v), []).append((i, v))
+            for n, some in rows.items():
+                qids, matrix = sets[n]
+                x, ids = np.stack([v for _, v in some]), pdf["id"].to_numpy()[[i for i, _ in some]]
+                scores = np.round((x / np.linalg.norm(x, axis=1, keepdims=True)) @ matrix.T, 6)
+                at_least = np.partition(scores, max(len(x) - k, 0), axis=0)[max(len(x) - k, 0)]
+                found, cols = np.nonzero(scores >= at_least)
+                yield pd.DataFrame({"qid": qids[cols], "id": ids[found], "score": scores[found, cols]})
 
     return run

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citemill.functions.text import QUESTION_LIMIT, has_numeric, is_context_dependent, match_text, strip, word_count
 from citemill.sources.store import stored
 
-from .answering import LanguageModel, generate, prompt
+from .answering import Client, generate, prompt
 
 MIN_QUOTE_WORDS, MIN_PROBE_WORDS = 4, 6
 
@@ -70,7 +68,7 @@ def n_unsupported(verdict: Column) -> Column:
     return F.size(F.filter(verdict["claims"], lambda c: ~c["supported"]))
 
 
-def judge(answers: DataFrame, client: Callable[[], LanguageModel], template: str, attempts: int = 2, system: str = "") -> DataFrame:
+def judge(answers: DataFrame, client: Client, template: str, attempts: int = 2, system: str = "") -> DataFrame:
     """answers(qid, abstained, question, expected, reference, context, answer) -> (qid, verdict, error, judge_tokens).
 
     Abstentions aren't judged. An unusable verdict is asked for again, ``attempts`` times in all; what
@@ -91,13 +89,13 @@ def judge(answers: DataFrame, client: Callable[[], LanguageModel], template: str
 _DRAFT = "question string, reference_answer string, evidence array<string>"
 
 
-def _drafts(prompts: DataFrame, client: Callable[[], LanguageModel]) -> DataFrame:
+def _drafts(prompts: DataFrame, client: Client) -> DataFrame:
     """prompts(qid, prompt) -> (did, question, reference_answer, quotes) as the model says."""
     said = generate(prompts, client, temperature=0.7, max_output_tokens=3000)
     return said.select(F.col("qid").alias("did"), F.from_json("reply", _DRAFT).alias("d")).select("did", "d.question", "d.reference_answer", F.col("d.evidence").alias("quotes"))
 
 
-def draft(sections: DataFrame, client: Callable[[], LanguageModel], template: str) -> DataFrame:
+def draft(sections: DataFrame, client: Client, template: str) -> DataFrame:
     """sections(did, doc_id, heading, text) -> (did, question, reference_answer, evidence): one question each, if its evidence holds."""
     asked = sections.select(F.col("did").alias("qid"), prompt(template, heading=F.col("heading"), passage=F.col("text")).alias("prompt"))
     drafts = _drafts(asked, client)
@@ -105,7 +103,7 @@ def draft(sections: DataFrame, client: Callable[[], LanguageModel], template: st
     return drafts.join(good, "did").select("did", "question", "reference_answer", "evidence")
 
 
-def draft_pairs(pairs: DataFrame, client: Callable[[], LanguageModel], template: str) -> DataFrame:
+def draft_pairs(pairs: DataFrame, client: Client, template: str) -> DataFrame:
     """pairs(did, a, b: struct<doc_id, heading, text>) -> as ``draft``: questions that need both passages, a quote from either."""
     parts = {f"{what}_{side}": F.col(f"{side}.{field}") for side in "ab" for what, field in (("heading", "heading"), ("passage", "text"))}
     drafts = _drafts(pairs.select(F.col("did").alias("qid"), prompt(template, **parts).alias("prompt")), client)
@@ -113,7 +111,7 @@ def draft_pairs(pairs: DataFrame, client: Callable[[], LanguageModel], template:
     return drafts.join(validated_pairs(drafts, passages), "did").select("did", "question", "reference_answer", "evidence")
 
 
-def draft_unanswerable(areas: DataFrame, client: Callable[[], LanguageModel], template: str, n: int = 4, most_headings: int = 25, seed: int = 7) -> DataFrame:
+def draft_unanswerable(areas: DataFrame, client: Client, template: str, n: int = 4, most_headings: int = 25, seed: int = 7) -> DataFrame:
     """areas(area, heading) -> (area, question): near misses that a model thinks of from headings of the area, a shuffled most_headings of them in a prompt."""
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), "area", "heading").cast("binary"))
     nth = F.row_number().over(Window.partitionBy("area").orderBy(key, "heading"))
@@ -125,14 +123,14 @@ def draft_unanswerable(areas: DataFrame, client: Callable[[], LanguageModel], te
     return told.select("area", strip(F.col("question")).alias("question")).where("question <> ''").distinct()
 
 
-def verified_unanswerable(candidates: DataFrame, client: Callable[[], LanguageModel], template: str) -> DataFrame:
+def verified_unanswerable(candidates: DataFrame, client: Client, template: str) -> DataFrame:
     """candidates(qid, question, context: the excerpts found for it) -> (qid, holds, reason): whether a model finds no answer there, not even in part."""
     asked = candidates.select("qid", prompt(template, question=F.col("question"), context=F.col("context")).alias("prompt"))
     told = generate(asked, client, max_output_tokens=800).select("qid", F.from_json("reply", "answered string, reason string").alias("v"))
     return told.select("qid", F.coalesce(F.col("v.answered") == "no", F.lit(False)).alias("holds"), F.coalesce("v.reason", F.lit("the verifier's reply is no JSON")).alias("reason"))
 
 
-def draft_probes(sections: DataFrame, client: Callable[[], LanguageModel], template: str, done: DataFrame | None = None, seed: int = 13) -> DataFrame:
+def draft_probes(sections: DataFrame, client: Client, template: str, done: DataFrame | None = None, seed: int = 13) -> DataFrame:
     """sections(doc_id, heading_path, text) -> (question, evidence, doc_id, heading_path): one probe for each document that ``done`` lacks, if its evidence holds.
 
     The section is chosen by seed and document, so a resumed run takes the same. 600 words of it are shown.
@@ -161,7 +159,7 @@ def section_key(doc_id: Column, heading_path: Column) -> Column:
 
 
 def draft_set(
-    sections: DataFrame, existing: DataFrame, client: Callable[[], LanguageModel], templates: dict[tuple[str, str | None], str],
+    sections: DataFrame, existing: DataFrame, client: Client, templates: dict[tuple[str, str | None], str],
     targets: dict[tuple[str, str | None], int] = TARGETS, seed: int = 7,
 ) -> DataFrame:
     """New questions of single sections for each (category, subtype) of ``templates`` that ``existing`` has too few of.

@@ -196,7 +196,7 @@ SELECT user_id, event_type, event_id, round(wait, 3) AS wait FROM f WHERE n > 0"
 def token_limit(spark, d):
     """Tokens per minute for each user and event type."""
     events = table(spark, d, "events").select(
-        F.concat_ws("\t", F.col("user_id").cast("string"), "event_type").alias("key"), F.struct("event_id", "user_id", "event_type").alias("id"),
+        F.to_json(F.struct("user_id", "event_type")).alias("key"), F.struct("event_id", "user_id", "event_type").alias("id"),  # a null leaves its field out, so no two keys are one
         (F.unix_micros(F.to_timestamp_ltz("ts")) / 1e6).alias("t"), F.floor(F.col("value") * 10).alias("tokens"),
     )
     return limits.token_window(events, 300).select("id.user_id", "id.event_type", "id.event_id", F.round("wait", 3).alias("wait"))

@@ -4,19 +4,17 @@ from __future__ import annotations
 
 import hashlib
 import json
-import time
-from collections.abc import Callable
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citemill.functions.text import expected_text
-from citemill.operators import answering, bm25, bootstrap, drafting, evidence, metrics
+from citemill.operators import answering, bootstrap, drafting, evidence, metrics
 from citemill.sources import sinks
 from citemill.sources.store import stored
 
-from .retrieval import retrieve
+from .assistant import cited_ids, found_for, with_sources
 
 
 @dataclass(frozen=True)
@@ -65,34 +63,29 @@ def run_id(told: dict) -> str:
 
 
 def evaluate(
-    questions: DataFrame, configs: list[EvalConfig], index: dict[str, DataFrame], client: Callable[[], answering.LanguageModel],
-    judge_client: Callable[[], answering.LanguageModel], template: str, judge_template: str, done: DataFrame | None = None, top_k: int = 5,
+    questions: DataFrame, configs: list[EvalConfig], index: dict[str, DataFrame], client: answering.Client,
+    judge_client: answering.Client, template: str, judge_template: str, done: DataFrame | None = None, top_k: int = 5,
     **retrieval,
 ) -> DataFrame:
     """One record per question and configuration that has none in ``done(config, qid)``.
 
-    Each configuration is one plan over all its questions. Retrieval is a batch: a question's
-    retrieval_s is the batch's seconds over its questions. Calls, tokens and seconds of generation
+    Each configuration is one plan over all its questions; configurations of one mode share its search.
+    Retrieval is a batch: a question's retrieval_s is the batch's seconds over its questions. Behind
+    ``answering.Cached`` clients a second run asks nothing. Calls, tokens and seconds of generation
     and of the judge are those of the clients (``answering.measured``). ``retrieval`` goes to
     ``retrieve``: an encoder, a reranker, sizes.
     """
-    chunks = index["chunks"]
-    texts = chunks.select(F.col("chunk_id").alias("id"), "text")
-    groups, out = gold(questions, chunks), None
+    chunks, groups, out = index["chunks"], gold(questions, index["chunks"]), None
+    searched: dict[str, tuple[DataFrame, float]] = {}
     for cfg in configs:
         todo = questions
         if done is not None:
             todo = questions.join(done.where(F.col("config") == cfg.name).select(F.col("qid").alias("id")), "id", "left_anti")
-        begin = time.perf_counter()
-        found = stored(retrieve(todo.select(F.col("id").alias("qid"), F.col("question").alias("text")), texts, index["vectors"], bm25.Index(index["postings"]), cfg.mode, top_k, **retrieval), "retrieved")
-        each = (time.perf_counter() - begin) / max(todo.count(), 1)
-        shown = found.join(chunks, found.id == chunks.chunk_id).select("qid", "rank", F.array_join("heading_path", " > ").alias("heading"), "url", "text")
-        ids = found.groupBy("qid").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"]).alias("retrieved_ids"), F.max("rerank_score").alias("top_rerank_score"))
-        asked = todo.withColumnRenamed("id", "qid").join(answering.sources_text(shown), "qid", "left").join(ids, "qid", "left").join(groups, "qid", "left")
-        asked = asked.withColumns({
-            "n_sources": F.coalesce("n_sources", F.lit(0)), "sources": F.coalesce("sources", F.lit("")),
-            "retrieved_ids": F.coalesce("retrieved_ids", F.array().cast("array<string>")), "gold_groups": F.coalesce("gold_groups", F.array().cast("array<array<string>>")),
-        })
+        if cfg.mode not in searched:  # one search for all configurations of a mode
+            searched[cfg.mode] = found_for(questions.select(F.col("id").alias("qid"), "question"), index, cfg.mode, top_k, **retrieval)
+        found, each = searched[cfg.mode]
+        asked = with_sources(todo.withColumnRenamed("id", "qid"), found, chunks).join(groups, "qid", "left")
+        asked = asked.withColumn("gold_groups", F.coalesce("gold_groups", F.array().cast("array<array<string>>")))
         answers = stored(answering.answer(asked.withColumn("top_score", F.col("top_rerank_score")), client, cfg.template or template, citation_check=cfg.citation_check, min_score=cfg.min_score), "answers")
         told = asked.join(answers, "qid").select(
             "qid", "abstained", "question", expected_text(F.col("expected")).alias("expected"), F.col("reference_answer").alias("reference"), F.col("sources").alias("context"), F.col("text").alias("answer")
@@ -101,7 +94,7 @@ def evaluate(
         rows = asked.join(answers, "qid").join(verdicts, "qid", "left").select(
             "qid", F.lit(cfg.name).alias("config"), "split", "category", "subtype", "expected", "question", F.col("reference_answer").alias("reference"),
             "retrieved_ids", "top_rerank_score", "gold_groups", F.col("text").alias("answer"), "abstained", F.col("reason").alias("abstain_reason"),
-            F.transform("cited", lambda a: F.col("retrieved_ids")[F.substring(a, 2, 9).cast("int") - 1]).alias("cited_ids"),
+            cited_ids().alias("cited_ids"),
             F.col("check.valid").alias("citation_valid"), F.col("first_valid").alias("citation_first_attempt_valid"),
             F.size("check.uncited_sentences").alias("n_uncited_sentences"), F.lit(cfg.citations_requested).alias("citations_requested"),
             "n_llm_calls", "input_tokens", "output_tokens", F.lit(each).alias("retrieval_s"), "generation_s", "verdict",

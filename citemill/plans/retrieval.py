@@ -16,9 +16,11 @@ MODES = ("dense", "hybrid", "hybrid_rerank")
 def retrieve(
     questions: DataFrame, chunks: DataFrame, vectors: DataFrame, index: bm25.Index, mode: str = "hybrid_rerank",
     top_k: int = 5, candidates: int = 30, rerank_candidates: int = 20, rrf_k: int = 60, encode=None, query_prefix: str = "", reranker: Callable | None = None,
+    bm25_candidates: int | None = None,
 ) -> DataFrame:
     """questions(qid, text), chunks(id, text), vectors(id, vector) -> (qid, rank, id, score, dense_rank, bm25_rank, rerank_score).
 
+    ``candidates`` of the dense search and as many of the lexical one, or ``bm25_candidates``, are fused.
     ``reranker()`` makes, once in each worker, a function from (query, passages) to their scores;
     without it the share of a query's terms in the passage is the score.
     """
@@ -29,7 +31,7 @@ def retrieve(
     none = lambda kind, name: F.lit(None).cast(kind).alias(name)
     if mode == "dense":
         return near.select("qid", "rank", "id", "score", F.col("rank").alias("dense_rank"), none("int", "bm25_rank"), none("double", "rerank_score"))
-    words = bm25.search(questions, index, candidates)
+    words = bm25.search(questions, index, candidates if bm25_candidates is None else bm25_candidates)
     found = fusion.candidates(near, words, top_k if mode == "hybrid" else rerank_candidates, rrf_k)
     if mode == "hybrid":
         return found.withColumn("rerank_score", none("double", "rerank_score"))

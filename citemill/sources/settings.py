@@ -34,6 +34,7 @@ class GenerationConfig:
     protocol_name: str = "product"
     prompt_version: str = "answer"
     temperature: float = 0.0
+    max_output_tokens: int = 1024
     citation_check: bool = True
     max_citation_retries: int = 1
     require_sentence_coverage: bool = False

@@ -43,7 +43,7 @@ def read_index(spark: SparkSession, path: str, meta: dict) -> dict[str, DataFram
     """The index's tables; an index that was built from something else is an error."""
     told = json.loads(spark.read.schema("meta string").json(f"{path}/meta").first().meta)
     chunks = spark.read.parquet(f"{path}/chunks")
-    if told != {**meta, "n_chunks": chunks.count()}:
+    if told != json.loads(json.dumps({**meta, "n_chunks": chunks.count()})):  # as it was written: tuples are lists
         raise ValueError("the index is stale: rebuild it")
     return {"chunks": chunks, "vectors": spark.read.parquet(f"{path}/vectors"), "postings": spark.read.parquet(f"{path}/postings")}
 

@@ -95,3 +95,25 @@ def test_hybrid_modes(spark):
         assert got[0].id == 0 and len(got) == 2 and (got[0].rerank_score is None) == (mode != "hybrid_rerank")
     with pytest.raises(ValueError):
         retrieval.retrieve(asked, texts, texts, bm25.build(texts), "x")
+
+
+def test_stored_postings_give_the_same_and_read_less(spark, small, tmp_path, monkeypatch):
+    """Blocks that can't matter aren't read; ties, repeated terms and queries of unknown words go as in a plain search."""
+    monkeypatch.setattr(bm25, "BLOCK", 4)
+    texts = spark.read.parquet(f"{small}/documents.parquet").selectExpr("doc_id as id", "text")
+    asked = spark.read.parquet(f"{small}/benchmark.parquet").selectExpr("item_id as qid", "text").limit(12)
+    asked = asked.union(spark.createDataFrame([(-1, "zzz qqq"), (-2, "the of"), (-3, "on on the thin"), (-4, None)], "qid long, text string"))
+    index = bm25.build(texts)
+    want = {tuple(r) for r in bm25.search(asked, index, 5).collect()}
+    bm25.Stored.write(index, str(tmp_path / "postings"))
+    held = bm25.Stored.open(spark, str(tmp_path / "postings"))
+    assert {tuple(r) for r in held.search(asked, 5).collect()} == want and want
+    plain = bm25.term_counts(asked.selectExpr("qid as id", "text")).select("id", "term").join(held.heads, "term").agg(F.sum("n")).first()[0]
+    read = held.postings_read()
+    assert read["lead"] + read.get("rest", 0) < plain
+
+
+def test_queries_of_different_lengths_are_searched_together(spark):
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 1.0, 0.0]), (4, [0.0]), (5, [])], "id int, vector array<double>")
+    asked = spark.createDataFrame([(1, [1.0, 0.1]), (2, [0.0, 0.0, 2.0]), (3, [1.0, 1.0, 1.0])], "qid int, vector array<double>")
+    assert [(r.qid, r.id, r.score) for r in dense.top_k(asked, vectors, 1).orderBy("qid").collect()] == [(1, 1, 0.995037), (2, 3, 0.0), (3, 3, 0.816497)]
