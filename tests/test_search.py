@@ -1,9 +1,10 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from citemill.operators import bm25, dense, evidence, fusion
+from citemill.operators import bm25, cells, dense, evidence, fusion
 
 
 def rankings(spark, *lists):
@@ -117,3 +118,21 @@ def test_queries_of_different_lengths_are_searched_together(spark):
     vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 1.0, 0.0]), (4, [0.0]), (5, [])], "id int, vector array<double>")
     asked = spark.createDataFrame([(1, [1.0, 0.1]), (2, [0.0, 0.0, 2.0]), (3, [1.0, 1.0, 1.0])], "qid int, vector array<double>")
     assert [(r.qid, r.id, r.score) for r in dense.top_k(asked, vectors, 1).orderBy("qid").collect()] == [(1, 1, 0.995037), (2, 3, 0.0), (3, 3, 0.816497)]
+
+
+def test_cells_give_the_same_neighbours_and_are_mostly_not_read(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(cells, "CELL_ROWS", 20)
+    rng = np.random.default_rng(0)
+    centres = rng.standard_normal((25, 16))
+    v = np.concatenate([centres[rng.integers(0, 25, 900)] + 0.15 * rng.standard_normal((900, 16)), np.tile(centres[0], (60, 1)), rng.standard_normal((40, 16))])
+    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(2000, None), (2001, [0.0] * 16), (2002, [float("nan")] * 16)]
+    vectors = spark.createDataFrame(rows, "id int, vector array<double>")
+    asked = vectors.where("id % 25 = 0 or id > 1990").selectExpr("id as qid", "vector").union(spark.createDataFrame([(-1, [1.0, 2.0])], "qid int, vector array<double>"))
+    cells.Cells.write(vectors, str(tmp_path / "cells"))
+    held = cells.Cells.open(spark, str(tmp_path / "cells"))
+    for own in (False, True):
+        got = {tuple(r) for r in held.search(asked, 7, exclude_self=own).collect()}
+        assert got == {tuple(r) for r in dense.top_k(asked.where("qid <> -1 and qid < 2001"), vectors.where("id < 2001"), 7, exclude_self=own).collect()} and len(got) == 40 * 7
+    assert 0 < held.share_read() < 0.5
+    cells.Cells.write(vectors.where("false"), str(tmp_path / "none"))
+    assert cells.Cells.open(spark, str(tmp_path / "none")).search(asked, 3).count() == 0
