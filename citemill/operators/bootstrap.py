@@ -124,9 +124,9 @@ def paired_difference(values: DataFrame, **options) -> DataFrame:
     return bootstrap_ci(values.select("grp", "key", (F.col("b") - F.col("a")).alias("value")), **options)
 
 
-def compare(metrics: DataFrame, baseline: str, other: str) -> DataFrame:
+def compare(metrics: DataFrame, baseline: str, other: str, **options) -> DataFrame:
     """long-form metrics(config, qid, metric, value): other less baseline, question by question, for each metric."""
-    found = against(metrics, (baseline,)).where(F.col("config") == other)
+    found = against(metrics.where(F.col("config").isin(baseline, other)), (baseline,), **options)
     return found.select(F.col("metric").alias("grp"), F.col("difference").alias("mean"), "low", "high", "n")
 
 

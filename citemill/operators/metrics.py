@@ -99,8 +99,13 @@ def by_category(metrics: DataFrame) -> DataFrame:
     )
 
 
-def chunk_sizes(chunks: DataFrame) -> DataFrame:
-    """Count, nearest-place p50 and p95 (not interpolated) and the largest n_tokens; one row, also without chunks."""
-    whole = chunks.agg(F.count("n_tokens").alias("n_chunks"), F.max("n_tokens").alias("largest"))
-    found = percentiles(chunks.select(F.lit(0).alias("grp"), F.col("n_tokens").alias("value")), {"p50": 0.5, "p95": 0.95}, interpolate=False)
-    return whole.join(found, F.lit(True), "left").select("n_chunks", "p50", "p95", "largest")  # one row by one row at most
+def chunk_sizes(chunks: DataFrame, by: str | None = None) -> DataFrame:
+    """n_chunks, nearest-place p50 and p95 (not interpolated) and largest of n_tokens; one row, or one for each value of ``by``."""
+    own = chunks.select((F.col(by) if by else F.lit(0)).alias("grp"), F.col("n_tokens").alias("value"))
+    whole = own.groupBy(F.struct("grp").alias("g")).agg(F.count("value").alias("n_chunks"), F.max("value").alias("largest"))
+    found = percentiles(own, {"p50": 0.5, "p95": 0.95}, interpolate=False).withColumn("g", F.struct("grp")).drop("grp")
+    told = whole.join(found, "g", "left")
+    if by:
+        return told.select(F.col("g.grp").alias(by), "n_chunks", "p50", "p95", "largest")
+    # Without chunks there is a row, too.
+    return told.agg(F.coalesce(F.max("n_chunks"), F.lit(0)).alias("n_chunks"), *[F.max(c).alias(c) for c in ("p50", "p95", "largest")])

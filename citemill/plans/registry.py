@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import answer_queries, evaluation_queries, search_queries, text_queries
+from . import answer_queries, evaluation_queries, report_queries, search_queries, text_queries
 
-_MODULES = (search_queries, evaluation_queries, text_queries, answer_queries)
+_MODULES = (search_queries, evaluation_queries, text_queries, answer_queries, report_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -8,6 +8,8 @@ from citemill.functions import text as T
 from citemill.operators import chunking, evidence, metrics
 from citemill.sources import files
 
+from citemill.sources.store import stored
+
 from .tables import catalogue, table
 
 QUERIES, SQL, register = catalogue()
@@ -131,13 +133,7 @@ def structural_chunks(spark, d):
 @register()
 def chunk_size_summary(spark, d):
     """Count, nearest-place percentiles and maximum of chunk sizes for each configuration of the grid."""
-    sized = chunking.grid(_chunks(spark, d)).select("config", "n_tokens")
-    out = None
-    for size in (128, 256, 512, 1024):
-        for overlap in (0, size // 8):
-            own = metrics.chunk_sizes(sized.where(F.col("config") == f"{size}/{overlap}")).withColumn("config", F.lit(f"{size}/{overlap}"))
-            out = own if out is None else out.unionByName(own)
-    return out
+    return metrics.chunk_sizes(stored(chunking.grid(_chunks(spark, d)).select("config", "n_tokens"), "sizes"), "config")
 
 
 @register("SELECT regexp_extract(url, '^[a-z]+://[^/]+/([^/?#]*)', 1) AS area, count(*) AS n, string_agg(DISTINCT regexp_extract(url, '^[a-z]+://([^/]+)', 1), ',' ORDER BY regexp_extract(url, '^[a-z]+://([^/]+)', 1)) AS headings FROM pages GROUP BY 1")
