@@ -1,6 +1,6 @@
 import pytest
 
-from citemill.functions import markdown
+from citemill.functions import markdown, markup
 from citemill.functions.markup import normalize
 from citemill.operators import chunking as C
 
@@ -93,3 +93,19 @@ def test_markup(source, want):
 def test_front_matter():
     got = normalize(MDX[0][0])
     assert (got["title"], got["description"]) == ("My Page", "All of it") and normalize(None)["title"] is None
+
+
+def test_front_matter_is_yaml():
+    block = "---\ntitle: 'A: b'\ntags: [x, y]\nnest:\n  k: 1\ndescription: |\n  two\n  lines\nday: 2024-01-02\n---\n# A: b\n"
+    meta, body = markup.front_matter(block)
+    assert (meta["title"], meta["tags"], meta["nest"], meta["description"]) == ("A: b", ["x", "y"], {"k": 1}, "two\nlines\n") and str(meta["day"]) == "2024-01-02" and body == "# A: b\n"
+    assert markup.front_matter("---\n: : [\n---\nx") == ({}, "x") == markup.front_matter("---\n- a\n---\nx") == markup.front_matter("---\nday: 2024-13-45\n---\nx")
+    assert markup.normalize("---\ntitle: [a]\ndescription: 7\n---\nx")["title"] is None and markup.normalize("---\ndescription: 7\n---\nx")["description"] == "7"
+
+
+def test_sections_to_draft_from_count_words_outside_of_code(spark):
+    words = "word " * 40
+    source = f"---\ntitle: T\n---\n# T\n\n<Callout>\n{words}\n</Callout>\n\n- item {words}\n\n## Code\n\n```\n{words * 5}\n```\n\nFew words.\n\n## Long\n\n{words * 30}\n"
+    rows = C.draftable(spark.createDataFrame([("d", source), ("e", None), ("f", "")], "doc_id string, source string")).orderBy("ordinal").collect()
+    assert [(r.doc_id, r.heading_path) for r in rows] == [("d", ["T"]), ("d", ["T", "Long"])]
+    assert rows[0].n_words >= 80 and rows[1].n_words == 1200 and len(rows[1].text.split(" ")) == 700 and "Callout" not in rows[0].text
