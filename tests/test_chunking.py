@@ -109,3 +109,53 @@ def test_sections_to_draft_from_count_words_outside_of_code(spark):
     rows = C.draftable(spark.createDataFrame([("d", source), ("e", None), ("f", "")], "doc_id string, source string")).orderBy("ordinal").collect()
     assert [(r.doc_id, r.heading_path) for r in rows] == [("d", ["T"]), ("d", ["T", "Long"])]
     assert rows[0].n_words >= 80 and rows[1].n_words == 1200 and len(rows[1].text.split(" ")) == 700 and "Callout" not in rows[0].text
+
+
+@pytest.mark.parametrize("text, want", [
+    ("> a\nlazy\n\nb", [("other", "> a\nlazy"), ("prose", "b")]),
+    ("> # head\ntext", [("other", "> # head"), ("prose", "text")]),
+    ("> ```\ncode\n```", [("other", "> ```"), ("prose", "code"), ("code", "```")]),
+    ("> - item\nlazy\n> - other\n\n> apart", [("other", "> - item\nlazy\n> - other"), ("other", "> apart")]),
+    ("- a\n\n      code in it\n\n  # head in it\n\nafter", [("list", "- a\n\n      code in it\n\n  # head in it"), ("prose", "after")]),
+    ("- # head\ntext", [("list", "- # head"), ("prose", "text")]),
+    ("- a\nlazy\n- b", [("list", "- a\nlazy\n- b")]),
+    ("- ```\n  in\nout\n```", [("list", "- ```\n  in"), ("prose", "out"), ("code", "```")]),
+    ("-\n\n  apart", [("list", "-"), ("prose", "  apart")]),
+    ("-\n  within", [("list", "-\n  within")]),
+    ("1. a\n2. b\n\n3) c", [("list", "1. a\n2. b"), ("list", "3) c")]),
+    ("- a\n* b\n***\n- c", [("list", "- a"), ("list", "* b"), ("other", "***"), ("list", "- c")]),
+    ("> > deep\n> lazy\nlazier", [("other", "> > deep\n> lazy\nlazier")]),
+    ("1. > quoted in it\n   still\n\n   > more", [("list", "1. > quoted in it\n   still\n\n   > more")]),
+    ("text\n2. no list\n1. a list", [("prose", "text\n2. no list"), ("list", "1. a list")]),
+    ("-     five spaces\n\n      code", [("list", "-     five spaces\n\n      code")]),
+    ("<b>bold</b> text\nmore", [("prose", "<b>bold</b> text\nmore")]),
+    ("<https://x.example> is it", [("prose", "<https://x.example> is it")]),
+    ("<Tag a=1 b='2'>\nshown\n\ntext", [("other", "<Tag a=1 b='2'>\nshown"), ("prose", "text")]),
+    ("text\n<Tag>\nmore", [("prose", "text\n<Tag>\nmore")]),
+    ("text\n<div>\nmore\n\nend", [("prose", "text"), ("other", "<div>\nmore"), ("prose", "end")]),
+    ("<!-- a\n\n# no head -->\n# head", [("other", "<!-- a\n\n# no head -->"), ("heading", "head")]),
+    ("<script>\n\nlet a\n</script>\nb", [("other", "<script>\n\nlet a\n</script>"), ("prose", "b")]),
+    ("``` no `fence\ntext", [("prose", "``` no `fence\ntext")]),
+    ("~~~ `a`\n# x\n~~~", [("code", "~~~ `a`\n# x\n~~~")]),
+    ("    code\n\n    more\ntext", [("code", "    code\n\n    more"), ("prose", "text")]),
+    ("text\n    no code\nHead\n===", [("heading", "text no code Head")]),
+    ("> a\n---", [("other", "> a"), ("other", "---")]),
+    ("a | b\n- | -\n1 | 2\n> q", [("table", "a | b\n- | -\n1 | 2"), ("other", "> q")]),
+    ("\ta tab of code", [("code", "\ta tab of code")]),
+])
+def test_containers_hold_their_blocks(text, want):
+    assert [(b.kind, b.text) for b in markdown.parse(text)] == want
+
+
+def test_items_of_lists_that_hold_blocks():
+    block = markdown.parse("1. a\n\n   ```\n   # no head\n   ```\n2. b\n   - c\n     - d\n\n   e\nlazy")[0]
+    assert block.items == ["1. a\n\n   ```\n   # no head\n   ```", "2. b\n   - c\n     - d\n\n   e\nlazy"]
+
+
+def test_parsing_takes_linear_time():
+    import time
+
+    for text in ("> a\nb\n" * 40_000, "- " * 30_000, "> " * 3000 + "\n" + "x\n" * 3000, "- a\n\n      ```\n" * 20_000, "<a " * 50_000, "[" * 50_000):
+        t = time.perf_counter()
+        markdown.parse(text)
+        assert time.perf_counter() - t < 10
