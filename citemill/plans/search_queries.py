@@ -161,7 +161,7 @@ def evidence_by_document(spark, d):
     return evidence.resolve(quotes, chunks).select("qid", F.array_join("chunk_ids", ",").alias("chunk_ids"))
 
 
-@register("WITH" + sql.bm25(50) + f""",
+@register("WITH" + sql.bm25(2000) + f""",
 x AS (SELECT doc_id, {_NORM} AS t, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) AS n FROM documents),
 i AS (SELECT item_id, {_NORM} AS t FROM benchmark),
 l AS (SELECT l.qid, l.rank, x.n, contains(x.t, i.t) AS hit, coalesce(sum(x.n) OVER (PARTITION BY l.qid ORDER BY l.rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used

@@ -37,10 +37,10 @@ f AS (
   SELECT doc_id, l, list_reduce(l, lambda a, x: {{
     'c': list_append(a.c, (CASE WHEN a.u > 0 AND a.u + x.u > 256 THEN coalesce(a.c[-1], 0) + 1 ELSE coalesce(a.c[-1], 0) END)::INT),
     'u': (CASE WHEN a.u > 0 AND a.u + x.u > 256 THEN x.u ELSE a.u + x.u END)::INT}}, {{'c': []::INT[], 'u': 0::INT}}).c AS c FROM n),
-e AS (SELECT doc_id, unnest(c) AS chunk, unnest(list_transform(l, lambda x: x.u)) AS n FROM f)
-SELECT doc_id, chunk, sum(n)::BIGINT AS n_tokens FROM e GROUP BY 1, 2""")
+e AS (SELECT f.doc_id, unnest(c) AS chunk, unnest(list_transform(l, lambda x: x.u)) AS n, unnest(s) AS sentence, unnest(range(len(s))) AS pos FROM f JOIN s ON s.doc_id = f.doc_id)
+SELECT doc_id, chunk, sum(n)::BIGINT AS n_tokens, md5(string_agg(sentence, ' ' ORDER BY pos)) AS text_md5 FROM e GROUP BY 1, 2""")
 def greedy_pack(spark, d):
-    return chunking.pack_sentences(table(spark, d, "documents"), 256).select("doc_id", "chunk", "n_tokens")
+    return chunking.pack_sentences(table(spark, d, "documents"), 256).select("doc_id", "chunk", "n_tokens", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
 @register(r"""SELECT doc_id, len(regexp_extract_all(text, '\b\d+(?:[.,]\d+)*\s*(?:%|bps|basis points|seconds|blocks|days|wei|gwei|bits?)\b|\b0x[0-9a-fA-F]{8,}\b|\b\d{2,}\b')) AS hits
