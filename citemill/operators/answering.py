@@ -212,6 +212,19 @@ CACHE = f"key string, {REPLY}"
 _CACHED = [c.split()[0] for c in CACHE.split(", ")]
 
 
+def generate_cached(prompts: DataFrame, client: Client, cache: DataFrame, model: str, **options) -> tuple[DataFrame, DataFrame]:
+    """``generate`` behind a table cache(key, reply, ...) that the caller keeps -> (replies, rows to append to it).
+
+    Equal requests are asked once. A hit has the tokens and seconds of the call that made it.
+    ``Cached`` is the same over a folder that it keeps itself.
+    """
+    keyed = prompts.select("qid", "prompt", response_key(model, F.col("prompt"), **options).alias("key"))
+    missing = keyed.join(cache.select("key"), "key", "left_anti").dropDuplicates(["key"])
+    fresh = generate(missing.select(F.col("key").alias("qid"), "prompt"), client, **options).withColumnRenamed("qid", "key")
+    known = cache.select(fresh.columns).dropDuplicates(["key"]).unionByName(fresh)
+    return keyed.select("qid", "key").join(known, "key").drop("key"), fresh
+
+
 def decide(
     attempts: DataFrame, product: str = "product", citation_check: bool = True, require_coverage: bool = False,
     abstain_on_violation: bool = True, min_score: float | None = None,
