@@ -11,11 +11,17 @@ Near copies of a similarity of five-word shingles are further apart than two bit
 edit moves little; what meets in any of them is verified on the whole shingle sets. Bits that an edit
 turns are those of which the majority was narrow, so beside the ball each of these fingerprints also
 emits the variants with two of its least certain bits turned.
+
+What meets is linked along stars, and an exact search follows for the similar texts that these leave
+apart: two sets of a similarity of 0.8 share one of the rarest fifth of each one's shingles (prefix
+filtering), so texts of different groups that do are verified, too. No link is lost.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -25,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 from .components import components
 
 SHINGLE_WORDS = 3
@@ -42,6 +48,15 @@ TABLES, TABLE_BITS = 4, 48
 UNSURE = 6
 #: Texts whose words are told apart at once.
 TEXTS_AT_ONCE = 256
+#: Texts, about, of which shingles are counted to tell rare ones from frequent ones, and frequent ones that are
+#: kept. Any order of shingles gives the same links; one by frequency gives few pairs to verify.
+COUNTED_TEXTS, FREQUENT = 1 << 14, 1 << 16
+#: Words of 64 bits of a set's parities, which bound the similarity of two sets from above.
+PARITY_WORDS = 16
+#: Texts to verify, up to which their digests go to the texts; the texts of more are shuffled.
+SENT_DIGESTS = 1 << 16
+#: Rounds of star links over shared shingles, before all pairs of what they leave apart.
+STAR_ROUNDS = 3
 
 
 def fingerprint(text: bytes | None, shingle_words: int = SHINGLE_WORDS) -> int:
@@ -162,16 +177,16 @@ def _lists(rows: list[np.ndarray] | np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(rows) if len(rows) else [], pa.int64()))
 
 
-def _listing(of_texts, name: str):
-    """Batches with ``text`` replaced by the list of numbers that ``of_texts`` makes of it."""
+def _listing(**of_texts: Callable) -> Callable:
+    """Batches with ``text`` replaced by the lists of numbers that each of ``of_texts`` makes of it, under its name."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for a in range(0, whole.num_rows, TEXTS_AT_ONCE):
                 batch = whole.slice(a, TEXTS_AT_ONCE)
                 kept = [c for c in batch.schema.names if c != "text"]
-                made = _lists(of_texts(batch.column("text")))
-                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], made], [*kept, name])
+                made = [_lists(lists(batch.column("text"))) for lists in of_texts.values()]
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *made], [*kept, *of_texts])
 
     return run
 
@@ -181,6 +196,7 @@ def _meetings(places: DataFrame) -> DataFrame:
 
     Variants are the ball of half the radius, and those with two of the UNSURE bits turned. A variant
     meets places within two bits of it, 1,177 at most; each is linked to the least and to the one before it.
+    What this leaves apart, ``unmet`` finds.
     """
     place = F.col("place")
     at = [F.shiftright("unsure", 6 * k).bitwiseAND(63).cast("int") for k in range(UNSURE)]
@@ -208,21 +224,125 @@ def candidates(nodes: DataFrame) -> DataFrame:
     return inside.union(met.select(F.greatest("hi_head", "lo_head"), F.least("hi_head", "lo_head"))).distinct()
 
 
+def frequent_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """texts(text) -> (shingles that a sample of about COUNTED_TEXTS of them repeats, ascending; in how many of it each is)."""
+    part = max(1, texts.count() // COUNTED_TEXTS)
+    sample = texts.where(F.pmod(F.xxhash64("text"), F.lit(part)) == 0)
+    counts = sample.mapInArrow(_listing(shingles=shingle_sets), "shingles array<bigint>").select(F.explode("shingles").alias("shingle")).groupBy("shingle").count()
+    told = counts.where("count > 1").orderBy(F.desc("count"), "shingle").limit(FREQUENT).toArrow().sort_by("shingle")
+    return told["shingle"].to_numpy(), told["count"].to_numpy()
+
+
+def rarest(shingles: np.ndarray, counts: np.ndarray) -> Callable:
+    """Of texts: the size of each one's shingle set and the parities of its shingles by their top bits, PARITY_WORDS
+    numbers; then its rarest shingles, by count and value: so many that a set of a similarity of NEAR_SIMILARITY or
+    more shares one of them. A text without words has size 0 and a shingle 0.
+    """
+    bits = 64 * PARITY_WORDS
+
+    def of_texts(texts: pa.Array) -> list[np.ndarray]:
+        rows = []
+        for own in shingle_sets(texts):
+            most = len(own) - math.ceil(NEAR_SIMILARITY * len(own) - 1e-9) + 1
+            at = np.searchsorted(shingles, own)
+            known = at < len(shingles)
+            known[known] = shingles[at[known]] == own[known]
+            count = np.zeros(len(own), np.int64)
+            count[known] = counts[at[known]]
+            rare = own[np.lexsort((own, count))[:most]] if len(own) else np.zeros(1, np.int64)
+            odd = np.bincount((own.view(np.uint64) >> np.uint64(32)).astype(np.int64) % bits, minlength=bits) & 1
+            rows.append(np.concatenate([[len(own)], np.packbits(odd.astype(np.uint8)).view(np.int64), rare]))
+        return rows
+
+    return of_texts
+
+
+def _shared(rows: DataFrame) -> DataFrame:
+    """rows(shingle, node, root, size, pos) -> those of shingles under several roots, with the most common of these."""
+    same, every = Window.partitionBy("shingle", "root"), Window.partitionBy("shingle")
+    counted = rows.withColumn("own", F.count("*").over(same)).select("*", F.count("*").over(every).alias("n"), F.max_by("root", "own").over(every).alias("common"))
+    return counted.where("own < n").drop("own", "n")
+
+
+def _fitting(met: DataFrame) -> DataFrame:
+    """met(a, b), rows of one shingle -> (hi, lo, hi_root, lo_root): pairs of different roots that may be similar from there on."""
+    small, large = F.least("a.size", "b.size"), F.greatest("a.size", "b.size")
+    after = F.least(F.expr("a.size - a.pos"), F.expr("b.size - b.pos"))
+    fit = met.where("a.root <> b.root").where((small + 1e-6 >= NEAR_SIMILARITY * large) & (after + 1e-6 >= NEAR_SIMILARITY / (1 + NEAR_SIMILARITY) * (small + large)))
+    return fit.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).selectExpr("hi.node as hi", "lo.node as lo", "hi.root as hi_root", "lo.root as lo_root").distinct()
+
+
+def _star_pairs(shared: DataFrame) -> DataFrame:
+    """Each row with the one before it by root, and with the least under its shingle's most common root."""
+    row, every = F.struct("node", "root", "size", "pos"), Window.partitionBy("shingle")
+    before = F.lag(row).over(every.orderBy("root", "node"))
+    least = F.min(F.when(F.col("root") == F.col("common"), row)).over(every)
+    return _fitting(shared.select(row.alias("a"), F.array(before, least).alias("others")).select("a", F.explode("others").alias("b")))
+
+
+def _all_pairs(shared: DataFrame) -> DataFrame:
+    """All pairs under different roots; rows under the most common root are never paired with each other."""
+    row = F.struct("node", "root", "size", "pos")
+    others = shared.where("root <> common").select("shingle", row.alias("a"))
+    met = others.join(shared.select("shingle", "common", row.alias("b")), "shingle")
+    return _fitting(met.where("a.root <> b.root and (b.root = common or a.node > b.node)"))
+
+
+def unmet(nodes: DataFrame, roots: DataFrame, similar: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """nodes(node, rare), roots(node, root) -> (node, root): which roots are one, as all similar texts under different roots tell.
+
+    Two similar sets share one of the rarest shingles of both, and from the first such on as many as their sizes demand.
+    Star links first make large groups one, so that all pairs need to be looked at between what is left only.
+    """
+    head = 1 + PARITY_WORDS
+    rare = F.posexplode(F.slice("rare", F.lit(1 + head), F.size("rare") - head)).alias("pos", "shingle")
+    rows = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.col("rare")[0].cast("int").alias("size"), rare)
+    shared = materialise(_shared(rows), "shared-shingles")
+    rounds, found = STAR_ROUNDS, []
+    while True:
+        links = similar((_star_pairs if rounds else _all_pairs)(shared))
+        some = not links.isEmpty()
+        if some:
+            found.append(links.select(F.greatest("hi_root", "lo_root").alias("hi"), F.least("hi_root", "lo_root").alias("lo")))
+        if not rounds:
+            break
+        if some:
+            tops = components(found[-1]).toDF("root", "top")
+            before, shared = shared, shared.drop("common").join(tops, "root", "left").withColumn("root", F.coalesce("top", "root")).drop("top")
+            shared = materialise(_shared(shared), "shared-shingles")
+            discard(before)
+        rounds = rounds - 1 if some else 0
+    return components(reduce(DataFrame.union, found, links.select("hi", "lo").limit(0)))
+
+
+def possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs(hi, lo, ...) that may be similar by nodes(node, rare): sizes and parities alone.
+
+    Sets that differ in few shingles differ in no more parities; similar ones differ in a ninth of their sizes' sum at most.
+    """
+    told = nodes.select("node", F.slice("rare", 1, 1 + PARITY_WORDS).alias("told"))
+    of_hi, of_lo = (told.select(F.col("node").alias(c), F.col("told").alias(f"{c}_told")) for c in ("hi", "lo"))
+    both = pairs.join(of_hi, "hi").join(of_lo, "lo")
+    odd = sum((F.bit_count(F.col("hi_told")[i].bitwiseXOR(F.col("lo_told")[i])) for i in range(1, 1 + PARITY_WORDS)), F.lit(0))
+    sizes = F.col("hi_told")[0] + F.col("lo_told")[0]
+    return both.where(odd <= (1 - NEAR_SIMILARITY) / (1 + NEAR_SIMILARITY) * sizes + 1e-6).select(*pairs.columns)
+
+
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs(hi, lo) whose sets(node, shingles) have a similarity of NEAR_SIMILARITY or more; two empty sets are equal."""
+    """The pairs(hi, lo, ...) whose sets(node, shingles) have a similarity of NEAR_SIMILARITY or more; two empty sets are equal."""
     of_hi, of_lo = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"{c}_set")) for c in ("hi", "lo"))
     both = pairs.join(of_hi, "hi").join(of_lo, "lo").withColumn("sizes", F.size("hi_set") + F.size("lo_set"))
     shared = F.size(F.array_intersect("hi_set", "lo_set"))
-    return both.where(shared + 1e-9 >= NEAR_SIMILARITY * (F.col("sizes") - shared)).select("hi", "lo")
+    return both.where(shared + 1e-9 >= NEAR_SIMILARITY * (F.col("sizes") - shared)).select(*pairs.columns)
 
 
 def keep_one_of_each_group(docs: DataFrame) -> DataFrame:
     """The documents that stay, with all their columns: of each group of near copies the row with the smallest doc_id.
 
-    Two texts are linked if they meet at a variant of one of TABLES fingerprints and their sets of
-    five-word shingles (A-Z lower-cased, words parted by ASCII white space) have a similarity of 0.8 or
-    more; groups are what links connect. Texts that differ in case or white space only, and texts without
-    words, null ones included, are always linked; no text is linked to one that is less similar.
+    Two texts are linked if their sets of five-word shingles (A-Z lower-cased, words parted by ASCII white
+    space) have a similarity of 0.8 or more; groups are what links connect. Links are sought where texts
+    meet at a variant of one of TABLES fingerprints first, then among the groups found by ``unmet``, so all
+    count. Texts without words, null ones included, are linked.
 
     A null doc_id counts as larger than any; of rows that share the smallest doc_id, that with the
     least digest of its text stays, so exactly one row of each group does, whatever the ids are.
@@ -231,19 +351,30 @@ def keep_one_of_each_group(docs: DataFrame) -> DataFrame:
     digest = F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
     marked = docs.select("doc_id", F.col("text").cast("string").alias("text"), digest.alias("digest"))
     kind = dict(docs.dtypes)["doc_id"]
-    prints = marked.mapInArrow(_listing(table_prints, "prints"), f"doc_id {kind}, digest binary, prints array<bigint>")
+    told = _listing(prints=table_prints, rare=rarest(*frequent_shingles(marked.select("text"))))
+    prints = marked.mapInArrow(told, f"doc_id {kind}, digest binary, prints array<bigint>, rare array<bigint>")
     least = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "digest")
-    nodes = prints.groupBy("digest").agg(F.min(least).alias("least"), F.first("prints").alias("prints"))
+    nodes = prints.groupBy("digest").agg(F.min(least).alias("least"), F.first("prints").alias("prints"), F.first("rare").alias("rare"))
     nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
-    pairs = materialise(candidates(nodes), "pairs")
-    asked = pairs.select(F.explode(F.array("hi", "lo")).alias("node")).distinct().join(nodes.select("node", "digest"), "node")
-    nth = F.row_number().over(Window.partitionBy("digest").orderBy(F.lit(0)))
-    texts = marked.select("digest", "text").withColumn("nth", nth).where("nth = 1").join(asked, "digest").select("node", "text")
-    sets = materialise(texts.mapInArrow(_listing(shingle_sets, "shingles"), "node bigint, shingles array<bigint>"), "shingles")
-    roots = components(verified(pairs, sets))
-
-    rooted = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("least").alias("least"))
+    def similar(pairs: DataFrame) -> DataFrame:
+        pairs = materialise(possible(pairs, nodes), "pairs")
+        asked = pairs.select(F.explode(F.array("hi", "lo")).alias("node")).distinct().join(nodes.select("node", "digest"), "node")
+        asked = materialise(asked, "asked")
+        nth = F.row_number().over(Window.partitionBy("digest").orderBy(F.lit(0)))
+        few = F.broadcast(asked) if asked.count() <= SENT_DIGESTS else asked
+        texts = marked.select("digest", "text").join(few, "digest").withColumn("nth", nth).where("nth = 1").select("node", "text")
+        sets = materialise(texts.mapInArrow(_listing(shingles=shingle_sets), "node bigint, shingles array<bigint>"), "shingles")
+        links = materialise(verified(pairs, sets), "links")
+        for done in (pairs, asked, sets):
+            discard(done)
+        return links
+
+    roots = components(similar(candidates(nodes)))
+    tops = unmet(nodes, roots, similar).toDF("root", "top")
+
+    rooted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(tops, "root", "left")
+    rooted = rooted.groupBy(F.coalesce("top", "root").alias("root")).agg(F.min("least").alias("least"))
     stays = rooted.select(F.struct("least.doc_id", "least.digest").alias("key"))
     # Rows equal in doc_id and text go before the shuffle, and the text moves once: window and join share the key.
     others = [c for c, t in docs.dtypes if c not in ("doc_id", "text") and "map<" not in t and t != "variant"]
