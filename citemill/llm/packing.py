@@ -10,6 +10,7 @@ many bytes.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Callable, Iterator
@@ -37,6 +38,8 @@ LONGEST_REMEMBERED = 64
 #: Bytes of a text, and texts, that are taken into words at once.
 LONG_TEXT = 1 << 21
 ROWS_AT_ONCE = 1024
+#: New words that are encoded at once: the tokenizer's own records take a hundred times the ids' bytes.
+NEW_AT_ONCE = 4096
 _SPACE = re.compile(rb"[\x20\x09-\x0d]")
 
 _memory: dict[str, _Words] = {}
@@ -52,6 +55,7 @@ class _Words:
     """A worker's tokenizer and the ids of words its task has met lately: those of two generations."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks run beside each other already; threads keep memory each
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -100,7 +104,9 @@ class _Words:
         stems = {x for w in tails for x in (w[:-1], w[-1:])}.union(fresh).difference(tails)
         for x in [x for x in stems if x in before]:
             now[x] = before[x]
-        self.learn([x for x in stems if x not in now])
+        unknown = [x for x in stems if x not in now]
+        for a in range(0, len(unknown), NEW_AT_ONCE):
+            self.learn(unknown[a : a + NEW_AT_ONCE])
         for w in tails:
             now[w] = now[w[:-1]] + now[w[-1:]]
         found = [now[w] for w in words]

@@ -310,6 +310,15 @@ def test_positions_of_a_long_chain_and_a_hot_message(spark, monkeypatch):
 # ---- mixing ----
 
 
+def test_new_words_are_encoded_a_few_at_a_time(monkeypatch):
+    words = packing._Words(packing.public_tokenizer())
+    asked, ask = [], words._ask
+    monkeypatch.setattr(words, "_ask", lambda some: asked.append(sum(len(x.split()) for x in some)) or ask(some))
+    text = " ".join("".join(chr(97 + i // 26**k % 26) for k in range(4)) + "q1"[i % 2] + "," * (i % 5 == 0) for i in range(20_000))
+    ids, _ = words.encode(pa.array([text]))
+    assert max(asked) <= 4096 and ids.tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_every_prefix_of_the_mix_holds_sources_near_their_weights(spark):
     rows = [(i, "w " * (5 + i % 40), "abc"[i % 3]) for i in range(3000)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
