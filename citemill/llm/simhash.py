@@ -14,7 +14,8 @@ emits the variants with two of its least certain bits turned.
 
 What meets is linked along stars, and an exact search follows for the similar texts that these leave
 apart: two sets of a similarity of 0.8 share one of the rarest fifth of each one's shingles (prefix
-filtering), so texts of different groups that do are verified, too. No link is lost.
+filtering), so texts of different groups that do are verified, too. Where many texts share a shingle, they are
+told apart by what they differ in from one of them: similar sets have most of that in common (``_differing``). No link is lost.
 """
 
 from __future__ import annotations
@@ -57,6 +58,10 @@ PARITY_WORDS = 16
 SENT_DIGESTS = 1 << 16
 #: Rounds of star links over shared shingles, before all pairs of what they leave apart.
 STAR_ROUNDS = 3
+#: Texts of a shingle up to which all their pairs are looked at; of more, pairs are sought by differences from a pivot.
+PAIRED_TEXTS = 16
+#: Two sets of a similarity of NEAR_SIMILARITY differ in this part of their sizes' sum at most.
+APART = (1 - NEAR_SIMILARITY) / (1 + NEAR_SIMILARITY)
 
 
 def fingerprint(text: bytes | None, shingle_words: int = SHINGLE_WORDS) -> int:
@@ -258,10 +263,16 @@ def rarest(shingles: np.ndarray, counts: np.ndarray) -> Callable:
 
 
 def _shared(rows: DataFrame) -> DataFrame:
-    """rows(shingle, node, root, size, pos) -> those of shingles under several roots, with the most common of these."""
+    """rows(shingle, node, root, size, pos) -> those of shingles under several roots, with the most common of these.
+
+    Shingles of the same texts become one, which stands where a text's first of them does: a pair met at each of
+    them before. Should hashes of two sets of texts be equal, their texts meet as well; none are parted.
+    """
     same, every = Window.partitionBy("shingle", "root"), Window.partitionBy("shingle")
-    counted = rows.withColumn("own", F.count("*").over(same)).select("*", F.count("*").over(every).alias("n"), F.max_by("root", "own").over(every).alias("common"))
-    return counted.where("own < n").drop("own", "n")
+    common = F.max_by("root", F.struct("own", -F.col("root"))).over(every).alias("common")
+    counted = rows.withColumn("own", F.count("*").over(same)).select("*", F.count("*").over(every).alias("n"), common, F.bit_xor(F.xxhash64("node")).over(every).alias("texts"))
+    once = counted.where("own < n").groupBy("texts", "common", "node", "root", "size").agg(F.min("pos").alias("pos"))
+    return once.withColumnRenamed("texts", "shingle")
 
 
 def _fitting(met: DataFrame) -> DataFrame:
@@ -283,12 +294,83 @@ def _star_pairs(shared: DataFrame) -> DataFrame:
 def _all_pairs(shared: DataFrame) -> DataFrame:
     """All pairs under different roots; rows under the most common root are never paired with each other."""
     row = F.struct("node", "root", "size", "pos")
-    others = shared.where("root <> common").select("shingle", row.alias("a"))
-    met = others.join(shared.select("shingle", "common", row.alias("b")), "shingle")
+    others = shared.where("root <> common").select("shingle", "common", row.alias("a"))
+    met = others.join(shared.select("shingle", "common", row.alias("b")), ["shingle", "common"])
     return _fitting(met.where("a.root <> b.root and (b.root = common or a.node > b.node)"))
 
 
-def unmet(nodes: DataFrame, roots: DataFrame, similar: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def _by_number(shared: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of shingles of up to PAIRED_TEXTS texts, and those of more."""
+    n = F.count("*").over(Window.partitionBy("shingle", "common"))
+    counted = shared.withColumn("n", n)
+    return counted.where(F.col("n") <= PAIRED_TEXTS).drop("n"), counted.where(F.col("n") > PAIRED_TEXTS).drop("n")
+
+
+def _by_size(shared: DataFrame) -> DataFrame:
+    """Rows of common shingles, parted by bands of sizes: two that fit are in one band or in neighbouring ones."""
+    band = F.floor(F.log(F.greatest("size", F.lit(1))) / math.log(1 / NEAR_SIMILARITY + 1e-4))
+    banded = shared.withColumn("band", F.explode(F.array(band, band + 1)))
+    return _shared(banded.select(F.xxhash64("shingle", "common", "band").alias("shingle"), "node", "root", "size", "pos"))
+
+
+def _differing(shared: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Rows of shingles of many texts -> (hi, lo, hi_root, lo_root): pairs of different roots that may be similar.
+
+    A pivot is any one text of a shingle. With D(x) for the shingles in which x and the pivot differ, x and y differ in
+    |D(x)| + |D(y)| - 2 |D(x) & D(y)|, and in APART of their sizes' sum at most if they are similar. So by
+    e(x) = |D(x)| - APART * |x| they need (e(x) + e(y)) / 2 differences in common. If that is 0 or less, x and y are
+    similar, and both are so to the text of the least e, to which such texts are linked. Else they meet at one of
+    the rarest of their differences, of which they leave out fewer than they need in common. Thus edited
+    copies of one text, far apart from each other by edits of their own, meet seldom, however many there are.
+    """
+    pivot = F.min(F.when(F.col("root") == F.col("common"), F.col("node"))).over(Window.partitionBy("shingle", "common"))
+    members = materialise(shared.select(pivot.alias("pivot"), "node", "root", "size").distinct(), "members")
+    sets = sets_of(members.select("node").distinct())
+    of_pivot = sets.select(F.col("node").alias("pivot"), F.col("shingles").alias("pivot_set"))
+    both = members.join(sets, "node").join(of_pivot, "pivot")
+    diff = F.concat(F.array_except("shingles", "pivot_set"), F.array_except("pivot_set", "shingles"))
+    told = both.select("pivot", "node", "root", "size", diff.alias("diff")).withColumn("e", F.size("diff") - APART * F.col("size"))
+    told = materialise(told, "differences")
+    discard(sets)
+
+    row = F.struct("e", "node", "root")
+    least = told.groupBy("pivot").agg(F.min(row).alias("first"), F.max(F.when(F.col("node") == F.col("pivot"), F.col("root"))).alias("common"))
+    second = told.join(least, "pivot").where("root <> first.root").groupBy("pivot").agg(F.min("e").alias("second"))
+    least = materialise(least.join(second, "pivot"), "least-differences")
+    seen = told.join(least, "pivot")
+    sure = seen.where((F.col("root") != F.col("first.root")) & (F.col("e") + F.col("first.e") <= 1e-6))
+    sure = sure.select(F.col("node").alias("a"), F.col("root").alias("a_root"), F.col("first.node").alias("b"), F.col("first.root").alias("b_root"))
+
+    # Of a text's differences, rarest first, as many as leave fewer than any text of another root would need.
+    other = F.when(F.col("root") == F.col("first.root"), F.col("second")).otherwise(F.col("first.e"))
+    need = F.greatest((F.col("e") + other) / 2, F.col("e") - APART / NEAR_SIMILARITY * F.col("size"), F.lit(0.0))
+    listed = seen.select("pivot", "common", "node", "root", "size", "e", F.size("diff").alias("n"), need.alias("need"), F.explode("diff").alias("item"))
+    listed = listed.withColumn("times", F.count("*").over(Window.partitionBy("pivot", "item")))
+    listed = listed.withColumn("pos", F.row_number().over(Window.partitionBy("pivot", "node").orderBy("times", "item")) - 1)
+    listed = listed.where((F.col("times") > 1) & (F.col("n") - F.col("pos") + 1e-6 >= F.col("need")))
+    listed = materialise(listed.select("pivot", "item", "common", F.struct("node", "root", "size", "e", (F.col("n") - F.col("pos")).alias("after")).alias("a")), "listed-differences")
+    met = listed.where("a.root <> common").join(listed.select("pivot", "item", F.col("a").alias("b")), ["pivot", "item"])
+    met = met.where("a.root <> b.root and (b.root = common or a.node > b.node)")
+    small, large, both_e = F.least("a.size", "b.size"), F.greatest("a.size", "b.size"), F.expr("a.e + b.e")
+    met = met.where((small + 1e-6 >= NEAR_SIMILARITY * large) & (both_e > 0) & (F.least("a.after", "b.after") + 1e-6 >= both_e / 2))
+    pairs = sure.union(met.selectExpr("a.node", "a.root", "b.node", "b.root"))
+    hi_first = F.col("a") > F.col("b")
+    pairs = pairs.select(*[F.when(hi_first, x).otherwise(y).alias(c) for c, x, y in (("hi", F.col("a"), F.col("b")), ("lo", F.col("b"), F.col("a")), ("hi_root", F.col("a_root"), F.col("b_root")), ("lo_root", F.col("b_root"), F.col("a_root")))])
+    return pairs.distinct()
+
+
+def _last_pairs(shared: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """All pairs that may be similar of what star links leave apart: a shingle's few texts are paired, many by their differences."""
+    few, many = _by_number(shared)
+    pairs, many = _all_pairs(few), materialise(_by_size(many), "common-shingles")
+    if many.isEmpty():
+        return pairs
+    # Pairs are united, not rows before the join: Spark 4.1 may take a union for partitioned as its parts are.
+    fewer, rest = _by_number(many)
+    return pairs.union(_all_pairs(fewer)).union(_differing(rest, sets_of)).distinct()
+
+
+def unmet(nodes: DataFrame, roots: DataFrame, similar: Callable[[DataFrame], DataFrame], sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """nodes(node, rare), roots(node, root) -> (node, root): which roots are one, as all similar texts under different roots tell.
 
     Two similar sets share one of the rarest shingles of both, and from the first such on as many as their sizes demand.
@@ -300,7 +382,7 @@ def unmet(nodes: DataFrame, roots: DataFrame, similar: Callable[[DataFrame], Dat
     shared = materialise(_shared(rows), "shared-shingles")
     rounds, found = STAR_ROUNDS, []
     while True:
-        links = similar((_star_pairs if rounds else _all_pairs)(shared))
+        links = similar(_star_pairs(shared) if rounds else _last_pairs(shared, sets_of))
         some = not links.isEmpty()
         if some:
             found.append(links.select(F.greatest("hi_root", "lo_root").alias("hi"), F.least("hi_root", "lo_root").alias("lo")))
@@ -325,7 +407,7 @@ def possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     both = pairs.join(of_hi, "hi").join(of_lo, "lo")
     odd = sum((F.bit_count(F.col("hi_told")[i].bitwiseXOR(F.col("lo_told")[i])) for i in range(1, 1 + PARITY_WORDS)), F.lit(0))
     sizes = F.col("hi_told")[0] + F.col("lo_told")[0]
-    return both.where(odd <= (1 - NEAR_SIMILARITY) / (1 + NEAR_SIMILARITY) * sizes + 1e-6).select(*pairs.columns)
+    return both.where(odd <= APART * sizes + 1e-6).select(*pairs.columns)
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -357,21 +439,25 @@ def keep_one_of_each_group(docs: DataFrame) -> DataFrame:
     nodes = prints.groupBy("digest").agg(F.min(least).alias("least"), F.first("prints").alias("prints"), F.first("rare").alias("rare"))
     nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
-    def similar(pairs: DataFrame) -> DataFrame:
-        pairs = materialise(possible(pairs, nodes), "pairs")
-        asked = pairs.select(F.explode(F.array("hi", "lo")).alias("node")).distinct().join(nodes.select("node", "digest"), "node")
-        asked = materialise(asked, "asked")
+    def sets_of(asked: DataFrame) -> DataFrame:
+        asked = materialise(asked.join(nodes.select("node", "digest"), "node"), "asked")
         nth = F.row_number().over(Window.partitionBy("digest").orderBy(F.lit(0)))
         few = F.broadcast(asked) if asked.count() <= SENT_DIGESTS else asked
         texts = marked.select("digest", "text").join(few, "digest").withColumn("nth", nth).where("nth = 1").select("node", "text")
         sets = materialise(texts.mapInArrow(_listing(shingles=shingle_sets), "node bigint, shingles array<bigint>"), "shingles")
+        discard(asked)
+        return sets
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        pairs = materialise(possible(pairs, nodes), "pairs")
+        sets = sets_of(pairs.select(F.explode(F.array("hi", "lo")).alias("node")).distinct())
         links = materialise(verified(pairs, sets), "links")
-        for done in (pairs, asked, sets):
-            discard(done)
+        discard(pairs)
+        discard(sets)
         return links
 
     roots = components(similar(candidates(nodes)))
-    tops = unmet(nodes, roots, similar).toDF("root", "top")
+    tops = unmet(nodes, roots, similar, sets_of).toDF("root", "top")
 
     rooted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(tops, "root", "left")
     rooted = rooted.groupBy(F.coalesce("top", "root").alias("root")).agg(F.min("least").alias("least"))

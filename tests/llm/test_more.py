@@ -90,6 +90,41 @@ def test_near_dedup_loses_no_link(spark):
     assert sorted(kept) == sorted({roots[i] for i in range(len(rows))})
 
 
+def edited_copies(dice, n, words, most):
+    """Copies of one text with up to ``most`` words replaced, some of them cut or longer at their end."""
+    base, rows = [f"b{i}" for i in range(words)], []
+    for at in range(n):
+        copy = list(base)
+        for _ in range(dice.randint(0, most)):
+            copy[dice.randrange(words)] = dice.choice((f"u{at}x{dice.randrange(99)}", f"v{dice.randrange(9)}"))
+        rows.append(" ".join(copy[: words - dice.choice((0, 0, 0, 5, 40))] + [f"t{i}" for i in range(dice.choice((0, 0, 12)))]))
+    return rows
+
+
+def test_near_dedup_of_a_family_looks_at_few_pairs(spark, monkeypatch):
+    """Copies of one text, most of them apart by edits of their own: no link is lost, without all their pairs."""
+    rows, asked, possible = list(dict.fromkeys(edited_copies(random.Random(5), 400, 150, 12))), [], simhash.possible
+    monkeypatch.setattr(simhash, "possible", lambda pairs, nodes: asked.append(pairs.count()) or possible(pairs, nodes))
+    kept = [r.doc_id for r in simhash.keep_one_of_each_group(spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")).collect()]
+    roots = near_by_hand(rows)
+    assert sorted(kept) == sorted({roots[i] for i in range(len(rows))}) and len(kept) > 100
+    assert len(asked) > 1 and sum(asked[1:]) < 4 * len(rows)
+
+
+@pytest.mark.parametrize("paired", [1, 3, 16])
+def test_exact_search_alone_finds_all_links(spark, monkeypatch, paired):
+    """Without candidates and star rounds: pairs of few texts and differences from pivots find what all pairs would."""
+    dice = random.Random(paired)
+    rows = [t for words, most in ((20, 2), (90, 4), (160, 9)) for t in edited_copies(dice, 60, words, most)]
+    rows += [" " * n for n in range(20)] + ["one", "One", "one two", "a b c d e", " A  b c\nd e ", None]
+    dice.shuffle(rows)
+    for name, value in (("PAIRED_TEXTS", paired), ("STAR_ROUNDS", 0), ("candidates", lambda nodes: nodes.selectExpr("node as hi", "node as lo").limit(0))):
+        monkeypatch.setattr(simhash, name, value)
+    kept = [r.doc_id for r in simhash.keep_one_of_each_group(spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")).collect()]
+    roots = near_by_hand(rows)
+    assert sorted(kept) == sorted({roots[i] for i in range(len(rows))})
+
+
 def test_shingle_sets_and_prints_of_any_text():
     texts = ["", None, " ", "A b", " a\tB ", "a b c d e f", "x " * 100_000, "é ü ß " * 3, "a b c d e f a b c d e f"]
     sets = simhash.shingle_sets(pa.array(texts, pa.string()))
