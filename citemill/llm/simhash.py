@@ -60,6 +60,8 @@ SENT_DIGESTS = 1 << 16
 STAR_ROUNDS = 3
 #: Texts of a shingle up to which all their pairs are looked at; of more, pairs are sought by differences from a pivot.
 PAIRED_TEXTS = 16
+#: Texts of a pivot, by whose differences frequent ones are told.
+TOLD_MEMBERS = 6
 #: Two sets of a similarity of NEAR_SIMILARITY differ in this part of their sizes' sum at most.
 APART = (1 - NEAR_SIMILARITY) / (1 + NEAR_SIMILARITY)
 
@@ -328,7 +330,7 @@ def _differing(shared: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) ->
     sets = sets_of(members.select("node").distinct())
     of_pivot = sets.select(F.col("node").alias("pivot"), F.col("shingles").alias("pivot_set"))
     both = members.join(sets, "node").join(of_pivot, "pivot")
-    diff = F.concat(F.array_except("shingles", "pivot_set"), F.array_except("pivot_set", "shingles"))
+    diff = F.concat(F.sort_array(F.array_except("shingles", "pivot_set")), F.sort_array(F.array_except("pivot_set", "shingles")))
     told = both.select("pivot", "node", "root", "size", diff.alias("diff")).withColumn("e", F.size("diff") - APART * F.col("size"))
     told = materialise(told, "differences")
     discard(sets)
@@ -344,10 +346,17 @@ def _differing(shared: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) ->
     # Of a text's differences, rarest first, as many as leave fewer than any text of another root would need.
     other = F.when(F.col("root") == F.col("first.root"), F.col("second")).otherwise(F.col("first.e"))
     need = F.greatest((F.col("e") + other) / 2, F.col("e") - APART / NEAR_SIMILARITY * F.col("size"), F.lit(0.0))
-    listed = seen.select("pivot", "common", "node", "root", "size", "e", F.size("diff").alias("n"), need.alias("need"), F.explode("diff").alias("item"))
-    listed = listed.withColumn("times", F.count("*").over(Window.partitionBy("pivot", "item")))
-    listed = listed.withColumn("pos", F.row_number().over(Window.partitionBy("pivot", "node").orderBy("times", "item")) - 1)
-    listed = listed.where((F.col("times") > 1) & (F.col("n") - F.col("pos") + 1e-6 >= F.col("need")))
+    # Its own edits stand before what it lacks of the pivot, frequent ones, told by a few members, last; any order of a pivot's
+    # differences gives the same links.
+    nth = F.row_number().over(Window.partitionBy("pivot").orderBy(F.xxhash64("node")))
+    some = told.withColumn("nth", nth).where(F.col("nth") <= TOLD_MEMBERS).select("pivot", F.explode("diff").alias("item"))
+    often = some.groupBy("pivot", "item").count().where("count > 1").groupBy("pivot").agg(F.collect_set("item").alias("often"))
+    seen = seen.join(often, "pivot", "left").withColumn("often", F.coalesce("often", F.array().cast("array<bigint>")))
+    ordered = F.concat(F.array_except("diff", "often"), F.array_intersect("diff", "often"))  # both keep the order
+    listed = seen.select("pivot", "common", "node", "root", "size", "e", F.size("diff").alias("n"), need.alias("need"), ordered.alias("ordered"))
+    first = F.greatest(F.floor(F.col("n") - F.col("need") + 1e-6) + 1, F.lit(0)).cast("int")
+    listed = listed.select("pivot", "common", "node", "root", "size", "e", "n", F.posexplode(F.slice("ordered", F.lit(1), first)).alias("pos", "item"))
+    listed = listed.withColumn("times", F.count("*").over(Window.partitionBy("pivot", "item"))).where("times > 1")
     listed = materialise(listed.select("pivot", "item", "common", F.struct("node", "root", "size", "e", (F.col("n") - F.col("pos")).alias("after")).alias("a")), "listed-differences")
     met = listed.where("a.root <> common").join(listed.select("pivot", "item", F.col("a").alias("b")), ["pivot", "item"])
     met = met.where("a.root <> b.root and (b.root = common or a.node > b.node)")
