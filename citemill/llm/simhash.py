@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, materialise
+from .common import discard, materialise, stored, swept
 from .components import components
 
 SHINGLE_WORDS = 3
@@ -62,6 +62,8 @@ STAR_ROUNDS = 3
 PAIRED_TEXTS = 16
 #: Texts of a pivot, by whose differences frequent ones are told.
 TOLD_MEMBERS = 6
+#: Parts, by their shingles, in which the rarest shingles of all texts are dealt out: shuffle files of one part are there at a time.
+SHINGLE_PARTS = 4
 #: Two sets of a similarity of NEAR_SIMILARITY differ in this part of their sizes' sum at most.
 APART = (1 - NEAR_SIMILARITY) / (1 + NEAR_SIMILARITY)
 
@@ -219,7 +221,8 @@ def _meetings(places: DataFrame) -> DataFrame:
 def candidates(nodes: DataFrame) -> DataFrame:
     """nodes(node, prints) -> (hi, lo), hi > lo: pairs to verify.
 
-    A place's nodes are each paired with its least one, its head; heads of places that meet are paired.
+    A place's nodes are each paired with its least one, its head; heads of places that meet are paired. Tables are
+    taken one after another, since places of different ones never meet.
     """
     told = [F.struct(F.col("prints")[t].alias("place"), F.col("prints")[TABLES + t].alias("unsure")) for t in range(TABLES)]
     placed = nodes.select("node", F.inline(F.array(*told)))
@@ -227,7 +230,8 @@ def candidates(nodes: DataFrame) -> DataFrame:
     heads = materialise(heads, "places")
     inside = placed.join(heads.select("place", "head"), "place").where("node > head").select(F.col("node").alias("hi"), F.col("head").alias("lo"))
     of_hi, of_lo = (heads.select(F.col("place").alias(c), F.col("head").alias(f"{c}_head")) for c in ("hi", "lo"))
-    met = _meetings(heads).join(of_hi, "hi").join(of_lo, "lo").where("hi_head <> lo_head")
+    met = [materialise(_meetings(heads.where(F.shiftright("place", TABLE_BITS) == t)), "meetings") for t in range(TABLES)]
+    met = reduce(DataFrame.union, met).join(of_hi, "hi").join(of_lo, "lo").where("hi_head <> lo_head")
     return inside.union(met.select(F.greatest("hi_head", "lo_head"), F.least("hi_head", "lo_head"))).distinct()
 
 
@@ -236,7 +240,8 @@ def frequent_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     part = max(1, texts.count() // COUNTED_TEXTS)
     sample = texts.where(F.pmod(F.xxhash64("text"), F.lit(part)) == 0)
     counts = sample.mapInArrow(_listing(shingles=shingle_sets), "shingles array<bigint>").select(F.explode("shingles").alias("shingle")).groupBy("shingle").count()
-    told = counts.where("count > 1").orderBy(F.desc("count"), "shingle").limit(FREQUENT).toArrow().sort_by("shingle")
+    with swept(texts.sparkSession):
+        told = counts.where("count > 1").orderBy(F.desc("count"), "shingle").limit(FREQUENT).toArrow().sort_by("shingle")
     return told["shingle"].to_numpy(), told["count"].to_numpy()
 
 
@@ -272,9 +277,33 @@ def _shared(rows: DataFrame) -> DataFrame:
     """
     same, every = Window.partitionBy("shingle", "root"), Window.partitionBy("shingle")
     common = F.max_by("root", F.struct("own", -F.col("root"))).over(every).alias("common")
-    counted = rows.withColumn("own", F.count("*").over(same)).select("*", F.count("*").over(every).alias("n"), common, F.bit_xor(F.xxhash64("node")).over(every).alias("texts"))
-    once = counted.where("own < n").groupBy("texts", "common", "node", "root", "size").agg(F.min("pos").alias("pos"))
-    return once.withColumnRenamed("texts", "shingle")
+    # Dealt out by shingle, rows lie well for both windows.
+    counted = rows.repartition("shingle").withColumn("own", F.count("*").over(same))
+    counted = counted.select("*", F.count("*").over(every).alias("n"), common, F.bit_xor(F.xxhash64("node")).over(every).alias("texts"))
+    return _once(counted.where("own < n").drop("shingle").withColumnRenamed("texts", "shingle"))
+
+
+def _once(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("shingle", "common", "node", "root", "size").agg(F.min("pos").alias("pos"))
+
+
+def _shared_of(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """``_shared`` of the rarest shingles of all nodes(node, rare), a part of the shingles after another.
+
+    Nearly all shingles are one text's; they go where the rows of a shingle first meet, before roots are looked up.
+    """
+    head = 1 + PARITY_WORDS
+    rare = F.posexplode(F.slice("rare", F.lit(1 + head), F.size("rare") - head)).alias("pos", "shingle")
+    rows, found = nodes.select("node", F.col("rare")[0].cast("int").alias("size"), rare), []
+    for part in range(SHINGLE_PARTS):
+        own = rows.where(F.pmod("shingle", F.lit(SHINGLE_PARTS)) == part)
+        met = own.withColumn("n", F.count("*").over(Window.partitionBy("shingle"))).where("n > 1").drop("n")
+        rooted = met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        found.append(materialise(_shared(rooted), "shared-part"))
+    shared = materialise(_once(reduce(DataFrame.union, found)), "shared-shingles")
+    for part in found:
+        discard(part)
+    return shared
 
 
 def _fitting(met: DataFrame) -> DataFrame:
@@ -385,10 +414,7 @@ def unmet(nodes: DataFrame, roots: DataFrame, similar: Callable[[DataFrame], Dat
     Two similar sets share one of the rarest shingles of both, and from the first such on as many as their sizes demand.
     Star links first make large groups one, so that all pairs need to be looked at between what is left only.
     """
-    head = 1 + PARITY_WORDS
-    rare = F.posexplode(F.slice("rare", F.lit(1 + head), F.size("rare") - head)).alias("pos", "shingle")
-    rows = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.col("rare")[0].cast("int").alias("size"), rare)
-    shared = materialise(_shared(rows), "shared-shingles")
+    shared = _shared_of(nodes, roots)
     rounds, found = STAR_ROUNDS, []
     while True:
         links = similar(_star_pairs(shared) if rounds else _last_pairs(shared, sets_of))
@@ -441,7 +467,18 @@ def keep_one_of_each_group(docs: DataFrame) -> DataFrame:
     """
     digest = F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
     marked = docs.select("doc_id", F.col("text").cast("string").alias("text"), digest.alias("digest"))
-    kind = dict(docs.dtypes)["doc_id"]
+    stays = stored(lambda: _stays(marked), docs.sparkSession, "stays")
+    # Rows equal in doc_id and text go before the shuffle, and the text moves once: window and join share the key.
+    others = [c for c, t in docs.dtypes if c not in ("doc_id", "text") and "map<" not in t and t != "variant"]
+    first = Window.partitionBy("key").orderBy(F.xxhash64(*[F.col(f"row.`{c}`") for c in others]) if others else F.lit(0))
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.struct("doc_id", digest.alias("digest")).alias("key"))
+    once = keyed.withColumn("nth", F.row_number().over(first)).where("nth = 1")
+    return once.join(stays, "key", "left_semi").select("row.*")
+
+
+def _stays(marked: DataFrame) -> DataFrame:
+    """marked(doc_id, text, digest) -> (key: doc_id and digest) of the row that stays of each group."""
+    kind = dict(marked.dtypes)["doc_id"]
     told = _listing(prints=table_prints, rare=rarest(*frequent_shingles(marked.select("text"))))
     prints = marked.mapInArrow(told, f"doc_id {kind}, digest binary, prints array<bigint>, rare array<bigint>")
     least = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "digest")
@@ -470,10 +507,4 @@ def keep_one_of_each_group(docs: DataFrame) -> DataFrame:
 
     rooted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(tops, "root", "left")
     rooted = rooted.groupBy(F.coalesce("top", "root").alias("root")).agg(F.min("least").alias("least"))
-    stays = rooted.select(F.struct("least.doc_id", "least.digest").alias("key"))
-    # Rows equal in doc_id and text go before the shuffle, and the text moves once: window and join share the key.
-    others = [c for c, t in docs.dtypes if c not in ("doc_id", "text") and "map<" not in t and t != "variant"]
-    first = Window.partitionBy("key").orderBy(F.xxhash64(*[F.col(f"row.`{c}`") for c in others]) if others else F.lit(0))
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.struct("doc_id", digest.alias("digest")).alias("key"))
-    once = keyed.withColumn("nth", F.row_number().over(first)).where("nth = 1")
-    return once.join(stays, "key", "left_semi").select("row.*")
+    return rooted.select(F.struct("least.doc_id", "least.digest").alias("key"))

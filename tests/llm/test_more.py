@@ -4,6 +4,7 @@ import random
 import re
 import time
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -111,6 +112,24 @@ def test_near_dedup_of_a_family_looks_at_few_pairs(spark, monkeypatch):
     assert len(asked) > 1 and sum(asked[1:]) < 4 * len(rows)
 
 
+def test_near_dedup_leaves_no_shuffle_files_and_one_table(spark):
+    """What it shuffles and stores on its way goes as soon as it is read, not when the driver collects its garbage."""
+    rows = edited_copies(random.Random(6), 150, 120, 9)
+    local, scratch = Path(spark.conf.get("spark.local.dir")), Path(common.scratch_dir(spark).removeprefix("file:"))
+    there = lambda: (set(local.glob("blockmgr-*/*/shuffle_*.data")), set(scratch.glob("*")))
+    before = there()
+    setting = spark.conf.get(common.SWEEP)
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")
+    kept = simhash.keep_one_of_each_group(docs)
+    for _ in range(40):  # files are deleted beside the next job
+        files, tables = (now - was for now, was in zip(there(), before))
+        if not files:
+            break
+        time.sleep(0.25)
+    assert not files and [t.name.split("-")[0] for t in tables] == ["stays"] and spark.conf.get(common.SWEEP) == setting
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(near_by_hand(rows).values()))
+
+
 @pytest.mark.parametrize("paired", [1, 3, 16])
 def test_exact_search_alone_finds_all_links(spark, monkeypatch, paired):
     """Without candidates and star rounds: pairs of few texts and differences from pivots find what all pairs would."""
