@@ -1,10 +1,12 @@
 import math
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from citemill.operators import bm25, cells, dense, evidence, fusion
+from citemill.sources.store import scratch_dir
 
 
 def rankings(spark, *lists):
@@ -114,6 +116,20 @@ def test_stored_postings_give_the_same_and_read_less(spark, small, tmp_path, mon
     assert read["lead"] + read.get("rest", 0) < plain
 
 
+def test_stored_postings_are_written_in_parts_that_leave_nothing(spark, tmp_path, monkeypatch):
+    """Tables of a part go with it; the blocks after a term's first hold ids only, and a term of one block isn't stored twice."""
+    monkeypatch.setattr(bm25, "BLOCK", 4)
+    monkeypatch.setattr(bm25, "PARTS", 2)
+    texts = spark.createDataFrame([(i, f"often {'abcdefghij'[i] * 5} {'klmno'[i // 2] * 5}") for i in range(10)], "id long, text string")
+    scratch = Path(scratch_dir(spark).removeprefix("file:"))
+    before = set(scratch.glob("*"))
+    bm25.Stored.write(bm25.build(texts), str(tmp_path / "postings"))
+    assert set(scratch.glob("*")) == before
+    held = bm25.Stored.open(spark, str(tmp_path / "postings"))
+    assert {r.term for r in held.places.collect()} == {"often"}
+    assert [x.weight for r in held.rest.collect() for x in r.row] == [None] * 6 and held.heads.count() == 16
+
+
 def test_queries_of_different_lengths_are_searched_together(spark):
     vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 1.0, 0.0]), (4, [0.0]), (5, [])], "id int, vector array<double>")
     asked = spark.createDataFrame([(1, [1.0, 0.1]), (2, [0.0, 0.0, 2.0]), (3, [1.0, 1.0, 1.0])], "qid int, vector array<double>")
